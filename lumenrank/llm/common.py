@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
     """Cut Arrow batches so that each holds about ``most`` bytes of ``column`` (one row at least)."""
     for batch in batches:
         start, held = 0, 0
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         for i, size in enumerate(sizes):
             if held and held + (size or 0) > most:
                 yield batch.slice(start, i - start)
