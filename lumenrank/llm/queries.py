@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenrank.llm import decontaminate, exact_dedup, language_id, minhash, packing, wrapper
+from lumenrank.llm import decontaminate, exact_dedup, language_id, minhash, packing, ppm, wrapper
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_language_id": op3_language_id,
     "op5_minhash": op5_minhash,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extraction": op10_html_extraction,
