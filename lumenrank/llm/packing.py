@@ -31,7 +31,7 @@ from lumenrank.llm.tokens import default_path, encoder
 
 SEQUENCE = 2048
 #: Lengths are planned in steps of this many ids.
-STEP = 8
+STEP = 16
 END_ID = 1
 #: Pieces ranked by one task, about.
 BUCKET_PIECES = 100_000
@@ -44,7 +44,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str | None = None, sequence: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in slices(batches, "text", 8_000_000):
+        for batch in slices(batches, "text", 4_000_000):
             rows, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = encode(text) + end
@@ -86,6 +86,20 @@ def _best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), counts
 
 
+def _inverted(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots; a few hundred rows at most, without threads of a linear-algebra library."""
+    n = len(a)
+    work = np.hstack((a, np.eye(n)))
+    for i in range(n):
+        p = i + int(np.argmax(np.abs(work[i:, i])))
+        work[[i, p]] = work[[p, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        work -= np.outer(factor, work[i])
+    return work[:, n:]
+
+
 def plan_patterns(size: list[int], demand: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Patterns ({size: count}, repeats) that hold the whole demand, close to the fewest sequences.
 
@@ -101,7 +115,7 @@ def plan_patterns(size: list[int], demand: list[int], capacity: int) -> list[tup
     inverse = np.diag(1.0 / (capacity // sizes))
     nudged = need + 1e-3 * np.random.default_rng(0).random(m)  # no two ratios tie, so the simplex can't cycle
     x = inverse @ nudged
-    for step in range(6 * m + 100):
+    for step in range(16 * m + 100):
         price = inverse.sum(axis=0)
         value, column = _best_pattern(np.maximum(price, 0), sizes, capacity)
         if value <= 1 + 1e-4:  # price / value is a feasible dual: x.sum() / value bounds the optimum
@@ -115,7 +129,7 @@ def plan_patterns(size: list[int], demand: list[int], capacity: int) -> list[tup
         x[out] = limits[out]
         basis[:, out] = column
         if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverted(basis)
             x = np.maximum(inverse @ nudged, 0)
         else:
             row = inverse[out] / move[out]
