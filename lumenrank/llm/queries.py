@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenrank.llm import decontaminate, exact_dedup, language_id, minhash, packing, pii, ppm, token_counts, wrapper
+from lumenrank.llm import decontaminate, exact_dedup, language_id, minhash, packing, pii, ppm, token_counts, training_order, wrapper
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(_read(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
     "op5_minhash": op5_minhash,
+    "op6_training_order": op6_training_order,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
