@@ -17,7 +17,7 @@ CHARS_PER_TOKEN = 3
 MARGIN = 16
 
 # Characters that cleaning deletes.
-INVISIBLE = r"[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f​-‍⁠﻿]"
+INVISIBLE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{200b}-\x{200d}\x{2060}\x{feff}]"
 #: White space as Python's split() sees it.
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 
