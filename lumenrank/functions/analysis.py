@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -116,7 +117,7 @@ def simple(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in words:
         yield s.map(lambda ws: [stem(w) for w in ws if w not in STOP_WORDS])

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that stand for one token where no model tokenizer is given.
 CHARS_PER_TOKEN = 3
@@ -22,14 +23,14 @@ INVISIBLE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{200b}-\x{200d}\x{2060}\x{fe
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility composition, which Spark has no function for."""
     for s in texts:
         yield s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Full Unicode case folding (lower() keeps, for one, the sharp s)."""
     for s in texts:
@@ -92,7 +93,7 @@ def pack_sentences(text: Column, max_tokens: int) -> Column:
     """Pieces of at most the budget: sentences packed greedily, over-long ones cut."""
     budget = max_tokens - MARGIN
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def pack(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield s.map(lambda t: packed(t, budget), na_action="ignore")
@@ -188,7 +189,7 @@ def chunks(text: Column, most: int = 2000, least: int = 200, overlap: int = 50)
     if least >= most:
         raise ValueError("the least chunk size must be below the greatest")
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield s.map(lambda t: chunked(t, most, least, overlap))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenrank.functions.analysis import WORD
 
@@ -54,7 +55,7 @@ def embed(text: Column, encoder=None) -> Column:
     """Vectors of a text column by an encoder with ``encode(list of str)``; batches keep their order."""
     encoder = encoder or HashingEncoder()
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield pd.Series(list(encoder.encode(s.fillna("").tolist())), index=s.index)

@@ -123,7 +123,7 @@ def message_status(events: DataFrame) -> DataFrame:
 
 def describe_call(name: Column, arguments: Column) -> Column:
     """A line on a tool call; ``arguments`` is map<string,string>."""
-    named = F.coalesce(*(F.nullif(arguments[k], F.lit("")) for k in DETAIL_KEYS), F.filter(F.map_values(arguments), lambda v: F.length(v) > 0)[0])
+    named = F.coalesce(*(F.nullif(arguments[k], F.lit("")) for k in DETAIL_KEYS), F.get(F.filter(F.map_values(arguments), lambda v: F.length(v) > 0), F.lit(0)))
     verb = F.concat(F.lit("Using "), F.replace(name, F.lit("_"), F.lit(" ")))
     out = F.when(named.isNotNull(), F.concat(verb, F.lit(": "), named)).otherwise(verb)
     for tool, (with_, without) in CALL_WORDING.items():

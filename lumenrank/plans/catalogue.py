@@ -4,7 +4,549 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenrank.functions import text as tx
+from lumenrank.functions import vectors
+from lumenrank.operators import chat, dense, files, fusion, keyed, lexical, pooling, relevance, runs
+from lumenrank.plans import derived as d
+from lumenrank.sources.notes import to_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: A fixed clock, so that results can be compared.
+NOW = "2024-01-01 00:00:00"
+
+
+def query(sql: str | None = None, *names: str):
+    """Register a function as the query of its name, with its SQL and the shared tables that this reads."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = d.sql(sql, *names)
+        return f
+
+    return register
+
+
+# Scans and samples
+
+
+@query("SELECT doc_id AS id, source, length(text) AS n FROM (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS source, text FROM documents) WHERE source LIKE '%.md' AND length(text) >= 250")
+def notes_scan_filter(spark, sf):
+    rows = d.notes(spark, sf).where(F.col("source").rlike(r"\.(md|txt)$") & (F.length("text") >= 250))
+    return rows.select("id", "source", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT least(n // 1000, 29) AS bin, count(*) AS n FROM (SELECT length(text) AS n FROM documents) GROUP BY bin")
+def note_length_histogram(spark, sf):
+    bins = d.table(spark, sf, "documents").select(F.least(F.floor(F.length("text") / 1000), F.lit(29)).cast("long").alias("bin"))
+    return bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, source FROM notes WHERE length(text) >= 250 ORDER BY md5('17:' || source), source LIMIT 100", "notes")
+def note_sample_seeded(spark, sf):
+    rows = d.notes(spark, sf).where(F.length("text") >= 250).select("id", "source")
+    return keyed.seeded_sample(rows, 100, "source", 17)
+
+
+@query("SELECT count(*) AS n FROM notes WHERE id NOT IN (SELECT doc_id FROM labels)", "notes")
+def unprocessed_notes(spark, sf):
+    done = d.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return keyed.not_stored(d.notes(spark, sf), done).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Text
+
+_DIRTY = r"regexp_replace(text, '\n', ' ' || chr(13) || chr(10) || chr(9) || chr(8203) || chr(10) || chr(10) || '  ', 'g')"
+_CLEAN = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), "
+    r"'[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}]', '', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+)
+
+
+def _dirty(rows: DataFrame) -> DataFrame:
+    """The corpus is clean; line ends become a run of blanks, controls and blank lines."""
+    return rows.withColumn("text", F.regexp_replace("text", "\n", " \r\n\t​\n\n  "))
+
+
+@query(f"SELECT doc_id AS id, {_CLEAN.format(_DIRTY)} AS text FROM documents")
+def clean_text(spark, sf):
+    rows = _dirty(d.table(spark, sf, "documents"))
+    return rows.select(F.col("doc_id").alias("id"), tx.clean(F.col("text"), normalise=False).alias("text"))
+
+
+@query()
+def clean_text_nfkc(spark, sf):
+    return d.table(spark, sf, "pages").select("page_id", tx.clean(F.col("html")).alias("text"))
+
+
+@query("SELECT id, CASE WHEN bare = '' THEN stem ELSE bare END AS title, source || '#0' AS chunk_id FROM (SELECT *, regexp_replace(stem, '\\s*[0-9a-f]{32}$', '') AS bare FROM (SELECT id, source, CASE WHEN id % 3 = 0 THEN md5(source) ELSE title || ' ' || md5(source) END AS stem FROM notes))", "notes")
+def title_and_chunk_id(spark, sf):
+    stem = F.when(F.col("id") % 3 == 0, F.md5("source")).otherwise(F.concat("title", F.lit(" "), F.md5("source")))
+    return d.notes(spark, sf).select("id", tx.title_of(stem).alias("title"), tx.chunk_id(F.col("source"), F.lit(0)).alias("chunk_id"))
+
+
+@query()
+def chunk_documents(spark, sf):
+    return to_chunks(_dirty(d.notes(spark, sf)), normalise=False)
+
+
+@query("SELECT doc_id AS id, CASE WHEN ceil(length(text) / 3.0) <= 112 THEN text ELSE substr(text, 1, 336) END AS text FROM documents")
+def overflow_truncate(spark, sf):
+    return d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.truncate(F.col("text"), 128).alias("text"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN ceil(length(text) / 3.0) <= 113 THEN text ELSE substr(text, 1, 168) || ' ' || right(text, 171) END AS text FROM documents")
+def overflow_barbell(spark, sf):
+    return d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.barbell(F.col("text"), 129).alias("text"))
+
+
+@query()
+def overflow_pack_sentences(spark, sf):
+    return d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.posexplode(tx.pack_sentences(F.col("text"), 128)).alias("piece", "text"))
+
+
+@query("SELECT id, CASE WHEN title = '' THEN text ELSE title || chr(10) || chr(10) || text END AS titled, 'title: ' || title || ' | text: ' || text AS prompt FROM notes", "notes")
+def title_prefix_prompt(spark, sf):
+    return d.notes(spark, sf).select("id", tx.titled(F.col("title"), F.col("text")).alias("titled"), tx.document_prompt(F.col("title"), F.col("text")).alias("prompt"))
+
+
+@query(r"SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'noid:fts:' || CAST(doc_id AS VARCHAR) ELSE substr(sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 16) END AS chunk_key FROM documents")
+def chunk_key(spark, sf):
+    text = F.when(F.col("doc_id") % 7 != 0, F.col("text"))
+    return d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.chunk_key(text, F.lit("fts"), F.col("doc_id").cast("string")).alias("chunk_key"))
+
+
+@query("SELECT qid, replace(query_key, 'ß', 'ss') AS query_key FROM queries", "queries")
+def normalize_query(spark, sf):
+    return d.queries(spark, sf).select("qid", tx.query_key(F.col("query")).alias("query_key"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '… [' || CAST(length(text) - 300 AS VARCHAR) || ' more characters]' ELSE text END AS text FROM documents")
+def truncate_notice(spark, sf):
+    return d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.shortened(F.col("text"), 300).alias("text"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.title'), '') AS title FROM events")
+def json_field(spark, sf):
+    return d.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.title"), F.lit("")).alias("title"))
+
+
+# Lexical retrieval
+
+
+@query("SELECT term, id, tf_title, tf_body FROM postings", "postings")
+def postings(spark, sf):
+    return lexical.build_postings(d.notes(spark, sf))
+
+
+@query("SELECT term, df FROM df", "df")
+def document_frequency(spark, sf):
+    return lexical.document_frequency(lexical.build_postings(d.notes(spark, sf)))
+
+
+@query("SELECT qid, term, times, df, round(idf, 6) AS idf FROM kept_fts", "kept_fts")
+def max_df_cut(spark, sf):
+    own = d.index(spark, sf)
+    kept = lexical.kept_terms(lexical.query_terms(d.queries(spark, sf)), own.df, own.n_docs)
+    return kept.withColumn("idf", F.round("idf", 6))
+
+
+@query("SELECT qid, id, score, rank FROM arm_fts WHERE rank <= 10", "arm_fts")
+def lexical_topk(spark, sf):
+    return d.index(spark, sf).search(d.queries(spark, sf), 10)
+
+
+@query()
+def lexical_english(spark, sf):
+    return d.index(spark, sf, "english").search(d.queries(spark, sf), 10)
+
+
+# Dense retrieval
+
+_COSINE = "SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id"
+_DENSE = f"SELECT qid, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM ({_COSINE})) WHERE rank <= 10"
+
+
+def _vectors(spark, sf):
+    rows = d.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return rows, rows.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector", F.col("label").alias("wanted"))
+
+
+@query(_DENSE)
+def dense_topk(spark, sf):
+    rows, asked = _vectors(spark, sf)
+    return dense.dense_search(asked, rows, 10, exclude_self=True)
+
+
+@query(_DENSE)
+def dense_topk_catalyst(spark, sf):
+    rows, asked = _vectors(spark, sf)
+    return lexical.ranked(dense.dense_scores(asked, rows, exclude_self=True), 10)
+
+
+@query()
+def dense_approximate(spark, sf):
+    rows, asked = _vectors(spark, sf)
+    return dense.ApproximateIndex(rows).search(asked, 10)
+
+
+@query("SELECT label, i, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY label, i")
+def vector_mean_pool(spark, sf):
+    means = vectors.mean_vectors(_vectors(spark, sf)[0], "label", "vector")
+    return means.select("label", F.posexplode("vector").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+# Fusion
+
+
+@query("SELECT qid, id, score, rank, fts_rank, all_rank FROM fused WHERE rank <= 10", "fused")
+def rrf_fuse(spark, sf):
+    fused = fusion.fuse(fusion.united(d.arms(spark, sf)), 5).where("rank <= 10")
+    return fused.select("qid", "id", "score", "rank", fused.arms["fts"].alias("fts_rank"), fused.arms["all"].alias("all_rank"))
+
+
+@query("SELECT qid, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT qid, id, round(sum(CASE WHEN arm = 'fts' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank)), 9) AS score FROM united GROUP BY qid, id)) WHERE rank <= 10", "united")
+def rrf_weighted(spark, sf):
+    return fusion.fuse(fusion.united(d.arms(spark, sf)), 60, {"fts": 2.0, "absent": 9.0}).where("rank <= 10").drop("arms")
+
+
+@query("SELECT qid, id, score, rank, rank AS arm_rank FROM arm_all WHERE rank <= 10", "arm_all")
+def single_arm(spark, sf):
+    from lumenrank.config import ArmConfig, RetrievalConfig
+
+    config = RetrievalConfig((ArmConfig("all", "lexical", "chunks_fts", depth=10),))
+    out = fusion.merge(d.arms(spark, sf), config)
+    return out.select("qid", "id", "score", "rank", out.arms["all"].alias("arm_rank"))
+
+
+@query()
+def hybrid_retrieve(spark, sf):
+    from lumenrank.config import SHIPPED
+
+    own, notes = d.index(spark, sf), d.notes(spark, sf)
+    table = notes.select("id", vectors.embed(F.col("text")).alias("vector"))
+    titled = notes.select("id", vectors.embed(tx.titled(F.col("title"), F.col("text"))).alias("vector"))
+
+    def arm(table):
+        return lambda asked, depth: dense.dense_search(asked.select("qid", vectors.embed(F.col("query")).alias("vector")), table, depth)
+
+    search = {"qwen": arm(table), "bge-m3": arm(titled), "fts": own.search}
+    return fusion.Retriever(SHIPPED, search).retrieve(d.queries(spark, sf)).withColumn("arms", F.to_json("arms"))
+
+
+_SETTINGS = [("d20-k5", 20, 5), ("d50-k5", 50, 5), ("d50-k10", 50, 10), ("d50-k60", 50, 60)]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS setting, qid, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT qid, id, round(sum(1.0::DOUBLE / ({k} + rank)), 9) AS score FROM united WHERE rank <= {depth} GROUP BY qid, id)) WHERE rank <= 10" for n, depth, k in _SETTINGS), "united")
+def depth_and_k_sweep(spark, sf):
+    return fusion.sweep(fusion.united(d.arms(spark, sf)), _SETTINGS).where("rank <= 10")
+
+
+# Relevance
+
+
+def _judged(spark, sf):
+    results, gains, by_id = d.pooled_gains(spark, sf)
+    fused = fusion.fuse(results, 5).select("qid", "id", "rank").withColumn("text", F.lit(None).cast("string"))
+    return relevance.with_gains(fused, by_id, gains).select("qid", "id", "rank", "chunk_key", "gain"), gains, by_id
+
+
+@query("SELECT qid, id, rank, coalesce(chunk_key, '') AS chunk_key, coalesce(gain, -1) AS gain FROM judged WHERE rank <= 10", "judged")
+def qrel_join(spark, sf):
+    rows = _judged(spark, sf)[0].where("rank <= 10")
+    return rows.select("qid", "id", "rank", F.coalesce("chunk_key", F.lit("")).alias("chunk_key"), F.coalesce("gain", F.lit(-1)).alias("gain"))
+
+
+@query("SELECT * FROM metrics", "metrics")
+def ndcg_recall_mrr_precision(spark, sf):
+    judged, gains, _ = _judged(spark, sf)
+    return relevance.annotated_metrics(judged, gains)
+
+
+@query("SELECT qid, chunk_key, id, gain, rank FROM judged WHERE gain > 0", "judged")
+def positives_with_rank(spark, sf):
+    judged, gains, by_id = _judged(spark, sf)
+    return relevance.positives_with_rank(judged, gains, by_id)
+
+
+@query("SELECT qid, CASE WHEN first IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS file_recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS file_mrr FROM passages LEFT JOIN (SELECT a.qid, min(rank) AS first FROM arm_all a JOIN notes USING (id) JOIN passages p ON p.qid = a.qid AND p.source = notes.source WHERE rank <= 10 GROUP BY a.qid) USING (qid)", "passages", "arm_all")
+def file_recall_mrr(spark, sf):
+    results = d.arms(spark, sf)["all"].join(d.notes(spark, sf).select("id", "source"), "id")
+    return relevance.file_metrics(results, d.passages(spark, sf))
+
+
+_SPLIT = "SELECT query_key, stratum, CASE WHEN r <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' ELSE 'val' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('17:' || query_key), query_key) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM (SELECT query_key, arg_min(stratum, ordinal) AS stratum FROM (SELECT query_key, 'annotated' AS stratum, 0 AS ordinal FROM queries WHERE qid % 2 = 0 UNION ALL SELECT query_key, 'generated', 1 FROM queries) GROUP BY query_key))"
+
+
+def _split(spark, sf):
+    asked = d.queries(spark, sf)
+    a = asked.where("qid % 2 = 0").select("query_key", F.lit("annotated").alias("stratum"), F.lit(0).alias("ordinal"))
+    return relevance.split_keys(a.unionByName(asked.select("query_key", F.lit("generated").alias("stratum"), F.lit(1).alias("ordinal"))))
+
+
+@query(_SPLIT, "queries")
+def stratified_split(spark, sf):
+    return _split(spark, sf)
+
+
+@query(
+    f"""SELECT split, kind, count(*) AS num_queries, count(*) FILTER (num_relevant > 0) AS num_scored, round(coalesce(avg(ndcg_10) FILTER (num_relevant > 0), 0), 6) AS ndcg_10,
+  round(coalesce(avg(precision_10) FILTER (num_relevant > 0), 0), 6) AS precision_10 FROM (SELECT m.*, 'annotated' AS kind, coalesce(s.split, 'unassigned') AS split FROM metrics m JOIN queries USING (qid)
+  LEFT JOIN ({_SPLIT}) s ON s.query_key = queries.query_key) WHERE split IN ('train', 'val') GROUP BY split, kind""",
+    "metrics", "queries",
+)
+def aggregate_by_split(spark, sf):
+    judged, gains, _ = _judged(spark, sf)
+    records = relevance.annotated_metrics(judged, gains).join(d.queries(spark, sf).select("qid", "query_key"), "qid").withColumn("kind", F.lit("annotated"))
+    return relevance.split_means(relevance.assigned(records, _split(spark, sf)), ["ndcg_10", "precision_10"])
+
+
+# Runs
+
+
+def _run(rows: DataFrame) -> DataFrame:
+    return rows.where("rank <= 10").select(F.col("qid").alias("query_key"), "id", "rank")
+
+
+@query("SELECT query_key, id, CASE WHEN a.rank IS NULL THEN 'gained' WHEN b.rank IS NULL THEN 'lost' ELSE 'moved' END AS change, coalesce(a.rank, 0) AS rank_before, coalesce(b.rank, 0) AS rank_after FROM chunks_before a FULL JOIN chunks_after b USING (query_key, id) WHERE a.rank IS DISTINCT FROM b.rank", "chunks_before", "chunks_after")
+def ranking_diff(spark, sf):
+    arms = d.arms(spark, sf)
+    return runs.ranking_diff(_run(arms["all"]), _run(fusion.fuse(fusion.united(arms), 5))).fillna(0, ["rank_before", "rank_after"])
+
+
+_ARM_MRR = "SELECT qid AS query_key, coalesce(1.0::DOUBLE / min(rank) FILTER (gain > 0 AND rank <= 10), 0) AS mrr FROM {} r LEFT JOIN pool p USING (qid, id) GROUP BY qid"
+_DELTAS = f"SELECT query_key, round(a.mrr, 6) AS before, round(b.mrr, 6) AS after, round(b.mrr - a.mrr, 6) AS delta FROM ({_ARM_MRR.format('arm_all')}) a JOIN ({_ARM_MRR.format('fused')}) b USING (query_key)"
+
+
+def _mrr(rows, by_id, gains):
+    joined = rows.join(by_id, ["qid", "id"], "left").join(gains, ["qid", "chunk_key"], "left")
+    first = F.min(F.when((F.col("gain") > 0) & (F.col("rank") <= 10), F.col("rank")))
+    return joined.groupBy(F.col("qid").alias("query_key")).agg(F.coalesce(1 / first, F.lit(0.0)).alias("mrr")).withColumn("seq", F.lit(0))
+
+
+def _changes(spark, sf):
+    results, gains, by_id = d.pooled_gains(spark, sf)
+    before = results.where("arm = 'all'").select("qid", "id", "rank")
+    return runs.deltas(_mrr(before, by_id, gains), _mrr(fusion.fuse(results, 5), by_id, gains), "mrr")
+
+
+@query(_DELTAS, "arm_all", "fused", "pool")
+def run_deltas(spark, sf):
+    return _changes(spark, sf).withColumns({"before": F.round("before", 6), "after": F.round("after", 6)})
+
+
+@query(f"SELECT round(coalesce(avg(delta), 0), 6) AS mean_delta, count(*) FILTER (abs(delta) > 1e-9) AS changed, count(*) AS compared FROM ({_DELTAS})", "arm_all", "fused", "pool")
+def run_delta_summary(spark, sf):
+    return runs.delta_summary(_changes(spark, sf))
+
+
+@query("SELECT qid, array_to_string(list_concat(coalesce(list(CAST(rank AS VARCHAR) ORDER BY rank) FILTER (rank IS NOT NULL), []), CASE WHEN count(*) FILTER (rank IS NULL) > 0 THEN ['miss(' || CAST(count(*) FILTER (rank IS NULL) AS VARCHAR) || ')'] ELSE [] END), ',') AS positions, count(*) FILTER (rank IS NULL) AS missed FROM (SELECT qid, CASE WHEN rank <= 10 THEN rank END AS rank FROM judged WHERE gain > 0) GROUP BY qid", "judged")
+def positions_text(spark, sf):
+    judged, gains, by_id = _judged(spark, sf)
+    return runs.positions_text(relevance.positives_with_rank(judged.where("rank <= 10"), gains, by_id))
+
+
+@query("SELECT qid, arm, count(*) AS n FROM (SELECT qid, CASE a WHEN 0 THEN 'fts' ELSE 'all' END AS arm FROM fused, (VALUES (0), (1)) v(a) WHERE rank <= 10 AND CASE a WHEN 0 THEN fts_rank ELSE all_rank END IS NOT NULL) GROUP BY qid, arm", "fused")
+def arm_contributions(spark, sf):
+    return runs.arm_contributions(fusion.fuse(fusion.united(d.arms(spark, sf)), 5).where("rank <= 10"))
+
+
+@query("SELECT p.qid, p.source FROM passages p WHERE NOT EXISTS (SELECT 1 FROM arm_all a JOIN notes n USING (id) WHERE a.qid = p.qid AND n.source = p.source AND a.rank <= 1)", "passages", "arm_all")
+def generated_misses(spark, sf):
+    results = d.arms(spark, sf)["all"].join(d.notes(spark, sf).select("id", "source"), "id")
+    missed = relevance.file_metrics(results, d.passages(spark, sf), k=1).where("file_recall = 0").select("qid")
+    return d.passages(spark, sf).join(missed, "qid").select("qid", "source")
+
+
+@query("SELECT split AS run_id, 'all' AS split, 'annotated' AS kind, n AS num_queries, CASE WHEN n > 0 AND v IS NOT NULL THEN format('{:.3f}', v) ELSE '-' END AS ndcg_10 FROM (SELECT 'fused' AS split, count(*) AS n, avg(ndcg_10) AS v FROM metrics UNION ALL SELECT 'none', 0, NULL)", "metrics")
+def compare_runs(spark, sf):
+    judged, gains, _ = _judged(spark, sf)
+    one = relevance.annotated_metrics(judged, gains).agg(F.count(F.lit(1)).alias("num_queries"), F.avg("ndcg_10").alias("ndcg_10"))
+    rows = one.withColumn("run_id", F.lit("fused")).unionByName(spark.sql("SELECT 0L AS num_queries, CAST(NULL AS DOUBLE) AS ndcg_10, 'none' AS run_id"))
+    return runs.compare_table(rows.withColumns({"split": F.lit("all"), "kind": F.lit("annotated")}), ["ndcg_10"])
+
+
+@query("SELECT qid, arm AS retriever, count(*) AS returned, count(p.chunk_key) AS matched, 0::BIGINT AS missing FROM united u LEFT JOIN pool p USING (qid, id) WHERE rank <= 10 GROUP BY qid, arm", "united", "pool")
+def selftest_join_back(spark, sf):
+    results, _, by_id = d.pooled_gains(spark, sf)
+    pooled = results.select("qid", F.col("arm").alias("retriever"), "id", "rank")
+    sources = pooled.join(by_id, ["qid", "id"]).select("qid", "retriever", F.col("id").alias("chunk_id"), "rank")
+    return runs.selftest(sources, pooled, by_id)
+
+
+# Pool, judgments, queue, keyed tables
+
+_KEY = r"substr(sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 16)"
+
+
+@query(f"SELECT qid AS query_key, chunk_key, min(rank) AS best_rank, count(*) AS n_sources, string_agg(arm || ':' || CAST(rank AS VARCHAR), ',' ORDER BY ordinal, rank) AS sources FROM (SELECT u.*, {_KEY} AS chunk_key FROM united u JOIN notes USING (id) WHERE rank <= 10) GROUP BY qid, chunk_key", "united", "notes")
+def pool_results(spark, sf):
+    rows = fusion.united(d.arms(spark, sf)).where("rank <= 10").join(d.notes(spark, sf).select("id", "text"), "id")
+    shaped = rows.select(F.col("qid").alias("query_key"), F.col("arm").alias("retriever"), "ordinal", F.col("id").cast("string").alias("chunk_id"), "text", "rank", "score")
+    pooled = pooling.pool(shaped)
+    listed = F.transform("sources", lambda s: F.concat(s["retriever"], F.lit(":"), s["rank"].cast("string")))
+    return pooled.select("query_key", "chunk_key", "best_rank", F.size("sources").cast("long").alias("n_sources"), F.array_join(listed, ",").alias("sources"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS chunk_id, CASE WHEN page_id % 4 <> 1 THEN url END AS text, CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS DOUBLE) / 4 END AS score, CASE WHEN page_id % 4 = 2 THEN 'meta' ELSE url END AS source FROM pages")
+def foreign_rows(spark, sf):
+    pages = d.table(spark, sf, "pages")
+    text = F.when(F.col("page_id") % 4 == 1, F.format_string('"content": %d', "page_id")).otherwise(F.concat(F.lit('"chunk": '), F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2)))
+    score = F.when(F.col("page_id") % 3 == 0, F.format_string('"similarity": %.2f', F.col("page_id") / 4)).otherwise(F.lit('"score": "high"'))
+    meta = F.when(F.col("page_id") % 4 == 2, F.lit('"doc_metadata": {"source": "meta"}')).otherwise(F.lit('"metadata": 3'))
+    own = F.concat(F.lit('"source": '), F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2))
+    row = F.concat(F.lit("{"), F.concat_ws(", ", F.format_string('"doc_id": %d', "page_id"), text, score, meta, own), F.lit("}"))
+    out = pooling.normalise_rows(pages.select(row.alias("row")))
+    return out.select("chunk_id", "text", "score", out.metadata["source"].alias("source"))
+
+
+@query(f"SELECT doc_id, quality AS score, CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '{NOW}' - INTERVAL 1 DAY ELSE TIMESTAMP '{NOW}' END AS created_at, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{NOW}' - INTERVAL 1 DAY END AS updated_at FROM labels WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def judgment_upsert(spark, sf):
+    now = F.lit(NOW).cast("timestamp_ntz")
+    rows = d.table(spark, sf, "labels").select("doc_id", F.lit("q").alias("query_key"), F.col("doc_id").cast("string").alias("chunk_key"), F.col("quality").alias("score"), F.lit("").alias("text"))
+    old = rows.where("doc_id % 3 = 0").withColumns({"created_at": now - F.expr("INTERVAL 1 DAY"), "updated_at": now - F.expr("INTERVAL 1 DAY")})
+    merged = pooling.upsert_judgments(old.drop("doc_id"), pooling.checked_grades(rows.where("doc_id % 2 = 0").drop("doc_id")), now)
+    return merged.select(F.col("chunk_key").cast("long").alias("doc_id"), "score", "created_at", "updated_at")
+
+
+@query("SELECT qid AS query_key, CAST(id AS VARCHAR) AS chunk_id, min(rank) AS best_rank, string_agg(arm, ',' ORDER BY CASE arm WHEN 'all' THEN 0 ELSE 1 END) AS runs FROM united u WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM judgments j WHERE j.id = u.id) GROUP BY qid, id", "united", "judgments")
+def unjudged_queue(spark, sf):
+    now = F.lit(NOW).cast("timestamp")
+    judged = d.judgments(spark, sf).select("chunk_key")
+    asked = d.queries(spark, sf).select(F.col("qid").alias("query_key"))
+    found = fusion.united(d.arms(spark, sf)).where("rank <= 10").select("arm", F.col("qid").alias("query_key"), F.col("id").cast("string").alias("chunk_id"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("chunk_key"), "rank")
+    known = found.select("query_key", "chunk_key").distinct().join(judged, "chunk_key").select("query_key", "chunk_key")
+    queue = spark.createDataFrame([], "query_key long, chunk_id string, chunk_key string, best_rank int, runs array<string>, first_seen_at timestamp")
+    for arm in ("all", "fts"):
+        queue = pooling.merge_queue(queue, found.where(F.col("arm") == arm).drop("arm"), known, arm, now)
+    return queue.join(asked, "query_key", "left_semi").select("query_key", "chunk_id", "best_rank", F.array_join("runs", ",").alias("runs"))
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM notes WHERE id % 3 <> 0 OR id % 2 = 0", "notes")
+def keyed_upsert(spark, sf):
+    rows = d.notes(spark, sf).select("id")
+    return keyed.upsert(rows.where("id % 3 <> 0").withColumn("version", F.lit("old")), rows.where("id % 2 = 0").withColumn("version", F.lit("new")))
+
+
+@query("SELECT folder AS source, count(*) AS n, CAST(sum(CASE WHEN folder IN (SELECT folder FROM new) THEN 1 ELSE 0 END) AS BIGINT) AS fresh FROM notes WHERE folder NOT IN (SELECT folder FROM new) OR id % 2 = 0 GROUP BY folder", "new")
+def replace_by_source(spark, sf):
+    rows = d.notes(spark, sf).select("id", F.col("folder").alias("source"))
+    new = rows.where("source IN ('src0', 'src1') AND id % 2 = 0").withColumn("fresh", F.lit(1))
+    out = keyed.replace_sources(rows.withColumn("fresh", F.lit(0)), new)
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("fresh").alias("fresh"))
+
+
+@query("SELECT id, source FROM notes WHERE id NOT IN (SELECT doc_id FROM labels) ORDER BY source, id LIMIT 25", "notes")
+def skip_existing(spark, sf):
+    done = d.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return keyed.first_rows(keyed.not_stored(d.notes(spark, sf).select("id", "source"), done), 25, "source", "id")
+
+
+# Files
+
+
+@query("SELECT source, 'title' AS mode FROM (SELECT source FROM notes WHERE regexp_matches(title, '[Tt]he') ORDER BY source LIMIT 50) UNION ALL SELECT source, 'content' FROM (SELECT source FROM notes WHERE regexp_matches(text, '[Tt]he') AND NOT regexp_matches(title, '[Tt]he') ORDER BY source LIMIT 50)", "notes")
+def grep_notes(spark, sf):
+    return files.grep(d.notes(spark, sf), "[Tt]he")
+
+
+@query("SELECT DISTINCT split_part(source, '/', 1) AS name FROM notes", "notes")
+def dir_listing(spark, sf):
+    return files.listing(d.notes(spark, sf))
+
+
+@query("SELECT split_part(source, '/', 2) AS name FROM notes WHERE folder = 'src3'", "notes")
+def dir_listing_folder(spark, sf):
+    return files.listing(d.notes(spark, sf), "src3")
+
+
+# Conversations and events
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'instruction' ELSE 'message' END AS part, role, CASE WHEN role = 'tool' THEN 'tool_call_response' ELSE 'text' END AS type, text AS content FROM conversations WHERE role IN ('system', 'tool') OR length(text) > 0")
+def history_split(spark, sf):
+    return chat.split_instructions(d.table(spark, sf, "conversations"))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 5 OR role = 'system'")
+def history_last5(spark, sf):
+    return chat.compact_history(d.table(spark, sf, "conversations")).select("conv_id", "turn", "role")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN '[removed]' ELSE text END AS content FROM conversations")
+def history_stub(spark, sf):
+    rows = d.table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"))
+    pruned = chat.prune_history(rows.withColumns({"summarised": F.lit(True), "ok": F.col("turn") % 4 == 1}), F.lit("[removed]"))
+    return pruned.select("conv_id", "turn", "content")
+
+
+@query("SELECT conv_id, coalesce(string_agg(text, '' ORDER BY seq) FILTER (type = 'text' AND (last IS NULL OR seq > last)), '') AS reply FROM (SELECT *, max(seq) FILTER (type = 'tool_call') OVER (PARTITION BY conv_id) AS last FROM chat) GROUP BY conv_id", "chat")
+def final_reply(spark, sf):
+    return chat.final_reply(d.events(spark, sf))
+
+
+@query("SELECT user_id AS turn_id, nullif(coalesce(string_agg(event_type, '' ORDER BY event_id) FILTER (event_id % 2 = 0), ''), '') AS content, arg_max(CASE WHEN event_id % 10 = 0 THEN 'stop' ELSE 'length' END, event_id) AS finish_reason, coalesce(string_agg(event_type, '' ORDER BY event_id) FILTER (event_id % 2 = 1), '') AS arguments FROM events GROUP BY user_id")
+def fold_chunks(spark, sf):
+    e = d.table(spark, sf, "events")
+    odd, no = F.col("event_id") % 2 == 1, F.lit(None).cast("string")
+    chunks = e.select(
+        F.col("user_id").alias("turn_id"), F.col("event_id").alias("seq"), F.when(~odd, F.col("event_type")).alias("content"), no.alias("reasoning"),
+        F.when(odd, 0).alias("call_index"), F.when(odd, "c").alias("call_id"), F.when(odd, "f").alias("call_name"), F.when(odd, F.col("event_type")).alias("call_arguments"),
+        F.when(F.col("event_id") % 10 == 0, "stop").otherwise("length").alias("finish_reason"), no.alias("error"),
+    )
+    folded = chat.fold_chunks(chunks)
+    return folded.select("turn_id", "content", "finish_reason", F.coalesce(folded.tool_calls[0]["arguments"], F.lit("")).alias("arguments"))
+
+
+@query("SELECT conv_id, CAST(block AS BIGINT) AS block, min(type) AS kind, coalesce(string_agg(text, '' ORDER BY seq), '') AS text, min(name) AS name FROM (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY seq) AS block FROM (SELECT *, CASE WHEN type = 'tool_call' OR lag(type) OVER (PARTITION BY conv_id ORDER BY seq) IS DISTINCT FROM type THEN 1 ELSE 0 END AS starts FROM chat)) GROUP BY conv_id, block", "chat")
+def message_blocks(spark, sf):
+    return chat.message_blocks(d.events(spark, sf))
+
+
+@query("SELECT conv_id, seq, 'data: {\"type\":\"text\",\"text\":\"' || text || '\"}' || chr(10) || chr(10) AS frame FROM chat WHERE type = 'text' UNION ALL SELECT conv_id, max(seq) + 1, 'data: {\"type\":\"done\"}' || chr(10) || chr(10) FROM chat WHERE type = 'text' GROUP BY conv_id", "chat")
+def sse_frames(spark, sf):
+    return chat.reply_frames(d.events(spark, sf).where("type = 'text'"))
+
+
+@query("SELECT event_id, event_type || chr(10) || 'x' AS payload, 'data: tail' AS rest FROM events")
+def sse_parse(spark, sf):
+    buffer = F.concat(F.lit(": note\n\ndata: "), F.col("event_type"), F.lit("\nid: 1\ndata:x\n\ndata: tail"))
+    payloads, rest = chat.parse_frames(F.col("buffer"))
+    rows = d.table(spark, sf, "events").select("event_id", buffer.alias("buffer"))
+    return rows.select("event_id", F.explode(payloads).alias("payload"), rest.alias("rest"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Searching notes for “' || event_type || '”' WHEN event_id % 3 = 1 THEN 'Reading a note' ELSE 'Using send mail: ' || event_type END AS line FROM events")
+def describe_call(spark, sf):
+    e = d.table(spark, sf, "events")
+    name = F.when(F.col("event_id") % 3 == 0, "search_notes").when(F.col("event_id") % 3 == 1, "read_file").otherwise("send_mail")
+    arguments = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("other"), F.lit("z"), F.lit("query"), F.col("event_type"))).when(F.col("event_id") % 3 == 1, F.create_map(F.lit("path"), F.lit(""))).otherwise(F.create_map(F.lit("to"), F.col("event_type")))
+    return e.select("event_id", chat.describe_call(name, arguments).alias("line"))
+
+
+@query("SELECT f.qid, f.rank, f.id AS chunk_id, n.source, n.title, f.score, coalesce(p.gain, -1) AS gain, p.gain IS NOT NULL AS judged, substr(n.text, 1, 240) AS snippet FROM fused f JOIN notes n USING (id) LEFT JOIN pool p ON p.qid = f.qid AND p.id = f.id WHERE rank <= 10", "fused", "pool", "notes")
+def result_view(spark, sf):
+    results, gains, by_id = d.pooled_gains(spark, sf)
+    fused = fusion.fuse(results, 5).where("rank <= 10").drop("arms")
+    graded = fused.join(by_id, ["qid", "id"], "left").join(gains, ["qid", "chunk_key"], "left")
+    rows = graded.join(d.notes(spark, sf), "id")  # text is fetched for the final rows only
+    return rows.select("qid", "rank", F.col("id").alias("chunk_id"), "source", "title", "score", F.coalesce("gain", F.lit(-1)).alias("gain"), F.col("gain").isNotNull().alias("judged"), F.substring("text", 1, 240).alias("snippet"))
+
+
+@query("SELECT qid, rank, CAST(rank AS VARCHAR) || '. ' || source || ' (' || title || ')' AS line FROM arm_fts JOIN notes USING (id) WHERE rank <= 10", "arm_fts", "notes")
+def search_report(spark, sf):
+    rows = d.index(spark, sf).search(d.queries(spark, sf), 10).join(d.notes(spark, sf).select("id", "source", "title"), "id")
+    return rows.select("qid", "rank", F.format_string("%d. %s (%s)", "rank", "source", "title").alias("line"))
+
+
+@query("SELECT query_key, ndcg_10 FROM (SELECT qid AS query_key, ndcg_10 FROM metrics ORDER BY ndcg_10, qid LIMIT 10)", "metrics")
+def worst_queries(spark, sf):
+    judged, gains, _ = _judged(spark, sf)
+    return runs.worst(relevance.annotated_metrics(judged, gains).select(F.col("qid").alias("query_key"), "ndcg_10"), "ndcg_10", 10)
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "Window"]
