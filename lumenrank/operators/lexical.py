@@ -42,7 +42,8 @@ def kept_terms(terms: DataFrame, df: DataFrame, n_docs: DataFrame | int, max_df:
     trigger it. The cut acts on query terms, before any posting is read.
     """
     asked = terms.select("term").distinct()
-    found = terms.join(df.join(asked, "term", "left_semi"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    known = df.join(asked, "term", "left_semi")
+    found = terms.join(known, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     if isinstance(n_docs, int):
         found = found.withColumn("docs", F.lit(n_docs))
     else:
@@ -68,22 +69,27 @@ def ranked(scores: DataFrame, depth: int) -> DataFrame:
 
 
 def lexical_search(queries: DataFrame, postings: DataFrame, n_docs: DataFrame | int, depth: int = 10, max_df: float = MAX_DF, analyzer: str = "simple", df: DataFrame | None = None) -> DataFrame:
-    """The best ``depth`` documents for each query (qid, query)."""
-    frequency = document_frequency(postings) if df is None else df
-    kept = kept_terms(query_terms(queries, analyzer), frequency, n_docs, max_df)
-    return ranked(lexical_scores(kept, postings), depth)
+    """The best ``depth`` documents for each query (qid, query).
+
+    Postings are cut to the asked terms first. Over stored postings that is a filter on the
+    scan; over postings still to be built, Catalyst moves the semi-join below their
+    aggregate, so only asked terms are shuffled. Frequencies come from the same rows.
+    """
+    terms = query_terms(queries, analyzer)
+    asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    kept = kept_terms(terms, document_frequency(asked) if df is None else df, n_docs, max_df)
+    return ranked(lexical_scores(kept, asked), depth)
 
 
 class LexicalIndex:
-    """Postings and frequencies of one corpus; build once, search often."""
+    """Postings of one corpus, and stored frequencies where there are any; build once, search often."""
 
-    def __init__(self, postings: DataFrame, df: DataFrame, n_docs: DataFrame | int, analyzer: str = "simple"):
+    def __init__(self, postings: DataFrame, df: DataFrame | None, n_docs: DataFrame | int, analyzer: str = "simple"):
         self.postings, self.df, self.n_docs, self.analyzer = postings, df, n_docs, analyzer
 
     @classmethod
     def build(cls, docs: DataFrame, analyzer: str = "simple") -> LexicalIndex:
-        postings = build_postings(docs, analyzer)
-        return cls(postings, document_frequency(postings), docs.agg(F.count(F.lit(1)).alias("docs")), analyzer)
+        return cls(build_postings(docs, analyzer), None, docs.agg(F.count(F.lit(1)).alias("docs")), analyzer)
 
     def search(self, queries: DataFrame, depth: int = 10, max_df: float = MAX_DF) -> DataFrame:
         return lexical_search(queries, self.postings, self.n_docs, depth, max_df, self.analyzer, self.df)
@@ -93,5 +99,5 @@ class LexicalIndex:
 
     def save(self, path: str) -> None:
         """Postings and frequencies clustered by term, so that a term filter skips row groups."""
-        for name, table in (("postings", self.postings), ("df", self.df)):
+        for name, table in (("postings", self.postings), ("df", document_frequency(self.postings))):
             table.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/{name}")

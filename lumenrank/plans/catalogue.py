@@ -151,7 +151,7 @@ def document_frequency(spark, sf):
 @query("SELECT qid, term, times, df, round(idf, 6) AS idf FROM kept_fts", "kept_fts")
 def max_df_cut(spark, sf):
     own = d.index(spark, sf)
-    kept = lexical.kept_terms(lexical.query_terms(d.queries(spark, sf)), own.df, own.n_docs)
+    kept = lexical.kept_terms(lexical.query_terms(d.queries(spark, sf)), lexical.document_frequency(own.postings), own.n_docs)
     return kept.withColumn("idf", F.round("idf", 6))
 
 
