@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenrank.functions.vectors import cosine
 from lumenrank.operators.lexical import DIGITS, ranked
@@ -35,6 +37,7 @@ def dense_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_
     spark = index.sparkSession
     types = [queries.schema["qid"], index.schema["id"], T.StructField("score", T.DoubleType())]
     rows = queries.select("qid", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    qid_type = to_arrow_type(queries.schema["qid"].dataType)
     out, iterator = None, rows.toLocalIterator()
     while part := [r for _, r in zip(range(block), iterator)]:
         size = len(part[0]["vector"])
@@ -46,7 +49,7 @@ def dense_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_
             qids, unit = shared.value
             for batch in batches:
                 column = batch.column("vector")
-                good = np.flatnonzero(np.array([x is not None and len(x) == size for x in column]))
+                good = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy() == size)
                 if not len(good):
                     continue
                 ids = batch.column("id").take(pa.array(good))
@@ -63,7 +66,7 @@ def dense_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_
                             left.append(qid)
                             right.append(names[i])
                             value.append(float(scores[i, j]))
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.field("q", batch.column("id").type).type if not left else None), pa.array(right, ids.type), pa.array(value, pa.float64())], ["qid", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(left, qid_type), pa.array(right, ids.type), pa.array(value, pa.float64())], ["qid", "id", "score"])
 
         best = index.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, T.StructType(types))
         out = best if out is None else out.unionByName(best)
