@@ -63,9 +63,21 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch between Spark and Python, at most: texts are long, so the usual 10,000 would hold much memory on both sides.
+BATCH_ROWS = 1_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches cut to ``BATCH_ROWS``; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so other columns can't clash; null text is empty."""
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return bounded(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def crc32_mod(id_col: Column, n: int) -> Column:
@@ -85,3 +97,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             held += size or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks

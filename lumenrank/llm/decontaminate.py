@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenrank.llm.common import ASCII_LOWER, slices
+from lumenrank.llm.common import ASCII_LOWER, bounded, slices
 from lumenrank.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -169,7 +169,7 @@ def decontaminate(
     own = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     for b in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         found = _pass(found, [(r[0], r[1]) for r in part.toLocalIterator()], window)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenrank.llm.common import crc32_mod, slices
+from lumenrank.llm.common import bounded, crc32_mod, slices
 
 #: N-grams in a profile, and the greatest penalty of one.
 PROFILE = 400
@@ -140,7 +140,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", most: int = PROFILE) -> Profi
             code = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n[code])], ["lang", "code", "n"])
 
-    rows = docs.where(F.col("text").isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), "text")
+    rows = bounded(docs).where(F.col("text").isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), "text")
     counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("lang", "code", "rank")
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
                 ["doc_id", "lang_pred", "score"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
