@@ -271,10 +271,10 @@ def fit(patterns: list[tuple[tuple[int, ...], int, int]], chain: dict[tuple[int,
             table[b, a] += c
         joint = table / table.sum()
         own = joint.sum(axis=1)
-        return np.clip(np.log(joint / np.outer(own, own)), -4, 4)
+        return np.clip(np.log(joint / np.outer(own, own)), -6, 6)
 
     flat = np.ones((LABELS, LABELS))
-    return Field(weights, potential(chain, 20 * flat), potential(skip, flat + 100 * np.eye(LABELS)))
+    return Field(weights, potential(chain, 20 * flat), potential(skip, flat + 1000 * np.eye(LABELS)))
 
 
 def learn(docs: DataFrame) -> Field:
