@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -85,6 +86,14 @@ def crc32_mod(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU libc has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``most`` bytes of ``column`` (one row at least)."""
     for batch in batches:
@@ -97,4 +106,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             held += size or 0
         if start < batch.num_rows:
             yield batch.slice(start)
-    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+    _give_back()

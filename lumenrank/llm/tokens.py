@@ -15,7 +15,7 @@ from functools import lru_cache
 
 #: A space before more white space, or at the end: chunks there are not independent.
 _UNSAFE = re.compile(r" (?=\s|$)")
-_MEMO_ENTRIES = 120_000
+_MEMO_ENTRIES = 60_000
 _MEMO_CHARS = 48
 
 
