@@ -6,16 +6,16 @@ count / (total + distinct); otherwise the model escapes with distinct / (total +
 to the next shorter context, where symbols of the longer one are excluded, and at last
 to a uniform choice among the bytes never seen. A text is framed by an end symbol.
 
-Pretrained scoring: the code length of every (context, symbol) is worked out once, so a
-document is scored by table look-ups. Adaptive scoring (``adaptive_log10``) starts from an
-empty trie and learns the text as it goes.
+Pretrained scoring: the code length of every gram of any text is worked out once, as a
+table, so a document is scored by table look-ups. Adaptive scoring (``adaptive_log10``) starts
+from an empty trie and learns the text as it goes.
 
 The base score is a smoothed unigram model of words with its counts over all training
 documents. Frequent words, at most ``HEAD``, are broadcast; the others are joined.
 
-Scale: each task combines its counts before the shuffle; the count table stays
-distributed. What reaches the driver is bounded by ``HEAD`` words and ``GRAMS`` grams, and a
-trie pruned to that many grams only falls back to shorter contexts more often.
+Scale: each task combines its counts before the shuffle; the tables of counts and code lengths
+stay distributed and keep every gram. What reaches the driver at a time is bounded by ``HEAD``
+words and ``GRAMS`` code lengths: more grams than that are looked up in several passes over the texts.
 """
 
 from __future__ import annotations
@@ -23,20 +23,28 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenrank.llm.common import ASCII_LOWER, crc32_mod, id_and_text, materialize, slices
 
 ORDER = 4
-#: Words whose counts are broadcast, and grams in the trie, at most.
+#: Words whose counts are broadcast, at most, and grams that are looked up in a pass, about.
 HEAD = 100_000
-GRAMS = 500_000
+GRAMS = 4_000_000
+#: Code lengths are kept to one part in so many; with it, the longest has so many bits beside a gram's 40.
+UNIT = 1 << 18
+VALUE_BITS = 24
+LONGEST = (1 << VALUE_BITS) - 1
+EMPTY = np.uint64(2**64 - 1)
+#: Grams looked up at once, so that the arrays stay in the processor's cache.
+LOOKED_UP = 1 << 15
 #: Frames a text; no UTF-8 text has this byte.
 FRAME = 0xFF
 SMOOTH = 0.1
@@ -82,7 +90,10 @@ def _count(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(word, gram, n) of all texts: a row has either a word (the end token is one space) or a gram's code."""
+    """(word, gram, n) of all texts: a row has either a word (the end token is one space) or a gram's code.
+
+    Only texts that aren't ``held_out`` count; grams that no other text has are rows of 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(n, keys: list[bytes] | None = None, codes: np.ndarray | None = None) -> pa.RecordBatch:
@@ -93,15 +104,21 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
         seen: Counter[bytes] = Counter()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in slices(batches, "text", BATCH_BYTES):
-            texts = batch.column("text").to_pylist()
-            for text in texts:
+            taught: tuple[list[str], list[str]] = ([], [])
+            for text, out_of_it in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
+                taught[not out_of_it].append(text)
+            for text in taught[1]:
                 seen.update(words(text))
-            seen[END] += len(texts)
+            if taught[1]:
+                seen[END] += len(taught[1])
             if len(seen) > 250_000:
                 yield out(list(seen.values()), keys=list(seen))
                 seen.clear()
-            held.append(_count(_grams(*framed(texts))))
-            if len(held) == 8:
+            for counts, texts in enumerate(taught):
+                if texts:
+                    codes, n = _count(_grams(*framed(texts)))
+                    held.append((codes, n * counts))
+            if len(held) >= 8:
                 held = [_count(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]))]
         if seen:
             yield out(list(seen.values()), keys=list(seen))
@@ -110,111 +127,98 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             for i in range(0, len(codes), 100_000):
                 yield out(n[i : i + 100_000], codes=codes[i : i + 100_000])
 
-    return docs.select("text").mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
+    return docs.select("text", "held_out").mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
-def _coded(count: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Probabilities of a context: its counts, or an escape and ``after``; an empty context escapes for free."""
-    total, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-    whole = np.where(total > 0, total + kinds, 1)
-    return np.where(count > 0, count / whole, np.where(total > 0, kinds / whole, 1.0) * after)
 
+def code_lengths(counts: DataFrame) -> DataFrame:
+    """(gram, value) of every gram of a count table: minus its log10 probability, in units of 1 / UNIT.
 
-class Trie:
-    """Contexts up to ORDER with the code length of every next symbol.
-
-    Symbols are numbered by the alphabet of the training texts; number 0 is any one byte
-    that they lack. ``rows[r, s]`` is minus the log10 probability of symbol s in the context of
-    row r, in units of 1 / UNIT; ``near`` and ``far`` lead from a context's symbols to its longest
-    known row. It is built from the empty context up, some contexts at a time.
+    Worked out from the empty context up. A gram that a context lacks has the escape's share of
+    what is left in the next shorter one, without the symbols of the longer one: as those
+    were all seen there too, sums over the shorter context and over its symbols that the
+    longer one has are enough.
     """
 
-    #: Code lengths are kept to one part in so many; the longest that fits is 16.
-    UNIT = 4096
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        seen, predicted = np.zeros(256, bool), np.zeros(256, bool)
-        for i in range(ORDER + 1):
-            seen[(codes >> (8 * i)) & 0xFF] = True
-        predicted[codes & 0xFF] = True
-        seen[FRAME] = True
-        self.symbol = np.where(seen, np.cumsum(seen), 0).astype(np.int64)
-        size = self.size = int(seen.sum()) + 1
-        dense = np.zeros(len(codes), np.int64)
-        for i in range(ORDER, -1, -1):
-            dense = dense * size + self.symbol[(codes >> (8 * i)) & 0xFF]
-        # What an escape from the context below leads to: its counts, and the rest of the chain.
-        lower_count = np.zeros((1, size), np.float32)
-        rest = np.full((1, size), 1.0 / (256 - int(predicted.sum())), np.float32)
-        known: list[np.ndarray] = []
-        rows: list[np.ndarray] = []
-        for order in range(ORDER + 1):
-            gram, n = _count(dense % size ** (order + 1), counts)
-            context = gram // size
-            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(gram) else np.zeros(0, np.int64)
-            own = context[first] if order else np.zeros(1, np.int64)
-            limit = np.append(first, len(gram)) if len(first) else np.zeros(2, np.int64)
-            below = np.searchsorted(known[-1], own % size ** (order - 1)) if order > 1 else np.zeros(len(own), np.int64)
-            out = np.empty((len(own), size), np.uint16)
-            last = order == ORDER
-            count_all, rest_all = (None, None) if last else (np.zeros((len(own), size), np.float32), np.empty((len(own), size), np.float32))
-            for at in range(0, len(own), 2048):
-                part = slice(at, min(at + 2048, len(own)))
-                lo, hi = limit[part.start], limit[part.stop]
-                count = np.zeros((part.stop - at, size))
-                count[np.searchsorted(own[part], context[lo:hi]), gram[lo:hi] % size] = n[lo:hi]
-                if order:
-                    lower = np.where(count > 0, 0, lower_count[below[part]]).astype(float)
-                    after = _coded(lower, rest[below[part]])
-                else:
-                    after = rest.astype(float)
-                out[part] = np.minimum(np.round(-np.log10(_coded(count, after)) * self.UNIT), 65535)
-                if not last:
-                    count_all[part], rest_all[part] = count, after
-            known.append(own)
-            rows.append(out)
-            lower_count, rest = count_all, rest_all
-        start = np.cumsum([0] + [len(r) for r in rows])
-        self.rows = np.concatenate(rows)
-        # Longest known context: by the three nearest symbols, then by the one before them.
-        best = np.zeros(1, np.int64)
-        for order in range(1, ORDER):
-            best = np.tile(best, size)  # the farther symbol varies slowest
-            best[known[order]] = start[order] + np.arange(len(known[order]))
-        self.near = best.astype(np.int32)
-        inner = known[ORDER - 1]
-        self.third = np.full(size ** (ORDER - 1), -1, np.int32)
-        self.third[inner] = np.arange(len(inner))
-        self.far = np.repeat(self.near[inner], size).reshape(len(inner), size)
-        farther = self.third[known[ORDER] % size ** (ORDER - 1)]
-        self.far[farther, known[ORDER] // size ** (ORDER - 1)] = start[ORDER] + np.arange(len(known[ORDER]))
+    def ratio(x: Column, y: Column) -> Column:
+        return x / F.greatest(y, F.lit(1)).cast("double")
+
+    grams = counts.where("gram IS NOT NULL").select("gram", "n")
+    lower = None
+    for order in range(ORDER + 1):
+        code = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+        own = (grams.select("gram", "n") if order == ORDER else grams.groupBy(code.alias("gram")).agg(F.sum("n").alias("n"))).withColumn("context", F.shiftright("gram", 8))
+        within = Window.partitionBy("context")
+        if lower is None:
+            own = own.withColumn("before", F.lit(0).cast("long")).withColumn("total0", F.lit(0).cast("long")).withColumn("kinds0", F.lit(0).cast("long")).withColumn("after0", F.lit(0.0))
+        else:
+            below = lower.select(F.col("gram").alias("low"), F.col("n").alias("before"), F.col("total").alias("total0"), F.col("kinds").alias("kinds0"), F.col("after").alias("after0"))
+            own = own.withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))).join(below, "low")
+        known = F.col("n") > 0
+        own = own.withColumn("total", F.sum("n").over(within)).withColumn("kinds", F.sum(known.cast("long")).over(within))
+        if lower is None:
+            after = ratio(F.lit(1.0), F.lit(256) - F.col("kinds"))
+        else:
+            own = own.withColumn("total0", F.col("total0") - F.sum(F.when(known, F.col("before")).otherwise(0)).over(within)).withColumn("kinds0", F.col("kinds0") - F.col("kinds"))
+            whole = F.col("total0") + F.col("kinds0")
+            after = F.when(F.col("before") > 0, ratio(F.col("before"), whole)).when(F.col("total0") > 0, ratio(F.col("kinds0"), whole) * F.col("after0")).otherwise(F.col("after0"))
+        lower = own.withColumn("after", after).select("gram", "n", "total", "kinds", "after")
+        if order < ORDER:
+            lower = materialize(lower, "ppm-order")
+    whole = F.col("total") + F.col("kinds")
+    coded = F.when(F.col("n") > 0, ratio(F.col("n"), whole)).when(F.col("total") > 0, ratio(F.col("kinds"), whole) * F.col("after")).otherwise(F.col("after"))
+    return lower.select("gram", F.least(F.round(-F.log10(coded) * UNIT), F.lit(LONGEST)).cast("long").alias("value"))
+
+
+class Table:
+    """Code lengths by gram: an open table of (gram << VALUE_BITS | value), at most half full."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(grams)).bit_length())
+        self.slots = np.full(1 << self.bits, EMPTY, np.uint64)
+        entries = grams.astype(np.uint64) << np.uint64(VALUE_BITS) | values.astype(np.uint64)
+        at = self._first(grams)
+        while len(entries):
+            free = np.flatnonzero(self.slots[at] == EMPTY)
+            self.slots[at[free]] = entries[free]
+            left = self.slots[at] != entries
+            entries, at = entries[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def _first(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        """The value of each gram, 0 for those of other passes."""
+        out = np.zeros(len(grams), np.int64)
+        left, at = np.arange(len(grams)), self._first(grams)
+        wanted = grams.astype(np.uint64)
+        while len(left):
+            slot = self.slots[at]
+            hit = (slot >> np.uint64(VALUE_BITS)) == wanted
+            out[left[hit]] = (slot[hit] & np.uint64(LONGEST)).astype(np.int64)
+            more = ~hit & (slot != EMPTY)
+            left, at, wanted = left[more], (at[more] + 1) & (len(self.slots) - 1), wanted[more]
+        return out
 
     def log10(self, texts: list[str]) -> np.ndarray:
-        """log10 probability of each text and its end."""
+        """log10 probability of each text and its end, as far as this table's grams go."""
         flat, ends = framed(texts)
-        s = self.symbol[flat].astype(np.int32)
-        n = len(s) - ORDER
-        near = np.zeros(n, np.int32)
-        for i in range(1, ORDER):
-            near = near * self.size + s[i : n + i]
-        inner, row = self.third[near], self.near[near]
-        deep = np.flatnonzero(inner >= 0)
-        row[deep] = self.far[inner[deep], s[:n][deep]]
-        value = self.rows[row, s[ORDER:]] * (-1.0 / self.UNIT)
+        codes = np.zeros(len(flat) - ORDER, np.int64)
+        for i in range(ORDER + 1):
+            codes = (codes << 8) | flat[i : len(flat) - ORDER + i]
         starts = np.concatenate(([0], ends[:-1]))
-        total = np.concatenate(([0.0], np.cumsum(value)))
-        return total[ends - ORDER] - total[starts]
+        for e in starts[1:]:
+            codes[e - ORDER : e] = codes[e]  # they cross into the next text's frame and are not summed
+        found = [self(codes[i : i + LOOKED_UP]) for i in range(0, len(codes), LOOKED_UP)]
+        total = np.concatenate(([0], np.cumsum(np.concatenate(found) if found else codes)))
+        return (total[ends - ORDER] - total[starts]) / -UNIT
 
 
-def trie_of(counts: DataFrame, most: int = GRAMS) -> Trie:
-    """The trie of a count table; beyond ``most`` grams the rarest are left out."""
-    grams = counts.where("gram IS NOT NULL")
-    total, least = grams.count(), 1
-    while total > most:
-        least *= 2
-        total = grams.where(F.col("n") >= least).count()
-    rows = grams.where(F.col("n") >= least).select("gram", "n").toArrow()
-    return Trie(rows.column("gram").to_numpy(), rows.column("n").to_numpy())
+def _tables(lengths: DataFrame, most: int) -> Iterator[Table]:
+    """The code lengths in as many tables as it takes for each to hold about ``most``."""
+    parts = max(1, -(-lengths.count() // most))
+    for part in range(parts):
+        rows = lengths.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part).toArrow()
+        yield Table(rows.column("gram").to_numpy(), rows.column("value").to_numpy())
 
 
 def adaptive_log10(text: str, order: int = ORDER) -> float:
@@ -241,6 +245,20 @@ def adaptive_log10(text: str, order: int = ORDER) -> float:
     return total
 
 
+def _partial(scored: DataFrame, table: Table) -> DataFrame:
+    """(row, score) of the texts under one more table."""
+    shared = scored.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BATCH_BYTES):
+            found = shared.value.log10(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.float64())], ["row", "score"])
+
+    out = materialize(scored.select("row", "text").mapInArrow(run, "row long, score double"), "ppm-part")
+    shared.unpersist()
+    return out
+
+
 def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), head: int = HEAD, grams: int = GRAMS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -252,7 +270,7 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), head: int = HEAD
     out = crc32_mod(F.col("doc_id"), held_out[0]) == held_out[1]
     docs = id_and_text(docs).withColumn("held_out", out)
     spark = docs.sparkSession
-    counts = materialize(corpus_counts(docs.where(~F.col("held_out"))), "ppm-counts")
+    counts = materialize(corpus_counts(docs), "ppm-counts")
     vocabulary = counts.where("word IS NOT NULL").select("word", "n")
     sums = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     distinct, total = sums["v"], sums["n"]
@@ -263,14 +281,19 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), head: int = HEAD
     frequent = vocabulary.where(F.col("n") >= least).toArrow()
     bottom = total + SMOOTH * (distinct + 1)
     known = {k: math.log10((n + SMOOTH) / bottom) for k, n in zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist())}
-    shared = spark.sparkContext.broadcast((known, trie_of(counts, grams)))
+    lengths = materialize(code_lengths(counts), "ppm-lengths")
+    several = lengths.count() > grams
+    tables = _tables(lengths, grams)
+    shared = spark.sparkContext.broadcast((known, next(tables)))
+
+    own_columns = ["doc_id", "held_out", *["text"] * several]  # later passes read the texts under their row numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_words, trie = shared.value
+        head_words, table = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text", BATCH_BYTES):
             texts = batch.column("text").to_pylist()
-            scores, rows, base, tokens, found, rare, times = trie.log10(texts), [], [], [], [], [], []
+            scores, rows, base, tokens, found, rare, times = table.log10(texts), [], [], [], [], [], []
             for text in texts:
                 own = words(text)
                 own.append(END)
@@ -285,15 +308,21 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), head: int = HEAD
                 row += 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("held_out"), pa.array(rows, pa.int64()), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()),
+                    *map(batch.column, own_columns), pa.array(rows, pa.int64()), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()),
                     pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare", "times"],
+                [*own_columns, "row", "n_tokens", "n_known", "base", "score", "rare", "times"],
             )
 
     names = {"row": T.LongType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "base": T.DoubleType(), "score": T.DoubleType(), "rare": T.ArrayType(T.BinaryType()), "times": T.ArrayType(T.LongType())}
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["held_out"], *(T.StructField(k, t) for k, t in names.items())])
+    schema = T.StructType([*(docs.schema[k] for k in own_columns), *(T.StructField(k, t) for k, t in names.items())])
     scored = materialize(docs.mapInArrow(run, schema), "ppm-scored")
+    shared.unpersist()
+    parts = [scored.select("row", "score")]
+    for table in tables:
+        parts.append(_partial(scored, table))
+    if several:
+        scored = scored.drop("text", "score").join(reduce(DataFrame.union, parts).groupBy("row").agg(F.sum("score").alias("score")), "row")
     tail = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("row", F.col("z.rare").alias("word"), F.col("z.times").alias("k"))
     joined = tail.join(vocabulary.where(F.col("n") < least), "word", "left")
     n = F.coalesce("n", F.lit(0))

@@ -157,6 +157,16 @@ def test_scores_equal_brute_force(documents, spark):
         assert r["score"] == pytest.approx(total, rel=1e-3, abs=1e-3)
 
 
+def test_scores_do_not_depend_on_the_grams_of_a_pass(documents):
+    docs = documents.select("doc_id", "text")
+    whole = {r["doc_id"]: r for r in ppm.score(docs).collect()}
+    passes = ppm.score(docs, grams=20_000).collect()
+    assert len(passes) == docs.count()
+    for r in passes:
+        assert r["score"] == pytest.approx(whole[r["doc_id"]]["score"], rel=1e-9)
+        assert (r["base_score"], r["n_known"]) == (whole[r["doc_id"]]["base_score"], whole[r["doc_id"]]["n_known"])
+
+
 def test_adaptive_scores_learn():
     assert ppm.adaptive_log10("") < 0
     assert ppm.adaptive_log10("abcabcabc" * 20) / 180 > ppm.adaptive_log10("abcabcabc") / 9
