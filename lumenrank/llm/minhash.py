@@ -16,7 +16,8 @@ Groups, without all pairs: texts with the same words are one vertex. A bucket (a
 value) links its members to one leader, small buckets all members to one another; links
 are verified on whole shingle sets. Buckets that then still hold several components are
 compared in blocks by their signatures, across components only, and what the signatures
-let through is verified too. So a large group of near copies costs a link for each member,
+let through is verified too: each member's two best of a block first, as they join most
+of what belongs together, then every pair that is still across. So a large group of near copies costs a link for each member,
 and a large bucket of texts that differ costs blocked signature comparisons, with no cap.
 """
 
@@ -235,8 +236,8 @@ def _leader_pairs(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]
     return pairs, full.where(F.col("n") > small).select("bucket", "v", "n")
 
 
-def _blocked_pairs(large: DataFrame, labels: DataFrame, signatures: DataFrame, block: int, floor: float, k: int) -> DataFrame:
-    """Pairs across components in large buckets whose signatures agree enough: for each member the two best of each block."""
+def _blocked_pairs(large: DataFrame, labels: DataFrame, signatures: DataFrame, block: int, floor: float, k: int, best: int | None) -> DataFrame:
+    """Pairs across components in large buckets whose signatures agree enough: all, or for each member the ``best`` of each block."""
     named = large.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
     part = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / block).cast("long"))
@@ -255,11 +256,12 @@ def _blocked_pairs(large: DataFrame, labels: DataFrame, signatures: DataFrame, b
                 for i, row in enumerate(grid[0]):
                     same = (grid[1] == row).sum(axis=1)
                     same[own[1] == own[0][i]] = 0
-                    for j in np.argsort(-same, kind="stable")[:2]:
-                        if same[j] >= floor * k:
+                    for j in np.flatnonzero(same >= floor * k) if best is None else np.argsort(-same, kind="stable")[:best]:
+                        if same[j] >= floor * k and (best or one[i]["v"] < two[j]["v"]):  # of all pairs, the other block has the rest
                             left.append(one[i]["v"])
                             right.append(two[j]["v"])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+                left, right = [], []
 
     others = blocks.select("bucket", F.col("part").alias("part2"), F.col("rows").alias("others"))
     pairs = blocks.join(others, "bucket").select("rows", "others").mapInArrow(compare, "a binary, b binary")
@@ -286,9 +288,13 @@ def near_duplicates(
     pairs = materialize(pairs, "pairs")
     signatures = vertices.select("v", "signature")
     links, done = None, []
-    for step in range(2):
+    for step, best in enumerate((None, 2, None)):
         if step:
-            pairs = materialize(_blocked_pairs(large, labels, signatures, block, SIGNATURE_FLOOR, bands * rows), "pairs")  # noqa: F821
+            if not done:
+                break  # no pair shares a bucket
+            blocked = _blocked_pairs(large, labels, signatures, block, SIGNATURE_FLOOR, bands * rows, best)  # noqa: F821
+            tried = blocked.join(pairs, ["a", "b"], "left_anti") if step == 2 else blocked
+            pairs = materialize(tried, "pairs")
         if pairs.isEmpty():
             break
         wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
@@ -297,9 +303,8 @@ def near_duplicates(
         discard(sets)
         done.append(found)
         links = found if links is None else links.union(found)
-        if step and found.isEmpty():
-            break
-        labels = components(links)
+        if not step or not found.isEmpty():
+            labels = components(links)
     if not done:
         labels = vertices.select("v", F.col("v").alias("label")).limit(0)
     named = sketched.select("doc_id", "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))

@@ -108,3 +108,11 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, x) for x in range(101, 140)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert all(got[i] == 0 for i in range(21)) and all(got[i] == 100 for i in range(100, 140))
+
+
+def test_near_pairs_in_a_family_of_similar_texts(spark):
+    """Texts of one template are at 0.77 to each other; each has one partner at 0.82, which many signatures outrank."""
+    template = [f"t{i}" for i in range(100)]
+    rows = [(2 * i + j, " ".join([f"o{i}x{j}y{k}" for k in range(11)] + [f"s{i}x{k}" for k in range(3)] + template)) for i in range(40) for j in range(2)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small_bucket=4).collect()
+    assert {r["doc_id"]: r["group_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
