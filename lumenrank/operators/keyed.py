@@ -1,4 +1,4 @@
-"""Keyed tables: upsert, sync, resume and replacement by source."""
+"""Keyed tables: upsert, resume and replacement by source."""
 
 from __future__ import annotations
 

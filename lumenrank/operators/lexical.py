@@ -95,7 +95,7 @@ class LexicalIndex:
         return lexical_search(queries, self.postings, self.n_docs, depth, max_df, self.analyzer, self.df)
 
     def index(self, *_):
-        raise NotImplementedError("lexical tables are built from the chunk table: use build or keyed.sync")
+        raise NotImplementedError("lexical tables are built from the chunk table: use build")
 
     def save(self, path: str) -> None:
         """Postings and frequencies clustered by term, so that a term filter skips row groups."""
