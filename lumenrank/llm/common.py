@@ -64,15 +64,22 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of an Arrow batch between Spark and Python, at most: texts are long, so the usual 10,000 would hold much memory on both sides.
+#: Rows and bytes of an Arrow batch between Spark and Python, at most: texts are long, so the usual 10,000 rows would hold much memory on both sides.
 BATCH_ROWS = 1_000
+ARROW_BYTES = 4_000_000
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, with its session's Arrow batches cut to ``BATCH_ROWS``; a smaller setting stays."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """``df``, with its session's Arrow batches cut to ``BATCH_ROWS`` and ``ARROW_BYTES``; smaller settings stay.
+
+    Spark reads these settings when a plan runs, after an operator has returned, so they can't be put back here.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = conf.get(key)
+        if not (held.lstrip("-").isdigit() and 0 < int(held) <= most):
+            conf.set(key, str(most))
     return df
 
 

@@ -13,18 +13,18 @@ the work is a hash for each element and some K ln K darts, not K hashes for each
 If a coordinate stays empty, the rank limit is doubled.
 
 Groups, without all pairs: texts with the same words are one vertex. A bucket (a band's
-value) links its members to one leader, small buckets all members to one another; links
-are verified on whole shingle sets. Buckets that then still hold several components are
-compared in blocks by their signatures, across components only, and what the signatures
-let through is verified too: each member's two best of a block first, as they join most
-of what belongs together, then every pair that is still across. So a large group of near copies costs a link for each member,
-and a large bucket of texts that differ costs blocked signature comparisons, with no cap.
+value) first links its members to its most central member, verified on whole shingle sets;
+a group of near copies then costs a link for each member. Buckets that still hold several
+components are compared in blocks, across components only, on whole sets, so every two texts
+that share a bucket are either in one component or decided exactly. From buckets of more than a block
+those texts leave before that whose shingles can't reach the similarity with other components.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +39,14 @@ from lumenrank.llm.components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-#: Buckets up to this size compare all members at once.
-SMALL_BUCKET = 8
-#: Members in one block of a large bucket.
+#: Members, and bytes of shingles, in one block of a large bucket, about.
 BLOCK = 256
-#: A pair whose signatures agree less than this is not verified. At similarity 0.8 the chance of that is below 1e-6.
-SIGNATURE_FLOOR = 0.6
-BATCH_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
+#: Shingles in one step of a block's comparison.
+COLUMNS = 8_192
+#: So many ids are sent to the executors, at most (some 40 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+BATCH_BYTES = 2_000_000
 
 _U = np.uint64
 
@@ -159,45 +160,48 @@ def band_values(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
 
 
 def _sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, v, bands, signature): v names the text's words (128-bit digest), null where there are none."""
+    """(doc_id, v, bands, size): v names the text's words (128-bit digest), size counts its shingles; v is null where there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
-            names, found, small = [], [], []
+            names, found, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = word_hashes(text)
                 if len(hashes):
+                    own = shingles(hashes)
                     names.append(_text_name(hashes))
-                    signature = dart_minhash(shingles(hashes), k=bands * rows)
-                    found.append(band_values(signature, bands, rows))
-                    small.append(signature.astype(np.uint8).tobytes())
+                    found.append(band_values(dart_minhash(own, k=bands * rows), bands, rows))
+                    sizes.append(len(own))
                 else:
                     names.append(None)
                     found.append(None)
-                    small.append(None)
+                    sizes.append(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(small, pa.binary())],
-                ["doc_id", "v", "bands", "signature"],
+                [batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                ["doc_id", "v", "bands", "size"],
             )
         _WORDS.clear()
 
-    return docs.mapInArrow(run, docs.select("doc_id").schema.add("v", T.BinaryType()).add("bands", T.ArrayType(T.LongType())).add("signature", T.BinaryType()))
+    return docs.mapInArrow(run, docs.select("doc_id").schema.add("v", T.BinaryType()).add("bands", T.ArrayType(T.LongType())).add("size", T.LongType()))
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(v, shingles) for the wanted vertices, from one document of each."""
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(v, shingles) for the wanted (v, one), from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
             hashes = [word_hashes(t) for t in batch.column("text").to_pylist()]
             # An id that stands for several texts brings them all: only the vertex's own text counts.
             own = [_text_name(h) == v for h, v in zip(hashes, batch.column("v").to_pylist())]
-            sets = [shingles(h).tobytes() for h in hashes]
+            sets = [shingles(h).tobytes() if keep else b"" for h, keep in zip(hashes, own)]
             found = pa.RecordBatch.from_arrays([batch.column("v"), pa.array(sets, pa.binary())], ["v", "shingles"])
             yield found.filter(pa.array(own, pa.bool_()))
+        _WORDS.clear()
 
-    chosen = ids.join(wanted, "v")
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["one"])).select("v", "text").mapInArrow(run, "v binary, shingles binary")
+    few = wanted.count() <= BROADCAST_IDS  # else documents and ids meet in a shuffle
+    chosen = F.broadcast(wanted) if few else wanted
+    rows = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["one"])).select("v", "text").mapInArrow(run, "v binary, shingles binary")
+    return rows.dropDuplicates(["v"])  # repeated rows bring a set twice
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -223,54 +227,105 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return with_a.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _leader_pairs(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify first, and the members of large buckets."""
-    order = F.struct(F.xxhash64("v").alias("h"), "v")
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(order)["v"].alias("leader")).where("n > 1")
-    full = materialize(members.join(sizes, "bucket"), "buckets")
-    star = full.where((F.col("n") == 2) | (F.col("n") > small)).where("v != leader").select(F.col("leader").alias("a"), F.col("v").alias("b"))
-    few = full.where((F.col("n") > 2) & (F.col("n") <= small)).groupBy("bucket").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    few = few.select("vs").distinct()
-    pair = few.select(F.posexplode("vs").alias("i", "a"), "vs").select("a", F.explode(F.slice("vs", F.col("i") + 2, small)).alias("b"))
-    pairs = star.union(pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs, full.where(F.col("n") > small).select("bucket", "v", "n")
-
-
-def _blocked_pairs(large: DataFrame, labels: DataFrame, signatures: DataFrame, block: int, floor: float, k: int, best: int | None) -> DataFrame:
-    """Pairs across components in large buckets whose signatures agree enough: all, or for each member the ``best`` of each block."""
-    named = large.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    part = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / block).cast("long"))
-    rows = named.join(mixed, "bucket").join(signatures, "v").withColumn("part", part)
-    blocks = rows.groupBy("bucket", "part").agg(F.collect_list(F.struct("v", "label", "signature")).alias("rows"))
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """Each bucket's members beside its most central one, as distinct pairs: central is who meets most others over all its buckets."""
+    central = members.groupBy("v").agg(F.sum("n").alias("met"))
+    leaders = members.join(central, "v").groupBy("bucket").agg(F.max(F.struct("met", "v"))["v"].alias("leader"))
+    pairs = members.join(materialize(leaders, "leaders"), "bucket").where("v != leader")
+    return pairs.select(F.least("leader", "v").alias("a"), F.greatest("leader", "v").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, v, size, label, total, n): the members of buckets with several components; of equal buckets one."""
+    named = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    buckets = named.groupBy("bucket").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"),
+        F.min("v").alias("v0"), F.max("v").alias("v1"), F.sum(F.shiftright(F.xxhash64("v"), 20)).alias("h"),
+    )
+    one = buckets.where("lo != hi").groupBy("n", "total", "v0", "v1", "h").agg(F.min("bucket").alias("bucket"))
+    return named.drop("n").join(materialize(one.select("bucket", "n", "total"), "mixed-buckets"), "bucket")
+
+
+def _linkable(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """v of those among ``members`` (v, label) that can have a link to another component's member.
+
+    A text's similarity to any text of other components is at most the share of its shingles
+    that those hold at all; one where that is too small has no link and leaves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v, label, held in zip(*(batch.column(c) for c in ("v", "label", "shingles"))):
+                own = pa.array(np.frombuffer(held.as_buffer(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.repeat(v, len(own)), pa.repeat(label, len(own)), own], ["v", "label", "s"])
+
+    tokens = materialize(members.join(sets, "v").mapInArrow(run, "v binary, label binary, s long"), "tokens")
+    across = tokens.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("s", F.lit(1).alias("hit"))
+    held = tokens.join(materialize(across, "across"), "s", "left").groupBy("v").agg(F.count("hit").alias("shared"), F.count(F.lit(1)).alias("size"))
+    return held.where(F.col("shared") >= similarity * F.col("size") - 1e-6).select("v")
+
+
+def block_links(one: list[dict], two: list[dict], similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links between members of two blocks ({v, label, shingles}) of different components: one for each two components that have any.
+
+    Overlaps are counted for all pairs at once, as a product of 0/1 matrices over the shingles that both blocks hold.
+    """
+    common = max((x["label"] for x in one), key=Counter(x["label"] for x in one).__getitem__)
+    rest = [x for x in one if x["label"] != common], [x for x in one if x["label"] == common]
+    out: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
+    for left, right in ((rest[0], two), (rest[1], [x for x in two if x["label"] != common])):
+        if not left or not right:
+            continue
+        sets = [[np.frombuffer(x["shingles"], np.uint64) for x in side] for side in (left, right)]
+        sizes = [np.array([len(s) for s in side], np.float32) for side in sets]
+        flat = [np.concatenate(side) for side in sets]
+        shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+        if not len(shared):
+            continue
+        both = np.zeros((len(left), len(right)), np.float32)
+        places = []
+        for all_, own in zip(flat, sizes):
+            at = np.minimum(np.searchsorted(shared, all_), len(shared) - 1)
+            hit = shared[at] == all_
+            places.append((np.repeat(np.arange(len(own)), own.astype(np.int64))[hit], at[hit]))
+        for start in range(0, len(shared), COLUMNS):
+            grids = []
+            for own, (row, at) in zip(sizes, places):
+                inside = (at >= start) & (at < start + COLUMNS)
+                grid = np.zeros((len(own), min(COLUMNS, len(shared) - start)), np.float32)
+                grid[row[inside], at[inside] - start] = 1
+                grids.append(grid)
+            both += grids[0] @ grids[1].T
+        linked = both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-3
+        for i, j in zip(*np.nonzero(linked)):
+            x, y, exact = left[i], right[j], int(both[i, j])
+            if x["label"] != y["label"] and exact >= similarity * (len(sets[0][i]) + len(sets[1][j]) - exact) - 1e-9:
+                out.setdefault((min(x["label"], y["label"]), max(x["label"], y["label"])), (x["v"], y["v"]))
+    return list(out.values())
+
+
+def _blocked_links(mixed: DataFrame, sets: DataFrame, similarity: float, block: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) across components within buckets; every two members of different components are compared on whole sets."""
+    parts = F.ceil(F.greatest(F.col("n") / block, F.col("total") * 8 / block_bytes)).cast("long")
+    rows = mixed.join(sets, "v").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+    blocks = rows.groupBy("bucket", "part").agg(F.max("parts").alias("parts"), F.collect_list(F.struct("v", "label", "shingles")).alias("rows"))
     blocks = materialize(blocks, "blocks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
-            for x, y in zip(batch.column("rows"), batch.column("others")):
-                one, two = x.as_py(), y.as_py()
-                grid = [np.frombuffer(b"".join(r["signature"] for r in rs), np.uint8).reshape(-1, k) for rs in (one, two)]
-                names = {r["label"]: i for i, r in enumerate([*one, *two])}
-                own = [np.array([names[r["label"]] for r in rs]) for rs in (one, two)]
-                for i, row in enumerate(grid[0]):
-                    same = (grid[1] == row).sum(axis=1)
-                    same[own[1] == own[0][i]] = 0
-                    for j in np.flatnonzero(same >= floor * k) if best is None else np.argsort(-same, kind="stable")[:best]:
-                        if same[j] >= floor * k and (best or one[i]["v"] < two[j]["v"]):  # of all pairs, the other block has the rest
-                            left.append(one[i]["v"])
-                            right.append(two[j]["v"])
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
-                left, right = [], []
-
-    others = blocks.select("bucket", F.col("part").alias("part2"), F.col("rows").alias("others"))
-    pairs = blocks.join(others, "bucket").select("rows", "others").mapInArrow(compare, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            found = [p for x, y in zip(batch.column("rows"), batch.column("others")) for p in block_links(x.as_py(), y.as_py() or x.as_py(), similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["a", "b"])
+
+    alone = blocks.select("rows", F.lit(None).cast(blocks.schema["rows"].dataType).alias("others"))
+    large = blocks.where("parts > 1")
+    others = large.select("bucket", F.col("part").alias("part2"), F.col("rows").alias("others"))
+    across = large.join(others, "bucket").where("part < part2").select("rows", "others")
+    return alone.unionByName(across).mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-    bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET, block: int = BLOCK,
+    bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per input row: doc_id, group_id, group_size, kept.
 
@@ -281,37 +336,42 @@ def near_duplicates(
     """
     docs = id_and_text(docs, id_col, text_col)
     sketched = materialize(_sketch(docs, bands, rows), "sketches")
-    vertices = sketched.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("one"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    vertices = sketched.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("one"), F.first("bands").alias("bands"), F.max("size").alias("size"))
     vertices = materialize(vertices, "vertices")
-    members = vertices.select("v", F.explode("bands").alias("bucket"))
-    pairs, large = _leader_pairs(members, small_bucket)
-    pairs = materialize(pairs, "pairs")
-    signatures = vertices.select("v", "signature")
-    links, done = None, []
-    for step, best in enumerate((None, 2, None)):
-        if step:
-            if not done:
-                break  # no pair shares a bucket
-            blocked = _blocked_pairs(large, labels, signatures, block, SIGNATURE_FLOOR, bands * rows, best)  # noqa: F821
-            tried = blocked.join(pairs, ["a", "b"], "left_anti") if step == 2 else blocked
-            pairs = materialize(tried, "pairs")
-        if pairs.isEmpty():
-            break
-        wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-        sets = materialize(_shingle_sets(docs, vertices.select("v", "one"), wanted), "shingle-sets")
-        found = materialize(_verified(pairs, sets, similarity), "links")
+    spread = vertices.select("v", "size", F.explode("bands").alias("bucket"))
+    shared = materialize(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-buckets")
+    members = materialize(spread.join(shared, "bucket"), "members")
+    labels = None
+    if not members.isEmpty():
+        wanted = members.select("v").distinct().join(vertices.select("v", "one"), "v")
+        sets = materialize(_shingle_sets(docs, wanted), "shingle-sets")
+        links = materialize(_verified(_leader_pairs(members), sets, similarity), "links")
+        labels = components(links)
+        mixed = materialize(_mixed(members, labels), "mixed")
+        large = mixed.where(F.col("n") > block)
+        if not large.isEmpty():
+            pool = large.select("v", "label").distinct()
+            for _ in range(2):  # who leaves takes shingles along
+                pool = pool.join(materialize(_linkable(pool, sets, similarity), "linkable"), "v")
+            narrowed = large.join(pool.select("v"), "v", "left_semi")
+            left = narrowed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+            left = materialize(left.where("lo != hi").select("bucket", "n", "total"), "mixed-buckets")
+            narrowed = narrowed.drop("n", "total").join(left, "bucket")
+            mixed = mixed.where(F.col("n") <= block).unionByName(narrowed)
+        more = materialize(_blocked_links(mixed, sets, similarity, block, block_bytes), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
         discard(sets)
-        done.append(found)
-        links = found if links is None else links.union(found)
-        if not step or not found.isEmpty():
-            labels = components(links)
-    if not done:
+    if labels is None:
         labels = vertices.select("v", F.col("v").alias("label")).limit(0)
-    named = sketched.select("doc_id", "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    word_less = named.where("v IS NULL").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    named = named.where("v IS NOT NULL")
-    counted = named.groupBy("label", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    groups = counted.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.sum("copies").alias("group_size"))
-    out = counted.join(groups, "label").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    copies = sketched.where("v IS NOT NULL").groupBy("v", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    named = copies.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    groups = named.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.sum("copies").alias("group_size"))
+    counted = named.groupBy("label", "doc_id").agg(F.sum("copies").alias("copies"))
+    # Most groups are one row; only the others come back by a join, whose sides AQE can split.
+    several = materialize(groups.where("group_size > 1"), "groups")
+    out = counted.join(several, "label", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = out.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "copy")
     kept = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("copy") == 1)
+    word_less = sketched.where("v IS NULL").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return out.select("doc_id", "group_id", "group_size", kept.alias("kept")).unionByName(word_less)

@@ -73,7 +73,7 @@ def test_near_equals_brute_force(odd):
 
 
 def test_large_group_of_near_copies(spark):
-    """One group, far larger than a bucket's small size, and look-alikes below the limit."""
+    """One group, far larger than a block, and look-alikes below the limit."""
     import random
 
     r, rows = random.Random(5), []
@@ -83,7 +83,7 @@ def test_large_group_of_near_copies(spark):
         for _ in range(r.randrange(1, 14)):
             own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(own)))
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small_bucket=4, block=16).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()
     want, _ = brute_near(rows)
     assert Counter((x["doc_id"], x["group_id"], x["group_size"]) for x in got) == want
 
@@ -114,5 +114,47 @@ def test_near_pairs_in_a_family_of_similar_texts(spark):
     """Texts of one template are at 0.77 to each other; each has one partner at 0.82, which many signatures outrank."""
     template = [f"t{i}" for i in range(100)]
     rows = [(2 * i + j, " ".join([f"o{i}x{j}y{k}" for k in range(11)] + [f"s{i}x{k}" for k in range(3)] + template)) for i in range(40) for j in range(2)]
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small_bucket=4).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()
     assert {r["doc_id"]: r["group_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_every_link_to_a_hub_is_kept(spark):
+    """Texts at 0.8 or more to one hub and below to each other are one group, whichever text a bucket starts from."""
+    hub = [f"h{i}" for i in range(204)]
+    rows = [(0, " ".join(hub))]
+    for i in range(150):
+        at = (i * 37) % 160
+        own = hub[:at] + [f"x{i}y{k}" for k in range(17)] + hub[at + 17 :]
+        rows.append((i + 1, " ".join(own)))
+    want, groups = brute_near(rows)
+    assert groups == 1
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=32).collect()
+    assert Counter((x["doc_id"], x["group_id"], x["group_size"]) for x in got) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_families_near_the_limit(spark, seed):
+    """Families whose texts differ from their template by about the limit; brute force decides."""
+    import random
+
+    r, rows = random.Random(seed), []
+    for f in range(6):
+        base = [f"f{f}w{i}" for i in range(80)]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(r.randrange(0, 5)):
+                own[r.randrange(len(own))] = f"e{r.randrange(60)}"
+            rows.append((len(rows), " ".join(own)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8, block_bytes=4_000).collect()
+    want, _ = brute_near(rows)
+    assert Counter((x["doc_id"], x["group_id"], x["group_size"]) for x in got) == want
+
+
+def test_blocks_link_each_two_components_once():
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    rows = [{"v": bytes([i]), "label": bytes([i // 3]), "shingles": np.sort(rng.choice(pool, 330 + i, replace=False)).tobytes()} for i in range(40)]
+    sets = [set(np.frombuffer(x["shingles"], np.uint64).tolist()) for x in rows]
+    want = {(min(i, j) // 3, max(i, j) // 3) for i in range(40) for j in range(i) if i // 3 != j // 3 and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])}
+    got = minhash.block_links(rows[:25], rows[:25], 0.75) + minhash.block_links(rows[:25], rows[25:], 0.75) + minhash.block_links(rows[25:], rows[25:], 0.75)
+    assert {tuple(sorted((a[0] // 3, b[0] // 3))) for a, b in got} == want and want
