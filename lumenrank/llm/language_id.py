@@ -5,12 +5,12 @@ documents; a document's profile ranks its own. The out-of-place distance adds, f
 n-gram of the document's profile, how far its rank is from the language's rank, or the
 greatest penalty where the language's profile lacks it. The nearest language wins.
 
-Letters are lower-cased and folded into a fixed number of classes by code point, so an
-n-gram is a small integer; every other character is a word boundary. Whole texts are
-counted, with vectorised sorts in Arrow batches.
+Texts are lower-cased; an n-gram is up to three code points of letters, packed into 64 bits;
+every run of other characters is one word boundary. Whole texts are counted, with
+vectorised sorts in Arrow batches.
 
-Scale: training counts are combined inside each task before one small shuffle of
-(language, n-gram) rows, whose number is bounded by the n-gram space; the profiles that
+Scale: training counts are combined inside each task, and given on whenever they reach a
+bound, before one shuffle of (language, n-gram) rows; the profiles that
 are broadcast are languages x PROFILE ranks. Prediction moves no rows at all.
 """
 
@@ -29,55 +29,37 @@ from lumenrank.llm.common import bounded, crc32_mod, slices
 
 #: N-grams in a profile, and the greatest penalty of one.
 PROFILE = 400
-#: Letter classes, the word boundary (0) included.
-CLASSES = 128
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
+#: Distinct n-grams that a task holds before it gives their counts on, about.
+HELD = 400_000
 HELD_OUT = (4, 2)
 UNDETERMINED = "und"
+#: Stands for a word boundary; no letter has this code point.
+EDGE = 1
+#: Bits of a code point.
+BITS = 21
 
 
 @lru_cache(maxsize=1)
-def _class_of() -> np.ndarray:
-    """Letter class of each code point of the basic plane; the rest is classed by remainder.
-
-    a-z have 1 to 26; the other letters share the classes above by code point.
-    """
-    table = np.zeros(0x10000, np.uint8)
-    for c in range(0x10000):
-        char = chr(c)
-        if char.isalpha():
-            low = ord(char.lower()[0])
-            table[c] = low - 96 if 97 <= low <= 122 else 27 + (low - 0xC0) % (CLASSES - 27)
-    return table
-
-
-def _letters(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = _class_of()
-    if len(points) and points.max() > 0xFFFF:
-        high = points > 0xFFFF
-        found = table[np.where(high, 0, points)]
-        letters = np.array([chr(p).isalpha() for p in points[high]], bool)
-        found[high] = np.where(letters, 27 + points[high] % (CLASSES - 27), 0)
-        return found
-    return table[points]
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the text's 1- to 3-grams; those across a boundary or without a letter are left out.
+    """Codes, sorted, and counts of the text's 1- to 3-grams; one without a letter or with an inner boundary is left out.
 
     A single boundary at the start or end of a 2- or 3-gram is part of it.
     """
-    a = _letters(text).astype(np.int32)
-    if not a.any():
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    a = np.concatenate(([0], a, [0])).astype(np.int32)
-    a = a[np.concatenate(([True], (a[1:] != 0) | (a[:-1] != 0)))]  # runs of boundaries are one
-    two = a[:-1] * CLASSES + a[1:]
-    mid = (a[1:-1] != 0)
-    three = (two[:-1] * CLASSES + a[2:])[mid]
-    square, cube = CLASSES * CLASSES, CLASSES**3
-    codes = np.concatenate((three, two + cube, (a[a != 0] + (cube + square))))
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _is_letter()[points]
+    if not letter.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a = np.full(len(points) + 2, EDGE, np.int64)
+    a[1:-1] = np.where(letter, points, EDGE)
+    a = a[np.concatenate(([True], (a[1:] != EDGE) | (a[:-1] != EDGE)))]  # runs of boundaries are one
+    two = a[:-1] << BITS | a[1:]
+    three = (two[:-1] << BITS | a[2:])[a[1:-1] != EDGE]
+    codes = np.concatenate((a[a != EDGE], two, three))
     codes.sort()
     edge = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1], [True])))
     return codes[edge[:-1]], np.diff(edge)
@@ -88,33 +70,35 @@ def _top(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:most]]
 
 
-_SPACE = CLASSES**3 + CLASSES**2 + CLASSES
-
-
 class Profiles:
-    """Ranks of each language as one table over the n-gram space."""
+    """The ranks of each language's most frequent n-grams."""
 
     def __init__(self, ranked: dict[str, list[int]], most: int = PROFILE):
         self.languages, self.most = sorted(ranked), most
-        self.rank = np.full((len(self.languages), _SPACE), most, np.int16)
+        self.codes = np.unique(np.array([c for own in ranked.values() for c in own], np.int64))
+        self.rank = np.full((len(self.languages), len(self.codes) + 1), most, np.int64)  # the last column: not in any profile
         for i, name in enumerate(self.languages):
-            self.rank[i, np.array(ranked[name], np.int64)] = np.arange(len(ranked[name]))
-        self.known = np.array([len(ranked[x]) > 0 for x in self.languages], bool)
+            self.rank[i, np.searchsorted(self.codes, np.array(ranked[name], np.int64))] = np.arange(len(ranked[name]))
 
-    def __reduce__(self):
-        return Profiles, ({x: [int(c) for c in np.flatnonzero(self.rank[i] < self.most)[np.argsort(self.rank[i][self.rank[i] < self.most])]] for i, x in enumerate(self.languages)}, self.most)
+    def distances(self, text: str | None) -> tuple[np.ndarray, int]:
+        """The out-of-place distance to each language, and the number of n-grams in the text's profile."""
+        codes, counts = grams(text) if text else (np.zeros(0, np.int64),) * 2
+        own = _top(codes, counts, self.most)
+        if not len(self.codes):
+            return np.zeros(len(self.languages), np.int64), len(own)
+        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+        at[self.codes[at] != own] = len(self.codes)
+        there = self.rank[:, at]
+        return np.where(there < self.most, np.abs(there - np.arange(len(own))), self.most).sum(axis=1), len(own)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, and how much nearer it is than the next (0 to 1)."""
-        codes, counts = grams(text) if text else (np.zeros(0, np.int32),) * 2
-        if not len(codes) or not self.languages:
+        distance, size = self.distances(text)
+        if not size or not self.languages:
             return UNDETERMINED, 0.0
-        own = _top(codes, counts, self.most)
-        there = self.rank[:, own]
-        distance = np.where(there < self.most, np.abs(there - np.arange(len(own))), self.most).sum(axis=1)
         best = int(np.argmin(distance))
         if len(distance) == 1:
-            return self.languages[0], 1.0 - float(distance[0]) / (self.most * len(own))
+            return self.languages[0], 1.0 - float(distance[0]) / (self.most * size)
         second = float(np.partition(distance, 1)[1])
         return self.languages[best], (second - float(distance[best])) / second if second else 0.0
 
@@ -123,22 +107,23 @@ def learn(docs: DataFrame, lang_col: str = "lang", most: int = PROFILE) -> Profi
     """Profiles from all rows of ``docs`` (text and language); rows without either are skipped."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        total: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in slices(batches, "text", BATCH_BYTES):
+            texts: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                codes, n = grams(text)
-                if lang not in total:
-                    total[lang] = np.zeros(_SPACE, np.int64)
-                total[lang][codes] += n
-                if len(total) > 8:  # bounded memory whatever the number of languages
+                texts.setdefault(lang, []).append(text)
+            for lang, own in texts.items():
+                total.setdefault(lang, []).append(grams("\n".join(own)))  # a line feed is a boundary, as texts' ends are
+            if sum(len(c) for parts in total.values() for c, _ in parts) > HELD:
+                total = {lang: [_summed(parts)] for lang, parts in total.items()}
+                if sum(len(c) for parts in total.values() for c, _ in parts) > HELD // 2:
                     yield from flush(total)
         yield from flush(total)
 
-    def flush(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(total: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         for lang in list(total):
-            n = total.pop(lang)
-            code = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n[code])], ["lang", "code", "n"])
+            code, n = _summed(total.pop(lang))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "code", "n"])
 
     rows = bounded(docs).where(F.col("text").isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), "text")
     counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -150,6 +135,14 @@ def learn(docs: DataFrame, lang_col: str = "lang", most: int = PROFILE) -> Profi
     return Profiles(ranked, most)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, n = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for each row; null text or text without a letter is ``und`` with score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)

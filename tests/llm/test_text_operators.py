@@ -30,6 +30,50 @@ def test_language_of_odd_rows(odd, none):
     assert language_id.identify(none).count() == 0
 
 
+def brute_grams(t):
+    flat = [c if c.isalpha() else None for c in t.lower()]
+    runs = [None]
+    for c in [*flat, None]:
+        if c is not None or runs[-1] is not None:
+            runs.append(c)
+    found = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(runs) - n + 1):
+            gram = tuple(runs[i : i + n])
+            if any(gram) and (n < 3 or gram[1]):
+                found[gram] += 1
+    return found
+
+
+def brute_code(gram):
+    code = 0
+    for c in gram:
+        code = code << language_id.BITS | (ord(c) if c else language_id.EDGE)
+    return code
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("aB éßИж漢𐐀 .1İ\n"), max_size=40))
+def test_grams_are_those_of_the_code_points(text):
+    want = {brute_code(g): n for g, n in brute_grams(text).items()}
+    assert dict(zip(*(x.tolist() for x in language_id.grams(text)))) == want
+
+
+def test_out_of_place_distances_equal_brute_force(documents, monkeypatch):
+    monkeypatch.setattr(language_id, "HELD", 3_000)
+    rows = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").collect()[:60]
+    totals = defaultdict(Counter)
+    for r in rows:
+        totals[r["lang"]].update({brute_code(g): n for g, n in brute_grams(r["text"]).items()})
+    ranked = {lang: {c: i for i, (c, _) in enumerate(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:50])} for lang, own in totals.items()}
+    profiles = language_id.learn(documents.sparkSession.createDataFrame(rows), most=50)
+    assert profiles.languages == sorted(ranked)
+    for r in rows[:20]:
+        own = [c for c, _ in sorted(((brute_code(g), n) for g, n in brute_grams(r["text"]).items()), key=lambda x: (-x[1], x[0]))[:50]]
+        want = [sum(abs(i - ranked[lang][c]) if c in ranked[lang] else 50 for i, c in enumerate(own)) for lang in sorted(ranked)]
+        assert profiles.distances(r["text"])[0].tolist() == want
+
+
 def brute_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
