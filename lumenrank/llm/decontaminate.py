@@ -29,8 +29,8 @@ from lumenrank.llm.common import ASCII_LOWER, bounded, slices
 from lumenrank.llm.fm_index import FMIndex
 
 WINDOW = 13
-#: Item text sent to the executors at once, in characters.
-BLOCK_CHARS = 16_000_000
+#: Item text sent to the executors at once, in characters; its windows take about 40 bytes for each, and 100 while they are built.
+BLOCK_CHARS = 1_000_000
 #: Document text in one shard, in bytes.
 SHARD_BYTES = 12_000_000
 
