@@ -250,19 +250,24 @@ def _linkable(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     """v of those among ``members`` (v, label) that can have a link to another component's member.
 
     A text's similarity to any text of other components is at most the share of its shingles
-    that those hold at all; one where that is too small has no link and leaves.
+    that those hold at all; one where that is too small has no link and leaves. Components
+    go by a 64-bit hash here, and texts by a number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for v, label, held in zip(*(batch.column(c) for c in ("v", "label", "shingles"))):
+            for i, label, held in zip(*(batch.column(c) for c in ("i", "label", "shingles"))):
                 own = pa.array(np.frombuffer(held.as_buffer(), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.repeat(v, len(own)), pa.repeat(label, len(own)), own], ["v", "label", "s"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(i, len(own)), pa.repeat(label, len(own)), own], ["i", "label", "s"])
 
-    tokens = materialize(members.join(sets, "v").mapInArrow(run, "v binary, label binary, s long"), "tokens")
-    across = tokens.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("s", F.lit(1).alias("hit"))
-    held = tokens.join(materialize(across, "across"), "s", "left").groupBy("v").agg(F.count("hit").alias("shared"), F.count(F.lit(1)).alias("size"))
-    return held.where(F.col("shared") >= similarity * F.col("size") - 1e-6).select("v")
+    numbered = materialize(members.select("v", F.monotonically_increasing_id().alias("i"), F.xxhash64("label").alias("label")), "numbered")
+    tokens = materialize(numbered.join(sets, "v").mapInArrow(run, "i long, label long, s long"), "tokens")
+    across = materialize(tokens.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("s", F.lit(1).alias("hit")), "across")
+    held = tokens.select("i", "s").join(across, "s", "left").groupBy("i").agg(F.count("hit").alias("shared"), F.count(F.lit(1)).alias("size"))
+    out = materialize(held.where(F.col("shared") >= similarity * F.col("size") - 1e-6).select("i").join(numbered, "i").select("v"), "linkable")
+    for used in (numbered, tokens, across):
+        discard(used)
+    return out
 
 
 def block_links(one: list[dict], two: list[dict], similarity: float) -> list[tuple[bytes, bytes]]:
@@ -320,7 +325,9 @@ def _blocked_links(mixed: DataFrame, sets: DataFrame, similarity: float, block:
     large = blocks.where("parts > 1")
     others = large.select("bucket", F.col("part").alias("part2"), F.col("rows").alias("others"))
     across = large.join(others, "bucket").where("part < part2").select("rows", "others")
-    return alone.unionByName(across).mapInArrow(compare, "a binary, b binary").distinct()
+    out = materialize(alone.unionByName(across).mapInArrow(compare, "a binary, b binary").distinct(), "links")
+    discard(blocks)
+    return out
 
 
 def near_duplicates(
@@ -350,18 +357,16 @@ def near_duplicates(
         mixed = materialize(_mixed(members, labels), "mixed")
         large = mixed.where(F.col("n") > block)
         if not large.isEmpty():
-            pool = large.select("v", "label").distinct()
-            for _ in range(2):  # who leaves takes shingles along
-                pool = pool.join(materialize(_linkable(pool, sets, similarity), "linkable"), "v")
-            narrowed = large.join(pool.select("v"), "v", "left_semi")
+            narrowed = large.join(_linkable(large.select("v", "label").distinct(), sets, similarity), "v", "left_semi")
             left = narrowed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("label").alias("lo"), F.max("label").alias("hi"))
             left = materialize(left.where("lo != hi").select("bucket", "n", "total"), "mixed-buckets")
             narrowed = narrowed.drop("n", "total").join(left, "bucket")
             mixed = mixed.where(F.col("n") <= block).unionByName(narrowed)
-        more = materialize(_blocked_links(mixed, sets, similarity, block, block_bytes), "links")
+        more = _blocked_links(mixed, sets, similarity, block, block_bytes)
         if not more.isEmpty():
             labels = components(links.union(more))
-        discard(sets)
+        for used in (sets, members, shared):
+            discard(used)
     if labels is None:
         labels = vertices.select("v", F.col("v").alias("label")).limit(0)
     copies = sketched.where("v IS NOT NULL").groupBy("v", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
