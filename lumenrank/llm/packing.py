@@ -1,8 +1,8 @@
 """Packing by cutting-stock column generation.
 
 A document's ids (its tokens, then one end id) are cut into whole sequences and one
-remainder. The histogram of piece lengths, in steps of ``STEP`` ids, is the demand of a
-cutting-stock problem: a linear program over patterns (multisets of lengths that fit
+remainder. The histogram of piece lengths, rounded up to steps of ``UNIT`` ids where they are
+short and of ``STEP`` ids above, is the demand of a cutting-stock problem: a linear program over patterns (multisets of lengths that fit
 one sequence) is solved by revised simplex, and an unbounded-knapsack dynamic program
 prices new columns until none improves. The rounded-down pattern counts, completed by
 first-fit-decreasing patterns for what rounding leaves, say how many sequences of each
@@ -10,13 +10,14 @@ pattern to build. Pieces are ranked within their length class, and a piece's ran
 place in the patterns.
 
 Scale: documents are tokenised once and never shuffled; only one small row for each piece
-moves. Only the histogram (at most 2048 / STEP rows) reaches the driver, and the plan that
+moves. Only the histogram (at most SHORT / UNIT + 2048 / STEP rows) reaches the driver, and the plan that
 goes back is bounded by the number of classes, whatever the input. Ranks come from
 (class, bucket) counts, so a length that a third of all pieces share is still ranked by many tasks.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +31,8 @@ from lumenrank.llm.common import id_and_text, materialize, slices
 from lumenrank.llm.tokens import default_path, encoder
 
 SEQUENCE = 2048
-#: Lengths are planned in steps of this many ids.
-STEP = 16
+#: Lengths are planned in steps of STEP ids, and up to SHORT in steps of UNIT.
+STEP, SHORT, UNIT = 16, 64, 4
 END_ID = 1
 #: Pieces ranked by one task, about.
 BUCKET_PIECES = 100_000
@@ -64,18 +65,16 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str | None = None, sequence: int
 
 
 def _best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The unbounded knapsack's best multiset: its value and its counts."""
-    worth = np.full(capacity + 1, -1.0)
-    kind = np.full(capacity + 1, -1)
-    worth[size], kind[size] = value, np.arange(len(size))
+    """The unbounded knapsack's best multiset of rising sizes: its value and its counts."""
+    fitting = np.searchsorted(size, np.arange(capacity + 1), side="right")
     best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for room in range(1, capacity + 1):
-        total = worth[1 : room + 1] + best[room - 1 :: -1][:room]
-        i = int(np.argmax(total))
-        if total[i] > best[room - 1] + 1e-12:
-            best[room], take[room] = total[i], kind[i + 1]
-        else:
-            best[room] = best[room - 1]
+        best[room] = best[room - 1]
+        if k := fitting[room]:
+            total = value[:k] + best[room - size[:k]]
+            i = int(total.argmax())
+            if total[i] > best[room] + 1e-12:
+                best[room], take[room] = total[i], i
     counts, room = np.zeros(len(size)), capacity
     while room > 0:
         if take[room] < 0:
@@ -101,7 +100,7 @@ def _inverted(a: np.ndarray) -> np.ndarray:
 
 
 def plan_patterns(size: list[int], demand: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({size: count}, repeats) that hold the whole demand, close to the fewest sequences.
+    """Patterns ({size: count}, repeats) that hold the whole demand of rising sizes, close to the fewest sequences.
 
     Column generation: the master's dual prices value the sizes, the knapsack finds the
     pattern of the best reduced cost; it ends when the bound that the prices give is within
@@ -169,9 +168,11 @@ def plan_patterns(size: list[int], demand: list[int], capacity: int) -> list[tup
 def assign(pieces: DataFrame, sequence: int = SEQUENCE, step: int = STEP) -> DataFrame:
     """Add sequence_id and offset to pieces (a stable table: it is read more than once)."""
     spark = pieces.sparkSession
-    capacity = sequence // step
-    kind = F.ceil(F.col("length") / step).cast("long")
-    histogram = {r[0]: r[1] for r in pieces.groupBy(kind.alias("kind")).count().collect()}  # capacity rows at most
+    unit = math.gcd(UNIT, step, sequence)
+    capacity = sequence // unit
+    length = F.col("length")
+    kind = F.when(length <= SHORT, F.ceil(length / unit)).otherwise(F.least(F.ceil(length / step) * (step // unit), F.lit(capacity))).cast("long")
+    histogram = {r[0]: r[1] for r in pieces.groupBy(kind.alias("kind")).count().collect()}  # a row for each class
     sizes = sorted(histogram)
     plan = plan_patterns(sizes, [histogram[s] for s in sizes], capacity)
     rows, at, first = [], dict.fromkeys(sizes, 0), 0

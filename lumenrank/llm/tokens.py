@@ -1,40 +1,18 @@
 """Byte-level BPE ids for whole texts, fast in a Python worker.
 
-Ids are those of the ``tokenizers`` file at ``path`` without special tokens. A text is
-cut before each single space that precedes a non-space character; no token of such a
-vocabulary crosses that cut, so a chunk's ids can be kept in a bounded memo. Texts
-with runs of white space after a space are encoded whole instead.
+Ids are those of the ``tokenizers`` file at ``path`` without special tokens. A byte-level BPE
+file is run by ``tiktoken`` with the same vocabulary, as its ranks, where the file says
+that both mean the same: no normaliser, the standard pattern, merges in the order of their ids.
+Any other file, and any text that holds an added token's string, goes through ``tokenizers``.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from functools import lru_cache
 
-#: A space before more white space, or at the end: chunks there are not independent.
-_UNSAFE = re.compile(r" (?=\s|$)")
-_MEMO_ENTRIES = 60_000
-_MEMO_CHARS = 48
-
-
-class _Memo(dict):
-    """Ids of a space and a chunk; two generations bound its memory."""
-
-    def __init__(self, ids):
-        self.ids, self.old = ids, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        got = self.old.get(chunk)
-        if got is None:
-            got = self.ids(" " + chunk)
-        if len(chunk) <= _MEMO_CHARS:
-            if len(self) >= _MEMO_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = got
-        return got
+import numpy as np
 
 
 def default_path() -> str:
@@ -54,47 +32,78 @@ def _byte_alphabet() -> dict[str, int]:
     return table
 
 
+@lru_cache(maxsize=2)
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def id_type(path: str, *others: int) -> str:
+    """The numpy type of flat id files: two bytes where the vocabulary's ids and the ``others`` fit, else four."""
+    spec = _spec(path)
+    vocabulary = spec.get("model", {}).get("vocab", {})
+    ids = vocabulary.values() if isinstance(vocabulary, dict) else range(len(vocabulary))
+    most = max([*ids, *(t["id"] for t in spec.get("added_tokens", [])), *others])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def narrowed(ids: bytes, dtype: str) -> bytes:
+    """32-bit ids in another width; ids that it can't hold raise."""
+    if dtype == "<u4":
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) > np.iinfo(dtype).max:
+        raise ValueError(f"id {int(wide.max())} does not fit {dtype}")
+    return wide.astype(dtype).tobytes()
+
+
 class Encoder:
-    """``encode(text)`` gives little-endian unsigned 32-bit ids as bytes."""
+    """``encode(text)`` gives little-endian unsigned 32-bit ids as bytes.
+
+    ``literal`` takes the strings of added tokens as ordinary text; otherwise they are
+    those tokens, as ``tokenizers`` has it by default.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         import tokenizers
 
+        spec = _spec(path)
         self._slow = tokenizers.Tokenizer.from_file(path)
-        self._slow.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            self._fast = self._byte_level(json.load(f))
-        self._memo = _Memo(self._ids)
+        self._slow.encode_special_tokens = literal
+        added = spec.get("added_tokens", [])
+        self._added = [t["content"] for t in added if not (literal and t.get("special"))]
+        self._fast = self._byte_level(spec, {t["content"] for t in added})
 
-    def _byte_level(self, spec: dict):
+    def _byte_level(self, spec: dict, added: set[str]):
         """The same vocabulary in a faster library, or None where the file is of another kind."""
         import public_tokenizers
         import tiktoken
 
         model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
-        if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space"):
+        if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or pre.get("use_regex") is False or spec.get("normalizer"):
             return None
-        alphabet, special = _byte_alphabet(), {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+            return None
+        vocabulary = model["vocab"]
+        merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        alphabet = _byte_alphabet()
+        if merged != sorted(merged) or any(c not in vocabulary for c in alphabet):
+            return None
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items() if t not in added}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        probe = "It's 12 words,  and  \n more:\té汉字 <|x|> don't stop here \n"
+        probe = "It's 12 words,  and  \n more:\té汉字 <|x|> don't stop here \n"
         same = fast.encode_ordinary(probe) == self._slow.encode(probe, add_special_tokens=False).ids
         return fast if same else None
 
-    def _ids(self, text: str) -> bytes:
-        ids = self._fast.encode_ordinary(text) if self._fast else self._slow.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self._fast is None or _UNSAFE.search(text):
-            return self._ids(text)
-        first, *rest = text.split(" ")
-        return self._ids(first) + b"".join(map(self._memo.__getitem__, rest))
+        if self._fast is None or any(t in text for t in self._added):
+            return array("I", self._slow.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self._fast.encode_ordinary(text)).tobytes()
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal: bool = False) -> Encoder:
     """One encoder for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, literal)

@@ -5,24 +5,60 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenrank.llm import packing, token_counts, training_order
+from lumenrank.llm import packing, token_counts, tokens, training_order
 from lumenrank.llm.common import materialize, scratch
 from lumenrank.llm.tokens import default_path, encoder
 from tests.llm.conftest import odd_rows
 
 
-def ids_of(text):
-    return encoder(default_path())._slow.encode(text or "", add_special_tokens=False).ids
+def plain(literal):
+    found = tokenizers.Tokenizer.from_file(default_path())
+    found.encode_special_tokens = literal
+    return found
+
+
+BY_DEFAULT, LITERAL = plain(False), plain(True)
+
+
+def ids_of(text, by=LITERAL):
+    return by.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", " ", "  ", "\n", "\t", "é", "'s", "12", ".", "<|endoftext|>", "漢", "\x1c", "\r\n"]), max_size=20))
 def test_ids_are_the_tokenizers(parts):
     t = "".join(parts)
-    assert np.frombuffer(encoder(default_path()).encode(t), "<u4").tolist() == ids_of(t)
+    assert np.frombuffer(encoder(default_path()).encode(t), "<u4").tolist() == ids_of(t, BY_DEFAULT)
+    assert np.frombuffer(encoder(default_path(), literal=True).encode(t), "<u4").tolist() == ids_of(t)
+
+
+def test_other_vocabularies_are_not_cut_to_two_bytes(spark, tmp_path):
+    assert tokens.id_type(default_path(), 50256) == "<u2" and tokens.id_type(default_path(), 70_000) == "<u4"
+    with pytest.raises(ValueError):
+        tokens.narrowed(np.array([1, 70_000], "<u4").tobytes(), "<u2")
+    other = default_path().replace("byte_bpe_50k", "word_bpe_49k")
+    text = "Some words, and MORE of them <|endoftext|>"
+    slow = tokenizers.Tokenizer.from_file(other)
+    assert encoder(other)._fast is None
+    assert np.frombuffer(encoder(other).encode(text), "<u4").tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_packed_ids_are_those_of_a_plain_tokenizer(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "", "no such token", "<|endoftext |> <|x|>"]
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*ids_of(t, plain(False)), 1], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_short_pieces_waste_little(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "") for i in range(3000)], "doc_id long, text string")
+    got = packing.pack(docs).agg({"sequence_id": "max", "length": "sum"}).first()
+    assert got[0] + 1 <= 3000 * packing.UNIT / 2048 + 1
 
 
 def test_counts_equal_tokenizer(odd, none):
