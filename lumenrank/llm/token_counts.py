@@ -23,19 +23,24 @@ from pyspark.sql import types as T
 
 from lumenrank.llm.common import id_and_text, materialize, scratch, slices
 from lumenrank.llm.storage import committed, read_range
-from lumenrank.llm.tokens import default_path, encoder
+from lumenrank.llm.tokens import default_path, encoder, id_type, narrowed
 
 #: Not an ordinary id of the default vocabulary.
 END_OF_DOCUMENT = 50256
 BLOCK_BYTES = 4 << 20
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None = None, separator: int = END_OF_DOCUMENT, dtype: str = "<u2") -> DataFrame:
-    """Write one flat file for each partition; (shard, ordinal, doc_id) says whose documents they hold, in order."""
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None = None, separator: int = END_OF_DOCUMENT, dtype: str | None = None) -> DataFrame:
+    """Write one flat file for each partition; (shard, ordinal, doc_id) says whose documents they hold, in order.
+
+    Ids take two bytes where the vocabulary and the separator fit, else four; a narrower ``dtype`` raises at
+    the first id that does not fit. Strings of added tokens are ordinary text, so no text holds a separator.
+    """
     path = tokenizer_path or default_path()
+    dtype = dtype or id_type(path, separator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, ordinal = encoder(path).encode, TaskContext.get().partitionId(), 0
+        encode, shard, ordinal = encoder(path, literal=True).encode, TaskContext.get().partitionId(), 0
         end = np.array([separator], dtype).tobytes()
         first = next(batches, None)
         if first is None:
@@ -48,7 +53,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
         with committed(f"{folder}/part-{shard:06d}.bin") as out:
             for batch in slices(rest(), "text", 4_000_000):
                 for text in batch.column("text").to_pylist():
-                    out.write(np.frombuffer(encode(text), "<u4").astype(dtype).tobytes() + end)
+                    out.write(narrowed(encode(text), dtype) + end)
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column("doc_id")], ["shard", "ordinal", "doc_id"])
                 ordinal += n
@@ -107,5 +112,5 @@ def document_token_counts(docs: DataFrame, tokenizer_path: str | None = None) ->
     order = write_token_files(docs, folder, tokenizer_path)
     if order.isEmpty():
         return order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "shard", "ordinal")
-    counts = count_tokens(spark, folder).withColumn("shard", F.regexp_extract("path", r"part-(\d+)\.bin$", 1).cast("int"))
+    counts = count_tokens(spark, folder, dtype=id_type(tokenizer_path or default_path(), END_OF_DOCUMENT)).withColumn("shard", F.regexp_extract("path", r"part-(\d+)\.bin$", 1).cast("int"))
     return order.join(counts, ["shard", "ordinal"]).select("doc_id", "n_tokens", "shard", "ordinal")
