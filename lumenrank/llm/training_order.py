@@ -1,17 +1,17 @@
 """Training-order materialisation: a keyed permutation of all sequences, written as fixed-stride shards.
 
 Documents become ids (each ends with the end id) and, within an input partition, sequences of
-``SEQUENCE`` ids; a partition's last sequence is padded with the end id. A partition starts at a
-place in the index space that its bytes bound, so indexes are unique before any text is
-tokenised. A keyed Feistel network permutes the index space; where its power-of-four
-domain is larger, it is walked until it lands inside. A sequence's permuted index decides
-its shard (a range of the permuted space) and its order in it; slots are those orders, counted through
-all shards. A shard is rows of 2 bytes x SEQUENCE and nothing else, so slot s is at a known
-offset of a known file, and a reader resumes from a slot number.
-
-Scale: texts are tokenised once, sequences are shuffled once, by shard. Shards have
-an expected size that is a parameter; hot keys can't exist, as the permutation spreads rows.
-The driver gets one row for each input partition and one for each shard.
+``SEQUENCE`` ids; a partition's last sequence is padded with the end id. Sequences are stored with
+their partition and their place in it, and counted; prefix sums over the partitions number them
+without gaps. A keyed Feistel network permutes these numbers (where its power-of-four domain
+is larger, it is walked until it lands inside), and the permuted number is the
+sequence's global slot. Slots are dealt in ranges: shard s holds slots s * SHARD_ROWS and on, in
+order, and is rows of one width and nothing else, so anyone who has the key knows the place of
+any sequence, and a reader resumes from a slot number.
+
+Scale: texts are tokenised once and sequences shuffled once, by range of slots. Shards have
+a fixed size that is a parameter; hot keys can't exist, as the permutation spreads rows.
+The driver gets one number for each input partition.
 """
 
 from __future__ import annotations
@@ -21,21 +21,24 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenrank.llm.common import id_and_text, materialize, scratch, slices
+from lumenrank.llm.common import discard, id_and_text, materialize, scratch, slices
 from lumenrank.llm.storage import committed, read_range
-from lumenrank.llm.tokens import default_path, encoder
+from lumenrank.llm.tokens import default_path, encoder, id_type, narrowed
 
 SEQUENCE = 2048
 END_ID = 50256
 ROUNDS = 6
-#: Rows of a shard, about.
+#: Rows of a shard; the last has what is left.
 SHARD_ROWS = 8_192
+#: Tasks that write shards, at most; each then writes several in order.
+WRITERS = 20_000
 
 
 class Permutation:
@@ -74,50 +77,27 @@ class Permutation:
         return self._walk(x, True)
 
 
-def materialise(
-    docs: DataFrame, folder: str, key: str = "epoch-0", tokenizer_path: str | None = None, sequence: int = SEQUENCE, shard_rows: int = SHARD_ROWS, end_id: int = END_ID
-) -> DataFrame:
-    """Write the shards under ``folder``; one row per sequence: slot, shard, row, n_tokens, ids_crc32, index, doc_ids.
-
-    ``n_tokens`` leaves padding out and the checksum keeps it in. ``doc_ids`` are the documents with ids in the sequence, in order.
-    ``docs`` must be a stored table: its partitions are read twice and must be the same (a
-    difference is detected and raised). Null text is the empty text, one end id. Repeated rows and
-    null ids are written each. An empty table writes nothing; other columns are not read.
-    """
-    spark, path = docs.sparkSession, tokenizer_path or default_path()
-    docs = id_and_text(docs)
-    sizes = docs.groupBy(F.spark_partition_id().alias("p")).agg((F.sum(F.octet_length("text")) + F.count(F.lit(1))).alias("most")).collect()
-    start, bound, total = {}, {}, 0
-    for r in sorted(sizes, key=lambda r: r["p"]):
-        start[r["p"]], bound[r["p"]] = total, -(-r["most"] // sequence)
-        total += bound[r["p"]]
-    order = Permutation(total, key)
-    # Texts have fewer ids than bytes, by two or more as a rule, so the index space is sparse.
-    shards = max(1, -(-total // (shard_rows * 2)))
-    end = int(end_id).to_bytes(2, "little")
+def _sequences(docs: DataFrame, path: str, sequence: int, end_id: int, dtype: str) -> DataFrame:
+    """(p, i, ids, n_tokens, doc_ids): sequence i of input partition p, its ids compressed, and whose ids it holds."""
+    width = sequence * np.dtype(dtype).itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, p = encoder(path).encode, TaskContext.get().partitionId()
-        held, owners, done, width = bytearray(), [], 0, 2 * sequence
+        encode, p, packed = encoder(path, literal=True).encode, TaskContext.get().partitionId(), pa.Codec("zstd")
+        end = np.array([end_id], dtype).tobytes()
+        held, owners, done, id_kind = bytearray(), [], 0, None
 
         def out(pieces: list[bytes], ids: list[list], real: list[int]) -> pa.RecordBatch:
             nonlocal done
-            if done + len(pieces) > bound.get(p, 0):
-                raise RuntimeError("partitions changed between two reads; store the table first")
-            index = start[p] + done + np.arange(len(pieces))
+            place = range(done, done + len(pieces))
             done += len(pieces)
-            place = order(index)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(place * shards // total), pa.array(place), pa.array(index), pa.array(pieces, pa.binary()), pa.array(real, pa.int64()), pa.array(ids, pa.list_(id_type))],
-                ["shard", "place", "index", "ids", "n_tokens", "doc_ids"],
-            )
+            columns = [pa.array([p] * len(pieces), pa.int64()), pa.array(place, pa.int64()), pa.array([packed.compress(x, asbytes=True) for x in pieces], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(real, pa.int64()), pa.array(ids, pa.list_(id_kind))], ["p", "i", "ids", "n_tokens", "doc_ids"])
 
-        id_type = None
         for batch in slices(batches, "text", 4_000_000):
-            id_type = batch.schema.field("doc_id").type
+            id_kind = batch.schema.field("doc_id").type
             pieces, ids = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                data, at = np.frombuffer(encode(text), "<u4").astype("<u2").tobytes() + end, 0
+                data, at = narrowed(encode(text), dtype) + end, 0
                 while at < len(data):
                     take = min(len(data) - at, width - len(held))
                     held += data[at : at + take]
@@ -130,33 +110,63 @@ def materialise(
             if pieces:
                 yield out(pieces, ids, [sequence] * len(pieces))
         if held:
-            real = len(held) // 2
+            real = len(held) // len(end)
             yield out([bytes(held) + end * (sequence - real)], [owners], [real])
 
-    fields = [("shard", T.LongType()), ("place", T.LongType()), ("index", T.LongType()), ("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType))]
-    pieces = docs.mapInArrow(cut, T.StructType([T.StructField(n, t) for n, t in fields]))
-    dealt = pieces.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "place")
+    fields = [("p", T.LongType()), ("i", T.LongType()), ("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType))]
+    return materialize(docs.mapInArrow(cut, T.StructType([T.StructField(n, t) for n, t in fields])), "sequences")
+
+
+def materialise(
+    docs: DataFrame, folder: str, key: str = "epoch-0", tokenizer_path: str | None = None, sequence: int = SEQUENCE, shard_rows: int = SHARD_ROWS, end_id: int = END_ID
+) -> DataFrame:
+    """Write the shards under ``folder``; one row per sequence: slot, shard, row, n_tokens, ids_crc32, index, doc_ids.
+
+    ``n_tokens`` leaves padding out and the checksum keeps it in. ``doc_ids`` are the documents with ids in the sequence, in order.
+    The slot of number ``index`` is ``Permutation(rows, key)(index)``. Ids take two bytes where the vocabulary
+    and the end id fit, else four; strings of added tokens are ordinary text. Null text is the empty text, one end
+    id. Repeated rows and null ids are written each. An empty table writes nothing; other columns are not read.
+    """
+    path = tokenizer_path or default_path()
+    dtype = id_type(path, end_id)
+    sequences = _sequences(id_and_text(docs), path, sequence, end_id, dtype)
+    counts = sorted((r["p"], r["n"]) for r in sequences.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each input partition
+    numbers, before = np.array([p for p, _ in counts], np.int64), np.concatenate(([0], np.cumsum([n for _, n in counts], dtype=np.int64)))
+    total = int(before[-1])
+    order = Permutation(total, key)
+    shards = max(1, -(-total // shard_rows))
+    tasks = min(shards, WRITERS)
+
+    @F.pandas_udf("long")
+    def index(p: pd.Series, i: pd.Series) -> pd.Series:
+        return pd.Series(before[np.searchsorted(numbers, p.to_numpy())] + i.to_numpy())
+
+    @F.pandas_udf("long")
+    def slot(index: pd.Series) -> pd.Series:
+        return pd.Series(order(index.to_numpy()))
+
+    placed = sequences.select(index("p", "i").alias("index"), "ids", "n_tokens", "doc_ids").withColumn("slot", slot("index"))
+    shard = F.floor(F.col("slot") / shard_rows).cast("long")
+    dealt = placed.repartitionById(tasks, F.floor(shard * tasks / shards).cast("int")).sortWithinPartitions("slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, row, stream, manager = None, 0, None, None
+        shard, stream, manager, packed, size = None, None, None, pa.Codec("zstd"), sequence * np.dtype(dtype).itemsize
         try:
             for batch in batches:
-                rows, crc = [], []
+                slots, crc = batch.column("slot").to_numpy(), []
                 data = batch.column("ids")
-                for i, s in enumerate(batch.column("shard").to_pylist()):
+                for i, s in enumerate((slots // shard_rows).tolist()):
                     if s != shard:
                         if manager:
                             manager.__exit__(None, None, None)
-                        shard, row, manager = s, 0, committed(f"{folder}/shard-{s:08d}.bin")
+                        shard, manager = s, committed(f"{folder}/shard-{s:08d}.bin")
                         stream = manager.__enter__()
-                    piece = data[i].as_buffer()
+                    piece = packed.decompress(data[i].as_buffer(), size)
                     stream.write(piece)
-                    rows.append(row)
                     crc.append(zlib.crc32(piece))
-                    row += 1
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("shard"), pa.array(rows, pa.int64()), batch.column("n_tokens"), pa.array(crc, pa.int64()), batch.column("index"), batch.column("doc_ids")],
-                    ["shard", "row", "n_tokens", "ids_crc32", "index", "doc_ids"],
+                    [batch.column("slot"), pa.array(slots // shard_rows), pa.array(slots % shard_rows), batch.column("n_tokens"), pa.array(crc, pa.int64()), batch.column("index"), batch.column("doc_ids")],
+                    ["slot", "shard", "row", "n_tokens", "ids_crc32", "index", "doc_ids"],
                 )
             if manager:
                 manager.__exit__(None, None, None)
@@ -166,21 +176,25 @@ def materialise(
                 manager.__exit__(type(e), e, e.__traceback__)
             raise
 
-    names = [("shard", T.LongType()), ("row", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType()), ("index", T.LongType()), fields[-1]]
-    written = materialize(dealt.mapInArrow(write, T.StructType([T.StructField(n, t) for n, t in names])), "shard-rows")
-    counts = {r["shard"]: r["n"] for r in written.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each shard
-    first, bases = 0, []
-    for s in sorted(counts):
-        bases.append((s, first))
-        first += counts[s]
-    bases = spark.createDataFrame(bases, "shard long, first long")
-    return written.join(F.broadcast(bases), "shard").select((F.col("first") + F.col("row")).alias("slot"), "shard", "row", "n_tokens", "ids_crc32", "index", "doc_ids")
-
-
-def read_slots(folder: str, shard: int, row: int, rows: int, sequence: int = SEQUENCE) -> np.ndarray:
-    """``rows`` sequences of a shard from ``row`` on, as a (rows, sequence) array; fewer at its end."""
-    data = read_range(f"{folder}/shard-{shard:08d}.bin", row * 2 * sequence, rows * 2 * sequence)
-    return np.frombuffer(data, "<u2").reshape(-1, sequence)
+    names = [(n, T.LongType()) for n in ("slot", "shard", "row", "n_tokens", "ids_crc32", "index")]
+    schema = T.StructType([*(T.StructField(n, t) for n, t in names), sequences.schema["doc_ids"]])
+    written = materialize(dealt.mapInArrow(write, schema), "shard-rows")
+    discard(sequences)
+    return written
+
+
+def read_slots(folder: str, slot: int, rows: int, sequence: int = SEQUENCE, shard_rows: int = SHARD_ROWS, dtype: str = "<u2") -> np.ndarray:
+    """Up to ``rows`` sequences from ``slot`` on, as an array of (rows, sequence); they may lie in several shards, which must exist."""
+    width, out = sequence * np.dtype(dtype).itemsize, []
+    while rows > 0:
+        shard, row = divmod(slot, shard_rows)
+        take = min(rows, shard_rows - row)
+        data = read_range(f"{folder}/shard-{shard:08d}.bin", row * width, take * width)
+        out.append(np.frombuffer(data, dtype).reshape(-1, sequence))
+        if len(out[-1]) < take:
+            break  # the last shard's end
+        slot, rows = slot + take, rows - take
+    return np.concatenate(out) if out else np.zeros((0, sequence), dtype)
 
 
 def training_order(docs: DataFrame) -> DataFrame:

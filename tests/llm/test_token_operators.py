@@ -119,20 +119,27 @@ def test_plan_is_close_to_the_bound():
 
 
 def test_training_order_round_trip(spark, odd, none):
-    docs, folder = materialize(odd.repartition(3), "odd"), scratch(spark, "order")
-    rows = training_order.materialise(docs, folder, shard_rows=8).collect()
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    at = {}
-    for r in rows:
-        (at[r["index"]],) = training_order.read_slots(folder, r["shard"], r["row"], 1)
-        assert zlib.crc32(at[r["index"]].tobytes()) == r["ids_crc32"]
-    length = {r["index"]: r["n_tokens"] for r in rows}
-    stream = np.concatenate([at[i][: length[i]] for i in sorted(at)])
+    folder = scratch(spark, "order")
+    rows = training_order.materialise(odd.repartition(3), folder, sequence=64, shard_rows=8).collect()
+    n = len(rows)
+    assert sorted(r["slot"] for r in rows) == sorted(r["index"] for r in rows) == list(range(n)) and n > 500
+    order = training_order.Permutation(n, "epoch-0")
+    assert all(order(np.array([r["index"]]))[0] == r["slot"] == r["shard"] * 8 + r["row"] for r in rows)
+    held = training_order.read_slots(folder, 0, n + 5, 64, 8)
+    assert held.shape == (n, 64) and (training_order.read_slots(folder, 5, 20, 64, 8) == held[5:25]).all()
+    assert all(zlib.crc32(held[r["slot"]].tobytes()) == r["ids_crc32"] for r in rows)
+    stream = np.concatenate([held[r["slot"]][: r["n_tokens"]] for r in sorted(rows, key=lambda r: r["index"])])
     docs_back = np.split(stream, np.flatnonzero(stream == training_order.END_ID) + 1)[:-1]
     assert Counter(d.tobytes() for d in docs_back) == Counter(np.array([*ids_of(r[1]), training_order.END_ID], "<u2").tobytes() for r in odd_rows())
     assert training_order.training_order(none).count() == 0
 
 
+def test_wide_ids_are_written_whole(spark):
+    folder = scratch(spark, "order")
+    rows = training_order.materialise(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), folder, sequence=8, end_id=70_000).collect()
+    assert training_order.read_slots(folder, 0, 1, 8, dtype="<u4")[0].tolist() == [*ids_of("a b c"), *[70_000] * (8 - len(ids_of("a b c")))] and len(rows) == 1
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 4097])
 def test_permutation(n):
     p = training_order.Permutation(n, "k")
