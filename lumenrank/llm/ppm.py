@@ -1,21 +1,24 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 The model is a byte-context trie of order ``ORDER``, held as counts of (ORDER + 1)-grams of the
-training documents; shorter contexts are its suffix sums. A symbol seen in a context has
-count / (total + distinct); otherwise the model escapes with distinct / (total + distinct)
-to the next shorter context, where symbols of the longer one are excluded, and at last
-to a uniform choice among the bytes never seen. A text is framed by an end symbol.
+training documents. Counts of shorter contexts follow the usual rule that a symbol counts there
+only when the longer context had not seen it: the count is the number of different longer
+contexts. A symbol seen in a context has (count - DISCOUNT) / total; otherwise the model escapes
+with DISCOUNT * distinct / total to the next shorter context, where symbols of the longer one are
+excluded, and at last to a uniform choice among the bytes never seen. A text is framed by an
+end symbol.
 
-Pretrained scoring: the code length of every gram of any text is worked out once, as a
-table, so a document is scored by table look-ups. Adaptive scoring (``adaptive_log10``) starts
-from an empty trie and learns the text as it goes.
+Pretrained scoring (``score``): the code length of every gram of any text is worked out once, as a
+table, so a document is scored by table look-ups. Adaptive scoring (``adaptive_scores``) starts
+from an empty trie for each document and learns it as it goes.
 
 The base score is a smoothed unigram model of words with its counts over all training
 documents. Frequent words, at most ``HEAD``, are broadcast; the others are joined.
 
 Scale: each task combines its counts before the shuffle; the tables of counts and code lengths
-stay distributed and keep every gram. What reaches the driver at a time is bounded by ``HEAD``
-words and ``GRAMS`` code lengths: more grams than that are looked up in several passes over the texts.
+stay distributed, sharded by gram, and keep every gram. What reaches the driver at a time is bounded by
+``HEAD`` words and ``GRAMS`` code lengths: more grams than that are looked up shard by shard, in several
+passes over the texts. Their number grows with the variety of byte sequences, far slower than the text.
 """
 
 from __future__ import annotations
@@ -32,17 +35,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenrank.llm.common import ASCII_LOWER, crc32_mod, id_and_text, materialize, slices
+from lumenrank.llm.common import ASCII_LOWER, crc32_mod, discard, id_and_text, materialize, slices
 
-ORDER = 4
+ORDER = 5
+#: What a symbol gives up of its count for those not seen.
+DISCOUNT = 0.3
 #: Words whose counts are broadcast, at most, and grams that are looked up in a pass, about.
 HEAD = 100_000
-GRAMS = 4_000_000
-#: Code lengths are kept to one part in so many; with it, the longest has so many bits beside a gram's 40.
-UNIT = 1 << 18
-VALUE_BITS = 24
-LONGEST = (1 << VALUE_BITS) - 1
-EMPTY = np.uint64(2**64 - 1)
+GRAMS = 2_900_000
+#: How full a table of code lengths gets, at most.
+FULL = 0.7
+EMPTY = np.int64(-1)
 #: Grams looked up at once, so that the arrays stay in the processor's cache.
 LOOKED_UP = 1 << 15
 #: Frames a text; no UTF-8 text has this byte.
@@ -50,7 +53,7 @@ FRAME = 0xFF
 SMOOTH = 0.1
 #: The end token's key; no word has a space.
 END = b" "
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def words(text: str) -> list[bytes]:
@@ -111,7 +114,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 seen.update(words(text))
             if taught[1]:
                 seen[END] += len(taught[1])
-            if len(seen) > 250_000:
+            if len(seen) > 150_000:
                 yield out(list(seen.values()), keys=list(seen))
                 seen.clear()
             for counts, texts in enumerate(taught):
@@ -131,26 +134,30 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
 
 def code_lengths(counts: DataFrame) -> DataFrame:
-    """(gram, value) of every gram of a count table: minus its log10 probability, in units of 1 / UNIT.
+    """(gram, value) of every gram of a count table: its log10 probability.
 
-    Worked out from the empty context up. A gram that a context lacks has the escape's share of
-    what is left in the next shorter one, without the symbols of the longer one: as those
-    were all seen there too, sums over the shorter context and over its symbols that the
-    longer one has are enough.
+    Counts go from the longest contexts down, probabilities from the empty context up. A
+    gram that a context lacks has the escape's share of what is left in the next shorter one,
+    without the symbols of the longer one: as those were all seen there too, sums over the
+    shorter context and over its symbols that the longer one has are enough.
     """
 
     def ratio(x: Column, y: Column) -> Column:
         return x / F.greatest(y, F.lit(1)).cast("double")
 
-    grams = counts.where("gram IS NOT NULL").select("gram", "n")
-    lower = None
-    for order in range(ORDER + 1):
+    def share(n: Column, total: Column, kinds: Column, after: Column) -> Column:
+        return F.when(n > 0, ratio(n - DISCOUNT, total)).when(total > 0, ratio(kinds * DISCOUNT, total) * after).otherwise(after)
+
+    levels = [counts.where("gram IS NOT NULL").select("gram", "n")]
+    for order in range(ORDER - 1, -1, -1):
         code = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
-        own = (grams.select("gram", "n") if order == ORDER else grams.groupBy(code.alias("gram")).agg(F.sum("n").alias("n"))).withColumn("context", F.shiftright("gram", 8))
+        fewer = levels[0].groupBy(code.alias("gram")).agg(F.sum((F.col("n") > 0).cast("long")).alias("n"))
+        levels.insert(0, materialize(fewer, "ppm-level"))
+    lower, used = None, list(levels[:-1])
+    for order, level in enumerate(levels):
+        own = level.withColumn("context", F.shiftright("gram", 8))
         within = Window.partitionBy("context")
-        if lower is None:
-            own = own.withColumn("before", F.lit(0).cast("long")).withColumn("total0", F.lit(0).cast("long")).withColumn("kinds0", F.lit(0).cast("long")).withColumn("after0", F.lit(0.0))
-        else:
+        if lower is not None:
             below = lower.select(F.col("gram").alias("low"), F.col("n").alias("before"), F.col("total").alias("total0"), F.col("kinds").alias("kinds0"), F.col("after").alias("after0"))
             own = own.withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))).join(below, "low")
         known = F.col("n") > 0
@@ -159,42 +166,46 @@ def code_lengths(counts: DataFrame) -> DataFrame:
             after = ratio(F.lit(1.0), F.lit(256) - F.col("kinds"))
         else:
             own = own.withColumn("total0", F.col("total0") - F.sum(F.when(known, F.col("before")).otherwise(0)).over(within)).withColumn("kinds0", F.col("kinds0") - F.col("kinds"))
-            whole = F.col("total0") + F.col("kinds0")
-            after = F.when(F.col("before") > 0, ratio(F.col("before"), whole)).when(F.col("total0") > 0, ratio(F.col("kinds0"), whole) * F.col("after0")).otherwise(F.col("after0"))
+            after = share(F.col("before"), F.col("total0"), F.col("kinds0"), F.col("after0"))
         lower = own.withColumn("after", after).select("gram", "n", "total", "kinds", "after")
         if order < ORDER:
             lower = materialize(lower, "ppm-order")
-    whole = F.col("total") + F.col("kinds")
-    coded = F.when(F.col("n") > 0, ratio(F.col("n"), whole)).when(F.col("total") > 0, ratio(F.col("kinds"), whole) * F.col("after")).otherwise(F.col("after"))
-    return lower.select("gram", F.least(F.round(-F.log10(coded) * UNIT), F.lit(LONGEST)).cast("long").alias("value"))
+            used.append(lower)
+    out = materialize(lower.select("gram", F.log10(share(F.col("n"), F.col("total"), F.col("kinds"), F.col("after"))).cast("float").alias("value")), "ppm-lengths")
+    for level in used:
+        discard(level)
+    return out
 
 
 class Table:
-    """Code lengths by gram: an open table of (gram << VALUE_BITS | value), at most half full."""
+    """Log probabilities by gram, in an open table."""
 
     def __init__(self, grams: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(grams)).bit_length())
-        self.slots = np.full(1 << self.bits, EMPTY, np.uint64)
-        entries = grams.astype(np.uint64) << np.uint64(VALUE_BITS) | values.astype(np.uint64)
+        self.own = grams, values
+        self.bits = max(4, math.ceil(math.log2((len(grams) + 1) / FULL)))
+        self.slots, self.values = np.full(1 << self.bits, EMPTY, np.int64), np.zeros(1 << self.bits, np.float32)
         at = self._first(grams)
-        while len(entries):
+        while len(grams):
             free = np.flatnonzero(self.slots[at] == EMPTY)
-            self.slots[at[free]] = entries[free]
-            left = self.slots[at] != entries
-            entries, at = entries[left], (at[left] + 1) & (len(self.slots) - 1)
+            self.slots[at[free]] = grams[free]
+            won = self.slots[at] == grams
+            self.values[at[won]] = values[won]
+            grams, values, at = grams[~won], values[~won], (at[~won] + 1) & (len(self.slots) - 1)
+
+    def __reduce__(self):
+        return Table, self.own  # sent without the free places
 
     def _first(self, grams: np.ndarray) -> np.ndarray:
         return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         """The value of each gram, 0 for those of other passes."""
-        out = np.zeros(len(grams), np.int64)
-        left, at = np.arange(len(grams)), self._first(grams)
-        wanted = grams.astype(np.uint64)
+        out = np.zeros(len(grams), np.float32)
+        left, at, wanted = np.arange(len(grams)), self._first(grams), grams
         while len(left):
             slot = self.slots[at]
-            hit = (slot >> np.uint64(VALUE_BITS)) == wanted
-            out[left[hit]] = (slot[hit] & np.uint64(LONGEST)).astype(np.int64)
+            hit = slot == wanted
+            out[left[hit]] = self.values[at[hit]]
             more = ~hit & (slot != EMPTY)
             left, at, wanted = left[more], (at[more] + 1) & (len(self.slots) - 1), wanted[more]
         return out
@@ -209,8 +220,8 @@ class Table:
         for e in starts[1:]:
             codes[e - ORDER : e] = codes[e]  # they cross into the next text's frame and are not summed
         found = [self(codes[i : i + LOOKED_UP]) for i in range(0, len(codes), LOOKED_UP)]
-        total = np.concatenate(([0], np.cumsum(np.concatenate(found) if found else codes)))
-        return (total[ends - ORDER] - total[starts]) / -UNIT
+        total = np.concatenate(([0.0], np.cumsum(np.concatenate(found) if found else codes, dtype=np.float64)))
+        return total[ends - ORDER] - total[starts]
 
 
 def _tables(lengths: DataFrame, most: int) -> Iterator[Table]:
@@ -231,20 +242,35 @@ def adaptive_log10(text: str, order: int = ORDER) -> float:
             own = {s: n for s, n in counts[data[at - k : at]].items() if s not in excluded}
             if not own:
                 continue
-            whole = sum(own.values()) + len(own)
+            whole = sum(own.values())
             if symbol in own:
-                total += math.log10(own[symbol] / whole)
+                total += math.log10((own[symbol] - DISCOUNT) / whole)
                 found = True
                 break
-            total += math.log10(len(own) / whole)
+            total += math.log10(DISCOUNT * len(own) / whole)
             excluded |= own.keys()
         if not found:
             total -= math.log10(256 - len(excluded))
-        for k in range(order + 1):
-            counts[data[at - k : at]][symbol] += 1
+        for k in range(order, -1, -1):
+            context = counts[data[at - k : at]]
+            context[symbol] += 1
+            if context[symbol] > 1:
+                break  # a shorter context counts it only where the longer one had not seen it
     return total
 
 
+def adaptive_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id and score of each document under a trie of its own; null text is the empty text. No row moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BATCH_BYTES):
+            found = [adaptive_log10(t, order) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
+
+    docs = id_and_text(docs)
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+
+
 def _partial(scored: DataFrame, table: Table) -> DataFrame:
     """(row, score) of the texts under one more table."""
     shared = scored.sparkSession.sparkContext.broadcast(table)
@@ -281,7 +307,7 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), head: int = HEAD
     frequent = vocabulary.where(F.col("n") >= least).toArrow()
     bottom = total + SMOOTH * (distinct + 1)
     known = {k: math.log10((n + SMOOTH) / bottom) for k, n in zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist())}
-    lengths = materialize(code_lengths(counts), "ppm-lengths")
+    lengths = code_lengths(counts)
     several = lengths.count() > grams
     tables = _tables(lengths, grams)
     shared = spark.sparkContext.broadcast((known, next(tables)))
