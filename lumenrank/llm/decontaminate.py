@@ -32,7 +32,7 @@ WINDOW = 13
 #: Item text sent to the executors at once, in characters; its windows take about 40 bytes for each, and 100 while they are built.
 BLOCK_CHARS = 1_000_000
 #: Document text in one shard, in bytes.
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 8_000_000
 
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in ASCII_LOWER)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -119,40 +119,42 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("word_spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
-        T.StructField("item_ids", T.ArrayType(T.StringType())),
-    ]
-)
-
-
 def _char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     ends = [(m.start(), m.end()) for m in _WORD.finditer(text.translate({b: b + 32 for b in range(65, 91)}))]
     return [(ends[a][0], ends[b - 1][1]) for a, b in spans]
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
-    """One block of items over all documents; earlier findings are merged."""
+def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, last: bool) -> DataFrame:
+    """One block of items over all documents; earlier findings are merged, and the last pass sums them up."""
     phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
     again = "n_words" in docs.columns
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SHARD_BYTES):
-            found = shard_hits(batch.column("text").to_pylist(), phrases.value)
+            texts = batch.column("text").to_pylist()
+            found = shard_hits(texts, phrases.value)
             if again:
                 before = zip(batch.column("word_spans").to_pylist(), batch.column("item_ids").to_pylist())
                 found = [(n, _merge([*s, *map(tuple, s0)]), sorted({*i, *i0})) for (n, s, i), (s0, i0) in zip(found, before)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("text"), pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([x[1] for x in found], pa.list_(pa.list_(pa.int32()))), pa.array([x[2] for x in found], pa.list_(pa.string())),
-                ],
-                ["doc_id", "text", "n_words", "word_spans", "item_ids"],
-            )
-
-    return docs.mapInArrow(search, T.StructType([docs.schema["doc_id"], docs.schema["text"], *_FOUND.fields]))
+            n, spans, names = ([x[k] for x in found] for k in range(3))
+            ids = pa.array(names, pa.list_(pa.string()))
+            if not last:
+                columns = [batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), ids]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_words", "word_spans", "item_ids"])
+                continue
+            where = [_char_spans(t, s) if s else [] for t, s in zip(texts, spans)]
+            hit = [sum(b - a for a, b in s) for s in spans]
+            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+            columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, hit, list(map(len, names)))), pa.array(digests, pa.string()), ids, pa.array(where, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "item_ids", "spans"])
+
+    spans, ids = T.ArrayType(T.ArrayType(T.IntegerType())), T.StructField("item_ids", T.ArrayType(T.StringType()))
+    counts = [T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")]
+    if last:
+        schema = [docs.schema["doc_id"], *counts, T.StructField("items_sha256", T.StringType()), ids, T.StructField("spans", spans)]
+    else:
+        schema = [docs.schema["doc_id"], docs.schema["text"], counts[0], T.StructField("word_spans", spans), ids]
+    return docs.mapInArrow(search, T.StructType(schema))
 
 
 def decontaminate(
@@ -172,34 +174,9 @@ def decontaminate(
     found = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     for b in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        found = _pass(found, [(r[0], r[1]) for r in part.toLocalIterator()], window)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column("text"), batch.column("word_spans").to_pylist()
-            items = batch.column("item_ids").to_pylist()
-            where = [_char_spans(texts[i].as_py(), s) if s else [] for i, s in enumerate(spans)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("n_words"), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-                    batch.column("item_ids"), pa.array(where, pa.list_(pa.list_(pa.int32()))),
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "item_ids", "spans"],
-            )
-
-    out = found.mapInArrow(
-        digest,
-        T.StructType(
-            [
-                found.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
-                T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()),
-                T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
-            ]
-        ),
-    )
+        found = _pass(found, [(r[0], r[1]) for r in part.toLocalIterator()], window, b == blocks - 1)
     flag = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", flag.alias("contaminated"), "item_ids", "spans")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", flag.alias("contaminated"), "item_ids", "spans")
 
 
 #: The same rows from joins on the windows' words.
