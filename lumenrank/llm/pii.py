@@ -9,9 +9,11 @@ sum-product message passing on the document's graph then makes labels of one val
 agree, so a telephone number that is written once in full is also found where its
 prefix is missing. Base spans are observed nodes.
 
-Training: the base spans label their candidates; feature, chain and skip statistics are
-counted over all documents and the weights are fitted on those counts. What reaches the driver is bounded:
-features take few values, and only ``PATTERNS`` distinct combinations are fitted.
+Training: weights and potentials are fitted together by pseudo-likelihood: the label of a
+node given its features and the labels of its neighbours. Base spans teach their labels, and
+candidates that share no skip edge with a base span teach the label none; a candidate that does is
+the case in question and stays unlabelled. Counts of (features, neighbours' labels, label) come from
+all documents; the ``PATTERNS`` most frequent combinations are fitted, which bounds what reaches the driver.
 
 Scale: two passes over the documents, no document is shuffled.
 """
@@ -35,8 +37,12 @@ from lumenrank.llm.common import id_and_text, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Label 0 is none; label i is KINDS[i - 1].
 LABELS = len(KINDS) + 1
-#: Distinct feature combinations that the weights are fitted on, the most frequent first.
+#: Distinct combinations of features and neighbours that the field is fitted on, the most frequent first.
 PATTERNS = 5_000
+#: Neighbours of one label that count, at most, while fitting.
+NEIGHBOURS = 3
+#: Log potentials before any data: equal labels on a skip edge, and how strongly the fit is held to the start.
+EQUAL, HELD_TO = 7.0, 1e-4
 #: An added span's label has at least this marginal.
 SURE = 0.5
 #: Digits that a candidate without an at sign has at least, and a tail shares at least.
@@ -44,7 +50,7 @@ DIGITS = 7
 #: Code points between neighbours that share a chain potential, at most.
 NEAR = 60
 ROUNDS = 12
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 
 # The patterns.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
@@ -245,64 +251,103 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int, int]], chain: dict[tuple[int, int], int], skip: dict[tuple[int, int], int]) -> Field:
-    """A field from counts: (features, label, n), and label pairs of chain and skip edges."""
-    width = int(_OFFSETS[-1])
-    weights = np.zeros((width, LABELS))
-    if patterns:
-        x = np.array([_OFFSETS[:-1] + p for p, _, _ in patterns])
-        y = np.array([label for _, label, _ in patterns])
-        n = np.log1p(np.array([c for _, _, c in patterns], float))  # frequent patterns do not drown the others
-        n /= n.sum()
-        step = np.zeros_like(weights) + 1e-8
-        for _ in range(400):  # weighted multinomial regression, AdaGrad with an L2 penalty
-            p = _softmax(weights[x].sum(axis=1))
-            p[np.arange(len(y)), y] -= 1
-            gradient = 1e-4 * weights
-            for f in range(x.shape[1]):
-                np.add.at(gradient, x[:, f], p * n[:, None])
-            step += gradient**2
-            weights -= 0.5 * gradient / np.sqrt(step)
-
-    def potential(counts: dict[tuple[int, int], int], prior: np.ndarray) -> np.ndarray:
-        table = prior.copy()
-        for (a, b), c in counts.items():
-            table[a, b] += c
-            table[b, a] += c
-        joint = table / table.sum()
-        own = joint.sum(axis=1)
-        return np.clip(np.log(joint / np.outer(own, own)), -6, 6)
-
-    flat = np.ones((LABELS, LABELS))
-    return Field(weights, potential(chain, 20 * flat), potential(skip, flat + 1000 * np.eye(LABELS)))
+def gradient(field: Field, x: np.ndarray, around: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Minus the weighted log pseudo-likelihood, and its derivatives by weights, chain and skip potentials.
+
+    ``x``: feature indexes of each pattern; ``around``: how many chain and skip neighbours have each
+    label, as (patterns, 2, LABELS); ``y``: labels; ``n``: pattern weights. Potentials are symmetric.
+    """
+    logits = field.weights[x].sum(axis=1) + around[:, 0] @ field.chain + around[:, 1] @ field.skip
+    p = _softmax(logits)
+    loss = -float((n * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))).sum())
+    p[np.arange(len(y)), y] -= 1
+    p *= n[:, None]
+    weights = np.zeros_like(field.weights)
+    for f in range(x.shape[1]):
+        np.add.at(weights, x[:, f], p)
+    pairs = [around[:, k].T @ p for k in range(2)]
+    return loss, [weights, *pairs]
+
+
+def fit(patterns: list[tuple[tuple[int, ...], tuple[int, ...], int, int]], steps: int = 400) -> Field:
+    """A field from counts: (features, neighbours, label, n); neighbours are LABELS chain counts, then LABELS skip counts.
+
+    AdaGrad from no weights, no chain potential and a preference for equal labels on skip edges.
+    """
+    start = [np.zeros((int(_OFFSETS[-1]), LABELS)), np.zeros((LABELS, LABELS)), EQUAL * np.eye(LABELS)]
+    field = Field(*(x.copy() for x in start))
+    if not patterns:
+        return field
+    x = np.array([_OFFSETS[:-1] + f for f, _, _, _ in patterns])
+    around = np.array([c for _, c, _, _ in patterns], float).reshape(-1, 2, LABELS)
+    y = np.array([label for _, _, label, _ in patterns])
+    n = np.log1p(np.array([c for _, _, _, c in patterns], float))  # frequent patterns do not drown the others
+    n /= n.sum()
+    own = [field.weights, field.chain, field.skip]
+    squares = [np.full_like(v, 1e-8) for v in own]
+    for _ in range(steps):
+        _, slopes = gradient(field, x, around, y, n)
+        for k, (v, first, square, slope) in enumerate(zip(own, start, squares, slopes)):
+            if k:
+                slope = (slope + slope.T) / 2
+            slope = slope + HELD_TO * (v - first)
+            square += slope**2
+            v -= 0.5 * slope / np.sqrt(square)
+    np.clip(field.chain, -8, 8, out=field.chain)
+    np.clip(field.skip, -8, 8, out=field.skip)
+    return field
+
+
+def lessons(text: str) -> Iterator[tuple[tuple[int, ...], tuple[int, ...], int]]:
+    """(features, neighbours, label) of the nodes of a text that teach."""
+    nodes = _nodes(text)
+    if not nodes:
+        return
+    chain, skip = edges(text, nodes)
+    labels = [label for _, label, _ in nodes]
+    open_ = set()
+    for i, j in skip:
+        for one, other in ((i, j), (j, i)):
+            if labels[one] < 0 and labels[other] > 0:
+                open_.add(one)
+    known = [None if i in open_ else max(label, 0) for i, label in enumerate(labels)]
+    counts = [[0] * (2 * LABELS) for _ in nodes]
+    for kind, pairs in enumerate((chain, skip)):
+        for i, j in pairs:
+            for one, other in ((i, j), (j, i)):
+                if known[other] is not None:
+                    counts[one][kind * LABELS + known[other]] += 1
+    for (a, _, b), label, own in zip(nodes, known, counts):
+        if label is not None:
+            yield features(text, a, b), tuple(min(c, NEIGHBOURS) for c in own), label
 
 
 def learn(docs: DataFrame) -> Field:
-    """Counts over all documents; a candidate that is no base span teaches the label none."""
+    """A field from the lessons of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[tuple[str, str, int]] = Counter()
-        for batch in batches:
+        total: Counter[tuple[str, int]] = Counter()
+
+        def out() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["value", "label", "n"])
+            total.clear()
+            return found
+
+        for batch in slices(batches, "text", BATCH_BYTES):
             for text in batch.column("text").to_pylist():
-                nodes = _nodes(text)
-                if not nodes:
-                    continue
-                labels = [max(label, 0) for _, label, _ in nodes]
-                for (a, _, b), label in zip(nodes, labels):
-                    total["node", ",".join(map(str, features(text, a, b))), label] += 1
-                for kind, pairs in zip(("chain", "skip"), edges(text, nodes)):
-                    for i, j in pairs:
-                        total[kind, str(labels[i]), labels[j]] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array([k[2] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())],
-            ["what", "value", "label", "n"],
-        )
-
-    counts = docs.select("text").mapInArrow(run, "what string, value string, label int, n long").groupBy("what", "value", "label").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.col("what") == "node", F.desc("n"), "value", "label").limit(PATTERNS).collect()
-    patterns = [(tuple(map(int, r["value"].split(","))), r["label"], r["n"]) for r in rows if r["what"] == "node"]
-    pairs = {what: {(int(r["value"]), r["label"]): r["n"] for r in rows if r["what"] == what} for what in ("chain", "skip")}
-    return fit(patterns, pairs["chain"], pairs["skip"])
+                for own, around, label in lessons(text):
+                    total[",".join(map(str, (*own, *around))), label] += 1
+            if len(total) > 50_000:
+                yield out()
+        yield out()
+
+    counts = docs.select("text").mapInArrow(run, "value string, label int, n long").groupBy("value", "label").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "value", "label").limit(PATTERNS).collect()
+    size, patterns = len(FEATURE_SIZES), []
+    for r in rows:
+        value = tuple(map(int, r["value"].split(",")))
+        patterns.append((value[:size], value[size:], r["label"], r["n"]))
+    return fit(patterns)
 
 
 def _nodes(text: str | None) -> list[tuple[int, int, int]]:

@@ -93,6 +93,59 @@ def test_base_spans_equal_the_patterns(parts):
     pii.candidates(t, pii.base_spans(t))
 
 
+def random_field(seed):
+    r = np.random.default_rng(seed)
+    chain, skip = r.normal(size=(pii.LABELS, pii.LABELS)), r.normal(size=(pii.LABELS, pii.LABELS))
+    return pii.Field(r.normal(size=(int(pii._OFFSETS[-1]), pii.LABELS)), chain + chain.T, skip + skip.T)
+
+
+@pytest.mark.parametrize("text", ["call 555 123 4567 or write a@b or 20 30 40 50 60 70", "+1 (499) 555-6503, later (499) 555-6503, 777 888 99 00", "x@y 1234567 z@q.de 7654321 and 12.34.56.78"])
+def test_marginals_equal_enumeration_where_the_graph_is_a_tree(text):
+    """Sum-product is exact on trees; every labelling is summed here."""
+    from itertools import product
+
+    nodes, field = pii.candidates(text, pii.base_spans(text)), random_field(3)
+    chain, skip = pii.edges(text, nodes)
+    skip = [e for e in skip if e not in chain]
+    assert 2 <= len(nodes) and len(chain) + len(skip) == len(nodes) - 1
+    want = np.zeros((len(nodes), pii.LABELS))
+    for labels in product(range(pii.LABELS), repeat=len(nodes)):
+        if any(own >= 0 and own != x for (_, own, _), x in zip(nodes, labels)):
+            continue
+        total = sum(field.weights[pii._OFFSETS[:-1] + pii.features(text, a, b)].sum(axis=0)[x] for (a, own, b), x in zip(nodes, labels) if own < 0)
+        total += sum(table[labels[i], labels[j]] for table, pairs in ((field.chain, pii.edges(text, nodes)[0]), (field.skip, pii.edges(text, nodes)[1])) for i, j in pairs)
+        for i, x in enumerate(labels):
+            want[i, x] += math.exp(total)
+    assert field.marginals(text, nodes) == pytest.approx(want / want.sum(axis=1, keepdims=True), abs=2e-3)
+
+
+def test_pseudo_likelihood_slopes_equal_differences():
+    r, field = np.random.default_rng(0), random_field(1)
+    x = np.array([pii._OFFSETS[:-1] + [r.integers(n) for n in pii.FEATURE_SIZES] for _ in range(12)])
+    around, y, n = r.integers(0, 3, (12, 2, pii.LABELS)).astype(float), r.integers(0, pii.LABELS, 12), r.random(12)
+    _, slopes = pii.gradient(field, x, around, y, n)
+    for table, slope in zip((field.weights, field.chain, field.skip), slopes):
+        for _ in range(5):
+            at = (r.integers(table.shape[0]), r.integers(table.shape[1]))
+            if table is field.weights:
+                at = (x[0, 0], at[1])
+            table[at] += 1e-5
+            high = pii.gradient(field, x, around, y, n)[0]
+            table[at] -= 2e-5
+            low = pii.gradient(field, x, around, y, n)[0]
+            table[at] += 1e-5
+            assert (high - low) / 2e-5 == pytest.approx(slope[at], abs=1e-6)
+
+
+def test_the_fit_follows_the_data():
+    """Skip potentials are learned: where equal values have different labels, the field comes to prefer that."""
+    own = tuple(0 for _ in pii.FEATURE_SIZES)
+    same = [(own, tuple(int(i == pii.LABELS + k) for i in range(2 * pii.LABELS)), k, 50) for k in range(pii.LABELS)]
+    other = [(own, tuple(int(i == pii.LABELS + (k + 1) % pii.LABELS) for i in range(2 * pii.LABELS)), k, 50) for k in range(pii.LABELS)]
+    agree, differ = pii.fit(same).skip, pii.fit(other + [(own, tuple(int(i == pii.LABELS + (k - 1) % pii.LABELS) for i in range(2 * pii.LABELS)), k, 50) for k in range(pii.LABELS)]).skip
+    assert np.diag(agree).min() >= pii.EQUAL and all(differ[k, (k + 1) % pii.LABELS] > differ[k, k] + 2 for k in range(pii.LABELS))
+
+
 def test_skip_edges_spread_a_label(spark, odd, none):
     full, bare = "+1 (499) 555-6503", "(499) 555-6503"
     rows = [(i, f"call +1 (499) 555-{6000 + i} or write a{i}@b.example or pay 4929348385146306 from 10.0.0.{i}") for i in range(60)]
