@@ -1,148 +1,125 @@
-"""Retrieval and experiment settings, checked when they are built."""
+"""Retrieval settings as tables of arms, checked when they are built.
+
+An arm is a table of chunks with the encoder of its vectors; an arm without an encoder searches words.
+A setting names its arms and says how their ranks are added up; one arm without fusion is a
+setting without ``k``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 #: Dense tables of an encoder start with this name, so an arm can't read vectors of another encoder.
 TABLE_PREFIX = {"qwen": "chunks_qwen", "bge-m3": "chunks_bge_m3"}
 TOP_K_RANGE = (1, 50)
+#: What a source of candidates for the labelling pool can't do without, by type.
+SOURCE_NEEDS = {"pgvector": ("table", "embedder"), "fts": ("table",), "static": ("chunks_file",), "remote": ("index_id",)}
+
+
+def checked_top_k(top_k: int) -> int:
+    low, high = TOP_K_RANGE
+    if not low <= top_k <= high:
+        raise ValueError(f"top_k must be from {low} to {high}, not {top_k}")
+    return top_k
 
 
 @dataclass(frozen=True)
-class ArmConfig:
-    """One candidate generator."""
+class Arm:
+    """A table that gives candidates, by vectors of an encoder or by words, and how many of them count."""
 
-    name: str
-    kind: str
     table: str
-    embedder: str | None = None
+    encoder: str | None = None
     depth: int = 50
 
-    def __post_init__(self):
-        if self.kind not in ("dense", "lexical"):
-            raise ValueError(f"arm {self.name!r}: unknown kind {self.kind!r}")
-        if self.kind == "dense":
-            if self.embedder is None:
-                raise ValueError(f"dense arm {self.name!r} needs an embedder")
-            if self.embedder not in TABLE_PREFIX:
-                raise ValueError(f"arm {self.name!r}: unknown embedder {self.embedder!r}; known: {sorted(TABLE_PREFIX)}")
-            if not self.table.startswith(TABLE_PREFIX[self.embedder]):
-                raise ValueError(f"arm {self.name!r}: embedder {self.embedder!r} can't read table {self.table!r}")
+    def checked(self, name: str) -> Arm:
+        if self.encoder is not None:
+            if self.encoder not in TABLE_PREFIX:
+                raise ValueError(f"arm {name!r}: unknown encoder {self.encoder!r}; known: {sorted(TABLE_PREFIX)}")
+            if not self.table.startswith(TABLE_PREFIX[self.encoder]):
+                raise ValueError(f"arm {name!r}: encoder {self.encoder!r} can't read table {self.table!r}")
+        return self
 
 
 @dataclass(frozen=True)
-class RetrievalConfig:
-    """Arms and how their candidates become one ranking."""
+class Setting:
+    """Arms by name; ``k`` of reciprocal rank fusion, or None for a single arm's own ranking; weights of arms, 1 where absent."""
 
-    arms: tuple[ArmConfig, ...]
-    fusion: str = "single"
-    rrf_k: int = 60
-    weights: tuple[tuple[str, float], ...] | None = None
+    arms: Mapping[str, Arm]
+    k: int | None = None
+    weights: Mapping[str, float] = field(default_factory=dict)
     top_k: int = 10
+    gains: str = "exponential"
 
     def __post_init__(self):
-        if self.fusion not in ("single", "rrf"):
-            raise ValueError(f"unknown fusion {self.fusion!r}")
-        if self.fusion == "single" and len(self.arms) != 1:
-            raise ValueError("single fusion takes exactly one arm")
-
-
-@dataclass(frozen=True)
-class ExperimentConfig:
-    """A named retrieval setting with the gain scheme it is scored by."""
-
-    name: str
-    retrieval: RetrievalConfig
-    gain_scheme: str = "exponential"
-    notes: str = ""
-
-
-@dataclass(frozen=True)
-class RetrieverConfig:
-    """A source of candidates for the labelling pool."""
-
-    name: str
-    type: str
-    table: str | None = None
-    embedder: str | None = None
-    chunks_file: str | None = None
-    index_id: str | None = None
-
-    #: What each type cannot do without.
-    NEEDS = {"pgvector": ("table", "embedder"), "fts": ("table",), "static": ("chunks_file",), "remote": ("index_id",)}
-
-    def __post_init__(self):
-        if self.type not in self.NEEDS:
-            raise ValueError(f"retriever {self.name!r}: unknown type {self.type!r}")
-        for need in self.NEEDS[self.type]:
-            if not getattr(self, need):
-                raise ValueError(f"retriever {self.name!r} of type {self.type!r} needs {need}")
-
-
-def distinct_retrievers(configs: list[RetrieverConfig]) -> dict[str, RetrieverConfig]:
-    """Retrievers by name; a repeated name is an error."""
-    out: dict[str, RetrieverConfig] = {}
-    for c in configs:
-        if c.name in out:
-            raise ValueError(f"duplicate retriever name {c.name!r}")
-        out[c.name] = c
+        for name, arm in self.arms.items():
+            arm.checked(name)
+        if not self.arms or self.k is None and len(self.arms) != 1:
+            raise ValueError("a setting without fusion takes exactly one arm")
+        checked_top_k(self.top_k)
+
+
+def setting_from(spec: Mapping) -> Setting:
+    """A setting from a mapping as a settings file has it: arms (name, kind, table, embedder, depth), fusion, rrf_k, weights, top_k."""
+    arms = {}
+    for a in spec["arms"]:
+        name, kind = a["name"], a["kind"]
+        if kind not in ("dense", "lexical"):
+            raise ValueError(f"arm {name!r}: unknown kind {kind!r}")
+        if kind == "dense" and not a.get("embedder"):
+            raise ValueError(f"dense arm {name!r} needs an embedder")
+        arms[name] = Arm(a["table"], a["embedder"] if kind == "dense" else None, a.get("depth", 50))
+    fusion = spec.get("fusion", "single")
+    if fusion not in ("single", "rrf"):
+        raise ValueError(f"unknown fusion {fusion!r}")
+    return Setting(arms, spec.get("rrf_k", 60) if fusion == "rrf" else None, dict(spec.get("weights") or {}), spec.get("top_k", 10))
+
+
+def pool_sources(specs: list[Mapping]) -> dict[str, Mapping]:
+    """Specs (name, type, and what the type needs) of sources for the labelling pool, by name; a repeated name is an error."""
+    out: dict[str, Mapping] = {}
+    for spec in specs:
+        name, kind = spec["name"], spec.get("type")
+        if name in out:
+            raise ValueError(f"duplicate source name {name!r}")
+        if kind not in SOURCE_NEEDS:
+            raise ValueError(f"source {name!r}: unknown type {kind!r}")
+        if lacking := [n for n in SOURCE_NEEDS[kind] if not spec.get(n)]:
+            raise ValueError(f"source {name!r} of type {kind!r} needs {', '.join(lacking)}")
+        out[name] = spec
     return out
 
 
-def checked_top_k(top_k: int) -> int:
-    low, high = TOP_K_RANGE
-    if not low <= top_k <= high:
-        raise ValueError(f"top_k must be from {low} to {high}, not {top_k}")
-    return top_k
-
-
-QWEN = ArmConfig("qwen", "dense", "chunks_qwen", "qwen")
-BGE = ArmConfig("bge-m3", "dense", "chunks_bge_m3", "bge-m3")
-QWEN_TITLE = ArmConfig("qwen-title", "dense", "chunks_qwen_title", "qwen")
-FTS = ArmConfig("fts", "lexical", "chunks_fts")
-
-SHIPPED = RetrievalConfig((QWEN, BGE, FTS), "rrf", rrf_k=5)
-
-
-def _three(depth: int = 50, k: int = 60, first: ArmConfig = QWEN, **weights: float) -> RetrievalConfig:
-    arms = tuple(replace(a, depth=depth) for a in (first, BGE, FTS))
-    named = tuple((n.replace("_", "-"), w) for n, w in weights.items()) or None
-    return RetrievalConfig(arms, "rrf", k, named)
-
-
-def _alone(arm: ArmConfig) -> RetrievalConfig:
-    return RetrievalConfig((replace(arm, depth=10),))
+# The published arms, and the experiments' names and settings.
+ARMS = {"qwen": Arm("chunks_qwen", "qwen"), "bge-m3": Arm("chunks_bge_m3", "bge-m3"), "qwen-title": Arm("chunks_qwen_title", "qwen"), "fts": Arm("chunks_fts")}
+SHIPPED = Setting({n: ARMS[n] for n in ("qwen", "bge-m3", "fts")}, k=5)
 
 
-def _two(a: ArmConfig, b: ArmConfig) -> RetrievalConfig:
-    return RetrievalConfig((a, b), "rrf")
+def _published(names: str, k: int | None = 60, depth: int = 50, **weights: float) -> Setting:
+    return Setting({n: replace(ARMS[n], depth=depth) for n in names.split()}, k, {n.replace("_", "-"): w for n, w in weights.items()})
 
 
-# The published experiment names and their settings.
+_ALL = "qwen bge-m3 fts"
 EXPERIMENTS = {
-    name: ExperimentConfig(name, retrieval)
-    for name, retrieval in {
-        "baseline-qwen": _alone(QWEN),
-        "baseline-bge-m3": _alone(BGE),
-        "baseline-fts": _alone(FTS),
-        "baseline-qwen-title": _alone(QWEN_TITLE),
-        "rrf-qwen-bge": _two(QWEN, BGE),
-        "rrf-qwen-fts": _two(QWEN, FTS),
-        "rrf-bge-fts": _two(BGE, FTS),
-        "rrf-qwen-bge-fts": _three(),
-        "rrf-3arm-d20": _three(20),
-        "rrf-3arm-d100": _three(100),
-        "rrf-3arm-k30": _three(k=30),
-        "rrf-3arm-k10": _three(k=10),
-        "rrf-3arm-k5": _three(k=5),
-        "rrf-3arm-k2": _three(k=2),
-        "rrf-3arm-k1": _three(k=1),
-        "rrf-3arm-k10-d20": _three(20, 10),
-        "rrf-3arm-k10-title": _three(k=10, first=QWEN_TITLE),
-        "rrf-3arm-dense-heavy": _three(qwen=1.0, bge_m3=1.0, fts=0.5),
-        "rrf-3arm-lexical-heavy": _three(qwen=1.0, bge_m3=1.0, fts=2.0),
-    }.items()
+    "baseline-qwen": _published("qwen", None, 10),
+    "baseline-bge-m3": _published("bge-m3", None, 10),
+    "baseline-fts": _published("fts", None, 10),
+    "baseline-qwen-title": _published("qwen-title", None, 10),
+    "rrf-qwen-bge": _published("qwen bge-m3"),
+    "rrf-qwen-fts": _published("qwen fts"),
+    "rrf-bge-fts": _published("bge-m3 fts"),
+    "rrf-qwen-bge-fts": _published(_ALL),
+    "rrf-3arm-d20": _published(_ALL, depth=20),
+    "rrf-3arm-d100": _published(_ALL, depth=100),
+    "rrf-3arm-k30": _published(_ALL, 30),
+    "rrf-3arm-k10": _published(_ALL, 10),
+    "rrf-3arm-k5": _published(_ALL, 5),
+    "rrf-3arm-k2": _published(_ALL, 2),
+    "rrf-3arm-k1": _published(_ALL, 1),
+    "rrf-3arm-k10-d20": _published(_ALL, 10, 20),
+    "rrf-3arm-k10-title": _published("qwen-title bge-m3 fts", 10),
+    "rrf-3arm-dense-heavy": _published(_ALL, qwen=1.0, bge_m3=1.0, fts=0.5),
+    "rrf-3arm-lexical-heavy": _published(_ALL, qwen=1.0, bge_m3=1.0, fts=2.0),
 }
 
 

@@ -23,7 +23,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where a vector is zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:

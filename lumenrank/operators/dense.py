@@ -20,11 +20,16 @@ QUERY_BLOCK = 4_096
 
 
 def dense_scores(queries: DataFrame, index: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """(qid, id, score) of all pairs, in Catalyst only: the readable form, for small query sets."""
+    """(qid, id, score) of all pairs, in Catalyst only: the readable form, for at most ``QUERY_BLOCK`` queries.
+
+    More would be sent to every executor; ``dense_search`` takes those.
+    """
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries: use dense_search")
     pairs = index.crossJoin(F.broadcast(queries.select("qid", F.col("vector").alias("query"))))
     if exclude_self:
         pairs = pairs.where(F.col("qid") != F.col("id"))
-    return pairs.select("qid", "id", F.round(cosine(F.col("vector"), F.col("query")), DIGITS).alias("score"))
+    return pairs.select("qid", "id", F.round(cosine(F.col("vector"), F.col("query")), DIGITS).alias("score")).where("score IS NOT NULL")
 
 
 def dense_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
@@ -55,18 +60,13 @@ def dense_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_
                 ids = batch.column("id").take(pa.array(good))
                 flat = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
                 scores = np.round(_unit(flat) @ unit.T, DIGITS)
-                names = ids.to_pylist()
-                order = np.argsort(np.array(names), kind="stable")
-                left, right, value = [], [], []
-                for j, qid in enumerate(qids):
-                    by_id = scores[order, j]
-                    best = order[np.argsort(-by_id, kind="stable")[: depth + exclude_self]]
-                    for i in best:
-                        if not (exclude_self and names[i] == qid) and np.isfinite(scores[i, j]):
-                            left.append(qid)
-                            right.append(names[i])
-                            value.append(float(scores[i, j]))
-                yield pa.RecordBatch.from_arrays([pa.array(left, qid_type), pa.array(right, ids.type), pa.array(value, pa.float64())], ["qid", "id", "score"])
+                scores[~np.isfinite(scores)] = -np.inf
+                keep = min(depth + exclude_self, len(scores))
+                least = np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep]
+                row, query = np.nonzero((scores >= least) & (scores > -np.inf))  # ties at the end stay; the final ranking decides them
+                left, right = pa.array(qids, qid_type).take(pa.array(query)), ids.take(pa.array(row))
+                found = pa.RecordBatch.from_arrays([left, right, pa.array(scores[row, query])], ["qid", "id", "score"])
+                yield found.filter(pc.not_equal(left, right)) if exclude_self else found
 
         best = index.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, T.StructType(types))
         out = best if out is None else out.unionByName(best)
@@ -80,29 +80,48 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.where(size > 0, matrix / np.where(size > 0, size, 1), np.nan)
 
 
+#: Rows that share a bucket of one table, about.
+BUCKET_ROWS = 64
+
+
 class ApproximateIndex:
-    """Random-projection buckets on unit vectors; candidates are scored exactly."""
+    """Random-projection buckets on unit vectors; candidates are scored exactly.
 
-    def __init__(self, index: DataFrame, tables: int = 12, bits: int = 6, seed: int = 7):
-        size = len(index.select("vector").first()[0])
-        planes = np.random.default_rng(seed).standard_normal((tables, bits, size))
-        self.planes, self.index = planes, index
-        self.buckets = self._hashed(index.select("id", "vector"), "id")
+    The bits of a bucket grow with the number of rows, so that a query meets a bounded number in each
+    table; it also asks the buckets that differ from its own in one bit. Null vectors, zero vectors and
+    those of another length are not found; an empty table finds nothing.
+    """
 
-    def _hashed(self, df: DataFrame, key: str) -> DataFrame:
+    def __init__(self, index: DataFrame, tables: int = 12, bits: int | None = None, seed: int = 7):
+        self.index = index.select("id", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") > 0)
+        first = self.index.select(F.size("vector").alias("size")).first()
+        self.size = first["size"] if first else 1
+        self.index = self.index.where(F.size("vector") == self.size)
+        if bits is None:
+            bits = min(20, max(4, (self.index.count() // BUCKET_ROWS).bit_length()))
+        self.planes = np.random.default_rng(seed).standard_normal((tables, bits, self.size))
+        self.buckets = self._hashed(self.index, "id", False)
+
+    def _hashed(self, df: DataFrame, key: str, probe: bool) -> DataFrame:
         planes = self.planes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights = 1 << np.arange(planes.shape[1])
+            tables, bits, size = planes.shape
+            weights = 1 << np.arange(bits, dtype=np.int64)
             for batch in batches:
-                flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                codes = ((np.einsum("tbd,nd->ntb", planes, flat) > 0) * weights).sum(axis=2) + np.arange(planes.shape[0]) * (1 << planes.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(codes), pa.list_(pa.int64()))], [key, "codes"])
-
-        hashed = df.select(key, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, T.StructType([df.schema[key], T.StructField("codes", T.ArrayType(T.LongType()))]))
+                flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                codes = ((np.einsum("tbd,nd->ntb", planes, flat) > 0) * weights).sum(axis=2)
+                if probe:
+                    codes = codes[:, :, None] ^ np.concatenate(([0], weights))
+                codes = codes + (np.arange(tables, dtype=np.int64) << bits).reshape(1, -1, *[1] * probe)
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(codes.reshape(len(flat), -1)), pa.list_(pa.int64()))], [key, "codes"])
+
+        hashed = df.select(key, "vector").mapInArrow(run, T.StructType([df.schema[key], T.StructField("codes", T.ArrayType(T.LongType()))]))
         return hashed.select(key, F.explode("codes").alias("code"))
 
     def search(self, queries: DataFrame, depth: int = 10) -> DataFrame:
-        pairs = self.buckets.join(self._hashed(queries, "qid"), "code").select("qid", "id").distinct()
-        scored = pairs.join(self.index.select("id", "vector"), "id").join(queries.select("qid", F.col("vector").alias("query")), "qid")
-        return ranked(scored.select("qid", "id", F.round(cosine(F.col("vector"), F.col("query")), DIGITS).alias("score")), depth)
+        asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") == self.size)
+        pairs = self.buckets.join(self._hashed(asked, "qid", True), "code").select("qid", "id").distinct()
+        scored = pairs.join(self.index, "id").join(asked.select("qid", F.col("vector").alias("query")), "qid")
+        found = scored.select("qid", "id", F.round(cosine(F.col("vector"), F.col("query")), DIGITS).alias("score"))
+        return ranked(found.where(F.col("score").isNotNull() & ~F.isnan("score")), depth)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.functions.text import chunk_key
+from lumenrank.operators.keyed import once
 
 # Names under which retrievers return the same thing, the first present wins.
 ID_FIELDS = ("chunk_id", "doc_id", "id")
@@ -15,27 +16,36 @@ METADATA_FIELDS = ("metadata", "doc_metadata")
 GRADES = (0, 1, 2)
 
 
-def _first(row: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.get_json_object(row, f"$.{n}") for n in names))
+def _present(row: Column, names: tuple[str, ...]) -> Column:
+    """The first of the named fields that is there and not null, as a variant."""
+    parsed = F.try_parse_json(row)
+    found = (F.try_variant_get(parsed, f"$.{n}", "variant") for n in names)
+    return F.coalesce(*(F.when(~F.is_variant_null(v), v) for v in found))
+
+
+def _kind(value: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
 
 
 def normalise_rows(rows: DataFrame, column: str = "row") -> DataFrame:
     """Retriever rows as JSON text to chunk_id, text, score, metadata.
 
-    Ids become text; text that is no string and scores that are no numbers become null;
-    metadata that is no object becomes empty; ``source`` joins the metadata unless it is there already.
+    Of several names the first that is not null counts. Ids become text; text that is no string and
+    scores that are no numbers (a string of digits is none) become null; metadata that is no object becomes
+    empty; a ``source`` that is a string joins the metadata unless it is there already.
     """
     row = F.col(column)
-    texts = F.coalesce(*(F.try_variant_get(F.try_parse_json(row), f"$.{n}", "variant") for n in TEXT_FIELDS))
-    is_text = F.schema_of_variant(texts) == "STRING"
-    meta = F.coalesce(F.from_json(_first(row, METADATA_FIELDS), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    source = F.get_json_object(row, "$.source")
-    with_source = F.when(source.isNotNull() & ~F.map_contains_key(meta, "source"), F.map_concat(meta, F.create_map(F.lit("source"), source))).otherwise(meta)
+    ids, texts, scores, metas, source = (_present(row, n) for n in (ID_FIELDS, TEXT_FIELDS, SCORE_FIELDS, METADATA_FIELDS, ("source",)))
+    number = _kind(scores).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN")
+    meta = F.when(_kind(metas) == "OBJECT", F.from_json(F.to_json(metas), "map<string,string>"))
+    meta = F.coalesce(meta, F.create_map().cast("map<string,string>"))
+    named = F.when(_kind(source) == "STRING", F.try_variant_get(source, "$", "string"))
+    with_source = F.when(named.isNotNull() & ~F.map_contains_key(meta, "source"), F.map_concat(meta, F.create_map(F.lit("source"), named))).otherwise(meta)
     return rows.withColumns(
         {
-            "chunk_id": _first(row, ID_FIELDS),
-            "text": F.when(is_text, _first(row, TEXT_FIELDS)),
-            "score": F.expr(f"try_cast(coalesce({', '.join(f'get_json_object({column}, \"$.{n}\")' for n in SCORE_FIELDS)}) AS double)"),
+            "chunk_id": F.try_variant_get(ids, "$", "string"),
+            "text": F.when(_kind(texts) == "STRING", F.try_variant_get(texts, "$", "string")),
+            "score": F.when(number, F.try_variant_get(scores, "$", "double")),
             "metadata": with_source,
         }
     )
@@ -66,9 +76,11 @@ def checked_grades(judgments: DataFrame) -> DataFrame:
 def upsert_judgments(store: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """The store with new judgments: all is replaced but created_at; updated_at is ``now``.
 
-    Both have (query_key, chunk_key, score, text); the store also created_at and updated_at.
+    Both have (query_key, chunk_key, score, text); the store also created_at and updated_at. A key that
+    is judged twice in ``new`` fails the job.
     """
     keys = ["query_key", "chunk_key"]
+    new = once(new, keys)
     fresh = new.join(store.select(*keys, "created_at"), keys, "left")
     fresh = fresh.select(*keys, "score", "text", F.coalesce("created_at", now).alias("created_at"), now.alias("updated_at"))
     return store.join(new.select(*keys), keys, "left_anti").select(fresh.columns).unionByName(fresh)

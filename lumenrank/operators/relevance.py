@@ -44,17 +44,19 @@ def ideal(gains: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     )
 
 
-def annotated_metrics(judged: DataFrame, gains: DataFrame, k: int = 10, small: int = 5, digits: int = 6) -> DataFrame:
+def annotated_metrics(judged: DataFrame, gains: DataFrame, k: int = 10, small: int = 5, digits: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per query of ``judged`` (qid, rank, gain): ndcg, condensed ndcg, recall, mrr, precision, coverage.
 
+    With ``by``, columns such as the setting, one row for each of their values and query.
+
     Unjudged rows count as not relevant, but not in the condensed ndcg, where they are left
     out and the ranks close up. Precision divides by k even when fewer rows came back.
     """
     rows = judged.where(F.col("rank") <= k)
-    close = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("gain").isNull().cast("int"), "rank"))
+    close = F.row_number().over(Window.partitionBy(*by, "qid").orderBy(F.col("gain").isNull().cast("int"), "rank"))
     rows = rows.withColumn("closed", F.when(F.col("gain").isNotNull(), close))
     hit = F.col("gain") > 0
-    sums = rows.groupBy("qid").agg(
+    sums = rows.groupBy(*by, "qid").agg(
         dcg(F.col("gain"), F.col("rank")).alias("dcg"), F.sum(F.when(F.col("rank") <= small, F.coalesce("gain", F.lit(0)) / F.log2(F.col("rank") + 1))).alias("dcg_small"),
         F.coalesce(F.sum(F.col("gain") / F.log2(F.col("closed") + 1)), F.lit(0.0)).alias("dcg_closed"), F.count_if(hit).alias("hits"),
         F.min(F.when(hit, F.col("rank"))).alias("first"), F.count("gain").alias("judged"), F.count(F.lit(1)).alias("returned"),
@@ -65,7 +67,7 @@ def annotated_metrics(judged: DataFrame, gains: DataFrame, k: int = 10, small: i
         return F.round(F.coalesce(F.when(b > 0, a / b), F.lit(0.0)), digits)
 
     return both.select(
-        "qid", "num_relevant", over(F.col("dcg"), F.col(f"ideal_{k}")).alias(f"ndcg_{k}"), over(F.col("dcg_closed"), F.col(f"ideal_{k}")).alias(f"condensed_ndcg_{k}"),
+        *by, "qid", "num_relevant", over(F.col("dcg"), F.col(f"ideal_{k}")).alias(f"ndcg_{k}"), over(F.col("dcg_closed"), F.col(f"ideal_{k}")).alias(f"condensed_ndcg_{k}"),
         over(F.col("dcg_small"), F.col(f"ideal_{small}")).alias(f"ndcg_{small}"), over(F.col("hits"), F.col("num_relevant")).alias(f"recall_{k}"),
         F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), digits).alias(f"mrr_{k}"), F.round(F.col("hits") / k, digits).alias(f"precision_{k}"),
         over(F.col("judged"), F.col("returned")).alias(f"coverage_{k}"),
@@ -79,12 +81,15 @@ def positives_with_rank(judged: DataFrame, gains: DataFrame, by_id: DataFrame) -
     return gains.where("gain > 0").join(ids, ["qid", "chunk_key"], "left").join(found, ["qid", "chunk_key"], "left").select("qid", "chunk_key", "id", "gain", "rank")
 
 
-def file_metrics(results: DataFrame, targets: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """(qid, file_recall, file_mrr) for targets (qid, source): whether, and how high, the source came back."""
-    hits = results.where(F.col("rank") <= k).join(targets.select("qid", F.col("source").alias("target")), "qid")
-    first = hits.where(F.col("source") == F.col("target")).groupBy("qid").agg(F.min("rank").alias("first"))
-    all_ = targets.select("qid").distinct().join(first, "qid", "left")
-    return all_.select("qid", F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0).alias("file_recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), digits).alias("file_mrr"))
+def file_metrics(results: DataFrame, targets: DataFrame, k: int = 10, digits: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, qid, file_recall, file_mrr) for targets (qid, source): whether, and how high, the source came back.
+
+    ``targets`` has the ``by`` columns too.
+    """
+    hits = results.where(F.col("rank") <= k).join(targets.select(*by, "qid", F.col("source").alias("target")), [*by, "qid"])
+    first = hits.where(F.col("source") == F.col("target")).groupBy(*by, "qid").agg(F.min("rank").alias("first"))
+    all_ = targets.select(*by, "qid").distinct().join(first, [*by, "qid"], "left")
+    return all_.select(*by, "qid", F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0).alias("file_recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), digits).alias("file_mrr"))
 
 
 def split_keys(keys: DataFrame, seed: int = 17, share: float = 0.7) -> DataFrame:
@@ -94,9 +99,14 @@ def split_keys(keys: DataFrame, seed: int = 17, share: float = 0.7) -> DataFrame
     several strata belongs to the first.
     """
     own = keys.groupBy("query_key").agg(F.min(F.struct("ordinal", "stratum"))["stratum"].alias("stratum"))
-    shuffled = F.row_number().over(Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "query_key")), "query_key"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("stratum"))
-    cut = own.withColumn("r", shuffled).withColumn("n", n)
+    # Few strata may hold many keys: a key's place is what the hash ranges before its own hold, and its place in that.
+    own = own.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "query_key"))).withColumn("range", F.substring("h", 1, 3))
+    counts = own.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy("stratum")
+    before = F.coalesce(F.sum("c").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select("stratum", "range", before.alias("base"), F.sum("c").over(whole).alias("n"))
+    within = F.row_number().over(Window.partitionBy("stratum", "range").orderBy("h", "query_key"))
+    cut = own.withColumn("i", within).join(places, ["stratum", "range"]).withColumn("r", F.col("base") + F.col("i"))
     return cut.select("query_key", "stratum", F.when(F.col("r") <= F.bround(F.col("n") * share), "train").otherwise("val").alias("split"))
 
 
@@ -106,11 +116,11 @@ def assigned(records: DataFrame, split: DataFrame) -> DataFrame:
     return records.join(one, "query_key", "left").withColumn("split", F.coalesce("split", F.lit("unassigned")))
 
 
-def split_means(records: DataFrame, metrics: list[str], digits: int = 6) -> DataFrame:
-    """(split, kind, num_queries, num_scored, means...) over train and val.
+def split_means(records: DataFrame, metrics: list[str], digits: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, split, kind, num_queries, num_scored, means...) over train and val.
 
     Annotated queries without any relevant item count but are not scored; 0 is the mean of nothing.
     """
     scored = (F.col("kind") != "annotated") | (F.col("num_relevant") > 0)
     means = [F.round(F.coalesce(F.avg(F.when(scored, F.col(m))), F.lit(0.0)), digits).alias(m) for m in metrics]
-    return records.where(F.col("split").isin("train", "val")).groupBy("split", "kind").agg(F.count(F.lit(1)).alias("num_queries"), F.count_if(scored).alias("num_scored"), *means)
+    return records.where(F.col("split").isin("train", "val")).groupBy(*by, "split", "kind").agg(F.count(F.lit(1)).alias("num_queries"), F.count_if(scored).alias("num_scored"), *means)

@@ -21,6 +21,23 @@ def deltas(before: DataFrame, after: DataFrame, metric: str, digits: int = 6) ->
     return old.join(new, "query_key").withColumn("delta", F.round(F.col("after") - F.col("before"), digits))
 
 
+def by_metric(runs: DataFrame, metric: str = "ndcg_10", split: str = "train", kind: str = "annotated") -> DataFrame:
+    """(run_id, metric) of one split and kind, the best first; runs without a value last."""
+    return runs.where((F.col("split") == split) & (F.col("kind") == kind)).select("run_id", metric).orderBy(F.desc_nulls_last(metric), "run_id")
+
+
+def diff_report(before: DataFrame, after: DataFrame, metric: str, results_before: DataFrame, results_after: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a comparison of two runs prints: all deltas, what the top ``n`` movers gained and lost, and a summary row.
+
+    ``before`` and ``after``: (query_key, seq, metric); results: (query_key, id, rank).
+    """
+    changes = deltas(before, after, metric)
+    top = movers(changes, n)
+    keys = top.select("query_key")
+    moved = ranking_diff(results_before.join(keys, "query_key", "left_semi"), results_after.join(keys, "query_key", "left_semi"))
+    return changes, moved.where("change <> 'moved'"), delta_summary(changes)
+
+
 def delta_summary(changes: DataFrame, digits: int = 6) -> DataFrame:
     """One row: mean delta (0 of none), how many changed, how many compared."""
     return changes.agg(

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenrank.config import SHIPPED, Arm, Setting
 from lumenrank.functions import text as tx
 from lumenrank.functions import vectors
-from lumenrank.operators import chat, dense, files, fusion, keyed, lexical, pooling, relevance, runs
+from lumenrank.operators import chat, dense, experiments, files, fusion, keyed, lexical, pooling, relevance, runs
 from lumenrank.plans import derived as d
 from lumenrank.sources.notes import to_chunks
 
@@ -216,26 +217,17 @@ def rrf_weighted(spark, sf):
 
 @query("SELECT qid, id, score, rank, rank AS arm_rank FROM arm_all WHERE rank <= 10", "arm_all")
 def single_arm(spark, sf):
-    from lumenrank.config import ArmConfig, RetrievalConfig
-
-    config = RetrievalConfig((ArmConfig("all", "lexical", "chunks_fts", depth=10),))
-    out = fusion.merge(d.arms(spark, sf), config)
+    out = fusion.merge(d.arms(spark, sf), Setting({"all": Arm("chunks_fts", depth=10)}))
     return out.select("qid", "id", "score", "rank", out.arms["all"].alias("arm_rank"))
 
 
 @query()
 def hybrid_retrieve(spark, sf):
-    from lumenrank.config import SHIPPED
-
-    own, notes = d.index(spark, sf), d.notes(spark, sf)
-    table = notes.select("id", vectors.embed(F.col("text")).alias("vector"))
+    notes = d.notes(spark, sf)
+    plain = notes.select("id", vectors.embed(F.col("text")).alias("vector"))
     titled = notes.select("id", vectors.embed(tx.titled(F.col("title"), F.col("text"))).alias("vector"))
-
-    def arm(table):
-        return lambda asked, depth: dense.dense_search(asked.select("qid", vectors.embed(F.col("query")).alias("vector")), table, depth)
-
-    search = {"qwen": arm(table), "bge-m3": arm(titled), "fts": own.search}
-    return fusion.Retriever(SHIPPED, search).retrieve(d.queries(spark, sf)).withColumn("arms", F.to_json("arms"))
+    kept = fusion.default_retriever(SHIPPED, {"chunks_qwen": plain, "chunks_bge_m3": titled}, {"qwen": vectors.embed, "bge-m3": vectors.embed}, {"chunks_fts": d.index(spark, sf)})
+    return kept.retrieve(d.queries(spark, sf)).withColumn("arms", F.to_json("arms"))
 
 
 _SETTINGS = [("d20-k5", 20, 5), ("d50-k5", 50, 5), ("d50-k10", 50, 10), ("d50-k60", 50, 60)]
@@ -305,6 +297,54 @@ def aggregate_by_split(spark, sf):
     return relevance.split_means(relevance.assigned(records, _split(spark, sf)), ["ndcg_10", "precision_10"])
 
 
+_EXPERIMENTS = {
+    "fts-alone": Setting({"fts": Arm("chunks_fts", depth=10)}),
+    "rrf-k5": Setting({"fts": Arm("chunks_fts"), "all": Arm("chunks_fts")}, 5),
+    "rrf-d20": Setting({"fts": Arm("chunks_fts", depth=20), "all": Arm("chunks_fts", depth=20)}, 60),
+    "rrf-heavy": Setting({"fts": Arm("chunks_fts"), "all": Arm("chunks_fts")}, 60, {"fts": 2.0}),
+}
+
+
+def _experiment(spark, sf):
+    results, gains, by_id = d.pooled_gains(spark, sf)
+    asked, notes = d.queries(spark, sf).select("qid", "query_key"), d.notes(spark, sf).select("id", "source")
+    targets = d.passages(spark, sf).join(asked, "qid")
+    return experiments.run_experiments(results, _EXPERIMENTS, asked, gains, by_id, _split(spark, sf), targets, notes)
+
+
+_SETTING_ROWS = ", ".join(f"('{n}', '{arm}', {a.depth}, {float(s.weights.get(arm, 1.0))}::DOUBLE, {s.k or 'NULL'})" for n, s in _EXPERIMENTS.items() for arm, a in s.arms.items())
+_SETTING_RANKS = f"""SELECT *, row_number() OVER (PARTITION BY setting, qid ORDER BY score DESC, id) AS rank FROM (SELECT setting, qid, id, round(sum(CASE WHEN k IS NULL THEN score ELSE weight / (k + rank) END), 9) AS score
+  FROM united JOIN (VALUES {_SETTING_ROWS}) v(setting, arm, depth, weight, k) USING (arm) WHERE rank <= depth GROUP BY setting, qid, id) QUALIFY rank <= 10"""
+_SETTING_GAINS = f"SELECT r.*, p.gain FROM ({_SETTING_RANKS}) r LEFT JOIN pool p ON p.qid = r.qid AND p.id = r.id"
+_SETTING_METRICS = f"""SELECT setting, qid, coalesce(num_relevant, 0) AS num_relevant, round(coalesce(dcg / ideal_10, 0), 6) AS ndcg_10, round(hits / 10.0::DOUBLE, 6) AS precision_10,
+  round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr_10, round(n_judged / CAST(returned AS DOUBLE), 6) AS coverage_10, returned - n_judged AS unjudged
+  FROM (SELECT setting, qid, sum(coalesce(gain, 0) / log2(rank + 1)) AS dcg, count(*) FILTER (gain > 0) AS hits, min(rank) FILTER (gain > 0) AS first, count(gain) AS n_judged, count(*) AS returned
+  FROM ({_SETTING_GAINS}) GROUP BY setting, qid) LEFT JOIN ideal USING (qid)"""
+_SETTING_FILES = f"""SELECT s.setting, p.qid, CASE WHEN first IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS file_recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS file_mrr
+  FROM passages p CROSS JOIN (SELECT DISTINCT setting FROM (VALUES {_SETTING_ROWS}) v(setting, arm, depth, weight, k)) s
+  LEFT JOIN (SELECT setting, r.qid, min(rank) AS first FROM ({_SETTING_RANKS}) r JOIN notes USING (id) JOIN passages q ON q.qid = r.qid AND q.source = notes.source GROUP BY setting, r.qid) f ON f.setting = s.setting AND f.qid = p.qid"""
+
+
+@query(
+    f"""SELECT setting, split, kind, count(*) AS num_queries, count(*) FILTER (scored) AS num_scored, round(coalesce(avg(ndcg_10) FILTER (scored), 0), 6) AS ndcg_10, round(coalesce(avg(precision_10) FILTER (scored), 0), 6) AS precision_10,
+  round(coalesce(avg(mrr_10) FILTER (scored), 0), 6) AS mrr_10, round(coalesce(avg(coverage_10) FILTER (scored), 0), 6) AS coverage_10, round(coalesce(avg(file_recall) FILTER (scored), 0), 6) AS file_recall, round(coalesce(avg(file_mrr) FILTER (scored), 0), 6) AS file_mrr
+  FROM (SELECT setting, qid, 'annotated' AS kind, num_relevant > 0 AS scored, ndcg_10, precision_10, mrr_10, coverage_10, NULL::DOUBLE AS file_recall, NULL::DOUBLE AS file_mrr FROM ({_SETTING_METRICS})
+  UNION ALL SELECT setting, qid, 'generated', true, NULL, NULL, NULL, NULL, file_recall, file_mrr FROM ({_SETTING_FILES})) JOIN queries USING (qid) JOIN ({_SPLIT}) s ON s.query_key = queries.query_key GROUP BY setting, split, kind""",
+    "united", "pool", "ideal", "passages", "notes", "queries",
+)
+def experiment_metrics(spark, sf):
+    """Retrieve once, fuse and score four settings on annotated and generated queries, average by split."""
+    return _experiment(spark, sf).metrics.select("setting", "split", "kind", "num_queries", "num_scored", "ndcg_10", "precision_10", "mrr_10", "coverage_10", "file_recall", "file_mrr")
+
+
+@query(f"SELECT setting, sum(unjudged)::BIGINT AS unjudged, round(avg(coverage_10), 6) AS coverage_10 FROM ({_SETTING_METRICS}) GROUP BY setting", "united", "pool", "ideal")
+def unjudged_counts(spark, sf):
+    """How many of the top rows nobody has judged, and the mean share that somebody has, for each setting."""
+    run = _experiment(spark, sf)
+    cover = run.per_query.where("kind = 'annotated'").groupBy("setting").agg(F.round(F.avg("coverage_10"), 6).alias("coverage_10"))
+    return run.unjudged.groupBy("setting").agg(F.count(F.lit(1)).alias("unjudged")).join(cover, "setting")
+
+
 # Runs
 
 
@@ -344,6 +384,12 @@ def run_delta_summary(spark, sf):
     return runs.delta_summary(_changes(spark, sf))
 
 
+@query(f"SELECT query_key, round(before, 6) AS before, round(after, 6) AS after, delta FROM ({_DELTAS}) WHERE abs(delta) > 1e-9 ORDER BY abs(delta) DESC, query_key LIMIT 20", "arm_all", "fused", "pool")
+def run_movers(spark, sf):
+    """The 20 queries whose mrr changed most: a report's feature."""
+    return runs.movers(_changes(spark, sf), 20).withColumns({"before": F.round("before", 6), "after": F.round("after", 6)})
+
+
 @query("SELECT qid, array_to_string(list_concat(coalesce(list(CAST(rank AS VARCHAR) ORDER BY rank) FILTER (rank IS NOT NULL), []), CASE WHEN count(*) FILTER (rank IS NULL) > 0 THEN ['miss(' || CAST(count(*) FILTER (rank IS NULL) AS VARCHAR) || ')'] ELSE [] END), ',') AS positions, count(*) FILTER (rank IS NULL) AS missed FROM (SELECT qid, CASE WHEN rank <= 10 THEN rank END AS rank FROM judged WHERE gain > 0) GROUP BY qid", "judged")
 def positions_text(spark, sf):
     judged, gains, by_id = _judged(spark, sf)
@@ -392,24 +438,28 @@ def pool_results(spark, sf):
     return pooled.select("query_key", "chunk_key", "best_rank", F.size("sources").cast("long").alias("n_sources"), F.array_join(listed, ",").alias("sources"))
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS chunk_id, CASE WHEN page_id % 4 <> 1 THEN url END AS text, CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS DOUBLE) / 4 END AS score, CASE WHEN page_id % 4 = 2 THEN 'meta' ELSE url END AS source FROM pages")
+@query("SELECT CAST(page_id AS VARCHAR) AS chunk_id, CASE WHEN page_id % 4 <> 1 THEN url END AS text, CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS DOUBLE) / 4 END AS score, CASE WHEN page_id % 4 = 2 THEN 'meta' WHEN page_id % 5 <> 0 THEN url END AS source FROM pages")
 def foreign_rows(spark, sf):
+    """Rows of four shapes; scores that are words or digits in quotes, and sources that are numbers, are not taken."""
     pages = d.table(spark, sf, "pages")
-    text = F.when(F.col("page_id") % 4 == 1, F.format_string('"content": %d', "page_id")).otherwise(F.concat(F.lit('"chunk": '), F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2)))
-    score = F.when(F.col("page_id") % 3 == 0, F.format_string('"similarity": %.2f', F.col("page_id") / 4)).otherwise(F.lit('"score": "high"'))
+    url = F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2)
+    text = F.when(F.col("page_id") % 4 == 1, F.format_string('"content": %d', "page_id")).otherwise(F.concat(F.lit('"chunk": '), url))
+    score = F.when(F.col("page_id") % 3 == 0, F.format_string('"score": null, "similarity": %.2f', F.col("page_id") / 4)).when(F.col("page_id") % 3 == 1, F.lit('"score": "0.5"')).otherwise(F.lit('"score": "high"'))
     meta = F.when(F.col("page_id") % 4 == 2, F.lit('"doc_metadata": {"source": "meta"}')).otherwise(F.lit('"metadata": 3'))
-    own = F.concat(F.lit('"source": '), F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2))
+    own = F.when(F.col("page_id") % 5 == 0, F.lit('"source": 7')).otherwise(F.concat(F.lit('"source": '), url))
     row = F.concat(F.lit("{"), F.concat_ws(", ", F.format_string('"doc_id": %d', "page_id"), text, score, meta, own), F.lit("}"))
     out = pooling.normalise_rows(pages.select(row.alias("row")))
     return out.select("chunk_id", "text", "score", out.metadata["source"].alias("source"))
 
 
-@query(f"SELECT doc_id, quality AS score, CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '{NOW}' - INTERVAL 1 DAY ELSE TIMESTAMP '{NOW}' END AS created_at, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{NOW}' - INTERVAL 1 DAY END AS updated_at FROM labels WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 - quality ELSE quality END AS score, TIMESTAMP '{NOW}' - INTERVAL 1 DAY AS created_at, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{NOW}' - INTERVAL 1 DAY END AS updated_at FROM labels")
 def judgment_upsert(spark, sf):
+    """All labels are stored; those of even documents are judged anew."""
     now = F.lit(NOW).cast("timestamp_ntz")
     rows = d.table(spark, sf, "labels").select("doc_id", F.lit("q").alias("query_key"), F.col("doc_id").cast("string").alias("chunk_key"), F.col("quality").alias("score"), F.lit("").alias("text"))
-    old = rows.where("doc_id % 3 = 0").withColumns({"created_at": now - F.expr("INTERVAL 1 DAY"), "updated_at": now - F.expr("INTERVAL 1 DAY")})
-    merged = pooling.upsert_judgments(old.drop("doc_id"), pooling.checked_grades(rows.where("doc_id % 2 = 0").drop("doc_id")), now)
+    old = rows.withColumns({"created_at": now - F.expr("INTERVAL 1 DAY"), "updated_at": now - F.expr("INTERVAL 1 DAY")})
+    new = rows.where("doc_id % 2 = 0").withColumn("score", (2 - F.col("score")).cast(rows.schema["score"].dataType))
+    merged = pooling.upsert_judgments(old.drop("doc_id"), pooling.checked_grades(new.drop("doc_id")), now)
     return merged.select(F.col("chunk_key").cast("long").alias("doc_id"), "score", "created_at", "updated_at")
 
 
@@ -426,10 +476,22 @@ def unjudged_queue(spark, sf):
     return queue.join(asked, "query_key", "left_semi").select("query_key", "chunk_id", "best_rank", F.array_join("runs", ",").alias("runs"))
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM notes WHERE id % 3 <> 0 OR id % 2 = 0", "notes")
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM notes UNION ALL SELECT -1 - id, 'new' FROM notes WHERE id % 2 = 0", "notes")
 def keyed_upsert(spark, sf):
+    """All notes are stored; every second one comes again, and as many unknown ones with it."""
+    rows = d.notes(spark, sf).select("id")
+    fresh = rows.where("id % 2 = 0")
+    fresh = fresh.unionByName(fresh.select((-1 - F.col("id")).alias("id"))).withColumn("version", F.lit("new"))
+    return keyed.upsert(rows.withColumn("version", F.lit("old")), fresh)
+
+
+@query("SELECT id, 'synced' AS version, (SELECT count(*) FROM notes) AS affected FROM notes UNION ALL SELECT -1 - id, 'old', (SELECT count(*) FROM notes) FROM notes WHERE id % 3 = 0", "notes")
+def table_sync(spark, sf):
+    """A table that lacks some notes and holds others' rows takes over all notes; nothing is deleted."""
     rows = d.notes(spark, sf).select("id")
-    return keyed.upsert(rows.where("id % 3 <> 0").withColumn("version", F.lit("old")), rows.where("id % 2 = 0").withColumn("version", F.lit("new")))
+    stored = rows.where("id % 3 = 1").unionByName(rows.where("id % 3 = 0").select((-1 - F.col("id")).alias("id"))).withColumn("version", F.lit("old"))
+    synced, affected = keyed.sync(stored, rows.withColumn("version", F.lit("synced")))
+    return synced.crossJoin(F.broadcast(affected))  # one row
 
 
 @query("SELECT folder AS source, count(*) AS n, CAST(sum(CASE WHEN folder IN (SELECT folder FROM new) THEN 1 ELSE 0 END) AS BIGINT) AS fresh FROM notes WHERE folder NOT IN (SELECT folder FROM new) OR id % 2 = 0 GROUP BY folder", "new")

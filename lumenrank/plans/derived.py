@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank.functions.text import query_key
 from lumenrank.operators.fusion import united
 from lumenrank.operators.lexical import LexicalIndex, build_postings
+from lumenrank.session import shared_folder
 
 DEPTH = 50
 TITLE = r"^[^\n.!?]{1,60}"
@@ -32,8 +35,22 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("item_id").alias("qid"), F.col("text").alias("query")).withColumn("query_key", query_key(F.col("query"), ascii_only=True))
 
 
+_KEPT: dict[tuple, LexicalIndex] = {}
+
+
 def index(spark: SparkSession, sf_dir: str, analyzer: str = "simple") -> LexicalIndex:
-    return LexicalIndex.build(notes(spark, sf_dir), analyzer)
+    """The lexical index of the notes: built and stored once in a session, then kept for every query; ``forget`` drops it."""
+    key = (spark.sparkContext.applicationId, sf_dir, analyzer)
+    if key not in _KEPT:
+        path = f"{shared_folder(spark)}/lumenrank/index-{uuid.uuid4().hex[:12]}"
+        LexicalIndex.build(notes(spark, sf_dir), analyzer).save(path)
+        _KEPT[key] = LexicalIndex.open(spark, path)
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Let the next query build its index anew, as after a change of the tables."""
+    _KEPT.clear()
 
 
 def arms(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> dict[str, DataFrame]:
@@ -58,7 +75,7 @@ def pooled_gains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, source): the first note that holds a benchmark passage, found by the passage's first 60 characters' postings."""
+    """(qid, source): a file that each query is about: the note on top of the common-term-cut search."""
     asked = queries(spark, sf_dir)
     found = index(spark, sf_dir).search(asked, 1)
     return found.join(notes(spark, sf_dir).select("id", "source"), "id").select("qid", "source")
@@ -74,7 +91,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["arms", "build_postings", "events", "index", "judgments", "notes", "passages", "pooled_gains", "queries", "table"]
+__all__ = ["arms", "build_postings", "events", "forget", "index", "judgments", "notes", "passages", "pooled_gains", "queries", "table"]
 
 #: SQL twins. Each names the ones that it reads.
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"

@@ -13,6 +13,8 @@ JUDGMENTS = (
     "version int, queries map<string,struct<query_text:string,created_at:string,annotations:map<string,struct<score:int,text:string,metadata:map<string,string>,"
     f"sources:{_SOURCE},created_at:string,updated_at:string>>>>"
 )
+#: Canned rows of a static source, at most: it is a fixture for tests.
+CANNED = 10_000
 QUEUE = "query_key string, chunk_id string, chunk_key string, best_rank int, runs array<string>, first_seen_at timestamp"
 
 
@@ -77,16 +79,43 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
     return tolerant(spark, path, QUEUE)
 
 
-def write_replacing(rows: DataFrame, path: str) -> None:
-    """Write beside ``path``, then take its place, so that a reader never sees half a table."""
-    spark = rows.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
-    store = old.getFileSystem(conf)
-    try:
-        rows.write.mode("overwrite").parquet(path + ".new")
-        store.delete(old, True)
-        store.rename(new, old)
-    except BaseException:
-        store.delete(new, True)
-        raise
+def read_metric_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(run_id, name, split, kind, metrics) of the metrics files ``<folder>/<run>/metrics.json``; metrics by name, without those that are null."""
+    blocks = "struct<annotated:map<string,double>,generated:map<string,double>>"
+    raw = spark.read.schema(f"run_id string, name string, train {blocks}, val {blocks}").option("multiLine", True).json(f"{folder}/*/metrics.json")
+    split = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), F.col(s).alias("own")) for s in ("train", "val"))))
+    rows = raw.select("run_id", "name", split.alias("s")).select("run_id", "name", "s.split", "s.own")
+    kind = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col("own")[k].alias("metrics")) for k in ("annotated", "generated"))))
+    out = rows.select("run_id", "name", "split", kind.alias("k")).select("run_id", "name", "split", "k.kind", "k.metrics").where("metrics IS NOT NULL")
+    return out.withColumn("metrics", F.map_filter("metrics", lambda _, v: v.isNotNull()))
+
+
+def read_per_query(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
+    """The records of one run from ``<folder>/<run>/per_query.jsonl``; unknown fields are left out."""
+    schema = "query string, query_key string, kind string, split string, metrics map<string,double>, results array<struct<rank:int,id:string,source:string,score:double,gain:int,judged:boolean>>"
+    return spark.read.schema(schema).json(f"{folder}/{run_id}/per_query.jsonl")
+
+
+def write_experiment(per_query: DataFrame, metrics: DataFrame, settings: DataFrame, stamp: str, folder: str) -> None:
+    """All runs of an experiment at once: run ids are the stamp and the setting's name."""
+    run_id = F.concat(F.lit(f"{stamp}-"), F.col("setting"))
+    for name, rows in (("config", settings), ("metrics", metrics), ("per_query", per_query)):
+        rows.withColumn("run_id", run_id).write.mode("append").partitionBy("run_id").parquet(f"{folder}/{name}")
+
+
+def write_sample(sources: DataFrame, path: str, least_chars: int) -> None:
+    """One row {min_characters, num_samples, samples}: a seeded sample of notes, which is bounded by its size parameter."""
+    row = sources.agg(F.array_sort(F.collect_list("source")).alias("samples"))
+    row.select(F.lit(least_chars).alias("min_characters"), F.size("samples").alias("num_samples"), "samples").coalesce(1).write.mode("overwrite").json(path)
+
+
+def append_generated(rows: DataFrame, path: str, model: str, temperature: float) -> None:
+    """Add generated queries (query, source_file, passage, type), each with its model; finished notes are kept by every append."""
+    rows.withColumns({"model": F.lit(model), "temperature": F.lit(temperature)}).write.mode("append").json(path)
+
+
+def static_results(spark: SparkSession, path: str, queries: DataFrame, top_k: int | None = None) -> DataFrame:
+    """(qid, rank, row): for every query the same canned rows of a JSON file (one array), all or the first ``top_k``; ``row`` is JSON."""
+    items = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("i", "row"))
+    items = items if top_k is None else items.where(F.col("i") < top_k)
+    return queries.select("qid").crossJoin(F.broadcast(items.limit(CANNED))).select("qid", (F.col("i") + 1).alias("rank"), "row")

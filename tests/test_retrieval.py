@@ -63,6 +63,27 @@ def test_approximate_index_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_approximate_index_on_nulls_and_nothing(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [])], "id long, vector array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.1]), (8, None), (7, [1.0])], "qid long, vector array<double>")
+    assert [(r["qid"], r["id"]) for r in dense.ApproximateIndex(rows).search(asked, 5).collect()] == [(9, 1)]
+    assert dense.ApproximateIndex(rows.limit(0)).search(asked, 5).count() == 0
+
+
+def test_recall_of_the_approximate_index_on_the_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector")
+    exact = {(r["qid"], r["id"]) for r in dense.dense_search(asked, rows, 10).collect()}
+    near = {(r["qid"], r["id"]) for r in dense.ApproximateIndex(rows).search(asked, 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_many_queries_are_refused_by_the_readable_form(spark):
+    asked = spark.range(dense.QUERY_BLOCK + 1).select(F.col("id").alias("qid"), F.array(F.lit(1.0)).alias("vector"))
+    with pytest.raises(ValueError):
+        dense.dense_scores(asked, asked.select(F.col("qid").alias("id"), "vector"))
+
+
 def arm(spark, rows):
     return spark.createDataFrame([(1, i, 1.0 / r, r) for i, r in rows], "qid int, id string, score double, rank int")
 
@@ -79,24 +100,33 @@ def test_ties_by_id_and_unknown_weights(spark):
     assert [r["id"] for r in out.orderBy("rank").collect()] == ["x", "y"]
 
 
+def test_an_id_twice_in_an_arm_adds_both_parts(spark):
+    out = fusion.fuse(fusion.united({"a": arm(spark, [("x", 1), ("x", 4), ("y", 2)]), "b": arm(spark, [("x", 2)])}), 60)
+    got = {r["id"]: r for r in out.collect()}
+    assert got["x"]["score"] == pytest.approx(1 / 61 + 1 / 64 + 1 / 62, abs=1e-8) and got["x"]["arms"] == {"a": 4, "b": 2}
+
+
 def test_merge_and_settings(spark):
-    one = config.RetrievalConfig((config.FTS,), top_k=2)
+    one = config.Setting({"fts": config.ARMS["fts"]}, top_k=2)
     rows = arm(spark, [("a", 1), ("b", 2), ("c", 3)])
     assert fusion.merge({"fts": rows}, one).count() == 2 and fusion.merge({"fts": rows}, one, 3).count() == 3
     with pytest.raises(ValueError):
-        config.RetrievalConfig((config.FTS, config.QWEN))
+        config.Setting({n: config.ARMS[n] for n in ("fts", "qwen")})
     with pytest.raises(ValueError):
         fusion.merge({}, one)
-    for bad in ({"embedder": None}, {"embedder": "other"}, {"table": "chunks_bge_m3"}):
-        with pytest.raises(ValueError):
-            config.ArmConfig(**{"name": "a", "kind": "dense", "table": "chunks_qwen", "embedder": "qwen"} | bad)
-    assert len(config.EXPERIMENTS) == 19
-    with pytest.raises(ValueError):
-        config.checked_top_k(51)
     with pytest.raises(ValueError):
-        config.RetrieverConfig("r", "fts")
+        fusion.merge({"fts": rows}, one, 51)
+    spec = {"arms": [{"name": "a", "kind": "dense", "table": "chunks_qwen", "embedder": "qwen"}]}
+    assert config.setting_from(spec).k is None and config.setting_from(spec | {"fusion": "rrf"}).k == 60
+    for bad in ({"embedder": None}, {"embedder": "other"}, {"table": "chunks_bge_m3"}, {"kind": "other"}):
+        with pytest.raises(ValueError):
+            config.setting_from({"arms": [spec["arms"][0] | bad]})
     with pytest.raises(ValueError):
-        config.distinct_retrievers([config.RetrieverConfig("r", "fts", table="t")] * 2)
+        config.setting_from(spec | {"fusion": "other"})
+    assert len(config.EXPERIMENTS) == 19 and config.EXPERIMENTS["rrf-3arm-dense-heavy"].weights == {"qwen": 1.0, "bge-m3": 1.0, "fts": 0.5}
+    for bad in ([{"name": "r", "type": "fts"}], [{"name": "r", "type": "none"}], [{"name": "r", "type": "fts", "table": "t"}] * 2):
+        with pytest.raises(ValueError):
+            config.pool_sources(bad)
 
 
 def test_registry():
@@ -113,6 +143,10 @@ def test_keyed(spark):
     old = spark.createDataFrame([(1, "o"), (2, "o")], "id int, v string")
     new = spark.createDataFrame([(2, "n"), (3, "n")], "id int, v string")
     assert sorted(map(tuple, keyed.upsert(old, new).collect())) == [(1, "o"), (2, "n"), (3, "n")]
+    twice = spark.createDataFrame([(2, "n", 1), (2, "m", 2)], "id int, v string, seq int")
+    assert sorted((r["id"], r["v"]) for r in keyed.upsert(old, twice, order="seq").collect()) == [(1, "o"), (2, "m")]
+    with pytest.raises(Exception, match="key twice"):
+        keyed.upsert(old, twice).collect()
     again = keyed.upsert(keyed.upsert(old, new), new)
     assert again.count() == 3 and keyed.not_stored(new, old).count() == 1
 

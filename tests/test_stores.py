@@ -1,6 +1,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
+
+from lumenrank.functions import vectors
+from lumenrank.operators import experiments, keyed
+from lumenrank.config import Arm, Setting
+from lumenrank.operators.lexical import LexicalIndex
+from lumenrank.sources.tables import KEPT, KeyedTable
 
 from lumenrank.sources import notes, stores
 from lumenrank.streaming import ingest
@@ -37,10 +44,122 @@ def test_streams(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     ingest.keyed_ingest(stream, str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination(120)
-    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [(1, "new"), (2, "only")]
+    assert sorted((r["id"], r["v"]) for r in KeyedTable(spark, str(tmp_path / "table")).read().collect()) == [(1, "new"), (2, "only")]
     chunks = spark.createDataFrame([(1, 1, "a", None), (1, 2, "b", "stop"), (2, 1, "x", None)], "turn_id long, seq long, content string, finish_reason string")
     chunks.write.parquet(str(tmp_path / "chunks"))
     turns = ingest.fold_turns(spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "chunks")))
     q = turns.writeStream.format("memory").queryName("turns").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("turns").collect()] == [(1, "ab", "stop")]
+
+
+def pairs(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_keyed_table_commits_whole_changes(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), buckets=4)
+    assert table.read() is None
+    assert table.upsert(spark.createDataFrame([(i, "a") for i in range(20)], "id long, v string")) == 20
+    before = {b: d for b, d in table.state()[1]["buckets"].items()}
+    assert table.upsert(spark.createDataFrame([(3, "b"), (99, "b")], "id long, v string")) == 2
+    after = table.state()[1]["buckets"]
+    assert pairs(table.read()) == sorted([(i, "b" if i == 3 else "a") for i in range(20)] + [(99, "b")])
+    assert sum(before.get(b) != d for b, d in after.items()) <= 2  # other buckets are not written again
+    # A change that fails leaves the table as it was.
+    bad = spark.createDataFrame([(1, "x"), (1, "y")], "id long, v string")
+    with pytest.raises(Exception, match="key twice"):
+        table.upsert(bad)
+    assert table.read().count() == 21
+    for i in range(KEPT + 2):
+        table.upsert(spark.createDataFrame([(i, f"n{i}")], "id long, v string"))
+    assert len(list((tmp_path / "t").glob("manifest-*.json"))) == KEPT and table.read().count() == 21
+    # Of two writers from one state the second fails, and nothing is lost.
+    number, manifest = table.state()
+    table._commit(number, manifest)
+    with pytest.raises(RuntimeError):
+        table._commit(number, manifest)
+    assert table.read().count() == 21
+
+
+def test_sync_counts_and_deletes_nothing(spark):
+    old = spark.createDataFrame([(1, "o"), (9, "o")], "id int, v string")
+    synced, affected = keyed.sync(old, spark.createDataFrame([(1, "n", 0), (2, "n", 0)], "id int, v string, extra int"))
+    assert pairs(synced) == [(1, "n"), (2, "n"), (9, "o")] and affected.first()[0] == 2
+
+
+def test_ingest_job(spark, tmp_path):
+    rows = spark.createDataFrame([(f"n{i}.md", f"T{i}", f"text number {i}") for i in range(6)], "source string, title string, text string")
+    folder = str(tmp_path)
+    assert ingest.ingest_notes(rows, folder, "qwen", vectors.embed, limit=4) == 4
+    assert ingest.ingest_notes(rows, folder, "qwen", vectors.embed, skip_existing=True) == 2
+    assert ingest.ingest_notes(rows, folder, "qwen", vectors.embed, title_prefix=True) == 6
+    plain, with_title = (KeyedTable(spark, f"{folder}/{t}").read() for t in ("chunks_qwen", "chunks_qwen_title"))
+    assert plain.count() == with_title.count() == 6
+    both = plain.join(with_title.select("id", F.col("vector").alias("other"), F.col("text").alias("text2")), "id")
+    assert both.where("vector <> other AND text = text2").count() == 6
+
+
+def test_stored_index_answers_like_a_fresh_one(spark, tmp_path):
+    docs = spark.createDataFrame([(str(i), "zebra" if i % 7 == 0 else "", f"common word{i % 5} text{i}") for i in range(60)], "id string, title string, text string")
+    fresh = LexicalIndex.build(docs)
+    fresh.save(str(tmp_path / "i"), parts=4)
+    kept = LexicalIndex.open(spark, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "zebra common"), (2, "word3 text8 nothing"), (3, "common")], "qid int, query string")
+    assert pairs(kept.search(asked, 5)) == pairs(fresh.search(asked, 5)) and kept.search(asked, 5).count() > 8
+    one = kept.search(spark.createDataFrame([(1, "zebra")], "qid int, query string"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in one
+
+
+def test_experiments_score_queue_and_save(spark, tmp_path):
+    def arm(order):
+        rows = [(q, i, 1.0 / r, r) for q in (1, 2) for r, i in enumerate(order, 1)]
+        table = spark.createDataFrame(rows, "qid int, id string, score double, rank int")
+        return lambda queries, depth: table.where(F.col("rank") <= depth)
+
+    settings = {"single": Setting({"x": Arm("t", depth=2)}), "both": Setting({"x": Arm("t"), "y": Arm("t")}, 5, {"y": 3.0})}
+    asked = spark.createDataFrame([(1, "q1", "one"), (2, "q2", "two")], "qid int, query_key string, query string")
+    results = experiments.search_arms(settings, {"x": arm("abc"), "y": arm("cab")}, asked)
+    gains = spark.createDataFrame([(1, "ka", 3), (1, "kc", 0)], "qid int, chunk_key string, gain int")
+    by_id = spark.createDataFrame([(1, "a", "ka"), (1, "c", "kc")], "qid int, id string, chunk_key string")
+    split = spark.createDataFrame([("q1", "train"), ("q2", "val")], "query_key string, split string")
+    targets = spark.createDataFrame([(2, "q2", "fb")], "qid int, query_key string, source string")
+    sources = spark.createDataFrame([(i, f"f{i}") for i in "abc"], "id string, source string")
+    run = experiments.run_experiments(results, settings, asked.where("qid = 1").drop("query"), gains, by_id, split, targets, sources)
+    got = {(r["setting"], r["kind"]): r for r in run.metrics.collect()}
+    assert got["single", "annotated"]["ndcg_10"] == 1.0 and got["both", "annotated"]["mrr_10"] == 0.5
+    assert got["single", "generated"]["file_mrr"] == 0.5 and got["both", "generated"]["file_mrr"] == round(1 / 3, 6)
+    assert pairs(run.unjudged) == [("both", "q1", "b", 3), ("single", "q1", "b", 2)]
+    keys = spark.createDataFrame([(i, f"k{i}") for i in "abc"], "id string, chunk_key string")
+    judged = spark.createDataFrame([("q1", "ka")], "query_key string, chunk_key string")
+    empty = spark.createDataFrame([], stores.QUEUE)
+    queue = experiments.queued(empty, run, keys, judged, "r1", F.lit("2024-01-01").cast("timestamp"), "both")
+    assert [(r["chunk_id"], r["best_rank"], r["runs"]) for r in queue.collect()] == [("b", 3, ["r1"])]
+    stores.write_experiment(run.per_query, run.metrics, experiments.settings_table(spark, settings), "20240101T000000Z", str(tmp_path / "runs"))
+    assert {r[0] for r in stores.read_runs(spark, str(tmp_path / "runs")).select("run_id").distinct().collect()} == {"20240101T000000Z-single", "20240101T000000Z-both"}
+    with pytest.raises(ValueError):
+        experiments.search_arms(settings, {"x": arm("abc")}, asked)
+
+
+def test_run_files_samples_and_static_rows(spark, tmp_path):
+    block = {"annotated": {"num_queries": 2, "ndcg@10": 0.5, "old": None}, "generated": {}}
+    for name in ("r1", "r2"):
+        (tmp_path / "runs" / name).mkdir(parents=True)
+        (tmp_path / "runs" / name / "metrics.json").write_text(json.dumps({"run_id": name, "name": "n", "train": block, "val": {"annotated": block["annotated"]}}))
+    got = stores.read_metric_files(spark, str(tmp_path / "runs")).collect()
+    assert sorted((r["run_id"], r["split"], r["kind"]) for r in got) == sorted((n, s, k) for n in ("r1", "r2") for s, k in (("train", "annotated"), ("train", "generated"), ("val", "annotated")))
+    assert {r["metrics"]["ndcg@10"] for r in got if r["kind"] == "annotated"} == {0.5} and all("old" not in r["metrics"] for r in got)
+    (tmp_path / "runs" / "r1" / "per_query.jsonl").write_text(json.dumps({"query": "Q", "query_key": "q", "kind": "annotated", "split": "val", "metrics": {"ndcg@10": 1.0}, "results": [{"rank": 1, "id": "a"}], "x": 1}) + "\n")
+    assert stores.read_per_query(spark, str(tmp_path / "runs"), "r1").first()["results"][0]["id"] == "a"
+    notes_ = spark.createDataFrame([(f"n{i}",) for i in range(9)], "source string")
+    stores.write_sample(keyed.seeded_sample(notes_, 3, "source", 1), str(tmp_path / "s"), 250)
+    row = spark.read.json(str(tmp_path / "s")).first()
+    assert row["num_samples"] == 3 == len(row["samples"]) and row["min_characters"] == 250
+    made = spark.createDataFrame([("q", "f", "p", "t")], "query string, source_file string, passage string, type string")
+    for _ in range(2):
+        stores.append_generated(made, str(tmp_path / "g"), "m", 0.5)
+    assert spark.read.json(str(tmp_path / "g")).count() == 2
+    (tmp_path / "canned.json").write_text(json.dumps([{"id": "a"}, {"id": "b"}]))
+    asked = spark.createDataFrame([(1,), (2,)], "qid int")
+    assert stores.static_results(spark, str(tmp_path / "canned.json"), asked).count() == 4
+    assert [(r["qid"], r["rank"], json.loads(r["row"])["id"]) for r in stores.static_results(spark, str(tmp_path / "canned.json"), asked, 1).orderBy("qid").collect()] == [(1, 1, "a"), (2, 1, "a")]
