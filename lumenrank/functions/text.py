@@ -19,8 +19,10 @@ MARGIN = 16
 
 # Characters that cleaning deletes.
 INVISIBLE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{200b}-\x{200d}\x{2060}\x{feff}]"
-#: White space as Python's split() sees it.
-_SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: Runs of white space as Python's split() sees it, but for a single space between words, which stays as it is.
+_SPACE = r"(?U)(?! [^\s\x1c-\x1f])[\s\x1c-\x1f]+"
+#: Unicode's white space.
+_OUTER = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.pandas_udf(T.StringType())
@@ -38,11 +40,14 @@ def casefold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def clean(text: Column, normalise: bool = True) -> Column:
-    """NFKC, line ends, invisible characters, blanks, blank lines, and outer white space, in this order."""
+    """NFKC, line ends, invisible characters, blanks, blank lines, and outer white space, in this order.
+
+    The patterns match only where something changes, so that plain text is passed through.
+    """
     out = nfkc(text) if normalise else text
-    for pattern, by in (("\r\n?", "\n"), (INVISIBLE, ""), ("[ \t]+", " "), (" ?\n ?", "\n"), ("\n{3,}", "\n\n"), (r"(?U)^\s+|\s+$", "")):
+    for pattern, by in (("\r\n?", "\n"), (INVISIBLE, ""), ("\t[ \t]*| [ \t]+", " "), (" \n ?|\n ", "\n"), ("\n{3,}", "\n\n")):
         out = F.regexp_replace(out, F.lit(pattern), F.lit(by))
-    return out
+    return F.btrim(out, F.lit(_OUTER))
 
 
 def collapse(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenrank.functions.analysis import ANALYZERS
@@ -68,36 +68,32 @@ def ranked(scores: DataFrame, depth: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
 
 
-def lexical_search(queries: DataFrame, postings: DataFrame, n_docs: DataFrame | int, depth: int = 10, max_df: float = MAX_DF, analyzer: str = "simple", df: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+def lexical_search(queries: DataFrame, postings: DataFrame, n_docs: DataFrame | int, depth: int = 10, max_df: float = MAX_DF, analyzer: str = "simple", df: DataFrame | None = None) -> DataFrame:
     """The best ``depth`` documents for each query (qid, query).
 
-    Postings are cut to the asked terms first. Over stored postings (``parts``: their folders by hash of
-    the term) only the asked folders are read; over postings still to be built, Catalyst moves the semi-join below their
+    Postings are cut to the asked terms first. Over stored postings, which come with their ``df``, a
+    search for few terms is a filter on the scan; over postings still to be built, Catalyst moves the semi-join below their
     aggregate, so only asked terms are shuffled. Frequencies come from the same rows.
     """
     terms = query_terms(queries, analyzer)
-    words, on = terms.select("term").distinct(), ["term"]
-    if parts:
-        words, on = words.withColumn("part", part_of(F.col("term"), parts)), ["part", "term"]
-        df = df.join(words, on, "left_semi").select("term", "df")
-    asked = postings.join(words, on, "left_semi").select("term", "id", "tf_title", "tf_body")
+    words = terms.select("term").distinct()
+    named = [r[0] for r in words.limit(NAMED_TERMS + 1).collect()] if df is not None else []
+    if 0 < len(named) <= NAMED_TERMS:
+        postings, df = postings.where(F.col("term").isin(named)), df.where(F.col("term").isin(named))
+    asked = postings if df is not None else postings.join(words, "term", "left_semi")
     kept = kept_terms(terms, document_frequency(asked) if df is None else df, n_docs, max_df)
     return ranked(lexical_scores(kept, asked), depth)
 
 
-#: Folders of a stored index by hash of the term: a search reads only those of its terms.
-PARTS = 64
-
-
-def part_of(term: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+#: A search for at most so many distinct terms names them in the filter on stored postings, which then skips pages.
+NAMED_TERMS = 1_000
 
 
 class LexicalIndex:
     """Postings of one corpus, and stored frequencies where there are any; build or open once, search often."""
 
-    def __init__(self, postings: DataFrame, df: DataFrame | None, n_docs: DataFrame | int, analyzer: str = "simple", parts: int | None = None):
-        self.postings, self.df, self.n_docs, self.analyzer, self.parts = postings, df, n_docs, analyzer, parts
+    def __init__(self, postings: DataFrame, df: DataFrame | None, n_docs: DataFrame | int, analyzer: str = "simple"):
+        self.postings, self.df, self.n_docs, self.analyzer = postings, df, n_docs, analyzer
 
     @classmethod
     def build(cls, docs: DataFrame, analyzer: str = "simple") -> LexicalIndex:
@@ -107,20 +103,24 @@ class LexicalIndex:
     def open(cls, spark: SparkSession, path: str) -> LexicalIndex:
         """The index that ``save`` wrote."""
         about = spark.read.parquet(f"{path}/about").first()
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/df"), about["docs"], about["analyzer"], about["parts"])
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/df"), about["docs"], about["analyzer"])
 
     def search(self, queries: DataFrame, depth: int = 10, max_df: float = MAX_DF) -> DataFrame:
-        return lexical_search(queries, self.postings, self.n_docs, depth, max_df, self.analyzer, self.df, self.parts)
+        return lexical_search(queries, self.postings, self.n_docs, depth, max_df, self.analyzer, self.df)
 
     def index(self, *_):
         raise NotImplementedError("lexical tables are built from the chunk table: use build, or keyed.sync on the table")
 
-    def save(self, path: str, parts: int = PARTS) -> None:
-        """Postings and frequencies in folders by hash of the term, sorted by term; the description comes last and makes it whole."""
+    def save(self, path: str, shards: int | None = None) -> None:
+        """Postings by hash of the document, so that a task has all of a document's terms and sums them up alone, and sorted by term.
+
+        Frequencies are sorted by term. The description comes last and makes the index whole.
+        """
         spark = self.postings.sparkSession
-        keyed = self.postings.select("term", "id", "tf_title", "tf_body").withColumn("part", part_of(F.col("term"), parts))
-        keyed.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
+        keyed = self.postings.select("term", "id", "tf_title", "tf_body")
+        dealt = keyed.repartition(shards, "id") if shards else keyed.repartition("id")
+        dealt.sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
-        document_frequency(stored).withColumn("part", part_of(F.col("term"), parts)).repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/df")
+        document_frequency(stored).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/df")
         docs = self.n_docs if isinstance(self.n_docs, int) else self.n_docs.first()["docs"]
-        spark.createDataFrame([(docs, self.analyzer, parts)], "docs long, analyzer string, parts int").coalesce(1).write.parquet(f"{path}/about")
+        spark.createDataFrame([(docs, self.analyzer)], "docs long, analyzer string").coalesce(1).write.parquet(f"{path}/about")

@@ -48,6 +48,13 @@ def index(spark: SparkSession, sf_dir: str, analyzer: str = "simple") -> Lexical
     return _KEPT[key]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: for rows that a plan needs several times."""
+    path = f"{shared_folder(df.sparkSession)}/lumenrank/rows-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forget() -> None:
     """Let the next query build its index anew, as after a change of the tables."""
     _KEPT.clear()
@@ -68,8 +75,8 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pooled_gains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Arm results, and the qrels (qid, chunk_key, gain) and (qid, id, chunk_key) of their judged rows."""
-    results = united(arms(spark, sf_dir))
-    pool = results.select("qid", "id").distinct().join(judgments(spark, sf_dir), "id")
+    results = stored(united(arms(spark, sf_dir)))  # the run's results: searched once, then joined by every measure
+    pool = stored(results.select("qid", "id").distinct().join(judgments(spark, sf_dir), "id"))
     gains = pool.select("qid", "chunk_key", (F.pow(F.lit(2.0), "score") - 1).cast("int").alias("gain"))
     return results, gains, pool.select("qid", "id", "chunk_key")
 
@@ -91,7 +98,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["arms", "build_postings", "events", "forget", "index", "judgments", "notes", "passages", "pooled_gains", "queries", "table"]
+__all__ = ["arms", "build_postings", "events", "forget", "index", "judgments", "notes", "passages", "pooled_gains", "queries", "stored", "table"]
 
 #: SQL twins. Each names the ones that it reads.
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
