@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,32 +11,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrank.session import shared_folder
+
 #: A-Z to a-z and nothing else, on UTF-8 bytes.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see.
-
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder is made and registered as checkpoint folder.
-    """
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = context.getCheckpointDir()
-    if not path:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="lumenrank-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        context.setCheckpointDir(path)
-    return path.rstrip("/")
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, below one folder for each application."""
+    return f"{shared_folder(spark)}/lumenrank/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/lumenrank/{name}-{uuid.uuid4().hex[:12]}"
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything that this application's operators wrote to the shared folder; results that are still read from there go too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lumenrank/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ WINDOW = 13
 #: Item text sent to the executors at once, in characters; its windows take about 40 bytes for each, and 100 while they are built.
 BLOCK_CHARS = 1_000_000
 #: Document text in one shard, in bytes.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in ASCII_LOWER)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -119,15 +119,14 @@ def exact_dedup(
     table gives an empty result; other columns are not read.
     """
     ident = exact_identity(docs, id_col, text_col, block_chars, digest_bits)
-    groups = ident.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    return (
-        ident.join(groups, ["n_blocks", "name"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(
-            "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-            F.lower(F.hex("sha")).alias("text_sha256"),
-        )
+    groups = ident.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").cast("long").alias("group_size"))
+    # Most groups are one row; only the others come back by a join, whose sides AQE can split.
+    several = materialize(groups.where("group_size > 1"), "groups")
+    joined = ident.join(several, ["n_blocks", "name"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    alone = F.col("group_size").isNull()
+    return joined.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 

@@ -30,6 +30,8 @@ from lumenrank.llm.common import bounded, crc32_mod, slices
 #: N-grams in a profile, and the greatest penalty of one.
 PROFILE = 400
 BATCH_BYTES = 2_000_000
+#: Text whose n-grams are sorted at once while learning; its arrays take some 70 times as much.
+LEARN_BYTES = 400_000
 #: Distinct n-grams that a task holds before it gives their counts on, about.
 HELD = 400_000
 HELD_OUT = (4, 2)
@@ -108,7 +110,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", most: int = PROFILE) -> Profi
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in slices(batches, "text", BATCH_BYTES):
+        for batch in slices(batches, "text", LEARN_BYTES):
             texts: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 texts.setdefault(lang, []).append(text)

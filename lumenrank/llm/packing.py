@@ -45,7 +45,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str | None = None, sequence: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", 2_000_000):
             rows, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = encode(text) + end

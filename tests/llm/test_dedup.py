@@ -158,3 +158,16 @@ def test_blocks_link_each_two_components_once():
     want = {(min(i, j) // 3, max(i, j) // 3) for i in range(40) for j in range(i) if i // 3 != j // 3 and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])}
     got = minhash.block_links(rows[:25], rows[:25], 0.75) + minhash.block_links(rows[:25], rows[25:], 0.75) + minhash.block_links(rows[25:], rows[25:], 0.75)
     assert {tuple(sorted((a[0] // 3, b[0] // 3))) for a, b in got} == want and want
+
+
+def test_scratch_is_cleared(spark, odd):
+    import os
+
+    from lumenrank.llm.common import clear_scratch, materialize
+    from lumenrank.session import shared_folder
+
+    materialize(odd.limit(1), "x")
+    folder = f"{shared_folder(spark)}/lumenrank/{spark.sparkContext.applicationId}".removeprefix("file:")
+    assert os.listdir(folder)
+    clear_scratch(spark)
+    assert not os.path.exists(folder)
