@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,11 +85,15 @@ def lexical_search(queries: DataFrame, postings: DataFrame, n_docs: DataFrame |
         postings, df = postings.where(F.col("term").isin(named)), df.where(F.col("term").isin(named))
     asked = postings if df is not None else postings.join(words, "term", "left_semi")
     kept = kept_terms(terms, document_frequency(asked) if df is None else df, n_docs, max_df)
+    if df is not None and terms.count() <= BROADCAST_TERMS:
+        kept = F.broadcast(kept)
     return ranked(lexical_scores(kept, asked), depth)
 
 
 #: A search for at most so many distinct terms names them in the filter on stored postings, which then skips pages.
 NAMED_TERMS = 1_000
+#: So many query terms are sent to all executors, at most (some 60 bytes each); more are joined by a shuffle.
+BROADCAST_TERMS = 500_000
 
 
 class LexicalIndex:
@@ -103,7 +110,10 @@ class LexicalIndex:
     def open(cls, spark: SparkSession, path: str) -> LexicalIndex:
         """The index that ``save`` wrote."""
         about = spark.read.parquet(f"{path}/about").first()
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/df"), about["docs"], about["analyzer"])
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/postings").schema)
+        name = f"postings_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (id) SORTED BY (term) INTO {about['buckets']} BUCKETS LOCATION '{path}/postings'")
+        return cls(spark.table(name), spark.read.parquet(f"{path}/df"), about["docs"], about["analyzer"])
 
     def search(self, queries: DataFrame, depth: int = 10, max_df: float = MAX_DF) -> DataFrame:
         return lexical_search(queries, self.postings, self.n_docs, depth, max_df, self.analyzer, self.df)
@@ -111,16 +121,18 @@ class LexicalIndex:
     def index(self, *_):
         raise NotImplementedError("lexical tables are built from the chunk table: use build, or keyed.sync on the table")
 
-    def save(self, path: str, shards: int | None = None) -> None:
-        """Postings by hash of the document, so that a task has all of a document's terms and sums them up alone, and sorted by term.
+    def save(self, path: str, buckets: int | None = None) -> None:
+        """Postings in buckets by document, so that a task has all of a document's terms and sums them up alone, sorted by term.
 
         Frequencies are sorted by term. The description comes last and makes the index whole.
         """
         spark = self.postings.sparkSession
-        keyed = self.postings.select("term", "id", "tf_title", "tf_body")
-        dealt = keyed.repartition(shards, "id") if shards else keyed.repartition("id")
-        dealt.sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"writing_{uuid.uuid4().hex[:16]}"
+        dealt = self.postings.select("term", "id", "tf_title", "tf_body").repartition(buckets, "id")
+        dealt.write.bucketBy(buckets, "id").sortBy("term").format("parquet").option("path", f"{path}/postings").saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")  # its files stay, as their place was given
         stored = spark.read.parquet(f"{path}/postings")
         document_frequency(stored).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/df")
         docs = self.n_docs if isinstance(self.n_docs, int) else self.n_docs.first()["docs"]
-        spark.createDataFrame([(docs, self.analyzer)], "docs long, analyzer string").coalesce(1).write.parquet(f"{path}/about")
+        spark.createDataFrame([(docs, self.analyzer, buckets)], "docs long, analyzer string, buckets int").coalesce(1).write.parquet(f"{path}/about")

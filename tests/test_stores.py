@@ -103,12 +103,15 @@ def test_ingest_job(spark, tmp_path):
 def test_stored_index_answers_like_a_fresh_one(spark, tmp_path):
     docs = spark.createDataFrame([(str(i), "zebra" if i % 7 == 0 else "", f"common word{i % 5} text{i}") for i in range(60)], "id string, title string, text string")
     fresh = LexicalIndex.build(docs)
-    fresh.save(str(tmp_path / "i"), shards=3)
+    fresh.save(str(tmp_path / "i"), buckets=3)
     kept = LexicalIndex.open(spark, str(tmp_path / "i"))
     asked = spark.createDataFrame([(1, "zebra common"), (2, "word3 text8 nothing"), (3, "common")], "qid int, query string")
     assert pairs(kept.search(asked, 5)) == pairs(fresh.search(asked, 5)) and kept.search(asked, 5).count() > 8
     one = kept.search(spark.createDataFrame([(1, "zebra")], "qid int, query string"), 3)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,zebra)" in one or "In(term" in one
+    plan = kept.search(asked, 5)._jdf.queryExecution().executedPlan().toString()
+    sums = plan[plan.index("functions=[sum(", plan.index("WindowGroupLimit")) :].split("BroadcastHashJoin")[0]
+    assert "Exchange hashpartitioning(qid" not in sums  # documents are summed up where they lie
 
 
 def test_experiments_score_queue_and_save(spark, tmp_path):
