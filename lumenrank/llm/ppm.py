@@ -48,12 +48,15 @@ FULL = 0.7
 EMPTY = np.int64(-1)
 #: Grams looked up at once, so that the arrays stay in the processor's cache.
 LOOKED_UP = 1 << 15
+#: Words, and grams beyond those already summed, that a counting task holds at a time, about.
+HELD_WORDS, HELD_GRAMS = 80_000, 600_000
 #: Frames a text; no UTF-8 text has this byte.
 FRAME = 0xFF
 SMOOTH = 0.1
 #: The end token's key; no word has a space.
 END = b" "
-BATCH_BYTES = 2_000_000
+#: Text in one step; its arrays take some 40 times as much.
+BATCH_BYTES = 600_000
 
 
 def words(text: str) -> list[bytes]:
@@ -92,6 +95,12 @@ def _count(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return codes[first], np.add.reduceat(weights, first)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, n = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
+    parts.clear()
+    return _count(codes, n)
+
+
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """(word, gram, n) of all texts: a row has either a word (the end token is one space) or a gram's code.
 
@@ -114,19 +123,20 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 seen.update(words(text))
             if taught[1]:
                 seen[END] += len(taught[1])
-            if len(seen) > 150_000:
+            if len(seen) > HELD_WORDS:
                 yield out(list(seen.values()), keys=list(seen))
                 seen.clear()
             for counts, texts in enumerate(taught):
                 if texts:
                     codes, n = _count(_grams(*framed(texts)))
                     held.append((codes, n * counts))
-            if len(held) >= 8:
-                held = [_count(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]))]
+            if sum(len(c) for c, _ in held[1:]) > max(HELD_GRAMS, len(held[0][0])):
+                held = [_summed(held)]
         if seen:
             yield out(list(seen.values()), keys=list(seen))
         if held:
-            codes, n = _count(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]))
+            codes, n = _summed(held)
+            held.clear()
             for i in range(0, len(codes), 100_000):
                 yield out(n[i : i + 100_000], codes=codes[i : i + 100_000])
 
@@ -180,8 +190,8 @@ def code_lengths(counts: DataFrame) -> DataFrame:
 class Table:
     """Log probabilities by gram, in an open table."""
 
-    def __init__(self, grams: np.ndarray, values: np.ndarray):
-        self.own = grams, values
+    def __init__(self, grams: np.ndarray, values: np.ndarray, keep: bool = True):
+        self.own = (grams, values) if keep else None
         self.bits = max(4, math.ceil(math.log2((len(grams) + 1) / FULL)))
         self.slots, self.values = np.full(1 << self.bits, EMPTY, np.int64), np.zeros(1 << self.bits, np.float32)
         at = self._first(grams)
@@ -193,7 +203,7 @@ class Table:
             grams, values, at = grams[~won], values[~won], (at[~won] + 1) & (len(self.slots) - 1)
 
     def __reduce__(self):
-        return Table, self.own  # sent without the free places
+        return Table, (*self.own, False)  # sent without the free places, and opened once
 
     def _first(self, grams: np.ndarray) -> np.ndarray:
         return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
