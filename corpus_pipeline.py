@@ -6,57 +6,69 @@ the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenrank.llm import decontaminate, exact_dedup, language_id, minhash, packing
-from lumenrank.llm.common import materialize
+from lumenrank.llm.common import crc32_mod, materialize
 
 #: SQL can't express profiles, signatures or packing; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the id and a hash of the text as the id, so that a decision is about one text even where an id is repeated."""
+    return docs.select(_key().alias("doc_id"), "text")
+
+
+def _key() -> Column:
+    """A null id comes last, as it never wins against another."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.xxhash64("text").alias("h"))
+
+
 def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` without the rows decided against.
 
-    ``decisions`` has a row (doc_id, keep) for each row of ``docs``. Ids that are dropped for all
-    their rows leave by an anti join, which carries documents through at most one shuffle.
-    Where only some rows of an id stay (repeated rows), as many as were kept stay, so
-    rows of one id that differ in text count as that id's rows in order of their text.
+    ``decisions`` has a row (doc_id, keep) for each row of ``docs``, by the ids of ``_keyed``. Texts that are
+    dropped for all their rows leave by an anti join, which carries documents through at most one
+    shuffle. Of repeated rows (same id and same text) as many stay as were kept, the first by their other columns.
     """
-    per_id = decisions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("keep").cast("long")).alias("kept"))
-    per_id = materialize(per_id.where("kept < n"), "dropped").select(F.col("doc_id").alias("_id"), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    out = docs.join(per_id.where("kept = 0"), same, "left_anti")
-    partly = per_id.where("kept > 0")
-    if partly.isEmpty():
-        return out
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    some = docs.join(partly, same).withColumn("_n", order).where(F.col("_n") <= F.col("kept")).drop("_id", "_n", "kept")
-    return out.join(partly, same, "left_anti").unionByName(some)
+    per_key = decisions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("keep").cast("long")).alias("kept"))
+    per_key = materialize(per_key.where("kept < n"), "dropped").select(F.col("doc_id").alias("_id"), "kept")
+    docs = docs.withColumn("_key", _key())
+    same = F.col("_key").eqNullSafe(F.col("_id"))
+    out = docs.join(per_key.where("kept = 0"), same, "left_anti")
+    partly = per_key.where("kept > 0")
+    if not partly.isEmpty():
+        order = Window.partitionBy("_key").orderBy(*(c for c in docs.columns if c not in ("_key", "text")))
+        some = docs.join(partly, same).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("kept")).drop("_id", "_n", "kept")
+        out = out.join(partly, same, "left_anti").unionByName(some)
+    return out.drop("_key")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined language (null text, or no letter in it) go."""
-    found = language_id.identify(docs)
+    """Documents without a determined language (null text, or no letter in it) go; profiles come from all that are not held out."""
+    n, own = language_id.HELD_OUT
+    profiles = language_id.learn(docs.where(crc32_mod(F.col("doc_id"), n) != own).select("text", "lang"))
+    found = language_id.predict(_keyed(docs), profiles)
     return _without(docs, found.select("doc_id", (F.col("lang_pred") != language_id.UNDETERMINED).alias("keep")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id stays."""
-    found = exact_dedup.exact_dedup(docs)
+    found = exact_dedup.exact_dedup(_keyed(docs))
     return _without(docs, found.select("doc_id", F.col("kept").alias("keep")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(_keyed(docs))
     return _without(docs, found.select("doc_id", F.col("kept").alias("keep")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark items go."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.decontaminate(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.select("doc_id", (~F.col("contaminated")).alias("keep")))
 
 

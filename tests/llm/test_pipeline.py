@@ -1,6 +1,6 @@
 import corpus_pipeline
 from lumenrank.llm import decontaminate, exact_dedup, language_id, minhash
-from lumenrank.llm.common import materialize
+from lumenrank.llm.common import materialize, scratch
 from lumenrank.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SF
 from tests.llm.conftest import odd_rows
@@ -27,6 +27,25 @@ def test_odd_rows_pass(spark, odd):
     assert ids == [0, 11, 12, 7, None]
 
 
+def test_of_texts_with_one_id_the_decided_one_goes(spark):
+    item = " ".join(f"bench{i}" for i in range(20))
+    unique, other, copy = (" ".join(f"{w}{i} word" for i in range(30)) for w in ("u", "o", "c"))
+    rows = [(0, copy), (1, copy), (1, unique), (2, "a " + item), (2, other), (3, "12 34"), (3, None), (3, unique + " end of it"), (None, other + "x y z")]
+    docs = materialize(spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    folder = scratch(spark, "sf")
+    spark.createDataFrame([("b", item)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, folder), "docs")
+    assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str) == sorted([(0, copy), (1, unique), (2, other)], key=str)
+
+
+def test_empty_tables_pass(spark, none):
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, SF), "none")
+        assert docs.count() == 0
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
     assert len(odd_rows()) == 17
