@@ -37,6 +37,8 @@ END_ID = 50256
 ROUNDS = 6
 #: Rows of a shard; the last has what is left.
 SHARD_ROWS = 8_192
+#: Sequences are stored and shuffled compressed, at this level.
+LEVEL = 6
 #: Tasks that write shards, at most; each then writes several in order.
 WRITERS = 20_000
 
@@ -82,7 +84,7 @@ def _sequences(docs: DataFrame, path: str, sequence: int, end_id: int, dtype: st
     width = sequence * np.dtype(dtype).itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, p, packed = encoder(path, literal=True).encode, TaskContext.get().partitionId(), pa.Codec("zstd")
+        encode, p, packed = encoder(path, literal=True).encode, TaskContext.get().partitionId(), pa.Codec("zstd", compression_level=LEVEL)
         end = np.array([end_id], dtype).tobytes()
         held, owners, done, id_kind = bytearray(), [], 0, None
 
