@@ -127,19 +127,51 @@ def packed(text: str, budget: int) -> list[str]:
     return [piece for piece, _ in out]
 
 
+def by_tokens(text: Column, tokenizer, max_tokens: int, form: str = "truncate") -> Column:
+    """The overflow forms by a model's own tokens: an array of pieces that fit its window.
+
+    ``tokenizer`` has ``encode(text)`` to ids and ``decode(ids)`` to text, and is sent to the workers. ``truncate`` gives the
+    leading tokens, ``barbell`` the leading and the last ones with a space between, ``split`` all, in order.
+    """
+    budget = max_tokens - MARGIN
+    if form not in ("truncate", "barbell", "split"):
+        raise ValueError(f"unknown overflow form {form!r}")
+
+    def pieces(t: str) -> list[str]:
+        ids = tokenizer.encode(t)
+        if len(ids) <= budget:
+            return [t]
+        if form == "truncate":
+            return [tokenizer.decode(ids[:budget])]
+        if form == "barbell":
+            return [f"{tokenizer.decode(ids[: budget // 2])} {tokenizer.decode(ids[-(budget - budget // 2) :])}"]
+        return [tokenizer.decode(ids[i : i + budget]) for i in range(0, len(ids), budget)]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(pieces, na_action="ignore")
+
+    return run(text)
+
+
 #: Where a text is cut, the coarsest first.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", " ")
 
 
+class _Run(str):
+    """A text without any separator that is too long for one chunk."""
+
+
 def _pieces(text: str, limit: int, level: int = 0) -> Iterator[str | None]:
-    """Pieces shorter than ``limit`` (single characters at worst), separators at their ends.
+    """Pieces shorter than ``limit`` with separators at their ends, and runs that have none.
 
     None comes between pieces that are not merged: around a piece that had to be cut finer.
     """
     while level < len(SEPARATORS) and SEPARATORS[level] not in text:
         level += 1
     if level == len(SEPARATORS):
-        yield from text
+        yield text if len(text) < limit else _Run(text)
         return
     cut = SEPARATORS[level]
     parts = [p + cut for p in text.split(cut)]
@@ -167,11 +199,14 @@ def chunked(text: str | None, most: int = 2000, least: int = 200, overlap: int =
             chunks.append(chunk)
 
     for piece in _pieces(text or "", most):
-        if piece is None:
+        if piece is None or isinstance(piece, _Run):
             if fresh:
                 emit()
             held.clear()
             size = fresh = 0
+            if piece:  # cut at any place, each slice with the overlap of the one before
+                slices = (piece[i : i + most].strip() for i in range(0, max(1, len(piece) - overlap), max(1, most - overlap)))
+                chunks += filter(None, slices)
             continue
         if size + len(piece) > most:
             emit()

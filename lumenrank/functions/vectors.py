@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -64,11 +65,32 @@ def embed(text: Column, encoder=None) -> Column:
     return run(text)
 
 
-#: Encoders by name; a model plugs in here.
+@dataclass(frozen=True)
+class EncoderSpec:
+    """What a table of a model's vectors relies on."""
+
+    dimensions: int
+    max_tokens: int
+    query_prompt: bool
+
+
+# The published models.
+SPECS = {"qwen": EncoderSpec(1024, 32_768, True), "bge-m3": EncoderSpec(1024, 8_192, False)}
+#: Encoders by name; a model plugs in by ``plug``.
 ENCODERS = {"hashing": HashingEncoder}
 
 
+def plug(name: str, factory) -> None:
+    """Make ``factory(**options)``, whose result has ``encode(list of str)``, the encoder of that name."""
+    ENCODERS[name] = factory
+
+
 def build_encoder(name: str, **options):
+    """An encoder by name; one of a published model must have the model's dimensions."""
     if name not in ENCODERS:
-        raise ValueError(f"unknown encoder {name!r}; known: {sorted(ENCODERS)}")
-    return ENCODERS[name](**options)
+        known = f"; plug in its model of {SPECS[name].dimensions} dimensions first" if name in SPECS else ""
+        raise ValueError(f"unknown encoder {name!r}{known}; known: {sorted(ENCODERS)}")
+    encoder = ENCODERS[name](**options)
+    if name in SPECS and getattr(encoder, "dimensions", SPECS[name].dimensions) != SPECS[name].dimensions:
+        raise ValueError(f"encoder {name!r} needs {SPECS[name].dimensions} dimensions")
+    return encoder

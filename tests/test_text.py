@@ -70,6 +70,75 @@ def test_chunks_cover_the_text(t):
     assert set("".join(t.split())) <= set("".join(got)) or not t.strip()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 400), st.integers(2, 60), st.integers(0, 30))
+def test_runs_without_separators_are_cut_like_single_characters(n, most, overlap):
+    """Brute force: characters are merged one by one, and the overlap of a full chunk is kept."""
+    overlap, run = min(overlap, most - 1), "".join(chr(97 + i * 7 % 26) for i in range(n))
+    want, held, fresh = [], "", False
+    for c in run:
+        if len(held) + 1 > most:
+            want.append(held)
+            held = held[len(held) - overlap :] if overlap else ""
+        held, fresh = held + c, True
+    if fresh:
+        want.append(held)
+    assert text.chunked(run, most, 0, overlap) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab.! \n", max_size=80), st.integers(1, 6))
+def test_packed_sentences_equal_brute_force(t, budget):
+    """Sentences in order, each piece as long as it may grow; over-long sentences are cut and stand alone."""
+    import math
+    import re
+
+    want, grows = [], False
+    for sentence in [x for x in re.split(r"(?<=[.!?])\s+|\n+", t) if x]:
+        cost = math.ceil(len(sentence) / 3)
+        if cost > budget:
+            want += [[sentence[i : i + 3 * budget]] for i in range(0, len(sentence), 3 * budget)]
+            grows = False
+        elif grows and sum(math.ceil(len(x) / 3) for x in want[-1]) + cost <= budget:
+            want[-1].append(sentence)
+        else:
+            want.append([sentence])
+            grows = True
+    assert text.packed(t, budget) == [" ".join(w) for w in want]
+
+
+class Letters:
+    """A tokenizer of two characters a token."""
+
+    def encode(self, t):
+        return [t[i : i + 2] for i in range(0, len(t), 2)]
+
+    def decode(self, ids):
+        return "".join(ids)
+
+
+def test_overflow_by_a_models_tokens(spark):
+    most = text.MARGIN + 3
+    assert column(spark, ["abcdef", "abcdefghi", None], lambda c: text.by_tokens(c, Letters(), most)) == [["abcdef"], ["abcdef"], None]
+    assert column(spark, ["abcdefghi"], lambda c: text.by_tokens(c, Letters(), most, "barbell")) == [["ab ghi"]]
+    assert column(spark, ["abcdefghi"], lambda c: text.by_tokens(c, Letters(), most, "split")) == [["abcdef", "ghi"]]
+    with pytest.raises(ValueError):
+        text.by_tokens(None, Letters(), most, "other")
+
+
+def test_models_plug_in_by_name():
+    import numpy as np
+
+    with pytest.raises(ValueError, match="plug in"):
+        vectors.build_encoder("qwen")
+    vectors.plug("qwen", lambda: vectors.HashingEncoder(8))
+    with pytest.raises(ValueError, match="1024"):
+        vectors.build_encoder("qwen")
+    vectors.plug("qwen", lambda: vectors.HashingEncoder(1024))
+    assert np.shape(vectors.build_encoder("qwen").encode(["x"])) == (1, 1024)
+    vectors.ENCODERS.pop("qwen")
+
+
 def test_stems():
     pairs = {"running": "run", "cats": "cat", "ponies": "poni", "relational": "relat", "generously": "generous", "hopping": "hop", "happy": "happi", "nationality": "nation", "skies": "sky", "agreed": "agre"}
     assert {w: analysis.stem(w) for w in pairs} == pairs
