@@ -166,3 +166,27 @@ def test_run_files_samples_and_static_rows(spark, tmp_path):
     asked = spark.createDataFrame([(1,), (2,)], "qid int")
     assert stores.static_results(spark, str(tmp_path / "canned.json"), asked).count() == 4
     assert [(r["qid"], r["rank"], json.loads(r["row"])["id"]) for r in stores.static_results(spark, str(tmp_path / "canned.json"), asked, 1).orderBy("qid").collect()] == [(1, 1, "a"), (2, 1, "a")]
+
+
+def test_candidates_of_several_sources_are_pooled(spark, tmp_path):
+    from lumenrank.operators import pooling
+    from lumenrank.operators.candidates import candidates
+
+    rows = [(str(i), "", f"zebra{i} common text") for i in range(8)]
+    chunks = spark.createDataFrame(rows, "id string, title string, text string").withColumn("vector", vectors.embed(F.col("text")))
+    (tmp_path / "canned.json").write_text(json.dumps([{"id": "x", "chunk": "zebra3 common text", "score": "high"}, {"id": "y", "text": "other", "similarity": 0.25}]))
+    specs = [
+        {"name": "words", "type": "fts", "table": "chunks_fts"}, {"name": "dense", "type": "pgvector", "table": "chunks_qwen", "embedder": "qwen"},
+        {"name": "canned", "type": "static", "chunks_file": str(tmp_path / "canned.json")},
+    ]
+    asked = spark.createDataFrame([(1, "zebra3")], "qid int, query string")
+    tables = {"chunks_fts": chunks, "chunks_qwen": chunks}
+    found = candidates(specs, asked, 2, tables, {"qwen": vectors.embed}, {"chunks_fts": LexicalIndex.build(chunks)})
+    got = {(r["retriever"], r["chunk_id"]): (r["rank"], r["score"]) for r in found.collect()}
+    assert got["words", "3"][0] == 1 and got["dense", "3"][0] == 1 and got["canned", "x"] == (1, None) and got["canned", "y"] == (2, 0.25)
+    top = pooling.pool(found).where("text = 'zebra3 common text'").first()
+    assert [s["retriever"] for s in top["sources"]] == ["words", "dense", "canned"] and top["best_rank"] == 1
+    with pytest.raises(ValueError):
+        candidates([{"name": "r", "type": "remote", "index_id": "i"}], asked, 2, {}, {}, {})
+    with pytest.raises(ValueError):
+        candidates(specs, asked, 51, tables, {}, {})
