@@ -37,7 +37,7 @@ END_ID = 50256
 ROUNDS = 6
 #: Rows of a shard; the last has what is left.
 SHARD_ROWS = 8_192
-#: Sequences are stored and shuffled compressed, at this level.
+#: Sequences are shuffled compressed one by one, at this level.
 LEVEL = 6
 #: Tasks that write shards, at most; each then writes several in order.
 WRITERS = 20_000
@@ -80,11 +80,11 @@ class Permutation:
 
 
 def _sequences(docs: DataFrame, path: str, sequence: int, end_id: int, dtype: str) -> DataFrame:
-    """(p, i, ids, n_tokens, doc_ids): sequence i of input partition p, its ids compressed, and whose ids it holds."""
+    """(p, i, ids, n_tokens, doc_ids): sequence i of input partition p, and whose ids it holds."""
     width = sequence * np.dtype(dtype).itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, p, packed = encoder(path, literal=True).encode, TaskContext.get().partitionId(), pa.Codec("zstd", compression_level=LEVEL)
+        encode, p = encoder(path, literal=True).encode, TaskContext.get().partitionId()
         end = np.array([end_id], dtype).tobytes()
         held, owners, done, id_kind = bytearray(), [], 0, None
 
@@ -92,7 +92,7 @@ def _sequences(docs: DataFrame, path: str, sequence: int, end_id: int, dtype: st
             nonlocal done
             place = range(done, done + len(pieces))
             done += len(pieces)
-            columns = [pa.array([p] * len(pieces), pa.int64()), pa.array(place, pa.int64()), pa.array([packed.compress(x, asbytes=True) for x in pieces], pa.binary())]
+            columns = [pa.array([p] * len(pieces), pa.int64()), pa.array(place, pa.int64()), pa.array(pieces, pa.binary())]
             return pa.RecordBatch.from_arrays([*columns, pa.array(real, pa.int64()), pa.array(ids, pa.list_(id_kind))], ["p", "i", "ids", "n_tokens", "doc_ids"])
 
         for batch in slices(batches, "text", 4_000_000):
@@ -116,7 +116,7 @@ def _sequences(docs: DataFrame, path: str, sequence: int, end_id: int, dtype: st
             yield out([bytes(held) + end * (sequence - real)], [owners], [real])
 
     fields = [("p", T.LongType()), ("i", T.LongType()), ("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType))]
-    return materialize(docs.mapInArrow(cut, T.StructType([T.StructField(n, t) for n, t in fields])), "sequences")
+    return materialize(docs.mapInArrow(cut, T.StructType([T.StructField(n, t) for n, t in fields])), "sequences", "zstd")  # a file's pages compress better than single sequences
 
 
 def materialise(
@@ -147,7 +147,12 @@ def materialise(
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(order(index.to_numpy()))
 
-    placed = sequences.select(index("p", "i").alias("index"), "ids", "n_tokens", "doc_ids").withColumn("slot", slot("index"))
+    @F.pandas_udf("binary")
+    def packed(ids: pd.Series) -> pd.Series:
+        codec = pa.Codec("zstd", compression_level=LEVEL)
+        return ids.map(lambda x: codec.compress(x, asbytes=True))
+
+    placed = sequences.select(index("p", "i").alias("index"), packed("ids").alias("ids"), "n_tokens", "doc_ids").withColumn("slot", slot("index"))
     shard = F.floor(F.col("slot") / shard_rows).cast("long")
     dealt = placed.repartitionById(tasks, F.floor(shard * tasks / shards).cast("int")).sortWithinPartitions("slot")
 
