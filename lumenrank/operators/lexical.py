@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenrank.functions.analysis import ANALYZERS
@@ -18,12 +18,18 @@ DIGITS = 6
 
 
 def build_postings(docs: DataFrame, analyzer: str = "simple", title: bool = True) -> DataFrame:
-    """(term, id, tf_title, tf_body) of docs (id, title, text)."""
+    """(term, id, tf_title, tf_body) of docs (id, title, text), in one pass over them.
+
+    Where the documents are dealt out by id, their terms are summed up without another shuffle.
+    """
     terms = ANALYZERS[analyzer]
-    body = docs.select("id", F.explode(terms(F.col("text"))).alias("term"), F.lit(0).alias("t"), F.lit(1).alias("b"))
-    if title:
-        body = body.unionByName(docs.select("id", F.explode(terms(F.col("title"))).alias("term"), F.lit(1).alias("t"), F.lit(0).alias("b")))
-    return body.groupBy("term", "id").agg(F.sum("t").alias("tf_title"), F.sum("b").alias("tf_body"))
+
+    def tagged(text: str, t: int, b: int) -> Column:
+        return F.transform(terms(F.col(text)), lambda w: F.struct(w.alias("term"), F.lit(t).alias("t"), F.lit(b).alias("b")))
+
+    words = F.concat(tagged("text", 0, 1), tagged("title", 1, 0)) if title else tagged("text", 0, 1)
+    rows = docs.select("id", F.explode(words).alias("w")).select("id", "w.term", "w.t", "w.b")
+    return rows.groupBy("term", "id").agg(F.sum("t").alias("tf_title"), F.sum("b").alias("tf_body"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -106,6 +112,15 @@ class LexicalIndex:
     def build(cls, docs: DataFrame, analyzer: str = "simple") -> LexicalIndex:
         return cls(build_postings(docs, analyzer), None, docs.agg(F.count(F.lit(1)).alias("docs")), analyzer)
 
+    @classmethod
+    def store(cls, docs: DataFrame, path: str, analyzer: str = "simple", buckets: int | None = None) -> LexicalIndex:
+        """Build and save with one shuffle, of the documents by id, and open what was saved."""
+        spark = docs.sparkSession
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = docs.select("id", "title", "text").repartition(buckets, "id")
+        cls(build_postings(dealt, analyzer), None, docs.agg(F.count(F.lit(1)).alias("docs")), analyzer).save(path, buckets, dealt=True)
+        return cls.open(spark, path)
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> LexicalIndex:
         """The index that ``save`` wrote."""
@@ -121,16 +136,18 @@ class LexicalIndex:
     def index(self, *_):
         raise NotImplementedError("lexical tables are built from the chunk table: use build, or keyed.sync on the table")
 
-    def save(self, path: str, buckets: int | None = None) -> None:
+    def save(self, path: str, buckets: int | None = None, dealt: bool = False) -> None:
         """Postings in buckets by document, so that a task has all of a document's terms and sums them up alone, sorted by term.
 
         Frequencies are sorted by term. The description comes last and makes the index whole.
+        ``dealt`` says that the postings lie in so many partitions by id already.
         """
         spark = self.postings.sparkSession
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"writing_{uuid.uuid4().hex[:16]}"
-        dealt = self.postings.select("term", "id", "tf_title", "tf_body").repartition(buckets, "id")
-        dealt.write.bucketBy(buckets, "id").sortBy("term").format("parquet").option("path", f"{path}/postings").saveAsTable(name)
+        rows = self.postings.select("term", "id", "tf_title", "tf_body")
+        rows = rows if dealt else rows.repartition(buckets, "id")
+        rows.write.bucketBy(buckets, "id").sortBy("term").format("parquet").option("path", f"{path}/postings").saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")  # its files stay, as their place was given
         stored = spark.read.parquet(f"{path}/postings")
         document_frequency(stored).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/df")

@@ -43,8 +43,7 @@ def index(spark: SparkSession, sf_dir: str, analyzer: str = "simple") -> Lexical
     key = (spark.sparkContext.applicationId, sf_dir, analyzer)
     if key not in _KEPT:
         path = f"{shared_folder(spark)}/lumenrank/index-{uuid.uuid4().hex[:12]}"
-        LexicalIndex.build(notes(spark, sf_dir), analyzer).save(path)
-        _KEPT[key] = LexicalIndex.open(spark, path)
+        _KEPT[key] = LexicalIndex.store(notes(spark, sf_dir), path, analyzer)
     return _KEPT[key]
 
 

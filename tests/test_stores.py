@@ -107,6 +107,8 @@ def test_stored_index_answers_like_a_fresh_one(spark, tmp_path):
     kept = LexicalIndex.open(spark, str(tmp_path / "i"))
     asked = spark.createDataFrame([(1, "zebra common"), (2, "word3 text8 nothing"), (3, "common")], "qid int, query string")
     assert pairs(kept.search(asked, 5)) == pairs(fresh.search(asked, 5)) and kept.search(asked, 5).count() > 8
+    at_once = LexicalIndex.store(docs, str(tmp_path / "j"), buckets=3)
+    assert pairs(at_once.search(asked, 5)) == pairs(fresh.search(asked, 5)) and len(list((tmp_path / "j" / "postings").glob("part-*.parquet"))) == 3
     one = kept.search(spark.createDataFrame([(1, "zebra")], "qid int, query string"), 3)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,zebra)" in one or "In(term" in one
     plan = kept.search(asked, 5)._jdf.queryExecution().executedPlan().toString()
