@@ -74,6 +74,35 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return bounded(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: So many slim rows are sent to the executors, at most (some 40 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Bits of the filter that is sent in place of more rows; 64 of them are a row, so its size is fixed.
+FILTER_BITS = 1 << 26
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (written before, as it is counted), marked for a broadcast join if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def rows_of(docs: DataFrame, wanted: DataFrame, id_col: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``docs`` beside those of ``wanted`` with the same id, a null id included; ``wanted`` has other columns besides the id.
+
+    Up to ``most`` wanted rows are broadcast. Beyond, a bit filter of the wanted ids, of a fixed size, is broadcast first,
+    so that only documents which pass it are shuffled to meet the ids.
+    """
+    wanted = wanted.withColumnRenamed(id_col, "_wanted")
+    same = F.col(id_col).eqNullSafe(F.col("_wanted"))
+    if wanted.count() <= most:
+        return docs.join(F.broadcast(wanted), same).drop("_wanted")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    ones = wanted.select(place("_wanted").alias("at")).select(F.expr("at div 64").alias("_word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("one"))
+    words = ones.groupBy("_word").agg(F.bit_or("one").alias("_bits"))
+    placed = docs.withColumn("_at", place(id_col))
+    passed = placed.join(F.broadcast(words), F.expr("_at div 64 = _word")).where("shiftrightunsigned(_bits, cast(_at % 64 as int)) & 1 = 1")
+    return passed.drop("_at", "_word", "_bits").join(wanted, same).drop("_wanted")
+
+
 def crc32_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))

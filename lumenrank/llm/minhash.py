@@ -12,12 +12,9 @@ its value. A document of total weight W only needs darts up to rank about K ln K
 the work is a hash for each element and some K ln K darts, not K hashes for each element.
 If a coordinate stays empty, the rank limit is doubled.
 
-Groups, without all pairs: texts with the same words are one vertex. A bucket (a band's
-value) first links its members to its most central member, verified on whole shingle sets;
-a group of near copies then costs a link for each member. Buckets that still hold several
-components are compared in blocks, across components only, on whole sets, so every two texts
-that share a bucket are either in one component or decided exactly. From buckets of more than a block
-those texts leave before that whose shingles can't reach the similarity with other components.
+Texts with the same words are one vertex, a band's value is a bucket, and the groups come from
+the buckets by the links of ``linking``: every two texts that share a bucket are either in one
+component or decided exactly on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -25,16 +22,13 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lumenrank.llm.common import ASCII_LOWER, discard, id_and_text, materialize, slices
-from lumenrank.llm.components import components
+from lumenrank.llm import linking
+from lumenrank.llm.common import ASCII_LOWER, BROADCAST_ROWS, id_and_text
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -45,8 +39,7 @@ BLOCK_BYTES = 2_000_000
 #: Shingles in one step of a block's comparison.
 COLUMNS = 8_192
 #: So many ids are sent to the executors, at most (some 40 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
-BATCH_BYTES = 2_000_000
+BROADCAST_IDS = BROADCAST_ROWS
 
 _U = np.uint64
 
@@ -159,125 +152,14 @@ def band_values(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return acc.view(np.int64)
 
 
-def _sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, v, bands, size): v names the text's words (128-bit digest), size counts its shingles; v is null where there are none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", BATCH_BYTES):
-            names, found, sizes = [], [], []
-            for text in batch.column("text").to_pylist():
-                hashes = word_hashes(text)
-                if len(hashes):
-                    own = shingles(hashes)
-                    names.append(_text_name(hashes))
-                    found.append(band_values(dart_minhash(own, k=bands * rows), bands, rows))
-                    sizes.append(len(own))
-                else:
-                    names.append(None)
-                    found.append(None)
-                    sizes.append(0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
-                ["doc_id", "v", "bands", "size"],
-            )
-        _WORDS.clear()
-
-    return docs.mapInArrow(run, docs.select("doc_id").schema.add("v", T.BinaryType()).add("bands", T.ArrayType(T.LongType())).add("size", T.LongType()))
-
-
-def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(v, shingles) for the wanted (v, one), from one document of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", BATCH_BYTES):
-            hashes = [word_hashes(t) for t in batch.column("text").to_pylist()]
-            # An id that stands for several texts brings them all: only the vertex's own text counts.
-            own = [_text_name(h) == v for h, v in zip(hashes, batch.column("v").to_pylist())]
-            sets = [shingles(h).tobytes() if keep else b"" for h, keep in zip(hashes, own)]
-            found = pa.RecordBatch.from_arrays([batch.column("v"), pa.array(sets, pa.binary())], ["v", "shingles"])
-            yield found.filter(pa.array(own, pa.bool_()))
-        _WORDS.clear()
-
-    few = wanted.count() <= BROADCAST_IDS  # else documents and ids meet in a shuffle
-    chosen = F.broadcast(wanted) if few else wanted
-    rows = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["one"])).select("v", "text").mapInArrow(run, "v binary, shingles binary")
-    return rows.dropDuplicates(["v"])  # repeated rows bring a set twice
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least so similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("sa"), batch.column("sb")
-            keep = []
-            for x, y in zip(left, right):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (one, two) if len(one) <= len(two) else (two, one)
-                if len(small) < similarity * len(large):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with_b = pairs.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb")), "b")
-    with_a = with_b.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), "a")
-    return with_a.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
-
-
-def _leader_pairs(members: DataFrame) -> DataFrame:
-    """Each bucket's members beside its most central one, as distinct pairs: central is who meets most others over all its buckets."""
-    central = members.groupBy("v").agg(F.sum("n").alias("met"))
-    leaders = members.join(central, "v").groupBy("bucket").agg(F.max(F.struct("met", "v"))["v"].alias("leader"))
-    pairs = members.join(materialize(leaders, "leaders"), "bucket").where("v != leader")
-    return pairs.select(F.least("leader", "v").alias("a"), F.greatest("leader", "v").alias("b")).distinct()
-
-
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, v, size, label, total, n): the members of buckets with several components; of equal buckets one."""
-    named = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    buckets = named.groupBy("bucket").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"),
-        F.min("v").alias("v0"), F.max("v").alias("v1"), F.sum(F.shiftright(F.xxhash64("v"), 20)).alias("h"),
-    )
-    one = buckets.where("lo != hi").groupBy("n", "total", "v0", "v1", "h").agg(F.min("bucket").alias("bucket"))
-    return named.drop("n").join(materialize(one.select("bucket", "n", "total"), "mixed-buckets"), "bucket")
-
-
-def _linkable(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """v of those among ``members`` (v, label) that can have a link to another component's member.
-
-    A text's similarity to any text of other components is at most the share of its shingles
-    that those hold at all; one where that is too small has no link and leaves. Components
-    go by a 64-bit hash here, and texts by a number.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, label, held in zip(*(batch.column(c) for c in ("i", "label", "shingles"))):
-                own = pa.array(np.frombuffer(held.as_buffer(), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.repeat(i, len(own)), pa.repeat(label, len(own)), own], ["i", "label", "s"])
-
-    numbered = materialize(members.select("v", F.monotonically_increasing_id().alias("i"), F.xxhash64("label").alias("label")), "numbered")
-    tokens = materialize(numbered.join(sets, "v").mapInArrow(run, "i long, label long, s long"), "tokens")
-    across = materialize(tokens.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("s", F.lit(1).alias("hit")), "across")
-    held = tokens.select("i", "s").join(across, "s", "left").groupBy("i").agg(F.count("hit").alias("shared"), F.count(F.lit(1)).alias("size"))
-    out = materialize(held.where(F.col("shared") >= similarity * F.col("size") - 1e-6).select("i").join(numbered, "i").select("v"), "linkable")
-    for used in (numbered, tokens, across):
-        discard(used)
-    return out
-
-
-def block_links(one: list[dict], two: list[dict], similarity: float) -> list[tuple[bytes, bytes]]:
+def block_links(one: list[dict], two: list[dict], similarity: float) -> list[tuple[int, int]]:
     """Links between members of two blocks ({v, label, shingles}) of different components: one for each two components that have any.
 
     Overlaps are counted for all pairs at once, as a product of 0/1 matrices over the shingles that both blocks hold.
     """
     common = max((x["label"] for x in one), key=Counter(x["label"] for x in one).__getitem__)
     rest = [x for x in one if x["label"] != common], [x for x in one if x["label"] == common]
-    out: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
+    out: dict[tuple[int, int], tuple[int, int]] = {}
     for left, right in ((rest[0], two), (rest[1], [x for x in two if x["label"] != common])):
         if not left or not right:
             continue
@@ -309,27 +191,6 @@ def block_links(one: list[dict], two: list[dict], similarity: float) -> list[tup
     return list(out.values())
 
 
-def _blocked_links(mixed: DataFrame, sets: DataFrame, similarity: float, block: int, block_bytes: int) -> DataFrame:
-    """Links (a, b) across components within buckets; every two members of different components are compared on whole sets."""
-    parts = F.ceil(F.greatest(F.col("n") / block, F.col("total") * 8 / block_bytes)).cast("long")
-    rows = mixed.join(sets, "v").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
-    blocks = rows.groupBy("bucket", "part").agg(F.max("parts").alias("parts"), F.collect_list(F.struct("v", "label", "shingles")).alias("rows"))
-    blocks = materialize(blocks, "blocks")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [p for x, y in zip(batch.column("rows"), batch.column("others")) for p in block_links(x.as_py(), y.as_py() or x.as_py(), similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["a", "b"])
-
-    alone = blocks.select("rows", F.lit(None).cast(blocks.schema["rows"].dataType).alias("others"))
-    large = blocks.where("parts > 1")
-    others = large.select("bucket", F.col("part").alias("part2"), F.col("rows").alias("others"))
-    across = large.join(others, "bucket").where("part < part2").select("rows", "others")
-    out = materialize(alone.unionByName(across).mapInArrow(compare, "a binary, b binary").distinct(), "links")
-    discard(blocks)
-    return out
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
     bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES,
@@ -342,41 +203,21 @@ def near_duplicates(
     groups are whole components. An empty table gives no rows; other columns are not read.
     """
     docs = id_and_text(docs, id_col, text_col)
-    sketched = materialize(_sketch(docs, bands, rows), "sketches")
-    vertices = sketched.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("one"), F.first("bands").alias("bands"), F.max("size").alias("size"))
-    vertices = materialize(vertices, "vertices")
-    spread = vertices.select("v", "size", F.explode("bands").alias("bucket"))
-    shared = materialize(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-buckets")
-    members = materialize(spread.join(shared, "bucket"), "members")
-    labels = None
-    if not members.isEmpty():
-        wanted = members.select("v").distinct().join(vertices.select("v", "one"), "v")
-        sets = materialize(_shingle_sets(docs, wanted), "shingle-sets")
-        links = materialize(_verified(_leader_pairs(members), sets, similarity), "links")
-        labels = components(links)
-        mixed = materialize(_mixed(members, labels), "mixed")
-        large = mixed.where(F.col("n") > block)
-        if not large.isEmpty():
-            narrowed = large.join(_linkable(large.select("v", "label").distinct(), sets, similarity), "v", "left_semi")
-            left = narrowed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            left = materialize(left.where("lo != hi").select("bucket", "n", "total"), "mixed-buckets")
-            narrowed = narrowed.drop("n", "total").join(left, "bucket")
-            mixed = mixed.where(F.col("n") <= block).unionByName(narrowed)
-        more = _blocked_links(mixed, sets, similarity, block, block_bytes)
-        if not more.isEmpty():
-            labels = components(links.union(more))
-        for used in (sets, members, shared):
-            discard(used)
-    if labels is None:
-        labels = vertices.select("v", F.col("v").alias("label")).limit(0)
-    copies = sketched.where("v IS NOT NULL").groupBy("v", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    named = copies.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    groups = named.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.sum("copies").alias("group_size"))
-    counted = named.groupBy("label", "doc_id").agg(F.sum("copies").alias("copies"))
-    # Most groups are one row; only the others come back by a join, whose sides AQE can split.
-    several = materialize(groups.where("group_size > 1"), "groups")
-    out = counted.join(several, "label", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    out = out.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "copy")
+
+    def sketcher(text: str) -> tuple[bytes, np.ndarray, int] | None:
+        hashes = word_hashes(text)
+        if not len(hashes):
+            return None
+        own = shingles(hashes)
+        return _text_name(hashes), band_values(dart_minhash(own, k=bands * rows), bands, rows), len(own)
+
+    def reader(text: str) -> tuple[bytes, np.ndarray]:
+        hashes = word_hashes(text)
+        return _text_name(hashes), shingles(hashes)
+
+    sketched = linking.sketch(docs, sketcher, _WORDS.clear)
+    found = linking.vertices(sketched)
+    labels = linking.link(docs, found, reader, block_links, similarity, block, block_bytes, done=_WORDS.clear, sent=BROADCAST_IDS)
+    out = linking.grouped(sketched, found, labels)
     kept = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("copy") == 1)
-    word_less = sketched.where("v IS NULL").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    return out.select("doc_id", "group_id", "group_size", kept.alias("kept")).unionByName(word_less)
+    return out.select("doc_id", "group_id", "group_size", kept.alias("kept"))
