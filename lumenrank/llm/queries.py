@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenrank.llm import decontaminate, exact_dedup, fill_in_middle, language_id, minhash, packing, pii, ppm, token_counts, training_order, vector_codes, wrapper
+from lumenrank.llm import decontaminate, exact_dedup, fill_in_middle, jaccard_join, language_id, minhash, packing, pii, ppm, token_counts, training_order, vector_codes, wrapper
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.fill_in_middle(_read(spark, sf_dir, "documents")))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
     "op11_vector_codes": op11_vector_codes,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +87,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_decontaminate": decontaminate.ORACLE_SQL,
     "op11_vector_codes": vector_codes.ORACLE_SQL,
     "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
+    "op13_jaccard_join": jaccard_join.ORACLE_SQL,
 }
