@@ -15,8 +15,29 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lumenrank.functions.vectors import cosine
 from lumenrank.operators.lexical import DIGITS, ranked
 
-#: Queries multiplied at once; more go in further passes.
+#: Queries multiplied at once.
 QUERY_BLOCK = 4_096
+#: Bytes of query vectors that are sent to the executors together; more go in further passes over the index.
+QUERY_BYTES = 128_000_000
+
+
+def query_blocks(queries: DataFrame, size: int | None = None, most: int = QUERY_BYTES) -> Iterator[tuple[list, np.ndarray]]:
+    """(qids, matrix) of queries (qid, vector) in blocks of bounded bytes; only vectors of ``size`` components (the first one's, if not given), finite and not zero."""
+    rows = queries.select("qid", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL").toLocalIterator()
+    qids: list = []
+    vectors: list[np.ndarray] = []
+    for r in rows:
+        vector = np.array(r["vector"], np.float64)  # a null component is not a number
+        size = len(vector) if size is None else size
+        if len(vector) != size or not np.isfinite(vector).all() or not vector.any():
+            continue
+        qids.append(r["qid"])
+        vectors.append(vector)
+        if len(vectors) * size * 8 >= most:
+            yield qids, np.array(vectors)
+            qids, vectors = [], []
+    if vectors:
+        yield qids, np.array(vectors)
 
 
 def dense_scores(queries: DataFrame, index: DataFrame, exclude_self: bool = False) -> DataFrame:
@@ -32,41 +53,39 @@ def dense_scores(queries: DataFrame, index: DataFrame, exclude_self: bool = Fals
     return pairs.select("qid", "id", F.round(cosine(F.col("vector"), F.col("query")), DIGITS).alias("score")).where("score IS NOT NULL")
 
 
-def dense_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+def dense_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_self: bool = False, block: int = QUERY_BLOCK, most_bytes: int = QUERY_BYTES) -> DataFrame:
     """(qid, id, score, rank): the best ``depth`` of index (id, vector) for queries (qid, vector).
 
-    Queries go out in blocks of bounded size; each batch of index rows is one matrix product per
-    block and passes on only its own best ``depth``, so the shuffle holds few rows. Zero
+    Queries go out together up to a bound of bytes, each such part in one pass over the index; a batch of index rows is one matrix
+    product for each block of queries and passes on only its own best ``depth``, so the shuffle holds few rows. Zero
     vectors and vectors of another length score nothing.
     """
     spark = index.sparkSession
     types = [queries.schema["qid"], index.schema["id"], T.StructField("score", T.DoubleType())]
-    rows = queries.select("qid", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
     qid_type = to_arrow_type(queries.schema["qid"].dataType)
-    out, iterator = None, rows.toLocalIterator()
-    while part := [r for _, r in zip(range(block), iterator)]:
-        size = len(part[0]["vector"])
-        part = [r for r in part if len(r["vector"]) == size]
-        matrix = np.array([r["vector"] for r in part])
-        shared = spark.sparkContext.broadcast(([r["qid"] for r in part], _unit(matrix)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
-            qids, unit = shared.value
+    out = None
+    for asked, matrix in query_blocks(queries, most=most_bytes):
+        shared = spark.sparkContext.broadcast((asked, matrix))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked, matrix = shared.value
+            size, qids, units = matrix.shape[1], pa.array(asked, qid_type), _unit(matrix)
             for batch in batches:
                 column = batch.column("vector")
                 good = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy() == size)
                 if not len(good):
                     continue
                 ids = batch.column("id").take(pa.array(good))
-                flat = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                scores = np.round(_unit(flat) @ unit.T, DIGITS)
-                scores[~np.isfinite(scores)] = -np.inf
-                keep = min(depth + exclude_self, len(scores))
-                least = np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep]
-                row, query = np.nonzero((scores >= least) & (scores > -np.inf))  # ties at the end stay; the final ranking decides them
-                left, right = pa.array(qids, qid_type).take(pa.array(query)), ids.take(pa.array(row))
-                found = pa.RecordBatch.from_arrays([left, right, pa.array(scores[row, query])], ["qid", "id", "score"])
-                yield found.filter(pc.not_equal(left, right)) if exclude_self else found
+                rows = _unit(column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
+                for start in range(0, len(units), block):
+                    scores = np.round(rows @ units[start : start + block].T, DIGITS)
+                    scores[~np.isfinite(scores)] = -np.inf
+                    keep = min(depth + exclude_self, len(scores))
+                    least = np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep]
+                    row, query = np.nonzero((scores >= least) & (scores > -np.inf))  # ties at the end stay; the final ranking decides them
+                    left, right = qids.take(pa.array(query + start)), ids.take(pa.array(row))
+                    found = pa.RecordBatch.from_arrays([left, right, pa.array(scores[row, query])], ["qid", "id", "score"])
+                    yield found.filter(pc.not_equal(left, right)) if exclude_self else found
 
         best = index.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, T.StructType(types))
         out = best if out is None else out.unionByName(best)
