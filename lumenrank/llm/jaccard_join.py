@@ -10,10 +10,11 @@ and no link is lost. A segment of fewer than ``WEAK`` n-grams says little (one f
 to spare: sets with at most E weak segments leave those out, as one equal segment still remains. Tiles of more vertices than
 a block are cut again into narrow size bands, each with the next.
 
-In a tile of blocks, sizes give the range of partners, then bitmaps (a hashed bit for each n-gram) bound
+In a tile, sizes give the range of partners, then bitmaps (a hashed bit for each n-gram) bound
 the overlap from above: two sets whose bitmaps differ in h bits differ in at least h n-grams, so the
 overlap is at most (a + b - h) / 2. Only pairs that this leaves, of components not yet joined, get the exact intersection
-of the sorted arrays. Components of all links follow by ``linking``, which first joins groups of near copies through one leader.
+of the sorted arrays. A tile of up to a block of vertices holds their bitmaps alone, and its pairs meet the sets once however many
+tiles they share; larger tiles are compared in blocks of whole sets. Components of all links follow by ``linking``, which first joins groups of near copies through one leader.
 
 Equal sets are one vertex. N-grams are 64-bit hashes and sets are named by 128 bits; both as in near-dedup.
 """
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.llm import linking
+from lumenrank.llm.bitmaps import bitmaps, candidates, mix, width
 from lumenrank.llm.common import BROADCAST_ROWS, id_and_text
-from lumenrank.llm.minhash import _WORDS, _mix, shingles, word_hashes
+from lumenrank.llm.minhash import _WORDS, shingles, word_hashes
 
 WORDS_EACH, PERCENT = 3, 90
 #: Growth of sizes within a zone.
@@ -41,8 +43,6 @@ BLOCK = 256
 BLOCK_BYTES = 2_000_000
 #: Bits of a bitmap for each n-gram of the block's largest set, rounded up to a power of two within these bounds.
 BITS_EACH, LEAST_BITS, MOST_BITS = 4, 256, 16_384
-#: Rows compared with a block at once.
-STRIP = 32
 
 _U = np.uint64
 
@@ -78,7 +78,7 @@ class Zones:
 
 def tile_keys(own: np.ndarray, zones: Zones) -> np.ndarray:
     """Tiles of a set of sorted n-gram hashes, as 64-bit numbers."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(own ^ _U(0x5851F42D4C957F2D)))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(own ^ _U(0x5851F42D4C957F2D)))))
     out = []
     for zone in zones.reached(len(own)):
         cuts, spare = zones.cuts(zone)
@@ -86,41 +86,12 @@ def tile_keys(own: np.ndarray, zones: Zones) -> np.ndarray:
         counts = np.diff(edges)
         content = sums[edges[1:]] - sums[edges[:-1]]
         segment = np.arange(len(counts)).astype(np.uint64)
-        keys = _mix(_mix(content + _mix(segment * _U(0x9E3779B97F4A7C15) + _U(zone + 1))) + counts.astype(np.uint64))
+        keys = mix(mix(content + mix(segment * _U(0x9E3779B97F4A7C15) + _U(zone + 1))) + counts.astype(np.uint64))
         weak = counts < WEAK
         out.append(keys[~weak] if weak.sum() <= spare else keys)
     return np.concatenate(out).view(np.int64)
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """A row of 64-bit words for each set, with the bit of each n-gram's hash set."""
-    grid = np.zeros((len(sets), bits), bool)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    grid[rows, (_mix(np.concatenate(sets)) % _U(bits)).astype(np.int64)] = True
-    return np.packbits(grid, axis=1).view(np.uint64)
-
-
-def candidates(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (places in ``one``, places in ``two``) that sizes and bitmaps can't rule out; both are sorted by size."""
-    a, b = (np.array([len(s) for s in side], np.int64) for side in (one, two))
-    bits = 1 << (BITS_EACH * int(max(a[-1], b[-1])) - 1).bit_length()
-    bits = min(MOST_BITS, max(LEAST_BITS, bits))
-    left, right = bitmaps(one, bits), bitmaps(two, bits)
-    out = []
-    for start in range(0, len(a), STRIP):
-        own = a[start : start + STRIP]
-        low = np.searchsorted(b, -(-percent * own[0] // 100), side="left")
-        high = np.searchsorted(b, own[-1] * 100 // percent, side="right")
-        if low >= high:
-            continue
-        gap = np.bitwise_count(left[start : start + STRIP, None, :] ^ right[None, low:high, :]).sum(axis=2, dtype=np.int64)
-        both = own[:, None] + b[None, low:high]
-        # overlap <= (both - gap) / 2 and the limit is percent * both / (100 + percent)
-        i, j = np.nonzero(((both - gap) // 2) * (100 + percent) >= percent * both)
-        out.append((i + start, j + low))
-    return out
-
-
 def tile_links(one: list[dict], two: list[dict], similarity: float) -> list[tuple[int, int]]:
     """Links between members of two blocks ({v, label, shingles}) of different components: enough to join all those that the blocks' links join."""
     percent = round(similarity * 100)
@@ -129,7 +100,9 @@ def tile_links(one: list[dict], two: list[dict], similarity: float) -> list[tupl
     number = {label: i for i, label in enumerate({x["label"] for side in (one, two) for x in side})}
     group = [np.array([number[x["label"]] for x in side]) for side in (one, two)]
     out = []
-    for at, other in candidates(*sets, percent):
+    sizes = [np.array([len(x) for x in side], np.int64) for side in sets]
+    bits = width(int(max(side[-1] for side in sizes)))
+    for at, other in candidates(*sizes, *(bitmaps(side, bits) for side in sets), percent):
         for i, j in zip(at.tolist(), other.tolist()):
             g, h = group[0][i], group[1][j]
             if g != h and linking.similar(sets[0][i], sets[1][j], similarity):

@@ -2,10 +2,11 @@
 
 A vertex is a set that some documents share; a bucket holds vertices that may be similar. A bucket
 first links its members to its most central member, verified on whole sets, so a group of near copies
-costs a link for each member. Buckets that still hold several components are compared in
-blocks, across components only, on whole sets: every two vertices that share a bucket are either in one
-component or decided exactly. From buckets of more than a block those vertices leave before that whose
-shingles can't reach the similarity with other components.
+costs a link for each member. Buckets that still hold several components are compared across components:
+up to a block of members as a tile of bitmaps, which rule most pairs out, and the others, each once
+however many tiles it is in, on whole sets; larger ones in blocks of whole sets. So every two vertices that share a bucket are
+either in one component or decided exactly. From buckets of more than a block those vertices leave before that
+whose shingles can't reach the similarity with other components.
 
 Pairs of blocks of a large bucket are dealt to tasks in strips: with P blocks there are about
 sqrt(P) strips of as many blocks, each strip is a key of its own, and every block goes to the strips at or before its own.
@@ -13,6 +14,7 @@ sqrt(P) strips of as many blocks, each strip is a key of its own, and every bloc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenrank.llm.bitmaps import may_link, signature, tile_candidates
 from lumenrank.llm.common import BROADCAST_ROWS, discard, materialize, rows_of, slices, small_side
 from lumenrank.llm.components import components
 
@@ -64,7 +67,7 @@ def bucket_members(found: DataFrame, sent: int) -> DataFrame:
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame, reader: Reader, sent: int, done: Callable[[], None] = lambda: None) -> DataFrame:
-    """(v, shingles) for the wanted (v, name, one), each from one document; in the shared folder."""
+    """(v, size, bits, shingles) for the wanted (v, name, one), each from one document; bits is the set's bitmap. In the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
@@ -72,15 +75,29 @@ def read_sets(docs: DataFrame, wanted: DataFrame, reader: Reader, sent: int, don
             # An id that stands for several texts brings them all: only the vertex's own text counts.
             own = [f[0] == name for f, name in zip(found, batch.column("name").to_pylist())]
             sets = [f[1].tobytes() if keep else b"" for f, keep in zip(found, own)]
-            out = pa.RecordBatch.from_arrays([batch.column("v"), pa.array(sets, pa.binary())], ["v", "shingles"])
-            yield out.filter(pa.array(own, pa.bool_()))
+            bits = [signature(f[1]) if keep else None for f, keep in zip(found, own)]
+            columns = [batch.column("v"), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["v", "size", "bits", "shingles"]).filter(pa.array(own, pa.bool_()))
         done()
 
     rows = rows_of(docs, wanted.withColumnRenamed("one", "doc_id"), "doc_id", sent)
-    out = rows.select("v", "name", "text").mapInArrow(run, "v long, shingles binary")
+    out = rows.select("v", "name", "text").mapInArrow(run, "v long, size long, bits binary, shingles binary")
     return materialize(out.dropDuplicates(["v"]), "shingle-sets")  # repeated rows bring a set twice
 
 
+def sieved(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps can't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(*x, percent) for x in zip(*(batch.column(c).to_pylist() for c in ("ba", "bb", "na", "nb")))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sets.select(F.col("v").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
+    two = sets.select(F.col("v").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "ba", "bb", "na", "nb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are at least so similar."""
 
@@ -144,7 +161,7 @@ def linkable(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
                 own = pa.array(np.frombuffer(held.as_buffer(), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.repeat(v, len(own)), pa.repeat(label, len(own)), own], ["v", "label", "s"])
 
-    tokens = materialize(members.join(sets, "v").select("v", "label", "shingles").mapInArrow(run, "v long, label long, s long"), "tokens")
+    tokens = materialize(members.join(sets.select("v", "shingles"), "v").mapInArrow(run, "v long, label long, s long"), "tokens")
     across = materialize(tokens.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("s", F.lit(1).alias("hit")), "across")
     held = tokens.select("v", "s").join(across, "s", "left").groupBy("v").agg(F.count("hit").alias("shared"), F.count(F.lit(1)).alias("size"))
     out = materialize(held.where(F.col("shared") >= similarity * F.col("size") - 1e-6).select("v"), "linkable")
@@ -153,6 +170,20 @@ def linkable(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return out
 
 
+def tile_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): distinct pairs of members of different components that their bitmaps can't rule out, in buckets of at most a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile in batch.column("rows"):
+                found = tile_candidates(tile.as_py(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+
+    rows = mixed.select("bucket", "v", "label", "size").join(sets.select("v", "bits"), "v")
+    tiles = rows.groupBy("bucket").agg(F.collect_list(F.struct("v", "label", "size", "bits")).alias("rows"))
+    return tiles.select("rows").mapInArrow(run, "a long, b long").distinct()
+
+
 def block_pairs(blocks: DataFrame) -> DataFrame:
     """(rows, others): every two blocks of a bucket, from (bucket, part, parts, rows), dealt by (bucket, strip)."""
     width = F.ceil(F.sqrt("parts")).cast("long")
@@ -166,7 +197,7 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
 def blocked_links(mixed: DataFrame, sets: DataFrame, similarity: float, compare: Comparer, block: int, block_bytes: int) -> DataFrame:
     """Links (a, b) across components within buckets; every two members of different components are compared."""
     parts = F.ceil(F.greatest(F.col("n") / block, F.col("total") * 8 / block_bytes)).cast("long")
-    rows = mixed.join(sets, "v").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+    rows = mixed.join(sets.select("v", "shingles"), "v").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
     blocks = rows.groupBy("bucket", "part").agg(F.max("parts").alias("parts"), F.collect_list(F.struct("v", "label", "shingles")).alias("rows"))
     blocks = materialize(blocks, "blocks")
 
@@ -197,19 +228,25 @@ def link(
     members = bucket_members(found, sent)
     if members.isEmpty():
         return found.select("v", F.col("v").alias("label")).limit(0)
+    percent = math.floor(similarity * 100 + 1e-9)
     sets = read_sets(docs, members.select("v").distinct().join(found.select("v", "name", "one"), "v"), reader, sent, done)
-    links = materialize(verified(leader_pairs(members), sets, similarity), "links")
-    labels = components(links)
-    mixed = mixed_buckets(members, labels)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return materialize(verified(materialize(sieved(pairs, sets, percent), "sieved"), sets, similarity), "links")
+
+    links = check(leader_pairs(members))
+    mixed = mixed_buckets(members, components(links))
     large = mixed.where(F.col("n") > block)
+    columns = ["bucket", "v", "size", "label", "n", "total"]
     if not large.isEmpty():
         narrowed = large.join(linkable(large.select("v", "label").distinct(), sets, similarity), "v", "left_semi")
         narrowed = counted(deal(narrowed.select("bucket", "v", "size", "label")))
-        columns = ["bucket", "v", "size", "label", "n", "total"]
-        mixed = mixed.where(F.col("n") <= block).select(columns).unionByName(narrowed.select(columns))
-    more = blocked_links(mixed, sets, similarity, compare, block, block_bytes)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+        mixed = materialize(mixed.where(F.col("n") <= block).select(columns).unionByName(narrowed.select(columns)), "mixed")
+        large = mixed.where(F.col("n") > block)
+    links = links.union(check(tile_pairs(mixed.where(F.col("n") <= block), sets, percent)))
+    if not large.isEmpty():
+        links = links.union(blocked_links(large, sets, similarity, compare, block, block_bytes))
+    labels = components(links)
     for used in (sets, members):
         discard(used)
     return labels

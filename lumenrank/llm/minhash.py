@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.llm import linking
+from lumenrank.llm.bitmaps import mix
 from lumenrank.llm.common import ASCII_LOWER, BROADCAST_ROWS, id_and_text
 
 SHINGLE = 5
@@ -44,13 +45,6 @@ BROADCAST_IDS = BROADCAST_ROWS
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A fixed 64-bit finaliser (public-domain splitmix constants)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 class _WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
@@ -84,7 +78,7 @@ def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     acc = hashes[: n - width + 1].copy()
     for j in range(1, width):
         acc = acc * _U(0x9E3779B97F4A7C15) + hashes[j : n - width + 1 + j]
-    acc = np.sort(_mix(acc))
+    acc = np.sort(mix(acc))
     return acc[np.concatenate(([True], acc[1:] != acc[:-1]))]
 
 
@@ -99,14 +93,14 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray | None = None, k: int
         index = np.repeat(np.arange(len(elements)), cells)
         cell = np.arange(len(index)) - np.repeat(np.cumsum(cells) - cells, cells)
         part = np.minimum(weights[index] - cell, 1.0)
-        elements = _mix(elements[index] + cell.astype(np.uint64) * _U(0xD1B54A32D192ED03))
+        elements = mix(elements[index] + cell.astype(np.uint64) * _U(0xD1B54A32D192ED03))
         total = float(weights.sum())
     else:
         part, total = None, float(len(elements))
     limit = k * (math.log(k) + 4) / total
 
     def drawn(base: np.ndarray, number: np.ndarray) -> np.ndarray:
-        return _mix(base + number.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        return mix(base + number.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
     def gap(hashed: np.ndarray) -> np.ndarray:
         return -np.log(((hashed >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53)
@@ -140,7 +134,7 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray | None = None, k: int
         out[slot] = dart[order]
         filled[slot] = True
         if filled.all():
-            return _mix(out)
+            return mix(out)
         limit *= 2
 
 
@@ -148,7 +142,7 @@ def band_values(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     grid = signature.reshape(bands, rows)
     acc = np.arange(1, bands + 1).astype(np.uint64)
     for r in range(rows):
-        acc = _mix(acc * _U(0x9E3779B97F4A7C15) + grid[:, r])
+        acc = mix(acc * _U(0x9E3779B97F4A7C15) + grid[:, r])
     return acc.view(np.int64)
 
 

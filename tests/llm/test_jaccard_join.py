@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenrank.llm import common, jaccard_join, linking
+from lumenrank.llm import bitmaps, common, jaccard_join, linking
 from lumenrank.llm.minhash import shingles, word_hashes
 from tests.llm.conftest import odd_rows, prose
 
@@ -116,8 +116,15 @@ def test_bitmaps_never_lose_a_link():
         base = r.integers(0, 1 << 63, int(r.integers(1, 300)), dtype=np.uint64)
         sets += [np.unique(np.concatenate((base[int(len(base) * 0.03 * k) :], r.integers(0, 1 << 63, k, dtype=np.uint64)))) for k in range(4)]
     sets = sorted((s for s in sets if len(s)), key=len)
-    kept = {(int(i), int(j)) for at, other in jaccard_join.candidates(sets, sets, 90) for i, j in zip(at, other)}
+    sizes = np.array([len(s) for s in sets])
+    maps = bitmaps.bitmaps(sets, bitmaps.width(int(sizes[-1])))
+    kept = {(int(i), int(j)) for at, other in bitmaps.candidates(sizes, sizes, maps, maps, 90) for i, j in zip(at, other)}
     linked = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if linking.similar(sets[i], sets[j], 0.9)}
+    signed = [bitmaps.signature(s) for s in sets]
+    one_by_one = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if bitmaps.may_link(signed[i], signed[j], len(sets[i]), len(sets[j]), 90)}
+    assert linked <= one_by_one and len(one_by_one) < len(linked) + 0.05 * len(sets) ** 2
+    tile = [{"v": i, "label": i, "size": len(s), "bits": b} for i, (s, b) in enumerate(zip(sets, signed))]
+    assert {(i, j) for i, j in linked if i < j} <= set(bitmaps.tile_candidates(tile, 90))
     assert linked <= kept and len(kept) < len(linked) + 0.05 * len(sets) ** 2
 
 
