@@ -95,12 +95,17 @@ def rows_of(docs: DataFrame, wanted: DataFrame, id_col: str, most: int = BROADCA
     same = F.col(id_col).eqNullSafe(F.col("_wanted"))
     if wanted.count() <= most:
         return docs.join(F.broadcast(wanted), same).drop("_wanted")
+    return passing(docs, id_col, wanted.select("_wanted")).join(wanted, same).drop("_wanted")
+
+
+def passing(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is no value of the one-column table ``wanted``: those that a broadcast filter of ``FILTER_BITS`` bits lets pass."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    ones = wanted.select(place("_wanted").alias("at")).select(F.expr("at div 64").alias("_word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("one"))
+    ones = wanted.select(place(wanted.columns[0]).alias("at")).select(F.expr("at div 64").alias("_word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("one"))
     words = ones.groupBy("_word").agg(F.bit_or("one").alias("_bits"))
-    placed = docs.withColumn("_at", place(id_col))
+    placed = rows.withColumn("_at", place(column))
     passed = placed.join(F.broadcast(words), F.expr("_at div 64 = _word")).where("shiftrightunsigned(_bits, cast(_at % 64 as int)) & 1 = 1")
-    return passed.drop("_at", "_word", "_bits").join(wanted, same).drop("_wanted")
+    return passed.drop("_at", "_word", "_bits")
 
 
 def crc32_mod(id_col: Column, n: int) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenrank.llm.bitmaps import may_link, signature, tile_candidates
-from lumenrank.llm.common import BROADCAST_ROWS, discard, materialize, rows_of, slices, small_side
+from lumenrank.llm.common import BROADCAST_ROWS, discard, materialize, passing, rows_of, slices, small_side
 from lumenrank.llm.components import components
 
 BATCH_BYTES = 2_000_000
@@ -58,10 +58,21 @@ def vertices(sketched: DataFrame) -> DataFrame:
 
 
 def bucket_members(found: DataFrame, sent: int) -> DataFrame:
-    """(bucket, v, size, n): members of buckets that n > 1 vertices share."""
-    spread = found.select("v", "size", F.explode("buckets").alias("bucket"))
-    shared = materialize(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-buckets")
-    members = materialize(spread.join(small_side(shared, sent), "bucket"), "members")
+    """(bucket, v, size, n): members of buckets that n > 1 vertices share.
+
+    Most shared buckets hold two, which the smallest and the largest member give at once; only members of larger ones are looked up.
+    """
+    spread = found.select("v", F.explode("buckets").alias("bucket"))
+    counted = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    shared = materialize(counted.where("n > 1"), "shared-buckets")
+    two = shared.where("n = 2").select("bucket", F.explode(F.array("lo", "hi")).alias("v"), "n")
+    many = shared.where("n > 2").select("bucket", "n")
+    if many.count() > sent:
+        rest = passing(spread, "bucket", many.select("bucket")).join(many, "bucket")
+    else:
+        rest = spread.join(F.broadcast(many), "bucket")
+    sizes = small_side(found.select("v", "size"), sent)
+    members = materialize(two.unionByName(rest.select("bucket", "v", "n")).join(sizes, "v"), "members")
     discard(shared)
     return members
 
@@ -122,11 +133,13 @@ def similar(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(one) + len(two) - both) - 1e-9
 
 
-def leader_pairs(members: DataFrame) -> DataFrame:
-    """Each bucket's members beside its most central one, as distinct pairs: central is who meets most others over all its buckets."""
+def leader_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Each bucket's members beside its most central one, as distinct pairs of sizes that can be so similar: central is who meets most others over all its buckets."""
     central = members.groupBy("v").agg(F.sum("n").alias("met"))
-    leaders = members.join(central, "v").groupBy("bucket").agg(F.max(F.struct("met", "v"))["v"].alias("leader"))
-    pairs = members.join(materialize(leaders, "leaders"), "bucket").where("v != leader")
+    best = F.max(F.struct("met", "v", "size"))
+    leaders = members.join(central, "v").groupBy("bucket").agg(best["v"].alias("leader"), best["size"].alias("leader_size"))
+    near = F.least("size", "leader_size") >= similarity * F.greatest("size", "leader_size") - 1e-6
+    pairs = members.join(materialize(leaders, "leaders"), "bucket").where((F.col("v") != F.col("leader")) & near)
     return pairs.select(F.least("leader", "v").alias("a"), F.greatest("leader", "v").alias("b")).distinct()
 
 
@@ -234,7 +247,7 @@ def link(
     def check(pairs: DataFrame) -> DataFrame:
         return materialize(verified(materialize(sieved(pairs, sets, percent), "sieved"), sets, similarity), "links")
 
-    links = check(leader_pairs(members))
+    links = check(leader_pairs(members, similarity))
     mixed = mixed_buckets(members, components(links))
     large = mixed.where(F.col("n") > block)
     columns = ["bucket", "v", "size", "label", "n", "total"]
