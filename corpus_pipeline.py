@@ -27,23 +27,26 @@ def _key() -> Column:
 
 
 def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``docs`` without the rows decided against.
+    """``docs`` without the rows decided against, with the columns that they have, whatever their names.
 
     ``decisions`` has a row (doc_id, keep) for each row of ``docs``, by the ids of ``_keyed``. Texts that are
     dropped for all their rows leave by an anti join, which carries documents through at most one
-    shuffle. Of repeated rows (same id and same text) as many stay as were kept, the first by their other columns.
+    shuffle. Of repeated rows (same id and same text) as many stay as were kept, the first by their other columns (as JSON, which any type has).
     """
     per_key = decisions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("keep").cast("long")).alias("kept"))
-    per_key = materialize(per_key.where("kept < n"), "dropped").select(F.col("doc_id").alias("_id"), "kept")
-    docs = docs.withColumn("_key", _key())
-    same = F.col("_key").eqNullSafe(F.col("_id"))
-    out = docs.join(per_key.where("kept = 0"), same, "left_anti")
+    per_key = materialize(per_key.where("kept < n"), "dropped").select(F.col("doc_id").alias("id"), "kept")
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    rows = docs.select(_key().alias("key"), F.struct(*columns).alias("row"))
+    same = F.col("key").eqNullSafe(F.col("id"))
+    out = rows.join(per_key.where("kept = 0"), same, "left_anti")
     partly = per_key.where("kept > 0")
     if not partly.isEmpty():
-        order = Window.partitionBy("_key").orderBy(*(c for c in docs.columns if c not in ("_key", "text")))
-        some = docs.join(partly, same).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("kept")).drop("_id", "_n", "kept")
+        others = F.struct(*(c for c, name in zip(columns, docs.columns) if name not in ("doc_id", "text")), F.lit(0).alias("none"))
+        repeated = docs.select(_key().alias("key"), F.to_json(others).alias("order"), F.struct(*columns).alias("row")).join(partly, same)
+        place = F.row_number().over(Window.partitionBy("key").orderBy("order"))
+        some = repeated.withColumn("place", place).where(F.col("place") <= F.col("kept")).select("key", "row")
         out = out.join(partly, same, "left_anti").unionByName(some)
-    return out.drop("_key")
+    return out.select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
