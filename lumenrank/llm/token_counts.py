@@ -23,20 +23,22 @@ from pyspark.sql import types as T
 
 from lumenrank.llm.common import id_and_text, materialize, scratch, slices
 from lumenrank.llm.storage import committed, read_range
-from lumenrank.llm.tokens import default_path, encoder, id_type, narrowed
+from lumenrank.llm.tokens import default_path, encoder, end_of_document, id_type, narrowed
 
-#: Not an ordinary id of the default vocabulary.
+#: The default vocabulary's own end of document.
 END_OF_DOCUMENT = 50256
 BLOCK_BYTES = 4 << 20
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None = None, separator: int = END_OF_DOCUMENT, dtype: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None = None, separator: int | None = None, dtype: str | None = None) -> DataFrame:
     """Write one flat file for each partition; (shard, ordinal, doc_id) says whose documents they hold, in order.
 
     Ids take two bytes where the vocabulary and the separator fit, else four; a narrower ``dtype`` raises at
-    the first id that does not fit. Strings of added tokens are ordinary text, so no text holds a separator.
+    the first id that does not fit. Strings of added tokens are ordinary text, so no text holds a separator; one that is
+    an ordinary id of the vocabulary raises, and without one it is ``tokens.end_of_document``.
     """
     path = tokenizer_path or default_path()
+    separator = end_of_document(path, separator)
     dtype = dtype or id_type(path, separator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,12 +91,15 @@ def count_tokens(spark: SparkSession, folder: str, separator: int = END_OF_DOCUM
                 )
 
     found = materialize(blocks.select("path", "block", "start", "size").mapInArrow(scan, "path string, block long, ids long, ends long, first long, last long, inner array<long>"), "token-scan")
+    slim = found.select("path", "block", "ids", "ends", "last")  # the scan over a file's blocks doesn't carry the lengths
     order = Window.partitionBy("path").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))).withColumn("ordinal", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    stitched = slim.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))).withColumn("ordinal", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     stitched = stitched.withColumn("open", F.coalesce(F.max(F.col("base") + F.col("last")).over(before), F.lit(-1)))
+    stitched = materialize(stitched, "token-bases")
     lengths = F.concat(F.array(F.col("base") + F.col("first") - F.col("open") - 1), F.col("inner"))
-    ended = stitched.where("ends > 0").select("path", "ordinal", F.posexplode(lengths).alias("i", "n_tokens"))
+    whole = stitched.where("ends > 0").select("path", "block", "base", "open", "ordinal").join(found.select("path", "block", "first", "inner"), ["path", "block"])
+    ended = whole.select("path", "ordinal", F.posexplode(lengths).alias("i", "n_tokens"))
     ended = ended.select("path", (F.col("ordinal") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended"))
     totals = found.groupBy("path").agg(F.sum("ids").alias("ids"), F.sum("ends").alias("ordinal"))
     last = stitched.groupBy("path").agg(F.coalesce(F.max(F.col("base") + F.col("last")), F.lit(-1)).alias("last"))
@@ -112,5 +117,7 @@ def document_token_counts(docs: DataFrame, tokenizer_path: str | None = None) ->
     order = write_token_files(docs, folder, tokenizer_path)
     if order.isEmpty():
         return order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "shard", "ordinal")
-    counts = count_tokens(spark, folder, dtype=id_type(tokenizer_path or default_path(), END_OF_DOCUMENT)).withColumn("shard", F.regexp_extract("path", r"part-(\d+)\.bin$", 1).cast("int"))
+    path = tokenizer_path or default_path()
+    end = end_of_document(path, None)
+    counts = count_tokens(spark, folder, end, id_type(path, end)).withColumn("shard", F.regexp_extract("path", r"part-(\d+)\.bin$", 1).cast("int"))
     return order.join(counts, ["shard", "ordinal"]).select("doc_id", "n_tokens", "shard", "ordinal")

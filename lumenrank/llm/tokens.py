@@ -47,6 +47,22 @@ def id_type(path: str, *others: int) -> str:
     return "<u2" if most < 1 << 16 else "<u4"
 
 
+def end_of_document(path: str, given: int | None) -> int:
+    """The id that ends documents: the given one, or the file's first special added token, or else the first id beyond the vocabulary.
+
+    An id that texts can have raises: documents would be cut in two there.
+    """
+    spec = _spec(path)
+    vocabulary, added = spec.get("model", {}).get("vocab", {}), spec.get("added_tokens", [])
+    ids = set(vocabulary.values()) if isinstance(vocabulary, dict) else set(range(len(vocabulary)))
+    special = sorted(t["id"] for t in added if t.get("special"))
+    if given is None:
+        return special[0] if special else max([*ids, *(t["id"] for t in added), -1]) + 1
+    if given < 0 or (given in ids or given in {t["id"] for t in added}) and given not in special:
+        raise ValueError(f"id {given} is an ordinary id of {path}: it can't end documents")
+    return given
+
+
 def narrowed(ids: bytes, dtype: str) -> bytes:
     """32-bit ids in another width; ids that it can't hold raise."""
     if dtype == "<u4":

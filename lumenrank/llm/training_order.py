@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from lumenrank.llm.common import discard, id_and_text, materialize, scratch, slices
 from lumenrank.llm.storage import committed, read_range
-from lumenrank.llm.tokens import default_path, encoder, id_type, narrowed
+from lumenrank.llm.tokens import default_path, encoder, end_of_document, id_type, narrowed
 
 SEQUENCE = 2048
 END_ID = 50256
@@ -120,16 +120,17 @@ def _sequences(docs: DataFrame, path: str, sequence: int, end_id: int, dtype: st
 
 
 def materialise(
-    docs: DataFrame, folder: str, key: str = "epoch-0", tokenizer_path: str | None = None, sequence: int = SEQUENCE, shard_rows: int = SHARD_ROWS, end_id: int = END_ID
+    docs: DataFrame, folder: str, key: str = "epoch-0", tokenizer_path: str | None = None, sequence: int = SEQUENCE, shard_rows: int = SHARD_ROWS, end_id: int | None = None
 ) -> DataFrame:
     """Write the shards under ``folder``; one row per sequence: slot, shard, row, n_tokens, ids_crc32, index, doc_ids.
 
     ``n_tokens`` leaves padding out and the checksum keeps it in. ``doc_ids`` are the documents with ids in the sequence, in order.
     The slot of number ``index`` is ``Permutation(rows, key)(index)``. Ids take two bytes where the vocabulary
     and the end id fit, else four; strings of added tokens are ordinary text. Null text is the empty text, one end
-    id. Repeated rows and null ids are written each. An empty table writes nothing; other columns are not read.
+    id; an end id that is an ordinary id of the vocabulary raises, and without one it is ``tokens.end_of_document``. Repeated rows and null ids are written each. An empty table writes nothing; other columns are not read.
     """
     path = tokenizer_path or default_path()
+    end_id = end_of_document(path, end_id)
     dtype = id_type(path, end_id)
     sequences = _sequences(id_and_text(docs), path, sequence, end_id, dtype)
     counts = sorted((r["p"], r["n"]) for r in sequences.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each input partition

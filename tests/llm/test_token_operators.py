@@ -146,3 +146,31 @@ def test_permutation(n):
     x = p(np.arange(n))
     assert sorted(x) == list(range(n)) and (p.inverse(x) == np.arange(n)).all()
     assert n < 100 or (training_order.Permutation(n, "other")(np.arange(n)) != x).any()
+
+
+def wide_tokenizer(folder, end=None):
+    """A word vocabulary of over 60,000 ids, in which 50256 is a word."""
+    import json
+
+    vocabulary = {"[UNK]": 0} | {f"w{i}": i for i in range(1, 60_001)}
+    added = [] if end is None else [{"id": end, "content": "<end>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]
+    spec = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": added, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": vocabulary, "unk_token": "[UNK]"}}
+    path = folder / f"wide{end}.json"
+    path.write_text(json.dumps(spec))
+    return str(path)
+
+
+def test_an_ordinary_id_ends_no_document(spark, tmp_path):
+    path, ended = wide_tokenizer(tmp_path), wide_tokenizer(tmp_path, 60_001)
+    docs = spark.createDataFrame([(1, "w5 w50256 w7"), (2, ""), (3, "w50256 w60000")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="ordinary id"):
+        token_counts.write_token_files(docs, str(tmp_path / "a"), path, separator=50256)
+    with pytest.raises(ValueError, match="ordinary id"):
+        training_order.materialise(docs, str(tmp_path / "b"), tokenizer_path=path, end_id=50256)
+    for p in (path, ended):
+        got = token_counts.document_token_counts(docs, p).collect()
+        assert {r["doc_id"]: r["n_tokens"] for r in got} == {1: 3, 2: 0, 3: 2}
+        placed = training_order.materialise(docs, str(tmp_path / f"c{p[-7:-5]}"), tokenizer_path=p, sequence=4, end_id=None)
+        assert placed.agg({"n_tokens": "sum"}).first()[0] == 8
+    assert tokens.end_of_document(path, None) == tokens.end_of_document(ended, None) == 60_001
+    assert tokens.end_of_document(default_path(), None) == token_counts.END_OF_DOCUMENT == training_order.END_ID
