@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+from urllib.parse import unquote, urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "lumenrank") -> SparkSession:
@@ -35,3 +37,21 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         context.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, below one folder for each application."""
+    return f"{shared_folder(spark)}/lumenrank/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` written to the shared folder and read again: for rows that a plan needs several times, or that must not change."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_path(path: str) -> str:
+    """The plain path of a file: url, or the path as it is."""
+    parts = urlparse(path)
+    return unquote(parts.path) if parts.scheme == "file" else path

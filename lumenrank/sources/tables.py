@@ -9,13 +9,14 @@ one state, the second fails.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenrank.operators.keyed import newest, once
+from lumenrank.sources.manifests import Manifests
 
 BUCKETS = 64
 #: Manifests, and the files that only they name, that stay for readers that are under way.
@@ -27,23 +28,12 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, path: str, key: str = "id", buckets: int = BUCKETS):
         self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
-        self._paths = spark._jvm.org.apache.hadoop.fs.Path
-        self._store = self._paths(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _manifests(self) -> list[int]:
-        if not self._store.exists(self._paths(self.path)):
-            return []
-        names = [f.getPath().getName() for f in self._store.listStatus(self._paths(self.path))]
-        return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
-
-    def _manifest(self, number: int) -> dict:
-        text = self.spark.read.text(f"{self.path}/manifest-{number:010d}.json", wholetext=True).first()[0]
-        return json.loads(text)
+        self.manifests = Manifests(spark, self.path)
 
     def state(self) -> tuple[int, dict]:
         """The number of the last commit (0: none) and its manifest."""
-        numbers = self._manifests()
-        return (numbers[-1], self._manifest(numbers[-1])) if numbers else (0, {"buckets": {}, "schema": None, "of": self.buckets})
+        number, manifest = self.manifests.last()
+        return number, manifest or {"buckets": {}, "schema": None, "of": self.buckets}
 
     def read(self, only: list[int] | None = None) -> DataFrame | None:
         """The rows, or those of some buckets; None where nothing was ever written."""
@@ -52,8 +42,6 @@ class KeyedTable:
     def _rows(self, manifest: dict, only: list[int] | None = None) -> DataFrame | None:
         if manifest["schema"] is None:
             return None
-        from pyspark.sql.types import StructType
-
         folders = [f"{self.path}/{d}" for b, d in manifest["buckets"].items() if only is None or int(b) in only]
         schema = StructType.fromJson(manifest["schema"])
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
@@ -79,29 +67,21 @@ class KeyedTable:
         fresh = fresh.drop("_bucket")
         merged = fresh if stored is None else stored.join(fresh.select(self.key), self.key, "left_anti").unionByName(fresh, allowMissingColumns=True)
         merged.withColumn("_bucket", self._bucket(of)).repartition(max(1, len(touched)), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{batch}/out")
-        self._store.delete(self._paths(f"{self.path}/{batch}/in"), True)
+        self.manifests.remove(f"{batch}/in")
         places = manifest["buckets"] | {str(b): f"{batch}/out/_bucket={b}" for b in touched}
         self._commit(number, {"buckets": places, "schema": merged.schema.jsonValue(), "of": of})
         return count
 
     def _commit(self, number: int, manifest: dict) -> None:
-        held = self._paths(f"{self.path}/.manifest-{uuid.uuid4().hex}")
-        out = self._store.create(held)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        target = self._paths(f"{self.path}/manifest-{number + 1:010d}.json")
-        if self._store.exists(target) or not self._store.rename(held, target):
-            self._store.delete(held, True)
-            raise RuntimeError(f"{self.path} was changed meanwhile")
+        self.manifests.commit(number + 1, manifest)
         self._clear()
 
     def _clear(self) -> None:
         """Delete manifests beyond ``KEPT``, and files that no manifest names."""
-        numbers = self._manifests()
+        numbers = self.manifests.numbers()
         for n in numbers[:-KEPT]:
-            self._store.delete(self._paths(f"{self.path}/manifest-{n:010d}.json"), False)
-        named = {d.split("/")[0] for n in numbers[-KEPT:] for d in self._manifest(n)["buckets"].values()}
-        for f in self._store.listStatus(self._paths(self.path)):
-            name = f.getPath().getName()
+            self.manifests.remove(f"manifest-{n:010d}.json")
+        named = {d.split("/")[0] for n in numbers[-KEPT:] for d in self.manifests.read(n)["buckets"].values()}
+        for name in self.manifests.names():
             if name.startswith("part-") and name not in named and int(name[5:15]) <= numbers[-1]:
-                self._store.delete(f.getPath(), True)
+                self.manifests.remove(name)
