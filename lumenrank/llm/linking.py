@@ -96,31 +96,43 @@ def read_sets(docs: DataFrame, wanted: DataFrame, reader: Reader, sent: int, don
     return materialize(out.dropDuplicates(["v"]), "shingle-sets")  # repeated rows bring a set twice
 
 
-def sieved(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their bitmaps can't rule out."""
+def beside(pairs: DataFrame, sets: DataFrame, columns: list[str], sent: int) -> DataFrame:
+    """Written pairs (a, b) with the sets' columns, as a_<column> and b_<column>.
+
+    Up to ``sent`` pairs go to the sets by broadcast, so that only the sets of pairs are shuffled; of more pairs the sets pass a filter first.
+    """
+    one, two = (F.col("v").alias(side) for side in "ab")
+    held = [[F.col(c).alias(f"{side}_{c}") for c in columns] for side in "ab"]
+    if pairs.count() <= sent:
+        given = F.broadcast(pairs)
+        return sets.select(one, *held[0]).join(given, "a").join(sets.select(two, *held[1]).join(given, "b"), ["a", "b"])
+    sets = passing(sets.select("v", *columns), "v", pairs.select("a").union(pairs.select("b")))
+    return pairs.join(sets.select(two, *held[1]), "b").join(sets.select(one, *held[0]), "a")
+
+
+def sieved(pairs: DataFrame, sets: DataFrame, percent: int, sent: int) -> DataFrame:
+    """Those of written pairs (a, b) that their bitmaps can't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [may_link(*x, percent) for x in zip(*(batch.column(c).to_pylist() for c in ("ba", "bb", "na", "nb")))]
+            keep = [may_link(*x, percent) for x in zip(*(batch.column(c).to_pylist() for c in ("a_bits", "b_bits", "a_size", "b_size")))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("v").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
-    two = sets.select(F.col("v").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "ba", "bb", "na", "nb").mapInArrow(run, "a long, b long")
+    rows = beside(pairs, sets, ["bits", "size"], sent)
+    return rows.select("a", "b", "a_bits", "b_bits", "a_size", "b_size").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least so similar."""
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, sent: int) -> DataFrame:
+    """Those of written pairs (a, b) whose sets are at least so similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("sa"), batch.column("sb")
+            left, right = batch.column("a_shingles"), batch.column("b_shingles")
             keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(left, right)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb")), "b")
-    with_a = with_b.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), "a")
-    return with_a.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    rows = beside(pairs, sets, ["shingles"], sent)
+    return rows.select("a", "b", "a_shingles", "b_shingles").mapInArrow(run, "a long, b long")
 
 
 def similar(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
@@ -245,9 +257,9 @@ def link(
     sets = read_sets(docs, members.select("v").distinct().join(found.select("v", "name", "one"), "v"), reader, sent, done)
 
     def check(pairs: DataFrame) -> DataFrame:
-        return materialize(verified(materialize(sieved(pairs, sets, percent), "sieved"), sets, similarity), "links")
+        return materialize(verified(materialize(pairs, "pairs"), sets, similarity, sent), "links")
 
-    links = check(leader_pairs(members, similarity))
+    links = check(sieved(materialize(leader_pairs(members, similarity), "leader-pairs"), sets, percent, sent))
     mixed = mixed_buckets(members, components(links))
     large = mixed.where(F.col("n") > block)
     columns = ["bucket", "v", "size", "label", "n", "total"]
