@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lumenrank.config import SHIPPED, Arm, Setting
 from lumenrank.functions import text as tx
 from lumenrank.functions import vectors
-from lumenrank.operators import chat, dense, experiments, files, fusion, keyed, lexical, pooling, relevance, runs
+from lumenrank.operators import chat, dense, experiments, files, fusion, graph, keyed, lexical, pooling, relevance, runs
 from lumenrank.plans import derived as d
+from lumenrank.session import scratch_path
 from lumenrank.sources.notes import to_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +162,25 @@ def lexical_topk(spark, sf):
     return d.index(spark, sf).search(d.queries(spark, sf), 10)
 
 
+@query("SELECT qid, id, score, rank FROM arm_fts WHERE rank <= 10", "arm_fts")
+def lexical_upkeep(spark, sf):
+    """Over an index that was kept up by upserts of whole batches: what a fresh one gives."""
+    return d.segments(spark, sf).search(d.queries(spark, sf), 10)
+
+
+@query("SELECT qid, id, score, rank FROM arm_all", "arm_all")
+def lexical_early_stop(spark, sf):
+    """Whole queries, common words and all, by the search that stops early."""
+    return d.segments(spark, sf).search(d.queries(spark, sf), d.DEPTH, max_df=1.0)
+
+
+@query()
+def lexical_postings_read(spark, sf):
+    """How many of its terms' postings the early stop leaves unread, for each query."""
+    cost = d.segments(spark, sf).search_cost(d.queries(spark, sf), d.DEPTH, max_df=1.0)
+    return cost.withColumn("unread", F.round(1 - F.col("read") / F.greatest("postings", F.lit(1)), 6))
+
+
 @query()
 def lexical_english(spark, sf):
     return d.index(spark, sf, "english").search(d.queries(spark, sf), 10)
@@ -189,6 +209,13 @@ def dense_topk_catalyst(spark, sf):
     return lexical.ranked(dense.dense_scores(asked, rows, exclude_self=True), 10)
 
 
+@query()
+def dense_graph(spark, sf):
+    """Through a graph index that is stored first; tests measure its recall and its share of distances."""
+    rows, asked = _vectors(spark, sf)
+    return graph.GraphIndex.store(rows, scratch_path(spark, "graph")).search(asked, 10)
+
+
 @query()
 def dense_approximate(spark, sf):
     rows, asked = _vectors(spark, sf)
@@ -605,6 +632,20 @@ def search_report(spark, sf):
     return rows.select("qid", "rank", F.format_string("%d. %s (%s)", "rank", "source", "title").alias("line"))
 
 
+@query("SELECT qid, rank, CAST(rank AS VARCHAR) || '. [' || printf('%.3f', score) || '] ' || source || ': ' || trim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 200)) AS line FROM arm_fts JOIN notes USING (id) WHERE rank <= 10", "arm_fts", "notes")
+def search_lines(spark, sf):
+    """A line for each result: rank, score, source, and at most 200 characters of the text without its line ends."""
+    rows = d.index(spark, sf).search(d.queries(spark, sf), 10).join(d.notes(spark, sf).select("id", "source", "text"), "id")
+    flat = F.trim(F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 200))
+    return rows.select("qid", "rank", F.format_string("%d. [%.3f] %s: %s", "rank", "score", "source", flat).alias("line"))
+
+
+@query("SELECT user_id AS conv_id, CASE WHEN max(CAST(event_id % 97 = 0 AS INTEGER)) = 1 THEN 'error' WHEN max(CAST(event_id % 11 = 0 AS INTEGER)) = 1 THEN 'done' ELSE 'streaming' END AS status FROM events GROUP BY user_id")
+def message_status(spark, sf):
+    kind = F.when(F.col("seq") % 97 == 0, "error").when(F.col("seq") % 11 == 0, "done").otherwise(F.col("type"))
+    return chat.message_status(d.events(spark, sf).withColumn("type", kind))
+
+
 @query("SELECT query_key, ndcg_10 FROM (SELECT qid AS query_key, ndcg_10 FROM metrics ORDER BY ndcg_10, qid LIMIT 10)", "metrics")
 def worst_queries(spark, sf):
     judged, gains, _ = _judged(spark, sf)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank.functions.text import query_key
 from lumenrank.operators.fusion import united
 from lumenrank.operators.lexical import LexicalIndex, build_postings
-from lumenrank.session import shared_folder
+from lumenrank.operators.segments import SegmentedIndex
+from lumenrank.session import scratch_path, stored
 
 DEPTH = 50
 TITLE = r"^[^\n.!?]{1,60}"
@@ -35,23 +34,33 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("item_id").alias("qid"), F.col("text").alias("query")).withColumn("query_key", query_key(F.col("query"), ascii_only=True))
 
 
-_KEPT: dict[tuple, LexicalIndex] = {}
+_KEPT: dict[tuple, LexicalIndex | SegmentedIndex] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes with the documents' files: their names, lengths and times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/documents.parquet")
+    return files.agg(F.coalesce(F.sum(F.shiftright(F.xxhash64("path", "length", "modificationTime"), 20)), F.lit(0))).first()[0]
 
 
 def index(spark: SparkSession, sf_dir: str, analyzer: str = "simple") -> LexicalIndex:
-    """The lexical index of the notes: built and stored once in a session, then kept for every query; ``forget`` drops it."""
-    key = (spark.sparkContext.applicationId, sf_dir, analyzer)
+    """The lexical index of the notes: built and stored once in a session and kept for every query, as long as the documents' files are the same."""
+    key = (spark.sparkContext.applicationId, sf_dir, analyzer, _state(spark, sf_dir))
     if key not in _KEPT:
-        path = f"{shared_folder(spark)}/lumenrank/index-{uuid.uuid4().hex[:12]}"
-        _KEPT[key] = LexicalIndex.store(notes(spark, sf_dir), path, analyzer)
+        _KEPT[key] = LexicalIndex.store(notes(spark, sf_dir), scratch_path(spark, "index"), analyzer)
     return _KEPT[key]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: for rows that a plan needs several times."""
-    path = f"{shared_folder(df.sparkSession)}/lumenrank/rows-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def segments(spark: SparkSession, sf_dir: str) -> SegmentedIndex:
+    """A segmented index that came to the notes by upkeep: every second note first with another text, then all of them by upserts in two batches."""
+    key = (spark.sparkContext.applicationId, sf_dir, "segments", _state(spark, sf_dir))
+    if key not in _KEPT:
+        rows = notes(spark, sf_dir)
+        half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+        _KEPT[key] = own = SegmentedIndex.create(rows.where(half).withColumn("text", F.reverse("text")), scratch_path(spark, "segments"))
+        own.upsert(rows.where(~half))
+        own.upsert(rows.where(half))
+    return _KEPT[key]
 
 
 def forget() -> None:
@@ -97,7 +106,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["arms", "build_postings", "events", "forget", "index", "judgments", "notes", "passages", "pooled_gains", "queries", "stored", "table"]
+__all__ = ["arms", "build_postings", "events", "forget", "index", "judgments", "notes", "passages", "pooled_gains", "queries", "segments", "stored", "table"]
 
 #: SQL twins. Each names the ones that it reads.
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"

@@ -15,7 +15,10 @@ def scan_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUF
 
     ``source`` is the path below the folder. Files shorter than ``least_chars`` are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if suffixes:  # other files are not opened
+        reader = reader.option("pathGlobFilter", "*.{%s}" % ",".join(suffixes))
+    files = reader.load(folder).select("path", "content")
     tail = F.regexp_extract("path", r"([^/]*)$", 1)
     wanted = files.where(tail.rlike(rf"\.({'|'.join(suffixes)})$")) if suffixes else files
     root = F.lit(folder.rstrip("/").removeprefix("file://") + "/")

@@ -91,9 +91,13 @@ def read_metric_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_per_query(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
-    """The records of one run from ``<folder>/<run>/per_query.jsonl``; unknown fields are left out."""
+    """The records of one run from ``<folder>/<run>/per_query.json`` (one array), or else ``per_query.jsonl``; unknown fields are left out."""
     schema = "query string, query_key string, kind string, split string, metrics map<string,double>, results array<struct<rank:int,id:string,source:string,score:double,gain:int,judged:boolean>>"
-    return spark.read.schema(schema).json(f"{folder}/{run_id}/per_query.jsonl")
+    whole = f"{folder}/{run_id}/per_query.json"
+    path = spark._jvm.org.apache.hadoop.fs.Path(whole)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.read.schema(schema).option("multiLine", True).json(whole)
+    return spark.read.schema(schema).json(f"{whole}l")
 
 
 def write_experiment(per_query: DataFrame, metrics: DataFrame, settings: DataFrame, stamp: str, folder: str) -> None:

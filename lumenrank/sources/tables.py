@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -52,7 +52,8 @@ class KeyedTable:
     def upsert(self, rows: DataFrame, order: str | None = None) -> int:
         """Put rows in by key; only their buckets are written again. Of rows with one key the last by ``order`` counts.
 
-        Returns the number of rows that were put in.
+        With an order, a stored row that is later than the batch's stays, whichever batch comes first. Returns the number of rows that
+        were put in, counted while they are written.
         """
         rows = once(rows, self.key) if order is None else newest(rows, self.key, order)
         number, manifest = self.state()
@@ -62,15 +63,23 @@ class KeyedTable:
         rows.withColumn("_bucket", self._bucket(of)).write.parquet(f"{self.path}/{batch}/in")
         fresh = self.spark.read.parquet(f"{self.path}/{batch}/in")
         touched = sorted(r[0] for r in fresh.select("_bucket").distinct().collect())  # at most one for each bucket
-        count = fresh.count()
         stored = self._rows(manifest, touched)
         fresh = fresh.drop("_bucket")
-        merged = fresh if stored is None else stored.join(fresh.select(self.key), self.key, "left_anti").unionByName(fresh, allowMissingColumns=True)
-        merged.withColumn("_bucket", self._bucket(of)).repartition(max(1, len(touched)), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{batch}/out")
+        if stored is None:
+            merged = fresh.withColumn("_new", F.lit(True))
+        elif order is None or order not in stored.columns:
+            merged = stored.join(fresh.select(self.key), self.key, "left_anti").withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+        else:
+            both = stored.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+            last = Window.partitionBy(self.key).orderBy(F.desc_nulls_last(order), F.desc("_new"))
+            merged = both.withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place")
+        put = Observation()
+        counted = merged.observe(put, F.count_if("_new").alias("rows")).drop("_new")
+        counted.withColumn("_bucket", self._bucket(of)).repartition(max(1, len(touched)), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{batch}/out")
         self.manifests.remove(f"{batch}/in")
         places = manifest["buckets"] | {str(b): f"{batch}/out/_bucket={b}" for b in touched}
-        self._commit(number, {"buckets": places, "schema": merged.schema.jsonValue(), "of": of})
-        return count
+        self._commit(number, {"buckets": places, "schema": counted.schema.jsonValue(), "of": of})
+        return put.get["rows"]
 
     def _commit(self, number: int, manifest: dict) -> None:
         self.manifests.commit(number + 1, manifest)

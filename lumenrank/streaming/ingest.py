@@ -17,7 +17,7 @@ from lumenrank.sources.tables import KeyedTable
 
 
 def keyed_ingest(rows: DataFrame, table_path: str, checkpoint: str, key: str = "id", order: str = "seq"):
-    """Start a query that upserts each micro-batch into a ``KeyedTable``; run again, a batch changes nothing."""
+    """Start a query that upserts each micro-batch into a ``KeyedTable``; run again, a batch changes nothing, and a row that is older than the stored one doesn't replace it."""
 
     def apply(batch: DataFrame, _: int) -> None:
         KeyedTable(batch.sparkSession, table_path, key).upsert(batch, order)

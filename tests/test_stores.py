@@ -156,6 +156,9 @@ def test_run_files_samples_and_static_rows(spark, tmp_path):
     assert {r["metrics"]["ndcg@10"] for r in got if r["kind"] == "annotated"} == {0.5} and all("old" not in r["metrics"] for r in got)
     (tmp_path / "runs" / "r1" / "per_query.jsonl").write_text(json.dumps({"query": "Q", "query_key": "q", "kind": "annotated", "split": "val", "metrics": {"ndcg@10": 1.0}, "results": [{"rank": 1, "id": "a"}], "x": 1}) + "\n")
     assert stores.read_per_query(spark, str(tmp_path / "runs"), "r1").first()["results"][0]["id"] == "a"
+    records = [{"query": q, "query_key": q, "kind": "annotated", "split": "train", "metrics": {"ndcg@10": 0.5}, "results": [{"rank": 1, "id": q}]} for q in ("one", "two")]
+    (tmp_path / "runs" / "r1" / "per_query.json").write_text(json.dumps(records, indent=2))
+    assert [r["results"][0]["id"] for r in stores.read_per_query(spark, str(tmp_path / "runs"), "r1").orderBy("query").collect()] == ["one", "two"]
     notes_ = spark.createDataFrame([(f"n{i}",) for i in range(9)], "source string")
     stores.write_sample(keyed.seeded_sample(notes_, 3, "source", 1), str(tmp_path / "s"), 250)
     row = spark.read.json(str(tmp_path / "s")).first()
@@ -192,3 +195,22 @@ def test_candidates_of_several_sources_are_pooled(spark, tmp_path):
         candidates([{"name": "r", "type": "remote", "index_id": "i"}], asked, 2, {}, {}, {})
     with pytest.raises(ValueError):
         candidates(specs, asked, 51, tables, {}, {})
+
+
+def test_an_older_row_of_a_later_batch_does_not_replace(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), buckets=4)
+    put = lambda *rows: table.upsert(spark.createDataFrame(rows, "id long, seq long, v string"), "seq")
+    assert put((1, 5, "five"), (1, 4, "four"), (2, 1, "one")) == 2
+    assert put((1, 3, "three"), (2, 2, "two")) == 1
+    assert put((1, 5, "five again"), (3, 0, "new")) == 2
+    assert pairs(table.read().select("id", "seq", "v")) == [(1, 5, "five again"), (2, 2, "two"), (3, 0, "new")]
+
+
+def test_other_files_are_not_opened(spark, tmp_path):
+    """A suffix filter reaches the listing: a file that can't be read does no harm."""
+    (tmp_path / "a.md").write_text("A note")
+    (tmp_path / "b.bin").write_text("x")
+    (tmp_path / "b.bin").chmod(0)
+    (tmp_path / "c.mdx").write_text("no")
+    rows = notes.scan_files(spark, str(tmp_path))
+    assert [r["source"] for r in rows.collect()] == ["a.md"] and all(f.endswith("a.md") for f in rows.inputFiles())
