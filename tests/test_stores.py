@@ -214,3 +214,24 @@ def test_other_files_are_not_opened(spark, tmp_path):
     (tmp_path / "c.mdx").write_text("no")
     rows = notes.scan_files(spark, str(tmp_path))
     assert [r["source"] for r in rows.collect()] == ["a.md"] and all(f.endswith("a.md") for f in rows.inputFiles())
+
+
+def test_a_sync_writes_only_buckets_that_differ(spark, tmp_path):
+    table, kinds = KeyedTable(spark, str(tmp_path / "t"), buckets=32), "id long, v string, a array<long>, x double"
+    rows = spark.range(1000).selectExpr("id", "concat('v', id) AS v", "array(id, null) AS a", "if(id % 3 = 0, null, id / 7) AS x")
+    first = table.sync(rows)
+    assert first.affected == first.changed == 1000 and len(first.buckets) == 32
+    again = table.sync(rows.repartition(3))
+    assert tuple(again) == (1000, 0, []) and table.state()[0] == 1
+    some = rows.withColumn("v", F.when(F.col("id").isin(5, 6), "other").otherwise(F.col("v"))).where("id <> 9").unionByName(spark.createDataFrame([(2000, "new", None, None)], kinds))
+    before = table.state()[1]["buckets"]
+    got = table.sync(some)
+    assert got.affected == 1000 and got.changed == 3 and 1 <= len(got.buckets) <= 3
+    after = table.state()[1]["buckets"]
+    assert sorted(int(b) for b in after if after[b] != before.get(b)) == got.buckets
+    old, _ = keyed.sync(rows, some)
+    key = lambda df: sorted(map(str, df.select("id", "v", "a", "x").collect()))
+    assert key(table.read()) == key(old)  # the row that the source lacks stays
+    assert tuple(table.sync(some)) == (1000, 0, [])
+    table.upsert(spark.createDataFrame([(5, "by hand", None, None)], kinds))
+    assert table.sync(some).changed == 1 and key(table.read()) == key(old)
