@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenrank.functions.analysis import ANALYZERS
@@ -23,13 +23,12 @@ def build_postings(docs: DataFrame, analyzer: str = "simple", title: bool = True
     Where the documents are dealt out by id, their terms are summed up without another shuffle.
     """
     terms = ANALYZERS[analyzer]
-
-    def tagged(text: str, t: int, b: int) -> Column:
-        return F.transform(terms(F.col(text)), lambda w: F.struct(w.alias("term"), F.lit(t).alias("t"), F.lit(b).alias("b")))
-
-    words = F.concat(tagged("text", 0, 1), tagged("title", 1, 0)) if title else tagged("text", 0, 1)
-    rows = docs.select("id", F.explode(words).alias("w")).select("id", "w.term", "w.t", "w.b")
-    return rows.groupBy("term", "id").agg(F.sum("t").alias("tf_title"), F.sum("b").alias("tf_body"))
+    none = F.array().cast("array<string>")
+    rows = docs.select("id", terms(F.col("text")).alias("body"), (terms(F.col("title")) if title else none).alias("title"))
+    # A word's place says whether it is the title's, so words are exploded as they are.
+    words = rows.select("id", F.size("body").alias("n"), F.posexplode(F.concat("body", "title")).alias("place", "term"))
+    own = words.select("term", "id", (F.col("place") >= F.col("n")).cast("long").alias("t"))
+    return own.groupBy("term", "id").agg(F.sum("t").alias("tf_title"), F.sum(1 - F.col("t")).alias("tf_body"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
