@@ -11,8 +11,8 @@ import numpy as np
 
 #: Bits for each element, rounded up to a power of two within the bounds.
 BITS_EACH, LEAST_BITS, MOST_BITS = 4, 256, 16_384
-#: Rows compared with a block at once.
-STRIP = 32
+#: Rows compared with the others at once, and 64-bit words of such a comparison, at most.
+STRIP, STRIP_WORDS = 32, 2_000_000
 
 _U = np.uint64
 
@@ -63,12 +63,13 @@ def may_link(one: bytes, two: bytes, a: int, b: int, percent: int) -> bool:
 def candidates(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places that sizes and bitmaps can't rule out; sizes a and b ascend."""
     out = []
-    for start in range(0, len(a), STRIP):
-        own = a[start : start + STRIP]
+    step = max(1, min(STRIP, STRIP_WORDS // max(1, right.size)))
+    for start in range(0, len(a), step):
+        own = a[start : start + step]
         low = np.searchsorted(b, -(-percent * own[0] // 100), side="left")
         high = np.searchsorted(b, own[-1] * 100 // percent, side="right")
         if low < high:
-            gap = np.bitwise_count(left[start : start + STRIP, None, :] ^ right[None, low:high, :]).sum(axis=2, dtype=np.int64)
+            gap = np.bitwise_count(left[start : start + step, None, :] ^ right[None, low:high, :]).sum(axis=2, dtype=np.int64)
             i, j = np.nonzero(needed(own[:, None], b[None, low:high], gap, percent))
             out.append((i + start, j + low))
     return out

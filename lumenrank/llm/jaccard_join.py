@@ -7,13 +7,12 @@ zones, and a set enters its own zone and, where a linked set could be larger, th
 differs in at most D = 2 U (100 - percent) / (100 + percent) n-grams. A zone cuts the range of n-gram hashes into more segments
 than D, so the two sets hold the very same n-grams in some segment; zone, segment and a digest of its n-grams name a tile,
 and no link is lost. A segment of fewer than ``WEAK`` n-grams says little (one frequent n-gram would fill a tile), so a zone has E segments
-to spare: sets with at most E weak segments leave those out, as one equal segment still remains. Tiles of more vertices than
-a block are cut again into narrow size bands, each with the next.
+to spare: sets with at most E weak segments leave those out, as one equal segment still remains. Larger tiles are cut again into narrow size bands, each with the next.
 
 In a tile, sizes give the range of partners, then bitmaps (a hashed bit for each n-gram) bound
 the overlap from above: two sets whose bitmaps differ in h bits differ in at least h n-grams, so the
 overlap is at most (a + b - h) / 2. Only pairs that this leaves, of components not yet joined, get the exact intersection
-of the sorted arrays. A tile of up to a block of vertices holds their bitmaps alone, and its pairs meet the sets once however many
+of the sorted arrays. A tile of up to ``linking.TILE`` vertices holds their bitmaps alone, and its pairs meet the sets once however many
 tiles they share; larger tiles are compared in blocks of whole sets. Components of all links follow by ``linking``, which first joins groups of near copies through one leader.
 
 Equal sets are one vertex. N-grams are 64-bit hashes and sets are named by 128 bits; both as in near-dedup.
@@ -122,7 +121,7 @@ def size_bands(large: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words_each: int = WORDS_EACH,
-    block: int = BLOCK, block_bytes: int = BLOCK_BYTES, sent: int = BROADCAST_ROWS,
+    block: int = BLOCK, block_bytes: int = BLOCK_BYTES, sent: int = BROADCAST_ROWS, tile: int = linking.TILE,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included).
 
@@ -148,7 +147,7 @@ def jaccard_join(
 
     sketched = linking.sketch(docs, sketcher, _WORDS.clear)
     found = linking.vertices(sketched)
-    labels = linking.link(docs, found, reader, tile_links, percent / 100, block, block_bytes, lambda large: size_bands(large, percent), _WORDS.clear, sent)
+    labels = linking.link(docs, found, reader, tile_links, percent / 100, block, block_bytes, lambda large: size_bands(large, percent), _WORDS.clear, sent, tile)
     out = linking.grouped(sketched, found, labels, by_size=True)
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.col("group_id").alias("component_id"))
 

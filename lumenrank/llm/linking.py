@@ -3,9 +3,9 @@
 A vertex is a set that some documents share; a bucket holds vertices that may be similar. A bucket
 first links its members to its most central member, verified on whole sets, so a group of near copies
 costs a link for each member. Buckets that still hold several components are compared across components:
-up to a block of members as a tile of bitmaps, which rule most pairs out, and the others, each once
+up to ``TILE`` members as a tile of bitmaps, which rule most pairs out, and the others, each once
 however many tiles it is in, on whole sets; larger ones in blocks of whole sets. So every two vertices that share a bucket are
-either in one component or decided exactly. From buckets of more than a block those vertices leave before that
+either in one component or decided exactly. From those larger buckets the vertices leave before that
 whose shingles can't reach the similarity with other components.
 
 Pairs of blocks of a large bucket are dealt to tasks in strips: with P blocks there are about
@@ -28,6 +28,8 @@ from lumenrank.llm.common import BROADCAST_ROWS, discard, materialize, passing,
 from lumenrank.llm.components import components
 
 BATCH_BYTES = 2_000_000
+#: Members of a tile of bitmaps, which then takes about as many bytes as a block of whole sets; larger buckets are compared in blocks.
+TILE = 4_096
 
 #: From a text: the name of its set, its buckets, the set's size; None where the text has no set.
 Sketcher = Callable[[str], "tuple[bytes, np.ndarray, int] | None"]
@@ -196,7 +198,7 @@ def linkable(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 
 def tile_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): distinct pairs of members of different components that their bitmaps can't rule out, in buckets of at most a block."""
+    """(a, b): distinct pairs of members of different components that their bitmaps can't rule out, in buckets of at most a tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +245,7 @@ def blocked_links(mixed: DataFrame, sets: DataFrame, similarity: float, compare:
 
 def link(
     docs: DataFrame, found: DataFrame, reader: Reader, compare: Comparer, similarity: float, block: int, block_bytes: int,
-    deal: Callable[[DataFrame], DataFrame] = lambda large: large, done: Callable[[], None] = lambda: None, sent: int = BROADCAST_ROWS,
+    deal: Callable[[DataFrame], DataFrame] = lambda large: large, done: Callable[[], None] = lambda: None, sent: int = BROADCAST_ROWS, tile: int = TILE,
 ) -> DataFrame:
     """(v, label) for every vertex with a link: the components of all links between vertices that share a bucket.
 
@@ -261,14 +263,14 @@ def link(
 
     links = check(sieved(materialize(leader_pairs(members, similarity), "leader-pairs"), sets, percent, sent))
     mixed = mixed_buckets(members, components(links))
-    large = mixed.where(F.col("n") > block)
+    large = mixed.where(F.col("n") > tile)
     columns = ["bucket", "v", "size", "label", "n", "total"]
     if not large.isEmpty():
         narrowed = large.join(linkable(large.select("v", "label").distinct(), sets, similarity), "v", "left_semi")
         narrowed = counted(deal(narrowed.select("bucket", "v", "size", "label")))
-        mixed = materialize(mixed.where(F.col("n") <= block).select(columns).unionByName(narrowed.select(columns)), "mixed")
-        large = mixed.where(F.col("n") > block)
-    links = links.union(check(tile_pairs(mixed.where(F.col("n") <= block), sets, percent)))
+        mixed = materialize(mixed.where(F.col("n") <= tile).select(columns).unionByName(narrowed.select(columns)), "mixed")
+        large = mixed.where(F.col("n") > tile)
+    links = links.union(check(tile_pairs(mixed.where(F.col("n") <= tile), sets, percent)))
     if not large.isEmpty():
         links = links.union(blocked_links(large, sets, similarity, compare, block, block_bytes))
     labels = components(links)

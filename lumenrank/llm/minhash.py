@@ -187,7 +187,7 @@ def block_links(one: list[dict], two: list[dict], similarity: float) -> list[tup
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-    bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES,
+    bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, tile: int = linking.TILE,
 ) -> DataFrame:
     """One row per input row: doc_id, group_id, group_size, kept.
 
@@ -211,7 +211,7 @@ def near_duplicates(
 
     sketched = linking.sketch(docs, sketcher, _WORDS.clear)
     found = linking.vertices(sketched)
-    labels = linking.link(docs, found, reader, block_links, similarity, block, block_bytes, done=_WORDS.clear, sent=BROADCAST_IDS)
+    labels = linking.link(docs, found, reader, block_links, similarity, block, block_bytes, done=_WORDS.clear, sent=BROADCAST_IDS, tile=tile)
     out = linking.grouped(sketched, found, labels)
     kept = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("copy") == 1)
     return out.select("doc_id", "group_id", "group_size", kept.alias("kept"))

@@ -86,7 +86,7 @@ def test_large_group_of_near_copies(spark):
         for _ in range(r.randrange(1, 14)):
             own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(own)))
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16, tile=16).collect()
     want, _ = brute_near(rows)
     assert Counter((x["doc_id"], x["group_id"], x["group_size"]) for x in got) == want
 
@@ -117,7 +117,7 @@ def test_near_pairs_in_a_family_of_similar_texts(spark):
     """Texts of one template are at 0.77 to each other; each has one partner at 0.82, which many signatures outrank."""
     template = [f"t{i}" for i in range(100)]
     rows = [(2 * i + j, " ".join([f"o{i}x{j}y{k}" for k in range(11)] + [f"s{i}x{k}" for k in range(3)] + template)) for i in range(40) for j in range(2)]
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8, tile=8).collect()
     assert {r["doc_id"]: r["group_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
@@ -131,7 +131,7 @@ def test_every_link_to_a_hub_is_kept(spark):
         rows.append((i + 1, " ".join(own)))
     want, groups = brute_near(rows)
     assert groups == 1
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=32).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=32, tile=32).collect()
     assert Counter((x["doc_id"], x["group_id"], x["group_size"]) for x in got) == want
 
 
@@ -148,7 +148,7 @@ def test_random_families_near_the_limit(spark, seed):
             for _ in range(r.randrange(0, 5)):
                 own[r.randrange(len(own))] = f"e{r.randrange(60)}"
             rows.append((len(rows), " ".join(own)))
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8, block_bytes=4_000).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8, tile=8, block_bytes=4_000).collect()
     want, _ = brute_near(rows)
     assert Counter((x["doc_id"], x["group_id"], x["group_size"]) for x in got) == want
 

@@ -60,7 +60,7 @@ def families(seed, count, size, least=2, most=120):
 @pytest.mark.parametrize("percent,each,block", [(90, 3, 256), (90, 3, 4), (70, 2, 8), (100, 3, 4)])
 def test_join_equals_brute_force(spark, percent, each, block):
     rows = families(percent + block, 40, 14)
-    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent=percent, words_each=each, block=block)
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent=percent, words_each=each, block=block, tile=block)
     assert Counter(tuple(r) for r in got.collect()) == brute(rows, percent, each)
 
 
@@ -83,7 +83,7 @@ def test_large_group_of_copies_and_near_copies(spark):
             now[30] = f"far{i}"
     rows += [(100 + i, " ".join(words)) for i in range(150)]
     rows += [(400 + i, edited(words, 0.06, r)) for i in range(120)]
-    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), block=16, block_bytes=20_000)
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), block=16, block_bytes=20_000, tile=16)
     assert Counter(tuple(x) for x in got.collect()) == brute(rows)
 
 
