@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Matches that a search returns for each mode; the search tool's feature.
 MATCHES = 50
+#: Where a mode searches.
+COLUMNS = {"title": "title", "content": "text"}
 
 
 def inside(path: str, root: str) -> bool:
@@ -36,8 +36,9 @@ def grep(notes: DataFrame, pattern: str, modes: tuple[str, ...] = ("title", "con
 
     A note found in an earlier mode is not found again. The pattern is a Java regular expression.
     """
-    columns = {"title": "title", "content": "text"}
-    found = reduce(DataFrame.unionByName, [notes.where(F.col(columns[m]).rlike(pattern)).select("source", F.lit(m).alias("mode"), F.lit(i).alias("ordinal")) for i, m in enumerate(modes)])
-    first = found.groupBy("source").agg(F.min_by("mode", "ordinal").alias("mode"), F.min("ordinal").alias("ordinal"))
+    mode = F.coalesce(*(F.when(F.col(COLUMNS[m]).rlike(pattern), F.lit(i)) for i, m in enumerate(modes)))
+    found = notes.select("source", mode.alias("ordinal")).where("ordinal IS NOT NULL")
+    first = found.groupBy("source").agg(F.min("ordinal").alias("ordinal"))
+    first = first.withColumn("mode", F.element_at(F.array(*map(F.lit, modes)), F.col("ordinal") + 1))
     order = Window.partitionBy("ordinal").orderBy("source")
     return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= matches).select("source", "mode")

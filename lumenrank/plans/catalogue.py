@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenrank.config import SHIPPED, Arm, Setting
 from lumenrank.functions import text as tx
 from lumenrank.functions import vectors
-from lumenrank.operators import chat, dense, experiments, files, fusion, graph, keyed, lexical, pooling, relevance, runs
+from lumenrank.operators import chat, dense, experiments, files, fusion, graph, keyed, lexical, patterns, pooling, relevance, runs
 from lumenrank.plans import derived as d
 from lumenrank.session import scratch_path
 from lumenrank.sources.notes import to_chunks
@@ -535,6 +535,13 @@ def skip_existing(spark, sf):
     return keyed.first_rows(keyed.not_stored(d.notes(spark, sf).select("id", "source"), done), 25, "source", "id")
 
 
+@query()
+def fitted_vectors(spark, sf):
+    """Documents of any length as one vector each: packed by sentences, encoded and averaged without a shuffle."""
+    vector = vectors.embed_fitted(F.col("text"), vectors.HashingEncoder, 256)
+    return d.notes(spark, sf).select("id", F.transform(vector, lambda x: F.round(x, 6)).alias("vector"))
+
+
 # Files
 
 
@@ -543,6 +550,13 @@ def grep_notes(spark, sf):
     return files.grep(d.notes(spark, sf), "[Tt]he")
 
 
+@query("SELECT source, 'title' AS mode FROM (SELECT source FROM notes WHERE regexp_matches(title, '(learn|comput)[a-z]+') ORDER BY source LIMIT 50) UNION ALL SELECT source, 'content' FROM (SELECT source FROM notes WHERE regexp_matches(text, '(learn|comput)[a-z]+') AND NOT regexp_matches(title, '(learn|comput)[a-z]+') ORDER BY source LIMIT 50)", "notes")
+def grep_indexed(spark, sf):
+    """Through a trigram index that is stored first."""
+    index = patterns.PatternIndex.store(d.notes(spark, sf), scratch_path(spark, "trigrams"))
+    return index.grep("(learn|comput)[a-z]+")
+
+
 @query("SELECT DISTINCT split_part(source, '/', 1) AS name FROM notes", "notes")
 def dir_listing(spark, sf):
     return files.listing(d.notes(spark, sf))
