@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenrank.functions.analysis import WORD
+from lumenrank.functions.text import CHARS_PER_TOKEN, MARGIN, packed
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -65,6 +66,58 @@ def embed(text: Column, encoder=None) -> Column:
     return run(text)
 
 
+#: Forms of making a text fit a model's window.
+FORMS = ("pack", "truncate", "barbell")
+
+
+def fitted(text: str, budget: int, form: str = "pack") -> list[str]:
+    """The pieces of a text that each fit ``budget`` tokens, as ``text.pack_sentences``, ``truncate`` and ``barbell`` give them; a text without any piece has an empty one."""
+    if -(-len(text) // CHARS_PER_TOKEN) <= budget:
+        return [text]
+    if form == "truncate":
+        return [text[: CHARS_PER_TOKEN * budget]]
+    if form == "barbell":
+        head, tail = budget // 2 * CHARS_PER_TOKEN, (budget - budget // 2) * CHARS_PER_TOKEN
+        return [f"{text[:head]} {text[-tail:]}"]
+    return packed(text, budget) or [""]
+
+
+def embed_fitted(text: Column, encoder: object | Callable[[], object], max_tokens: int, form: str = "pack", at_once: int = 64) -> Column:
+    """Vectors of texts of any length: texts are made to fit, their pieces encoded and averaged, all within an Arrow batch and so without a shuffle.
+
+    ``encoder`` has ``encode(list of str)``, or is a class or function that makes it, called once in each task. Pieces of a
+    batch go to it ordered by length, ``at_once`` in a call, so that padding is little. A text of one piece keeps the
+    piece's vector; of several the vector is the mean, not normalised again. Null counts as empty. A row that the encoder
+    returns of another number of pieces is an error.
+    """
+    if form not in FORMS:
+        raise ValueError(f"unknown overflow form {form!r}; known: {FORMS}")
+    budget = max_tokens - MARGIN
+    if budget < 2 or at_once < 1:
+        raise ValueError("the window is too small for any text, or no piece goes to the encoder at once")
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = encoder() if isinstance(encoder, type) or not hasattr(encoder, "encode") else encoder
+        for s in batches:
+            pieces = [fitted(t, budget, form) for t in s.fillna("")]
+            flat = [p for own in pieces for p in own]
+            if not flat:
+                yield pd.Series([], dtype=object, index=s.index)
+                continue
+            order = sorted(range(len(flat)), key=lambda i: len(flat[i]))
+            calls = [order[i : i + at_once] for i in range(0, len(order), at_once)]
+            coded = [np.asarray(model.encode([flat[i] for i in call]), dtype=np.float64) for call in calls]
+            if [len(c) for c in coded] != [len(call) for call in calls]:
+                raise ValueError("the encoder gave another number of vectors than it was given texts")
+            rows = np.concatenate(coded)[np.argsort(order)]
+            sizes = np.array([len(own) for own in pieces])
+            means = np.add.reduceat(rows, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0) / sizes[:, None]
+            yield pd.Series(list(means), index=s.index)
+
+    return run(text)
+
+
 @dataclass(frozen=True)
 class EncoderSpec:
     """What a table of a model's vectors relies on."""
