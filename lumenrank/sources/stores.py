@@ -51,6 +51,16 @@ def tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def tolerant_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet folder, or no rows where it is missing."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_split(spark: SparkSession, path: str) -> DataFrame:
     """(query_key, split) of a split file {seed, train, val}."""
     raw = spark.read.schema("seed long, train array<string>, val array<string>").option("multiLine", True).json(path)

@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,7 +176,7 @@ def test_run_files_samples_and_static_rows(spark, tmp_path):
 
 def test_candidates_of_several_sources_are_pooled(spark, tmp_path):
     from lumenrank.operators import pooling
-    from lumenrank.operators.candidates import candidates
+    from lumenrank.operators.candidates import candidates, gathered
 
     rows = [(str(i), "", f"zebra{i} common text") for i in range(8)]
     chunks = spark.createDataFrame(rows, "id string, title string, text string").withColumn("vector", vectors.embed(F.col("text")))
@@ -196,6 +197,20 @@ def test_candidates_of_several_sources_are_pooled(spark, tmp_path):
     with pytest.raises(ValueError):
         candidates(specs, asked, 51, tables, {}, {})
 
+    @F.pandas_udf("array<double>")
+    def breaks(texts: pd.Series) -> pd.Series:
+        raise OSError("no model")
+
+    lexical = {"chunks_fts": LexicalIndex.build(chunks)}
+    more = [*specs, {"name": "gone", "type": "static", "chunks_file": str(tmp_path / "gone.json")}, {"name": "far", "type": "remote", "index_id": "i"}]
+    rest, errors = gathered(more, asked, 2, tables, {"qwen": breaks}, lexical)
+    assert {(r["retriever"], r["chunk_id"]) for r in rest.collect()} == {k for k in got if k[0] != "dense"}
+    assert set(errors) == {"dense", "gone", "far"} and "PATH_NOT_FOUND" in errors["gone"] and "no model" in errors["dense"]
+    with pytest.raises(RuntimeError, match="no source works"):
+        gathered(more[3:], asked, 2, tables, {}, lexical)
+    with pytest.raises(ValueError):
+        gathered([specs[0], specs[0]], asked, 2, tables, {}, lexical)
+
 
 def test_an_older_row_of_a_later_batch_does_not_replace(spark, tmp_path):
     table = KeyedTable(spark, str(tmp_path / "t"), buckets=4)
