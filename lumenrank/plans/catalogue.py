@@ -550,11 +550,11 @@ def grep_notes(spark, sf):
     return files.grep(d.notes(spark, sf), "[Tt]he")
 
 
-@query("SELECT source, 'title' AS mode FROM (SELECT source FROM notes WHERE regexp_matches(title, '(learn|comput)[a-z]+') ORDER BY source LIMIT 50) UNION ALL SELECT source, 'content' FROM (SELECT source FROM notes WHERE regexp_matches(text, '(learn|comput)[a-z]+') AND NOT regexp_matches(title, '(learn|comput)[a-z]+') ORDER BY source LIMIT 50)", "notes")
+@query("SELECT source, 'title' AS mode FROM (SELECT source FROM notes WHERE regexp_matches(title, '([Tt]hen|menton)[a-z]+') ORDER BY source LIMIT 50) UNION ALL SELECT source, 'content' FROM (SELECT source FROM notes WHERE regexp_matches(text, '([Tt]hen|menton)[a-z]+') AND NOT regexp_matches(title, '([Tt]hen|menton)[a-z]+') ORDER BY source LIMIT 50)", "notes")
 def grep_indexed(spark, sf):
     """Through a trigram index that is stored first."""
     index = patterns.PatternIndex.store(d.notes(spark, sf), scratch_path(spark, "trigrams"))
-    return index.grep("(learn|comput)[a-z]+")
+    return index.grep("([Tt]hen|menton)[a-z]+")
 
 
 @query("SELECT DISTINCT split_part(source, '/', 1) AS name FROM notes", "notes")
