@@ -260,3 +260,22 @@ def shortened(text: Column, most: int) -> Column:
 def shortened_items(items: Column, most: int = 100) -> Column:
     """``shortened`` on the text field of an array of structs."""
     return F.transform(items, lambda x: x.withField("text", shortened(x["text"], most)))
+
+
+def thousandths(x: Column) -> Column:
+    """A number with three digits after the point, rounded as C, Python and SQL's printf do.
+
+    Those round the double itself, and a tie to an even digit; ``format_string`` rounds the shortest decimal that names the
+    double, so that it gives 1.001 for 1.0005, which lies below the tie. From 2^53 on there are no digits to round.
+    """
+    x = x.cast("double")
+    size = F.when(F.abs(x) < 2.0**53, F.abs(x))
+    part = (size - F.floor(size)) * 2.0**53  # exact, and its thousandfold fits a long
+    below = (part - F.floor(part)) * 1000  # the bits of numbers below one
+    scaled = F.floor(part) * 1000 + F.floor(below)
+    rest, low = scaled.bitwiseAND(F.lit(2**53 - 1)), F.shiftright(scaled, 53)
+    up = (rest > 2**52) | (rest == 2**52) & ((below > F.floor(below)) | (low % 2 == 1))
+    digits = low + up.cast("long")
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    text = F.concat(sign, (F.floor(size) + (digits == 1000).cast("long")).cast("string"), F.lit("."), F.lpad((digits % 1000).cast("string"), 3, "0"))
+    return F.coalesce(text, F.format_string("%.3f", x))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenrank.functions.text import thousandths
+
 EPSILON = 1e-9
 
 
 def compare_table(runs: DataFrame, metrics: list[str]) -> DataFrame:
     """(run_id, block, metric texts): three digits, or a dash where there is no value or no query."""
-    cells = [F.when(F.col(m).isNotNull() & (F.col("num_queries") > 0), F.format_string("%.3f", F.col(m).cast("double"))).otherwise("-").alias(m) for m in metrics]
+    cells = [F.when(F.col(m).isNotNull() & (F.col("num_queries") > 0), thousandths(F.col(m))).otherwise("-").alias(m) for m in metrics]
     return runs.select("run_id", "split", "kind", "num_queries", *cells)
 
 
@@ -79,7 +81,7 @@ def worst(records: DataFrame, metric: str, n: int) -> DataFrame:
 
 def block_text(num: Column, *values: tuple[str, Column]) -> Column:
     """A line of a run's report."""
-    parts = [F.format_string("%s %.3f", F.lit(n), v.cast("double")) for n, v in values]
+    parts = [F.format_string("%s %s", F.lit(n), thousandths(v)) for n, v in values]
     return F.concat_ws("  ", F.format_string("%d queries", num), *parts)
 
 

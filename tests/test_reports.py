@@ -35,3 +35,16 @@ def test_shortened_items_and_query_prompt(spark):
     rows = spark.createDataFrame([([{"text": "abcdef", "n": 1}, {"text": "ab", "n": 2}, {"text": None, "n": 3}],)], "items array<struct<text:string,n:int>>")
     items, prompt = rows.select(text.shortened_items(F.col("items"), 3), text.query_prompt(F.lit("who?"))).first()
     assert [tuple(i) for i in items] == [("abc… [3 more characters]", 1), ("ab", 2), (None, 3)] and prompt == "task: search result | query: who?"
+
+
+def test_three_digits_are_those_of_printf(spark):
+    values = [1.0005, 2.0005, 3.0015, 7.6545, 8.1235, 16.7245, 0.0625, 0.1875, 1.0625, 0.9995, 0.9996, 9.9999, 0.0, -0.0, -1.0005, -2.6545, 1e-9, 5e-324, 123456789.0005, 4503599627370495.5, 12.0]
+    values += [n / 2000 for n in range(1, 40_000, 2)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", text.thousandths(F.col("x")).alias("t")).collect()
+    assert [(r["x"], r["t"]) for r in got if r["t"] != f"{r['x']:.3f}"] == []
+
+
+def test_lines_of_search_and_runs_round_as_their_sql(spark):
+    rows = spark.createDataFrame([("a", "train", "annotated", 1.0005, 3)], "run_id string, split string, kind string, m double, num_queries long")
+    assert runs.compare_table(rows, ["m"]).first()["m"] == "1.000"
+    assert rows.select(runs.block_text(F.col("num_queries"), ("m", F.col("m")))).first()[0] == "3 queries  m 1.000"
