@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ CONSTANT = 0.8
 PAGES = 4
 #: Levels of a tree that are aligned; what lies deeper is the text of its ancestor there.
 DEPTH = 100
-#: Products of two lists of children up to which they are matched in the best way.
+#: Products of two lists of children beyond which rows of the table are filled by numpy; the matches are the same.
 WIDEST = 20_000
 #: Nodes of a template, at most; those that fewest pages have go, and their elements count as not aligned.
 MOST_NODES = 2_000
@@ -311,8 +312,7 @@ def layout(root: Slot) -> int:
 def tree_match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
     """Simple tree matching: the weight of the best order-preserving match of nodes of equal tags, and its pairs.
 
-    A pair weighs one, and two more where both have the same mark. Very long lists of children are matched in
-    one pass from left to right.
+    A pair weighs one, and two more where both have the same mark.
     """
     if a.tag != b.tag:
         return 0, []
@@ -321,7 +321,7 @@ def tree_match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
     if not n or not m:
         return own, [(a, b)]
     if n * m > WIDEST:
-        return _greedy(a, b, own)
+        return _wide(a, b, own)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     pairs: dict[tuple[int, int], tuple[int, list]] = {}
     for i in range(1, n + 1):
@@ -344,7 +344,43 @@ def tree_match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
     return best[n][m] + own, out
 
 
+def _wide(a: Slot, b: Slot, own: int) -> tuple[int, list[tuple[Slot, Slot]]]:
+    """What ``tree_match`` gives, for long lists of children: whole rows of its table at once, a weight for every two kinds of subtrees, and two bits kept of each cell."""
+    kinds: dict[str, int] = {}
+    left, right = [[kinds.setdefault(json.dumps(c.plain(False)), len(kinds)) for c in s.children] for s in (a, b)]
+    repeated = {k for k, n in Counter(left).items() if n > 1}
+    found, places = np.unique(right, return_inverse=True)
+    samples = dict(zip(right, b.children))
+    known: dict[int, np.ndarray] = {}
+    above = np.zeros(len(right) + 1, np.int64)
+    ups, lefts = [], []
+    for kind, x in zip(left, a.children):
+        weights = known.get(kind)
+        if weights is None:
+            weights = np.array([tree_match(x, samples[k])[0] for k in found.tolist()], np.int32)
+            if kind in repeated:
+                known[kind] = weights
+        here = above.copy()
+        np.maximum(here[1:], above[:-1] + weights[places], out=here[1:])
+        np.maximum.accumulate(here, out=here)
+        ups.append(np.packbits(here[1:] == above[1:]))
+        lefts.append(np.packbits(here[1:] == here[:-1]))
+        above = here
+    out, i, j = [(a, b)], len(left), len(right)
+    while i and j:
+        byte, bit = j - 1 >> 3, 7 - (j - 1 & 7)
+        if ups[i - 1][byte] >> bit & 1:
+            i -= 1
+        elif lefts[i - 1][byte] >> bit & 1:
+            j -= 1
+        else:
+            out += tree_match(a.children[i - 1], b.children[j - 1])[1]
+            i, j = i - 1, j - 1
+    return int(above[-1]) + own, out
+
+
 def _greedy(a: Slot, b: Slot, own: int) -> tuple[int, list[tuple[Slot, Slot]]]:
+    """A match in one pass from left to right: no better than ``tree_match``, which tests compare with it."""
     places: dict[tuple[str, str], list[int]] = {}
     for j, y in enumerate(b.children):
         places.setdefault((y.tag, y.mark), []).append(j)

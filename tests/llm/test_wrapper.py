@@ -199,3 +199,20 @@ def test_copies_of_one_article_keep_it():
 def test_constant_containers_of_an_article_are_template():
     pages = [f"<html><body><article><h1>Head {i}</h1><h2>Summary</h2><p>words {i}</p><div class='mail'><p>Get our mail</p></div></article></body></html>" for i in range(8)]
     assert induced(pages) == [f"Head {i}\nSummary\nwords {i}" for i in range(8)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(slots, slots)
+def test_long_lists_of_children_are_matched_as_short_ones(a, b):
+    a, b = wrapper.Slot("#", "", 1.0, [a, *a.children, a]), wrapper.Slot("#", "", 1.0, [*b.children, b, b])
+    weight, pairs = wrapper.tree_match(a, b)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(wrapper, "WIDEST", 0)
+        other, found = wrapper.tree_match(a, b)
+    assert other == weight and [(id(x), id(y)) for x, y in found] == [(id(x), id(y)) for x, y in pairs]
+
+
+def test_a_moved_child_of_many_costs_its_own_match_only():
+    a = wrapper.Slot("#", "", 1.0, [wrapper.Slot("div", f"c{k}") for k in range(300)])
+    b = wrapper.Slot("#", "", 1.0, a.children[1:] + a.children[:1])
+    assert wrapper.tree_match(a, b)[0] == 1 + 3 * 299
