@@ -17,6 +17,8 @@ from lumenrank.operators.lexical import DIGITS, ranked
 
 #: Queries multiplied at once.
 QUERY_BLOCK = 4_096
+#: Scores of a batch of index rows that are held at once, at most; they take some four times their 8 bytes.
+CELLS = 2_000_000
 #: Bytes of query vectors that are sent to the executors together; more go in further passes over the index.
 QUERY_BYTES = 128_000_000
 
@@ -57,7 +59,8 @@ def dense_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_
     """(qid, id, score, rank): the best ``depth`` of index (id, vector) for queries (qid, vector).
 
     Queries go out together up to a bound of bytes, each such part in one pass over the index; a batch of index rows is one matrix
-    product for each block of queries and passes on only its own best ``depth``, so the shuffle holds few rows. Zero
+    product for each block of queries, of at most ``CELLS`` scores, and passes on only its own best ``depth`` that reach those of
+    the task's batches before, so the shuffle holds few rows. Zero
     vectors and vectors of another length score nothing.
     """
     spark = index.sparkSession
@@ -70,6 +73,7 @@ def dense_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             asked, matrix = shared.value
             size, qids, units = matrix.shape[1], pa.array(asked, qid_type), _unit(matrix)
+            sure = np.full(len(units), -np.inf)  # of each query the least score that its best rows so far have
             for batch in batches:
                 column = batch.column("vector")
                 good = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy() == size)
@@ -77,11 +81,14 @@ def dense_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_
                     continue
                 ids = batch.column("id").take(pa.array(good))
                 rows = _unit(column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
-                for start in range(0, len(units), block):
-                    scores = np.round(rows @ units[start : start + block].T, DIGITS)
+                step = max(1, min(block, CELLS // len(rows)))
+                for start in range(0, len(units), step):
+                    scores = rows @ units[start : start + step].T
+                    np.round(scores, DIGITS, out=scores)
                     scores[~np.isfinite(scores)] = -np.inf
-                    keep = min(depth + exclude_self, len(scores))
-                    least = np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep]
+                    keep, least = depth + exclude_self, sure[start : start + step]
+                    if keep <= len(scores):
+                        np.maximum(least, np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep], out=least)
                     row, query = np.nonzero((scores >= least) & (scores > -np.inf))  # ties at the end stay; the final ranking decides them
                     left, right = qids.take(pa.array(query + start)), ids.take(pa.array(row))
                     found = pa.RecordBatch.from_arrays([left, right, pa.array(scores[row, query])], ["qid", "id", "score"])

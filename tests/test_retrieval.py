@@ -159,3 +159,13 @@ def test_files(spark):
     with pytest.raises(FileNotFoundError):
         files.read_file(notes, "none")
     assert files.inside("/notes/a", "/notes") and not files.inside("/notes-x", "/notes")
+
+
+def test_dense_search_holds_few_scores_at_once(spark, monkeypatch):
+    """The matrix products of an Arrow batch are bounded by ``CELLS``, whatever the number of queries and rows."""
+    r = np.random.default_rng(4)
+    index = spark.createDataFrame([(i, r.standard_normal(4).tolist()) for i in range(600)], "id long, vector array<double>").coalesce(1)
+    asked = index.where("id % 3 = 0").withColumnRenamed("id", "qid")
+    want = {tuple(x) for x in dense.dense_search(asked, index, 5, True).collect()}
+    monkeypatch.setattr(dense, "CELLS", 1_000)
+    assert {tuple(x) for x in dense.dense_search(asked, index, 5, True).collect()} == want and len(want) == 1_000
