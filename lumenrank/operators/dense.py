@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lumenrank.functions.vectors import cosine
+from lumenrank.functions.vectors import cosine, norm
 from lumenrank.operators.lexical import DIGITS, ranked
 
 #: Queries multiplied at once.
@@ -45,7 +48,7 @@ def query_blocks(queries: DataFrame, size: int | None = None, most: int = QUERY_
 def dense_scores(queries: DataFrame, index: DataFrame, exclude_self: bool = False) -> DataFrame:
     """(qid, id, score) of all pairs, in Catalyst only: the readable form, for at most ``QUERY_BLOCK`` queries.
 
-    More would be sent to every executor; ``dense_search`` takes those.
+    More would be sent to every executor; ``dense_search`` and ``catalyst_search`` take those.
     """
     if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
         raise ValueError(f"more than {QUERY_BLOCK} queries: use dense_search")
@@ -55,6 +58,53 @@ def dense_scores(queries: DataFrame, index: DataFrame, exclude_self: bool = Fals
     return pairs.select("qid", "id", F.round(cosine(F.col("vector"), F.col("query")), DIGITS).alias("score")).where("score IS NOT NULL")
 
 
+def _components(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    """(key, components): unit vectors of so many finite components as columns ``name`` 0, 1, and so on, none of them null."""
+    vector = F.col("vector").cast("array<double>")
+    whole = rows.select(key, vector.alias("vector")).where((F.size("vector") == size) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)))
+    whole = whole.withColumn("norm", norm(F.col("vector"))).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    return whole.select(key, *(F.coalesce(F.get("vector", F.lit(i)) / F.col("norm"), F.lit(0.0)).alias(f"{name}{i}") for i in range(size)))
+
+
+def _total(terms: list[Column]) -> Column:
+    """The sum of terms, as a tree of little depth."""
+    while len(terms) > 1:
+        terms = [reduce(operator.add, terms[i : i + 8]) for i in range(0, len(terms), 8)]
+    return terms[0]
+
+
+def catalyst_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_self: bool = False, most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The rows of ``dense_search`` without Python: components are columns, so that a pair's score is compiled arithmetic.
+
+    A part of the index, as large as what its results then let through, is searched first; its ``depth``-th best score for a query is a bound
+    for the rest, so that of all pairs only those few that reach it are sorted. Queries go out in parts of bounded
+    bytes, and vectors of each length that queries have are searched apart.
+    """
+    types = [queries.schema["qid"], index.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]
+    sizes = queries.where(F.size("vector") > 0).groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()
+    rows = max(1, index.count()) if sizes else 0
+    slices = max(1, int(rows // math.sqrt(depth * rows))) if rows else 1
+    out = None
+    for size, n in sizes:
+        parts = -(-n * size * 8 // most_bytes)
+        for part in range(parts):
+            asked = _components(queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part), "qid", size, "q")
+            dot = _total([F.col(f"q{i}") * F.col(f"v{i}") for i in range(size)])
+
+            def scored(asked: DataFrame, rows: DataFrame, size: int = size, dot: Column = dot) -> DataFrame:
+                pairs = _components(rows, "id", size, "v").crossJoin(F.broadcast(asked))
+                pairs = pairs.where(F.col("qid") != F.col("id")) if exclude_self else pairs
+                near = pairs.where(dot > F.col("least") - 10.0**-DIGITS)  # rounding costs more than all products
+                return near.select("qid", "id", F.round(dot, DIGITS).alias("score"))
+
+            first = scored(asked.withColumn("least", F.lit(-2.0)), index.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == 0))
+            least = ranked(first, depth).where(F.col("rank") == depth).select("qid", F.col("score").alias("least"))
+            bounded = asked.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+            found = ranked(scored(bounded, index), depth)
+            out = found if out is None else out.unionByName(found)
+    return queries.sparkSession.createDataFrame([], T.StructType(types)) if out is None else out
+
+
 def dense_search(queries: DataFrame, index: DataFrame, depth: int = 10, exclude_self: bool = False, block: int = QUERY_BLOCK, most_bytes: int = QUERY_BYTES) -> DataFrame:
     """(qid, id, score, rank): the best ``depth`` of index (id, vector) for queries (qid, vector).
 

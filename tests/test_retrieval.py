@@ -161,6 +161,19 @@ def test_files(spark):
     assert files.inside("/notes/a", "/notes") and not files.inside("/notes-x", "/notes")
 
 
+def test_catalyst_search_gives_the_rows_of_dense_search_for_any_number_of_queries(spark, monkeypatch):
+    """More queries than one broadcast takes, in parts; other lengths, zero, null and not finite vectors score nothing."""
+    r = np.random.default_rng(3)
+    rows = [(i, r.standard_normal(6).round(1).tolist()) for i in range(400)] + [(900, [0.0] * 6), (901, None), (902, [float("nan")] + [1.0] * 5), (903, [1.0, 2.0]), (904, [2.0, 1.0])]
+    index = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
+    asked = index.where("id % 7 = 0 OR id >= 900").withColumnRenamed("id", "qid")
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 20)
+    for own in (True, False):
+        got = {tuple(x) for x in dense.catalyst_search(asked, index, 10, own, most_bytes=1_000).collect()}
+        plain = {tuple(x) for x in dense.dense_search(asked.where("size(vector) = 6"), index, 10, own).collect()}
+        assert {g for g in got if g[0] < 900} == {p for p in plain if p[0] < 900} and len({g[0] for g in got}) == 60
+
+
 def test_dense_search_holds_few_scores_at_once(spark, monkeypatch):
     """The matrix products of an Arrow batch are bounded by ``CELLS``, whatever the number of queries and rows."""
     r = np.random.default_rng(4)
