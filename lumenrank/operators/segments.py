@@ -5,7 +5,7 @@ marks for the documents of older segments that it replaces; no old segment is wr
 sums over segments, less the terms of marked documents. ``merge`` puts segments of like size together. A manifest
 names what counts, and its appearance is the commit.
 
-In a segment, documents lie in tiles of bounded size, numbered in a tile by id, and a row of the postings is
+In a segment, documents lie in tiles of bounded size, one to a bucket, numbered in a tile by id, and a row of the postings is
 a tile's list for a term. A search is one task for each tile (the postings are bucketed by tile, so nothing of them
 is shuffled): a query's terms are taken from the heaviest down; once those left can't lift a new document
 to the running threshold (the ``depth``-th best score that is sure so far), their lists are only probed at documents still
@@ -123,18 +123,19 @@ class SegmentedIndex:
         count, tiles = self._count(rows, manifest)
         if not count:
             return 0
-        numbered = self._numbered(rows, tiles)
+        numbers = self._tile_numbers(tiles)
+        numbered = self._numbered(rows, numbers)
         self._write_ids(numbered.select("tile", "doc", "id"), folder)
         postings = build_postings(numbered.select(F.struct("tile", "doc").alias("id"), "title", "text"), manifest["analyzer"])
         self._write_postings(postings.select("id.tile", "id.doc", "term", "tf_title", "tf_body"), folder, tiles)
-        return self._replace(number, manifest, folder, count, tiles)
+        return self._replace(number, manifest, folder, count, numbers)
 
     def delete(self, ids: DataFrame) -> int:
         """Take documents out by id; returns the number of ids given."""
         number, manifest = self.state()
         folder = self._folder(number)
         count = self._write_ids(ids.select(F.lit(0).alias("tile"), F.lit(-1).alias("doc"), "id").distinct(), folder)
-        return self._replace(number, manifest, folder, count, 0)
+        return self._replace(number, manifest, folder, count, [])
 
     def merge(self, fan: int = FAN) -> int:
         """Put together any ``fan`` or more segments of like size, again and again; returns the number of merges."""
@@ -157,7 +158,8 @@ class SegmentedIndex:
         if not count:
             self._commit(number, manifest | {"segments": [s for s in manifest["segments"] if s["name"] not in names]})
             return
-        numbered = stored(self._numbered(live.withColumnsRenamed({"tile": "old_tile", "doc": "old_doc"}), tiles), "renumbered")
+        numbers = self._tile_numbers(tiles)
+        numbered = stored(self._numbered(live.withColumnsRenamed({"tile": "old_tile", "doc": "old_doc"}), numbers), "renumbered")
         self._write_ids(numbered.select("tile", "doc", "id"), folder)
         flat = None
         for s in merged:
@@ -166,7 +168,7 @@ class SegmentedIndex:
             flat = rows if flat is None else flat.unionByName(rows)
         moved = flat.join(numbered.select("segment", "old_tile", "old_doc", "tile", "doc"), ["segment", "old_tile", "old_doc"])
         self._write_postings(moved.select("tile", "doc", "term", "tf_title", "tf_body"), folder, tiles)
-        segments = [s for s in manifest["segments"] if s["name"] not in names] + [{"name": folder, "docs": count, "tiles": tiles}]
+        segments = [s for s in manifest["segments"] if s["name"] not in names] + [{"name": folder, "docs": count, "tiles": tiles, "first": numbers[0]}]
         self._commit(number, manifest | {"segments": segments})
 
     def document_frequency(self, manifest: dict | None = None) -> DataFrame:
@@ -232,7 +234,7 @@ class SegmentedIndex:
         largest = max(segments, key=lambda s: s["docs"])
         if sum(s["tiles"] for s in segments) > 1:
             # What one tile holds for sure; a query with fewer hits there starts without a threshold.
-            first = self._scored(manifest, largest, asked, sure, depth, schema, 0).where("doc IS NOT NULL")
+            first = self._scored(manifest, largest, asked, sure, depth, schema, largest.get("first", 0)).where("doc IS NOT NULL")
             best = ranked(first.select("qid", F.struct("segment", "tile", "doc").alias("id"), "score"), depth).where(F.col("rank") == depth)
             found = {r["qid"]: r["score"] for r in best.select("qid", "score").collect()}  # a number for each query of the part
             sure = np.array([found.get(q, -np.inf) - SLACK for q, _ in asked])
@@ -314,11 +316,21 @@ class SegmentedIndex:
     def _folder(number: int) -> str:
         return f"part-{number + 1:010d}-{uuid.uuid4().hex[:8]}"
 
+    def _tile_numbers(self, tiles: int) -> list[int]:
+        """A number for each tile, such that a shuffle by it, and the buckets of the postings, hold one tile each: with plain numbers some would hold several, the more the more tiles there are."""
+        most = 64
+        while True:
+            place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(tiles))
+            found = self.spark.range(tiles * most).groupBy(place).agg(F.min("id").alias("number")).orderBy("number").collect()  # a row for each tile
+            if len(found) == tiles:
+                return [r["number"] for r in found]
+            most *= 2
+
     @staticmethod
-    def _numbered(rows: DataFrame, tiles: int) -> DataFrame:
+    def _numbered(rows: DataFrame, numbers: list[int]) -> DataFrame:
         """``rows`` with their tile, and their number in it by id; dealt out by tile."""
-        tile = F.pmod(F.xxhash64("id"), F.lit(max(1, tiles))).cast("int")
-        dealt = rows.withColumn("tile", tile).repartition(max(1, tiles), "tile")
+        tile = F.get(F.array(*map(F.lit, numbers)), F.pmod(F.xxhash64("id"), F.lit(len(numbers))).cast("int")).cast("int")
+        dealt = rows.withColumn("tile", tile).repartition(len(numbers), "tile")
         return dealt.withColumn("doc", (F.row_number().over(Window.partitionBy("tile").orderBy("id")) - 1).cast("int"))
 
     def _write_ids(self, ids: DataFrame, folder: str) -> int:
@@ -337,7 +349,7 @@ class SegmentedIndex:
         sizes = self._read(folder, "postings").groupBy("term").agg(F.sum(F.size("docs")).cast("long").alias("df"))
         sizes.write.parquet(f"{place}/df")
 
-    def _replace(self, number: int, manifest: dict, folder: str, count: int, tiles: int) -> int:
+    def _replace(self, number: int, manifest: dict, folder: str, count: int, numbers: list[int]) -> int:
         """Mark what the ids of the new folder replace, and commit."""
         fresh = self._read(folder, "ids").select("id")
         gone = self._live(manifest).join(fresh, "id", "left_semi").select("segment", "tile", "doc")
@@ -352,7 +364,7 @@ class SegmentedIndex:
                 terms = touched.select("tile", "term", F.explode("docs").alias("doc")).join(own, ["tile", "doc"], "left_semi")
                 minus = minus.unionByName(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(F.lit(s["name"]).alias("segment"), "term", "df"))
         minus.write.parquet(f"{self.path}/{folder}/minus")
-        segments = manifest["segments"] + ([{"name": folder, "docs": count, "tiles": tiles}] if tiles else [])
+        segments = manifest["segments"] + ([{"name": folder, "docs": count, "tiles": len(numbers), "first": numbers[0]}] if numbers else [])
         changes = manifest["changes"] + ([{"folder": folder, "gone": sizes}] if sizes else [])
         self._commit(number, manifest | {"segments": segments, "changes": changes})
         return count

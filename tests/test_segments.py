@@ -126,3 +126,14 @@ def test_two_writers_of_one_manifest(spark, tmp_path):
         t.join()
     assert len(done) == 1 and len(lost) == 7 and manifests.last()[1]["by"] == done[0]
     assert [n for n in manifests.names() if not n.endswith(".crc")] == ["manifest-0000000001.json"]
+
+
+def test_a_bucket_holds_one_tile(spark, tmp_path):
+    """However many tiles there are, so that a task's rows stay those of one tile."""
+    r = random.Random(5)
+    index = SegmentedIndex.create(frame(spark, [(i, "one", f"w1 w{r.randrange(9)} w2") for i in range(400)]), str(tmp_path / "own"), tile_docs=20)
+    segment = index.state()[1]["segments"][0]
+    files = spark.read.parquet(f"{index.path}/{segment['name']}/postings").groupBy(F.input_file_name()).agg(F.count_distinct("tile").alias("tiles")).collect()
+    assert segment["tiles"] == 20 and [f["tiles"] for f in files] == [1] * 20
+    ids = spark.read.parquet(f"{index.path}/{segment['name']}/ids")
+    assert ids.count() == 400 and ids.select("tile").distinct().count() == 20
