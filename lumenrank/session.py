@@ -51,6 +51,24 @@ def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of the Arrow batches that texts go to Python in.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4_000_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches cut to ``BATCH_ROWS`` and ``BATCH_BYTES``, so that a worker's memory doesn't follow the partition's; smaller settings stay.
+
+    Spark reads these settings when a plan runs, after this has returned, so they can't be put back here.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = conf.get(key)
+        if not (held.lstrip("-").isdigit() and 0 < int(held) <= most):
+            conf.set(key, str(most))
+    return df
+
+
 def local_path(path: str) -> str:
     """The plain path of a file: url, or the path as it is."""
     parts = urlparse(path)

@@ -191,3 +191,19 @@ def test_frequencies_of_asked_terms_need_no_index(spark):
     whole = {tuple(r) for r in lexical.document_frequency(lexical.build_postings(docs)).collect()}
     got = {tuple(r) for r in lexical.asked_frequency(docs, terms).collect()}
     assert got == {w for w in whole if w[0] in ("b", "c")} == {("b", 1), ("c", 3)}
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from lumenrank.plans import catalogue
+
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    held = {k: spark.conf.get(k) for k in keys}
+    try:
+        for name in ("overflow_pack_sentences",):
+            for key, value in zip(keys, ("10000", "268435456")):
+                spark.conf.set(key, value)
+            assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+            assert int(spark.conf.get(keys[0])) <= 1_000 and int(spark.conf.get(keys[1])) <= 4_000_000
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
