@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lumenrank.operators.lexical import BODY_WEIGHT, BROADCAST_TERMS, DIGITS, MAX_DF, TITLE_WEIGHT, build_postings, kept_terms, query_terms, ranked
+from lumenrank.operators.lexical import BODY_WEIGHT, BROADCAST_TERMS, DIGITS, MAX_DF, SLACK, TITLE_WEIGHT, build_postings, kept_terms, query_terms, ranked, tile_numbers, tiled
 from lumenrank.session import stored
 from lumenrank.sources.manifests import Manifests
 
@@ -42,8 +42,6 @@ TABLES = {
 FAN = 4
 #: Manifests, and the folders that only they name, that stay for readers that are under way.
 KEPT = 3
-#: More than scores change by rounding.
-SLACK = 2 * 10.0**-DIGITS
 
 HITS = [T.StructField("tile", T.IntegerType()), T.StructField("doc", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("postings", T.LongType()), T.StructField("read", T.LongType())]
 
@@ -317,20 +315,13 @@ class SegmentedIndex:
         return f"part-{number + 1:010d}-{uuid.uuid4().hex[:8]}"
 
     def _tile_numbers(self, tiles: int) -> list[int]:
-        """A number for each tile, such that a shuffle by it, and the buckets of the postings, hold one tile each: with plain numbers some would hold several, the more the more tiles there are."""
-        most = 64
-        while True:
-            place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(tiles))
-            found = self.spark.range(tiles * most).groupBy(place).agg(F.min("id").alias("number")).orderBy("number").collect()  # a row for each tile
-            if len(found) == tiles:
-                return [r["number"] for r in found]
-            most *= 2
+        """A number for each tile, such that a shuffle by it, and the buckets of the postings, hold one tile each."""
+        return tile_numbers(self.spark, tiles)
 
     @staticmethod
     def _numbered(rows: DataFrame, numbers: list[int]) -> DataFrame:
         """``rows`` with their tile, and their number in it by id; dealt out by tile."""
-        tile = F.get(F.array(*map(F.lit, numbers)), F.pmod(F.xxhash64("id"), F.lit(len(numbers))).cast("int")).cast("int")
-        dealt = rows.withColumn("tile", tile).repartition(len(numbers), "tile")
+        dealt = tiled(rows, numbers)
         return dealt.withColumn("doc", (F.row_number().over(Window.partitionBy("tile").orderBy("id")) - 1).cast("int"))
 
     def _write_ids(self, ids: DataFrame, folder: str) -> int:
