@@ -5,19 +5,26 @@ from __future__ import annotations
 import re
 import re._constants as op
 import re._parser as parser
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenrank.operators.files import COLUMNS, MATCHES, grep
+from lumenrank.session import small_batches
 
 #: Strings that a run of a pattern may stand for before it is cut; characters of a class that are told apart.
 MOST_STRINGS, MOST_CHARACTERS = 16, 4
 #: Spellings that Java and the parser read differently, or that change how others are read: flags (but s and m, which change no character),
 #: intersections, classes that start with a bracket or hold one, quotes, numbers, code units, and boundaries in braces.
 _OWN_MEANING = re.compile(r"\(\?(?![sm]+[:)])[a-zA-Z-]|&&|\[\^?\]|\[(?:[^\]\\]|\\.)*\[|\\[vQE0-9uU]|\\[bB]\{", re.DOTALL)
+#: Lists of an Arrow batch that goes back from Python.
+LISTS = 2_000
 #: Longest part that is written out where it is repeated a fixed number of times.
 MOST_REPEATED = 16
 _REPEATS = (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT)
@@ -124,11 +131,30 @@ def _holds(need: Need, has) -> Column:
     return reduce((lambda a, b: a & b) if need[0] == "and" else (lambda a, b: a | b), [_holds(n, has) for n in need[1]])
 
 
+def trigram_lists(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(trigrams, texts, ends): trigram i is in the texts, by number, from ``ends[i]`` to ``ends[i + 1]``, each once."""
+    keys, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, text in enumerate(texts):
+        if text and len(text) > 2:
+            c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+            own = np.sort((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])
+            own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+            keys.append(own)
+            places.append(np.full(len(own), i))
+    key, place = np.concatenate(keys), np.concatenate(places)
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    own = key[starts]
+    letters = np.stack([own >> 42, (own >> 21) & 0x1FFFFF, own & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    return [letters[i : i + 3] for i in range(0, len(letters), 3)], place, np.append(starts, len(key))
+
+
 class PatternIndex:
-    """Postings (gram, mode, source) of the distinct trigrams of titles and texts, sorted by trigram.
+    """Postings (gram, mode, source) of the distinct trigrams of titles and texts, as lists (gram, mode, sources) of the notes of one Arrow batch, sorted by trigram in each file.
 
     A search reads the lists of the pattern's trigrams only: the scan gets them as pushed filters, which skip row
-    groups by their least and greatest trigram. Notes without three characters in a column have no posting
+    groups and pages by their least and greatest trigram. Notes without three characters in a column have no posting
     there; a null source is kept as null.
     """
 
@@ -137,17 +163,28 @@ class PatternIndex:
 
     @classmethod
     def store(cls, notes: DataFrame, path: str) -> PatternIndex:
-        """Index ``notes`` (source, title, text) at ``path``; one shuffle, of the postings."""
-        kinds = F.explode(F.array(*(F.struct(F.lit(mode).alias("mode"), F.col(column).alias("value")) for mode, column in COLUMNS.items())))
-        fields = notes.select("source", kinds.alias("field")).select("source", "field.mode", "field.value")
-        grams = F.array_distinct(F.regexp_extract_all("value", F.lit("(?s)(?=(...))"), F.lit(1)))
-        postings = fields.select(F.explode(grams).alias("gram"), "mode", "source")
-        postings.repartitionByRange("gram", "source").sortWithinPartitions("gram", "source").write.parquet(path)
+        """Index ``notes`` (source, title, text) at ``path``: trigrams are found and put in lists where the notes lie, and nothing is shuffled."""
+        rows = small_batches(notes).select("source", *COLUMNS.values())
+        schema = T.StructType([T.StructField("gram", T.StringType()), T.StructField("mode", T.StringType()), T.StructField("sources", T.ArrayType(T.StringType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sources = batch.column("source").cast(pa.string())
+                for mode, column in COLUMNS.items():
+                    grams, places, ends = trigram_lists(batch.column(column).to_pylist())
+                    for i in range(0, len(grams), LISTS):
+                        own = ends[i : i + LISTS + 1]
+                        lists = pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), sources.take(pa.array(places[own[0] : own[-1]])))
+                        part = pa.array(grams[i : i + LISTS], pa.string())
+                        yield pa.RecordBatch.from_arrays([part, pa.array([mode] * len(part), pa.string()), lists], ["gram", "mode", "sources"])
+
+        rows.mapInArrow(run, schema).sortWithinPartitions("gram").write.parquet(path)
         return cls.open(notes.sparkSession, notes, path)
 
     @classmethod
     def open(cls, spark: SparkSession, notes: DataFrame, path: str) -> PatternIndex:
-        return cls(notes, spark.read.schema("gram string, mode string, source string").parquet(path))
+        lists = spark.read.schema("gram string, mode string, sources array<string>").parquet(path)
+        return cls(notes, lists.select("gram", "mode", F.explode("sources").alias("source")))
 
     def candidates(self, pattern: str, modes: tuple[str, ...] = ("title", "content")) -> DataFrame | None:
         """(source): notes that can match in one of the modes; None where the pattern needs no trigram, so that all can."""
