@@ -23,6 +23,10 @@ INVISIBLE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{200b}-\x{200d}\x{2060}\x{fe
 _SPACE = r"(?U)(?! [^\s\x1c-\x1f])[\s\x1c-\x1f]+"
 #: Unicode's white space.
 _OUTER = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space as DuckDB's \s sees it (Java's has the vertical tab too), with the same exception.
+_SQL_SPACE = r"(?! [^\t\n\f\r ])[\t\n\f\r ]+"
+#: What DuckDB's trim deletes: Unicode's space separators.
+_SQL_OUTER = " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 @F.pandas_udf(T.StringType())
@@ -55,14 +59,24 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _SPACE, " "))
 
 
+def collapse_sql(text: Column) -> Column:
+    """``collapse`` as DuckDB's ``trim(regexp_replace(text, '\\s+', ' ', 'g'))`` has it: of Unicode's other spaces, only outer ones go."""
+    return F.btrim(F.regexp_replace(text, _SQL_SPACE, " "), F.lit(_SQL_OUTER))
+
+
 def query_key(query: Column, ascii_only: bool = False) -> Column:
     """A query's identity: collapsed and case-folded. ``ascii_only`` stays in Catalyst."""
     return F.lower(collapse(query)) if ascii_only else casefold(collapse(query))
 
 
+def digest(text: Column) -> Column:
+    """16 hex digits of a text."""
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
 def chunk_key(text: Column, retriever: Column, chunk_id: Column) -> Column:
     """A text's identity: 16 hex digits of its collapsed text, or its retriever and id where it is null or empty."""
-    return F.when(F.length(F.coalesce(text, F.lit(""))) > 0, F.substring(F.sha2(collapse(text), 256), 1, 16)).otherwise(
+    return F.when(F.length(F.coalesce(text, F.lit(""))) > 0, digest(collapse(text))).otherwise(
         F.concat(F.lit("noid:"), retriever, F.lit(":"), F.coalesce(chunk_id, F.lit("")))
     )
 
